@@ -49,9 +49,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+#: What lower() might change besides A-Z; beyond Latin, all but the blocks without case, as Unicode versions differ.
+_OTHER_CASE = r"[[\p{javaUpperCase}\p{javaTitleCase}]&&[^A-Z]]|[\x{250}-\x{2FFF}\x{A000}-\x{10FFFF}]"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def lower_ascii(text: Column) -> Column:
-    """A-Z lower-cased, nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased, nothing else. lower() is many times faster than translate() and gives the same where no other letter has case."""
+    return F.when(text.rlike(_OTHER_CASE), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))
 
 
 def fold(doc_id: Column, n: int) -> Column:
