@@ -44,6 +44,12 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches that stay small where rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def words(text: Column) -> Column:
     """Array of words of a text, empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
