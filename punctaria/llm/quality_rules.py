@@ -5,8 +5,9 @@ common-word histograms of all documents labelled with it (one row for each langu
 parameter ``COMMON_WORDS``, so its size is bounded). A second pass computes everything else of a
 document inside its own row: no shuffle, no join.
 
-Defined results: a null text has no words, lines or characters; a null, unknown or wrong ``lang`` is of no
-matter for a verdict, as a document is compared with every reference and the nearest counts; a text
+Defined results: a null text has no words, lines or characters; a null or wrong ``lang`` is of no
+matter for a verdict, as a document is compared with every reference and the nearest counts, but one labelled with a language that
+has no reference is not rejected by a divergence; a text
 shorter than the guards is never rejected by a divergence; without any reference nothing is;
 repeated rows are judged each for itself; other columns of the input pass through ``keep_good`` unchanged.
 """
@@ -27,27 +28,36 @@ COMMON_WORDS = {
     "es": ["el", "los", "las", "del", "que", "y", "una", "por", "con", "para", "se", "como"],
     "fr": ["le", "la", "les", "de", "des", "et", "est", "un", "que", "dans", "pour", "sur"],
 }
-#: Character classes by pattern; what is in none of them is the class "other".
-CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "stop": r"[.,;:!?'\"()\-]", "wide": r"[^\x00-\x7F]", "space": r"[\x20\x09-\x0D]"}
+#: Character classes found by pattern in what is left of a text without lower-case letters, white space and wide characters.
+CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": r"[.,;:!?'\"()\-]"}
+_PLAIN = r"[a-z\x20\x09-\x0D\x{80}-\x{10FFFF}]+"
+#: Classes of a histogram: those, other characters, white space, UTF-8 bytes beyond one a character, lower-case and wide characters.
+N_CLASSES = len(CLASSES) + 4
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-GUARD_CHARS, GUARD_COMMON = 200, 30
-MAX_CLASS_JS, MAX_WORD_JS = 0.3, 0.75
+GUARD_CHARS, GUARD_COMMON = 200, 50
+MAX_CLASS_JS, MAX_WORD_JS = 0.3, 0.85
 
 
 def _vocabulary() -> list[str]:
     return sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 
-def _histograms(text: Column, ws: Column) -> tuple[Column, Column]:
-    """Counts by character class and of each common word, in the order of ``_vocabulary``."""
+def _rest(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), _PLAIN, "")
+
+
+def _classes(text: Column, rest: Column, word_chars: Column) -> Column:
+    """Counts by character class."""
     text = F.coalesce(text, F.lit(""))
-    size = {k: F.length(F.regexp_replace(text, f"[^{p[1:]}+" if p[1] != "^" else f"[{p[2:]}+", "")) for k, p in CLASSES.items()}
-    known = [size[k] for k in CLASSES]
-    classes = F.array(*known, F.length(text) - sum(known[1:], known[0])).cast("array<double>")
-    vocabulary = _vocabulary()
-    common = F.filter(F.transform(ws, lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))), lambda w: w.isin(*vocabulary))
-    return classes, common
+    found = [F.length(rest) - F.length(F.regexp_replace(rest, f"{p}+", "")) for p in CLASSES.values()]
+    other = F.length(rest) - sum(found[1:], found[0])
+    space = F.length(text) - word_chars
+    return F.array(*found, other, space, F.octet_length(text) - F.length(text), word_chars - F.length(rest)).cast("array<double>")
+
+
+def _common(ws: Column) -> Column:
+    return F.filter(ws, lambda w: w.isin(*_vocabulary()))
 
 
 def _word_counts(common: Column) -> Column:
@@ -56,9 +66,9 @@ def _word_counts(common: Column) -> Column:
 
 def references(docs: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     """(language, class shares, common-word shares) of each reference language that has labelled text; at most ``len(COMMON_WORDS)`` rows."""
-    classes, common = _histograms(F.col("text"), words(F.col("text")))
-    n_classes, n_words = len(CLASSES) + 1, len(_vocabulary())
-    per_doc = docs.select("lang", "text").filter(F.col("lang").isin(*COMMON_WORDS) & F.col("text").isNotNull()).select("lang", classes.alias("c"), common.alias("k")).select("lang", "c", _word_counts(F.col("k")).alias("w"))
+    n_classes, n_words = N_CLASSES, len(_vocabulary())
+    per_doc = docs.select("lang", "text").filter(F.col("lang").isin(*COMMON_WORDS) & F.col("text").isNotNull()).select("lang", "text", words(F.col("text")).alias("ws"), _rest(F.col("text")).alias("rest"))
+    per_doc = per_doc.select("lang", _classes(F.col("text"), F.col("rest"), F.length(F.array_join("ws", ""))).alias("c"), _common(F.col("ws")).alias("k")).select("lang", "c", _word_counts(F.col("k")).alias("w"))
     sums = per_doc.groupBy("lang").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(n_classes))).alias("c"), F.array(*(F.sum(F.col("w")[i]) for i in range(n_words))).alias("w"))
     shares = lambda xs: [x / max(sum(xs), 1.0) for x in xs]
     return sorted((r["lang"], shares(r["c"]), shares(r["w"])) for r in sums.collect() if sum(r["c"]) > 0 and sum(r["w"]) > 0)
@@ -104,8 +114,8 @@ def judge(docs: DataFrame, refs: list[tuple[str, list[float], list[float]]] | No
     out = docs.withColumn(f"{p}w", words(F.col("text")))
     ws = F.col(f"{p}w")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    classes, common = _histograms(F.col("text"), ws)
-    out = out.withColumns({f"{p}h": F.transform(ws, lambda w: F.xxhash64(w)), f"{p}l": lines, f"{p}c": classes, f"{p}k": common})
+    out = out.withColumns({f"{p}h": F.transform(ws, lambda w: F.xxhash64(w)), f"{p}l": lines, f"{p}k": _common(ws), f"{p}r": _rest(F.col("text")), f"{prefix}word_chars": F.length(F.array_join(ws, "")).cast("long")})
+    out = out.withColumn(f"{p}c", _classes(F.col("text"), F.col(f"{p}r"), F.col(f"{prefix}word_chars")))
     h = F.col(f"{p}h")
     n = F.size(ws)
     windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(h[i + k] for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
@@ -113,8 +123,7 @@ def judge(docs: DataFrame, refs: list[tuple[str, list[float], list[float]]] | No
     x = F.col(f"{p}x")
     out = out.withColumns({
         f"{prefix}n_words": n.cast("long"),
-        f"{prefix}word_chars": F.length(F.array_join(ws, "")).cast("long"),
-        f"{prefix}n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+        f"{prefix}n_symbols": F.length(F.regexp_replace(F.col(f"{p}r"), r"[^#*$%&|<>]+", "")).cast("long"),
         f"{prefix}n_dup_lines": (F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l"))).cast("long"),
         f"{prefix}n_repeat_words": F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(_repeat_words(x)).cast("long"),
         f"{p}d": _word_counts(F.col(f"{p}k")),
@@ -124,9 +133,11 @@ def judge(docs: DataFrame, refs: list[tuple[str, list[float], list[float]]] | No
     nearest = lambda col, k: F.least(*(_js_distance(F.col(col), r[k]) for r in refs), F.lit(1.0)) if refs else F.lit(0.0)
     out = out.withColumns({f"{prefix}class_js": nearest(f"{p}p", 1), f"{prefix}word_js": nearest(f"{p}q", 2), f"{prefix}n_common": F.size(f"{p}k").cast("long")})
     diverges = ((F.length(text) >= GUARD_CHARS) & (F.col(f"{prefix}class_js") > MAX_CLASS_JS)) | ((F.col(f"{prefix}n_common") >= GUARD_COMMON) & (F.col(f"{prefix}word_js") > MAX_WORD_JS))
+    # A label that names a language without a reference leaves nothing to compare with.
+    diverges = diverges & (F.col("lang").isNull() | F.col("lang").isin(*(r[0] for r in refs)))
     out = out.withColumn(f"{prefix}base_failed", (F.col(f"{prefix}n_words") < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{prefix}n_words")))
     out = out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & ~diverges)
-    return out.drop(*(f"{p}{k}" for k in "whlckxdpq"))
+    return out.drop(*(f"{p}{k}" for k in "whlckrxdpq"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
