@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filters
+from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, training_order, url_filters
 from .common import read
 
 
@@ -18,6 +18,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.query(read(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(read(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.query(read(spark, sf_dir, "pages"))
 
@@ -42,5 +50,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op5_url_filters, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_training_order, op4_packing, op5_url_filters, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_decontamination)}
 SQL: dict[str, str] = {}
