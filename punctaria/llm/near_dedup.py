@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from punctaria.operators.components import connected_components
 
-from .common import discard, materialise
+from .common import discard, materialise, small_batches
 from .hashing import WordHashes, shingle_hashes
 
 SHINGLE, PERCENT, COORDINATES, MISS = 5, 85, 32, 2e-5
 #: Ids broadcast to pick candidate texts; above it the join shuffles instead.
 BROADCAST_IDS = 500_000
-_CHUNK = 400_000
+_CHUNK = 200_000
 
 
 def match_threshold(percent: int, coordinates: int, miss: float = MISS) -> int:
@@ -165,6 +165,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int
 
 def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = materialise(signatures(docs.select("doc_id", "text"), size, coordinates), "signatures")
     classes = rows.filter("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
