@@ -10,7 +10,7 @@
    settle most lists.
 4. For lists that still hold several components the rest is done exactly on shingles: a class can only link to another component
    if enough of its shingles occur there, and such pairs share one of its rarest shingles (prefix filter on
-   the full sets). Those pairs too are confirmed on full sets.
+   the full sets; at the first one they share, what is left of either list bounds what they can share at all). Those pairs too are confirmed on full sets.
 
 So every pair is either within a component already, confirmed, or ruled out by a bound; list sizes are never capped. A pair at the
 threshold itself is missed by step 2 with a probability of ``MISS`` at most.
@@ -128,7 +128,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int
     """Confirmed links (a, b) between class representatives, enough of them to connect every linked pair."""
     matches = match_threshold(percent, coordinates)
     posts = classes.select("rep", F.posexplode("sig").alias("k", "v"))
-    common = posts.groupBy("k", "v").agg(F.count("*").alias("f")).filter("f > 1")
+    common = materialise(posts.groupBy("k", "v").agg(F.count("*").alias("f")).filter("f > 1"), "common-coordinates")
     tokens = posts.join(common, ["k", "v"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "k", "v"))).alias("t")).filter(F.size("t") >= matches)
     spread = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log(x["f"].cast("double")))
     kept = tokens.select("rep", spread.alias("spread"), F.slice("t", 1, F.size("t") - matches + 1).alias("p"))
@@ -150,15 +150,19 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int
     mixed = placed.groupBy("k", "v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("k", "v")
     open_ids = placed.join(mixed, ["k", "v"], "left_semi").select("id", "component").distinct()
     rest = materialise(sets.join(open_ids, "id").select("id", "component", F.size("s").alias("n"), F.explode("s").alias("g")), "open-shingles")
-    # Shingles seen in more than one component, rarest first.
-    across = rest.groupBy("g").agg(F.count("*").alias("f"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("g", "f")
+    # Shingles seen in more than one component, rarest first. Written, as a join of two plain exchanges is one that Spark can split at a hot key.
+    across = materialise(rest.groupBy("g").agg(F.count("*").alias("f"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("g", "f"), "open-across")
     fewest = F.ceil(F.col("n") * F.lit(percent) / 100)
     able = rest.join(across, "g").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("t")).filter(F.size("t") >= fewest)
-    prefix = materialise(able.select("id", "component", "n", F.explode(F.slice("t", 1, (F.size("t") - fewest + 1).cast("int"))).alias("p")).select("id", "component", "n", F.col("p.g").alias("g")), "open-prefixes")
+    prefix = able.select("id", "component", "n", F.size("t").alias("s"), F.posexplode(F.slice("t", 1, (F.size("t") - fewest + 1).cast("int"))).alias("i", "p"))
+    prefix = materialise(prefix.select("id", "component", "n", (F.col("s") - F.col("i")).alias("left"), F.col("p.g").alias("g")), "open-prefixes")
     p, q = prefix.alias("p"), prefix.alias("q")
-    cross = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.component") < F.col("q.component")) & _near(F.col("p.n"), F.col("q.n"), percent)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    # At the first shingle that a pair shares, no more can be shared than what is left of either list from there.
+    reach = (100 + percent) * F.least("p.left", "q.left") >= percent * (F.col("p.n") + F.col("q.n"))
+    cross = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.component") < F.col("q.component")) & _near(F.col("p.n"), F.col("q.n"), percent) & reach)
+    cross = cross.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     second = materialise(_confirm(cross, sets, percent), "open-links")
-    for df in (rest, prefix, lists, star, candidates, sets):
+    for df in (rest, across, prefix, common, lists, star, candidates, sets):
         discard(df)
     return first.unionByName(second)
 
