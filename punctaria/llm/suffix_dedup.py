@@ -30,6 +30,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .common import discard, materialise, small_batches
 
 LENGTH, GRAM = 200, 32
 #: Distinct stretches of an anchor in one block, and bytes of a block's suffix array.
-GROUP_ROWS, BLOCK_BYTES = 20_000, 4_000_000
+GROUP_ROWS, BLOCK_BYTES = 4_500, 1 << 18
 BROADCAST_IDS = 500_000
 _PIECE_BITS = 20
 _PIECE = 1 << _PIECE_BITS
@@ -53,15 +54,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Rolling:
     """Hashes of any stretch of a piece from prefix sums, modulo 2^64, of random byte values times powers of an odd base."""
 
-    def __init__(self) -> None:
-        base = 0x5851F42D4C957F2D
+    def __init__(self, size: int = _PIECE) -> None:
+        base, self.size = 0x5851F42D4C957F2D, size
         self.table = np.random.default_rng(7).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.power = self._powers(base)
         self.inverse = self._powers(pow(base, -1, 2**64))
 
-    @staticmethod
-    def _powers(base: int) -> np.ndarray:
-        out = np.full(_PIECE, base, np.uint64)
+    def _powers(self, base: int) -> np.ndarray:
+        out = np.full(self.size, base, np.uint64)
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
@@ -129,100 +129,127 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "tag", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, tag int, a long, c long, lo int, hi int")
 
 
+def _ranked(high: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks of keys below 2^(63 - bits): the place goes into the low bits, so that one plain sort does it."""
+    mask = np.uint64((1 << bits) - 1)
+    keys = np.sort((high << np.uint64(bits)) | np.arange(len(high), dtype=np.uint64))
+    value = keys >> np.uint64(bits)
+    rank = np.empty(len(high), np.uint64)
+    rank[(keys & mask).astype(np.int64)] = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])]).astype(np.uint64)
+    return rank
+
+
 def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     """Rank in suffix order of each suffix of a byte array, cut at ``length`` bytes; equal prefixes have equal ranks.
 
-    Prefix doubling: ranks of 8 bytes, then pairs of ranks of half the width.
+    Prefix doubling: ranks of a few bytes, then of pairs of ranks of half the width.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    bits = max(1, n.bit_length())
+    width = min(length, (63 - bits) // 8)
+    padded = np.concatenate([text, np.zeros(width, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    width = min(8, length)
     for k in range(width):
         key = (key << np.uint64(8)) | padded[k : n + k]
-    rank = pd.factorize(key, sort=True)[0]
+    rank = _ranked(key, bits)
     while width < length:
         shift = min(width, length - width)
-        second = np.zeros(n, np.int64)
-        second[: n - shift] = rank[shift:] + 1
-        rank = pd.factorize((rank.astype(np.int64) << 32) | second, sort=True)[0]
+        second = np.zeros(n, np.uint64)
+        second[: n - shift] = rank[shift:] + np.uint64(1)
+        pair = (rank << np.uint64(bits)) | second
+        rank = _ranked(pair, bits) if 3 * bits <= 63 else np.unique(pair, return_inverse=True)[1].astype(np.uint64)
         width += shift
     return rank
 
 
 def previous_and_next(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of suffixes given in text order: does an earlier, does a later one have an equal prefix?"""
-    order = np.argsort(rank, kind="stable")
-    same = rank[order][1:] == rank[order][:-1]
+    """Of suffixes given in text order: does an earlier, does a later one have an equal prefix?
+
+    In suffix order, with ties in text order, the predecessor of an equal rank is the previous smaller position, and the suffix's
+    previous factor is as long as the ranks' width.
+    """
+    bits = max(1, len(rank).bit_length())
+    if 2 * bits <= 63:
+        keys = np.sort((rank << np.uint64(bits)) | np.arange(len(rank), dtype=np.uint64))
+        order, value = (keys & np.uint64((1 << bits) - 1)).astype(np.int64), keys >> np.uint64(bits)
+    else:
+        order = np.argsort(rank, kind="stable")
+        value = rank[order]
+    same = value[1:] == value[:-1]
     earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
     earlier[order[1:][same]] = True
     later[order[:-1][same]] = True
     return earlier, later
 
 
-def _block(rows: list[tuple], length: int, keep: str) -> tuple[list[tuple], list[tuple]]:
-    """Repeated runs (doc_id, tag, lo, hi) among the stretches of a block, and the windows that a split anchor's other blocks need.
+def _block(table: pa.Table, length: int, keep: str, rolling: _Rolling) -> pa.RecordBatch:
+    """(doc_id, tag, lo, hi, w) of the stretches (doc_id, tag, lo, bytes, split) of a block.
 
-    rows: (doc_id, tag, lo, bytes, split).
+    w is null for a repeated run of window starts lo..hi; of a split anchor's windows that no earlier one of the block equals it is
+    the hash, for the anchor's other blocks.
     """
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1], r[2]))
-    text = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    sizes = np.array([len(r[3]) for r in rows])
-    begin = np.cumsum(sizes) - sizes
-    runs = sizes - length + 1
+    order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("tag", "ascending"), ("lo", "ascending")], null_placement="at_start")
+    table = table.take(order).combine_chunks()
+    held = table["bytes"].combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    begin = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    text = np.frombuffer(held.buffers()[2], np.uint8)[begin[0] : begin[-1]]
+    begin = begin - begin[0]
+    runs = np.diff(begin) - length + 1
     first = np.cumsum(runs) - runs
-    starts = np.repeat(begin - first, runs) + np.arange(runs.sum())
+    owner = np.repeat(np.arange(len(runs)), runs)
+    inner = np.arange(len(owner)) - first[owner]
+    starts = begin[owner] + inner
     rank = suffix_ranks(text, length)[starts]
     earlier, later = previous_and_next(rank)
     gone = earlier | later if keep == "none" else earlier
-    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-    inner = np.zeros(len(gone) + 1, bool)
-    inner[first] = True  # a run ends with its stretch
-    out = []
-    ups, downs = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    cuts = np.flatnonzero(inner[:-1])
-    for u, d in zip(ups, downs, strict=True):
-        inside = cuts[np.searchsorted(cuts, u, "right") : np.searchsorted(cuts, d, "left")]
-        for x, y in zip([u, *inside], [*inside, d], strict=True):
-            i = int(np.searchsorted(first, x, "right")) - 1
-            r = rows[i]
-            out.append((r[0], r[1], r[2] + int(x - first[i]), r[2] + int(y - 1 - first[i])))
-    windows = []
-    if any(r[4] for r in rows):
-        owner = np.repeat(np.arange(len(rows)), runs)
-        split = np.array([r[4] for r in rows])[owner]
-        for j in np.flatnonzero(split & ~earlier):
-            r = rows[owner[j]]
-            s = int(starts[j])
-            w = hashlib.blake2b(text[s : s + length].tobytes(), digest_size=8).digest()
-            windows.append((r[0], r[1], r[2] + int(j - first[owner[j]]), int.from_bytes(w, "big", signed=True)))
-    return out, windows
+    head = np.zeros(len(gone) + 1, bool)  # a run ends with its stretch
+    head[first] = head[-1] = True
+    up = np.flatnonzero(gone & (head[:-1] | ~np.concatenate([[False], gone[:-1]])))
+    down = np.flatnonzero(gone & (head[1:] | ~np.concatenate([gone[1:], [False]])))
+    lo = table["lo"].to_numpy().astype(np.int64)
+    split = table["split"].to_numpy(zero_copy_only=False)
+    alone = np.flatnonzero(split[owner] & ~earlier) if split.any() else np.empty(0, np.int64)
+    w = np.empty(0, np.int64)
+    if len(alone):
+        rolling = rolling if len(text) <= rolling.size else _Rolling(len(text))
+        sums = rolling.sums(text)
+        w = _mix((sums[starts[alone] + length] - sums[starts[alone]]) * rolling.inverse[starts[alone]]).view(np.int64)
+    of = np.concatenate([owner[up], owner[alone]])
+    where = pa.array(of)
+    at = np.concatenate([lo[owner[up]] + inner[up], lo[owner[alone]] + inner[alone]])
+    upto = np.concatenate([lo[owner[down]] + inner[down], lo[owner[alone]] + inner[alone]])
+    null = np.concatenate([np.ones(len(up), bool), np.zeros(len(alone), bool)])
+    cols = [table["doc_id"].combine_chunks().take(where), table["tag"].combine_chunks().take(where), pa.array(at.astype(np.int32)), pa.array(upto.astype(np.int32)), pa.array(np.concatenate([np.zeros(len(up), np.int64), w]), mask=null)]
+    return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], ["doc_id", "tag", "lo", "hi", "w"])
 
 
 def _block_rows(stretches: DataFrame, length: int, keep: str) -> DataFrame:
-    """(doc_id, tag, lo, hi, w) of all blocks; w is null for a repeated run, else a window hash at lo. Rows come by anchor."""
+    """What ``_block`` finds in all blocks. Rows come by anchor and salt; a block ends with an anchor."""
     kind = stretches.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        held, size, last = [], 0, None
-
-        def flush():
-            found, windows = _block(held, length, keep)
-            cols = list(zip(*[(*f, None) for f in found], *[(d, t, s, s, w) for d, t, s, w in windows], strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["doc_id", "tag", "lo", "hi", "w"])
+        held, size, last, rolling = [], 0, None, _Rolling(2 * _PIECE)
 
         for batch in batches:
-            types = [batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            columns = batch.to_pydict()
-            for a, salt, d, t, lo, b, split in zip(*(columns[k] for k in ("a", "salt", "doc_id", "tag", "lo", "bytes", "split")), strict=True):
-                if (a, salt) != last and size >= BLOCK_BYTES:
-                    yield flush()
-                    held, size = [], 0
-                last = (a, salt)
-                held.append((d, t, lo, b, split))
-                size += len(b)
-        if held:
-            yield flush()
+            a, salt = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("a", "salt"))
+            bytes_at = batch.column(batch.schema.get_field_index("bytes"))
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(bytes_at).to_numpy().astype(np.int64))])
+            rows = pa.Table.from_batches([batch]).select(["doc_id", "tag", "lo", "bytes", "split"])
+            cuts = np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1])) + 1
+            if last is not None and (a[0], salt[0]) != last:
+                cuts = np.concatenate([[0], cuts])
+            done = 0
+            for cut in cuts:
+                if size + sizes[cut] - sizes[done] >= BLOCK_BYTES:
+                    held.append(rows.slice(done, cut - done))
+                    yield _block(pa.concat_tables(held), length, keep, rolling)
+                    held, size, done = [], 0, cut
+            held.append(rows.slice(done))
+            size += sizes[-1] - sizes[done]
+            last = (a[-1], salt[-1])
+        if size:
+            yield _block(pa.concat_tables(held), length, keep, rolling)
 
     return stretches.mapInArrow(run, f"doc_id {kind}, tag int, lo int, hi int, w long")
 
@@ -266,7 +293,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, keep: str = "none", gro
     one_each = _only(long.select("doc_id", "tag", "text"), later, anti=True)
 
     rows = materialise(_anchor_rows(one_each, length), "anchors")
-    shared = rows.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    # Aggregated sides are written first: a join of two plain exchanges is one that Spark can split at a hot key.
+    shared = materialise(rows.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "shared")
     rows2 = materialise(rows.join(shared, "a"), "shared-anchors")
     discard(rows)
     # Null ids first in order, like the minimum of a struct.
