@@ -136,7 +136,9 @@ def judge(docs: DataFrame, refs: list[tuple[str, list[float], list[float]]] | No
     # A label that names a language without a reference leaves nothing to compare with.
     diverges = diverges & (F.col("lang").isNull() | F.col("lang").isin(*(r[0] for r in refs)))
     out = out.withColumn(f"{prefix}base_failed", (F.col(f"{prefix}n_words") < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{prefix}n_words")))
-    out = out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & ~diverges)
+    # A filter stays above an indeterminate column; pushed down, it would hold a copy of every expression below.
+    stays = F.monotonically_increasing_id() >= 0
+    out = out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & ~diverges & stays)
     return out.drop(*(f"{p}{k}" for k in "whlckrxdpq"))
 
 
