@@ -44,6 +44,28 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(run):
+    """A function over Arrow batches that gives memory back when a task ends: Spark keeps its Python workers for later tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small where rows hold whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

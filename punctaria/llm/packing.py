@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, tidy
 from .lengths import VOCABULARY, encoder, vocabulary
 
 BUCKETS, BUDGET, MAX_POINTS, CELL_ROWS = 16, 65_536, 20_000, 50_000
@@ -78,7 +78,7 @@ def token_counts(docs: DataFrame, vocab: bytes) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t.as_py() or "")) for t in batch.column(1)], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long")
 
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, small_batches, tidy
 
 MAX_TRAIN, MAX_TRAIN_BYTES = 6000, 100_000
 DIM, BUCKETS, GRAMS, EPOCHS, RATE = 12, 1 << 16, (3, 4, 5), 6, 0.3
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(np.array(z), -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 FOLDS, HELD_OUT = 5, 0

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small_batches
+from .common import discard, materialise, small_batches, tidy
 
 LENGTH, GRAM = 200, 32
 #: Distinct stretches of an anchor in one block, and bytes of a block's suffix array.
@@ -126,7 +126,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 yield out(of, parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "tag", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, tag int, a long, c long, lo int, hi int")
+    return docs.select("doc_id", "tag", F.col("text").cast("binary")).mapInArrow(tidy(run), f"doc_id {kind}, tag int, a long, c long, lo int, hi int")
 
 
 def _ranked(high: np.ndarray, bits: int) -> np.ndarray:
@@ -251,7 +251,7 @@ def _block_rows(stretches: DataFrame, length: int, keep: str) -> DataFrame:
         if size:
             yield _block(pa.concat_tables(held), length, keep, rolling)
 
-    return stretches.mapInArrow(run, f"doc_id {kind}, tag int, lo int, hi int, w long")
+    return stretches.mapInArrow(tidy(run), f"doc_id {kind}, tag int, lo int, hi int, w long")
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _stretches(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     rows = _only(docs, wanted.select("doc_id", "tag").distinct())
     rows = rows.join(lists.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "rows"), rows["doc_id"].eqNullSafe(F.col("__d")) & (rows["tag"] == F.col("__t")))
     rows = rows.dropDuplicates(["doc_id", "tag"])
-    return rows.select("doc_id", "tag", F.col("text").cast("binary").alias("text"), "rows").mapInArrow(run, f"doc_id {kind}, tag int, a long, salt int, split boolean, lo int, bytes binary")
+    return rows.select("doc_id", "tag", F.col("text").cast("binary").alias("text"), "rows").mapInArrow(tidy(run), f"doc_id {kind}, tag int, a long, salt int, split boolean, lo int, bytes binary")
 
 
 def _only(docs: DataFrame, ids: DataFrame, anti: bool = False) -> DataFrame:
@@ -385,7 +385,7 @@ def digests(docs: DataFrame, length: int = LENGTH, keep: str = "none", group_row
     text = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
     clean = clean.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
-    return clean.unionByName(hit.select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return clean.unionByName(hit.select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def _split(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

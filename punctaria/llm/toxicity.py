@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, small_batches, tidy
 from .hashing import WordHashes, shingle_hashes
 
 # Insults known without labels; words that report speech; words that address the reader.
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray]) ->
             n = np.rint(np.expm1(x[:, 1:4]).sum(1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(n)], ["doc_id", "score", "n_matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_matches long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double, n_matches long")
 
 
 FOLDS, HELD_OUT = 4, 2
