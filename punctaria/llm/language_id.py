@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, small_batches, tidy
 
 TRAIN_CHARS, TRAIN_DOCS, MAX_DOC_CHARS, MAX_LANGUAGES = 30_000, 60, 20_000, 200
 ALPHABET, BLOCK = 48, 2048
@@ -59,9 +59,13 @@ def automaton(symbols: list[int]) -> np.ndarray:
 
 
 def parsing_table(table: np.ndarray) -> np.ndarray:
-    """Where a phrase cannot go on, the bitwise complement of the state after starting anew with the character (the root for a character not in the sample)."""
-    root = np.where(table[0] >= 0, table[0], 0)
-    return np.where(table >= 0, table, ~root[None, :]).astype(np.int32)
+    """Transitions that never end: where a phrase cannot go on, the bitwise complement of the state after starting anew with the character.
+
+    The last row is the state between phrases, where every parse starts and where a character that is not in the sample, a phrase of its own, leads.
+    """
+    between = len(table)
+    anew = ~np.where(table[0] >= 0, table[0], between)
+    return np.concatenate([np.where(table >= 0, table, anew[None, :]), anew[None, :]]).astype(np.int32)
 
 
 class Alphabet:
@@ -110,8 +114,8 @@ def phrases(streams: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
     for k, table in enumerate(tables):
         flat = table.ravel()
-        state = np.zeros(len(blocks), np.int32)
-        count = np.ones(len(blocks), np.int32)
+        state = np.full(len(blocks), len(table) - 1, np.int32)
+        count = np.zeros(len(blocks), np.int32)
         for i in range(sizes[0]):
             n = active[i]
             t = flat[state[:n] * ALPHABET + grid[i, :n]]
@@ -175,7 +179,7 @@ def predict(docs: DataFrame, model: tuple[list[str], Alphabet | None, list[np.nd
             rate = rates[np.arange(len(texts)), best] if len(texts) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "phrases_per_char"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, phrases_per_char double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, phrases_per_char double")
 
 
 FOLDS, HELD_OUT = 4, 2

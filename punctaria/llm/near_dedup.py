@@ -26,12 +26,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctaria.operators.components import connected_components
 
-from .common import discard, materialise, small_batches
+from .common import discard, materialise, small_batches, tidy
 from .hashing import WordHashes, shingle_hashes
 
 SHINGLE, PERCENT, COORDINATES, MISS = 5, 85, 32, 2e-5
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINA
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -107,7 +107,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFr
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, s array<bigint>")
+    out = rows.mapInArrow(tidy(run), f"id {kind}, s array<bigint>")
     return out
 
 
@@ -182,9 +182,19 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, coo
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of ``docs``."""
-    drop = components(docs, percent).filter("not kept").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, with the columns of ``docs``.
+
+    Of rows with equal ids, which are one document, the one with the smallest text stays, and of equal texts one.
+    """
+    drop = materialise(components(docs, percent).filter("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "near-copies")
+    kept = docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti").select(*docs.columns)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__again"))
+    again = materialise(again, "repeated-ids")
+    if not again.take(1):
+        return kept
+    order = Window.partitionBy("doc_id").orderBy("text")
+    one = kept.join(again, kept["doc_id"] == F.col("__again"), "left_semi").withColumn("__r", F.row_number().over(order)).filter("__r = 1")
+    return kept.join(again, kept["doc_id"] == F.col("__again"), "left_anti").unionByName(one.select(*docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
