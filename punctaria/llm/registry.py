@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, training_order, url_filters
+from . import decontamination, language_id, near_dedup, oracles, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, training_order, url_filters
 from .common import read
 
 
@@ -51,4 +51,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_training_order, op4_packing, op5_url_filters, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_decontamination)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_url_filters": oracles.OP5, "op8_minhash_near_dedup": oracles.OP8, "op10_decontamination": oracles.OP10}
