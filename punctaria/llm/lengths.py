@@ -24,18 +24,20 @@ def vocabulary(spark, path: str = VOCABULARY) -> bytes:
 
 
 def encoder(content: bytes):
-    """A function from a text to its token ids."""
+    """A function from a text to its token ids, an array of 16-bit numbers."""
     key = hash(content)
     if key not in _loaded:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+        if max(ranks.values()) > 0xFFFF:
+            raise ValueError("the vocabulary has more than 65536 ids")
         _loaded[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own = _loaded[key]
+    encode_ordinary = _loaded[key].encode_ordinary
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         if len(text) <= PIECE:
-            return own.encode_ordinary(text)
+            return np.array(encode_ordinary(text), np.uint16)
         out: list[int] = []
         at = 0
         while at < len(text):
@@ -43,12 +45,8 @@ def encoder(content: bytes):
             if end < len(text):
                 space = text.rfind(" ", at + 1, end)
                 end = space if space > at else end
-            out += own.encode_ordinary(text[at:end])
+            out += encode_ordinary(text[at:end])
             at = end
-        return out
+        return np.array(out, np.uint16)
 
     return encode
-
-
-def as_ids(tokens: list[int]) -> np.ndarray:
-    return np.array(tokens, np.uint16)

@@ -1,19 +1,21 @@
 """Training-order materialisation of token ids as fixed-stride binary shards.
 
 Texts become token ids, end marks between them, cut into sequences of ``seq_len`` ids; the last of a partition is padded with end marks. A first pass
-counts the sequences of each input partition, which numbers them all from 0 to N-1. A keyed Feistel network over the smallest even
-number of bits that holds N, walked until it falls below N, sends each number to a slot of its own. A second pass sends each
-sequence to the range of slots that its shard covers and writes the shard: ids as little-endian 16-bit numbers, ``seq_len`` to a slot, so that slot s
-is at byte ``(s mod shard_slots) * stride`` of shard ``s div shard_slots`` and reading may start anywhere.
+sums the bytes of each input partition, which bound its sequences, so that a sequence's number, partition * bound + place, is known where it is made. A keyed
+Feistel network over the smallest even number of bits that holds all such numbers, walked until it falls among them, gives each sequence a place in the order. Ranges of
+places are shards; a task sorts its range and writes it: ids as little-endian 16-bit numbers, ``seq_len`` to a sequence. A
+sequence's global slot is its rank in its shard after the sequences of the shards before, whose numbers ``meta.json`` lists; slots run from 0 to
+N-1 without a gap, any one is one seek away, and reading may start anywhere.
 
-Nothing is kept between the passes: both read the same partitions, and the second fails if one of them has another number of sequences. A shard is written under
-a task's own name and then renamed, so that a task that runs again, or twice, leaves the same file.
+Texts are tokenised once and shuffled once. A shard is written under a task's own name and then renamed, so that a task that runs again, or
+twice, leaves the same file; a partition with more sequences than its bound allows (one that changed between the passes) fails.
 
 Defined results: null and empty texts give no ids; an empty table gives no shard; repeated rows are repeated text; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 
@@ -22,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
-from .lengths import END, VOCABULARY, as_ids, encoder, vocabulary
+from .common import materialise, shared_dir, small_batches, tidy
+from .lengths import END, VOCABULARY, encoder, vocabulary
 
 SEQ_LEN, SHARD_SLOTS, KEY, ROUNDS = 2048, 4096, 0x5EED, 4
 
@@ -82,94 +84,71 @@ class _Cutter:
             yield self.take()
 
 
-def sequences(docs: DataFrame, vocab: bytes, seq_len: int = SEQ_LEN, counts_only: bool = False, offsets: dict[int, tuple[int, int]] | None = None) -> DataFrame:
-    """Numbered sequences (seq, doc_ids, n_tokens, ids), or with ``counts_only`` the number of each partition (part, n)."""
+def sequences(docs: DataFrame, vocab: bytes, capacity: int, seq_len: int = SEQ_LEN) -> DataFrame:
+    """Numbered sequences (seq, doc_ids, n_tokens, ids)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def tokens(batches):
-        encode = encoder(vocab)
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = t.as_py()
-                if text:
-                    yield d, encode(text)
-
-    def count(batches):
-        from pyspark import TaskContext
-
-        total = sum(len(ids) + 1 for _, ids in tokens(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-total // seq_len)], pa.int64())], ["part", "n"])
-
     def cut(batches):
         from pyspark import TaskContext
 
-        first, expected = offsets.get(TaskContext.get().partitionId(), (0, 0))
-        cutter, done, held = _Cutter(seq_len), 0, []
+        first = TaskContext.get().partitionId() * capacity
+        encode, cutter, end = encoder(vocab), _Cutter(seq_len), np.array([END], np.uint16)
+        done, held, doc_type = 0, [], pa.int64()
 
         def out():
             nonlocal held, done
+            if done + len(held) > capacity:
+                raise RuntimeError(f"partition has more sequences than the {capacity} that its bytes allow")
             seq = pa.array(np.arange(first + done, first + done + len(held)), pa.int64())
             done += len(held)
             cols = [seq, pa.array([h[0] for h in held], pa.list_(doc_type)), pa.array([h[1] for h in held], pa.int32()), pa.array([h[2].tobytes() for h in held], pa.binary())]
             held = []
             return pa.RecordBatch.from_arrays(cols, ["seq", "doc_ids", "n_tokens", "ids"])
 
-        def stream():
-            for d, ids in tokens(watched()):
-                yield from cutter.add(d, np.concatenate([as_ids(ids), np.array([END], np.uint16)]))
-            yield from cutter.rest()
-
-        doc_type = pa.int64()
-
-        def watched():
-            nonlocal doc_type
-            for batch in batches:
-                doc_type = batch.schema.field(0).type
-                yield batch
-
-        for one in stream():
-            held.append(one)
-            if len(held) >= 500:
-                yield out()
+        for batch in batches:
+            doc_type = batch.schema.field(0).type
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = t.as_py()
+                if text:
+                    held.extend(cutter.add(d, np.concatenate([encode(text), end])))
+                    if len(held) >= 500:
+                        yield out()
+        held.extend(cutter.rest())
         if held:
             yield out()
-        if done != expected:
-            raise RuntimeError(f"partition has {done} sequences where the count found {expected}")
 
-    source = docs.select("doc_id", "text")
-    if counts_only:
-        return source.mapInArrow(count, "part int, n long")
-    return source.mapInArrow(cut, f"seq long, doc_ids array<{kind}>, n_tokens int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"seq long, doc_ids array<{kind}>, n_tokens int, ids binary")
 
 
 def materialise_order(docs: DataFrame, path: str, vocab: bytes, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
-    """Write the shards under ``path``; lazily (slot, shard, byte_offset, seq, n_tokens, doc_ids) of every sequence, as its shard is written."""
+    """Write the shards, of about ``shard_slots`` sequences, and ``meta.json`` under ``path``: (slot, shard, byte_offset, seq, n_tokens, doc_ids) of every sequence."""
     spark = docs.sparkSession
     small_batches(spark)
-    # One row for each input partition.
-    per_part = {r["part"]: r["n"] for r in sequences(docs, vocab, seq_len, counts_only=True).collect()}
-    offsets, total = {}, 0
-    for part in sorted(per_part):
-        offsets[part] = (total, per_part[part])
-        total += per_part[part]
+    # One row for each input partition. A token is a byte or more.
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    parts = docs.select(F.spark_partition_id().alias("part"), size.alias("b")).groupBy("part").agg(F.sum("b").alias("b")).collect()
+    total = sum(r["b"] for r in parts)
+    capacity = max((-(-r["b"] // seq_len) for r in parts), default=1)
+    domain = capacity * (max((r["part"] for r in parts), default=0) + 1)
+    shards = max(1, -(-total // (2 * seq_len * shard_slots)))  # two bytes a token or more, as a rule
     stride = 2 * seq_len
-    shards = max(1, -(-total // shard_slots))
-    rows = sequences(docs, vocab, seq_len, offsets=offsets)
 
     def place(batches):
         for batch in batches:
-            slot = feistel(batch.column(0).to_numpy(), total, key).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard_slots).astype(np.int32)), *batch.columns], ["slot", "shard", *batch.schema.names])
+            at = feistel(batch.column(0).to_numpy(), domain, key)
+            shard = (at * np.uint64(shards) // np.uint64(domain)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(shard), *batch.columns], ["at", "shard", *batch.schema.names])
 
-    placed = rows.mapInArrow(place, f"slot long, shard int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}")
-    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    rows = sequences(docs, vocab, capacity, seq_len)
+    placed = rows.mapInArrow(tidy(place), f"at long, shard int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}")
+    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "at")
 
     def write(batches):
         from pyarrow import fs as pafs
 
         store, root = pafs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        now, stream, temporary = None, None, ""
+        now, stream, temporary, done = None, None, "", 0
 
         def close():
             if stream is not None:
@@ -177,22 +156,29 @@ def materialise_order(docs: DataFrame, path: str, vocab: bytes, seq_len: int = S
                 store.move(temporary, f"{root}/shard-{now:06d}.bin")
 
         for batch in batches:
-            slots, of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            of, rank = batch.column(1).to_numpy(), []
             for i, ids in enumerate(batch.column(5)):
                 if of[i] != now:
                     close()
-                    now = int(of[i])
+                    now, done = int(of[i]), 0
                     temporary = f"{root}/_shard-{now:06d}-{uuid.uuid4().hex}"
                     stream = store.open_output_stream(temporary)
                 stream.write(ids.as_py())
-            offset = (slots % shard_slots) * stride
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offset), batch.column(2), batch.column(4), batch.column(3)], ["slot", "shard", "byte_offset", "seq", "n_tokens", "doc_ids"])
+                rank.append(done)
+                done += 1
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rank, pa.int64()), batch.column(2), batch.column(4), batch.column(3)], ["shard", "rank", "seq", "n_tokens", "doc_ids"])
         close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    meta = {"n": total, "seq_len": seq_len, "stride": stride, "shard_slots": shard_slots, "shards": shards if total else 0, "dtype": "<u2", "key": key}
+    written = materialise(dealt.mapInArrow(tidy(write), f"shard int, rank long, seq long, n_tokens int, doc_ids array<{kind}>"), "shard-rows")
+    # One row for each shard.
+    counts = {r["shard"]: r["count"] for r in written.groupBy("shard").count().collect()}
+    sizes = [counts.get(k, 0) for k in range(shards)]
+    meta = {"n": sum(sizes), "seq_len": seq_len, "stride": stride, "sizes": sizes, "dtype": "<u2", "key": key}
     _write_text(spark, f"{path}/meta.json", json.dumps(meta))
-    return dealt.mapInArrow(write, f"slot long, shard int, byte_offset long, seq long, n_tokens int, doc_ids array<{kind}>")
+    before = [0, *itertools.accumulate(sizes)][:-1]
+    table = spark.createDataFrame([(k, b) for k, b in enumerate(before)], "shard int, before long")
+    return written.join(table, "shard").select((F.col("before") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * stride).alias("byte_offset"), "seq", "n_tokens", "doc_ids")
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -209,12 +195,14 @@ def read_slots(path: str, start: int, n: int) -> np.ndarray:
 
     store, root = pafs.FileSystem.from_uri(path)
     meta = json.loads(store.open_input_stream(f"{root}/meta.json").read())
+    before = np.concatenate([[0], np.cumsum(meta["sizes"])]).astype(int)
     out, stop = [], min(start + n, meta["n"])
     while start < stop:
-        shard, inner = divmod(start, meta["shard_slots"])
-        m = min(stop - start, meta["shard_slots"] - inner)
+        shard = int(np.searchsorted(before, start, "right")) - 1
+        inner = start - before[shard]
+        m = int(min(stop - start, meta["sizes"][shard] - inner))
         with store.open_input_file(f"{root}/shard-{shard:06d}.bin") as f:
-            f.seek(inner * meta["stride"])
+            f.seek(int(inner) * meta["stride"])
             out.append(np.frombuffer(f.read(m * meta["stride"]), meta["dtype"]).reshape(m, meta["seq_len"]))
         start += m
     return np.concatenate(out) if out else np.empty((0, meta["seq_len"]), meta["dtype"])
