@@ -26,6 +26,7 @@ from .common import lower_ascii, materialise
 
 WINDOW = 10
 BLOCK_WINDOWS = 100_000
+BROADCAST_IDS = 500_000
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -90,8 +91,10 @@ def judge(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without any window of an item."""
-    found = hits(docs.select("doc_id", "text"), items, size).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left_anti").select(*docs.columns)
+    found = materialise(hits(docs.select("doc_id", "text"), items, size).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "contaminated")
+    side = F.broadcast(found) if found.count() <= BROADCAST_IDS else found  # more are shuffled
+    return docs.join(side, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left_anti").select(*docs.columns)
+
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

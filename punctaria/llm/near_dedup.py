@@ -187,7 +187,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Of rows with equal ids, which are one document, the one with the smallest text stays, and of equal texts one.
     """
     drop = materialise(components(docs, percent).filter("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "near-copies")
-    kept = docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti").select(*docs.columns)
+    side = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
+    kept = docs.join(side, docs["doc_id"] == F.col("__drop"), "left_anti").select(*docs.columns)
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__again"))
     again = materialise(again, "repeated-ids")
     if not again.take(1):
