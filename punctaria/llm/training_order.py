@@ -141,7 +141,8 @@ def materialise_order(docs: DataFrame, path: str, vocab: bytes, seq_len: int = S
 
     rows = sequences(docs, vocab, capacity, seq_len)
     placed = rows.mapInArrow(tidy(place), f"at long, shard int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}")
-    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "at")
+    # A task for each shard; hashed, several shards would meet in one.
+    dealt = placed.repartitionById(shards, "shard").sortWithinPartitions("shard", "at")
 
     def write(batches):
         from pyarrow import fs as pafs
