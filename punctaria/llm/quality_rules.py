@@ -8,7 +8,8 @@ document inside its own row: no shuffle, no join.
 Defined results: a null text has no words, lines or characters; a null or wrong ``lang`` is of no
 matter for a verdict, as a document is compared with every reference and the nearest counts, but one labelled with a language that
 has no reference is not rejected by a divergence; a text
-shorter than the guards is never rejected by a divergence; without any reference nothing is;
+shorter than the guards is never rejected by a divergence; without any reference nothing is; a text without common words diverges
+like any other: all its words are in the histogram's class of every other word;
 repeated rows are judged each for itself; other columns of the input pass through ``keep_good`` unchanged.
 """
 
@@ -35,8 +36,11 @@ _PLAIN = r"[a-z\x20\x09-\x0D\x{80}-\x{10FFFF}]+"
 N_CLASSES = len(CLASSES) + 4
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-GUARD_CHARS, GUARD_COMMON = 200, 50
-MAX_CLASS_JS, MAX_WORD_JS = 0.3, 0.85
+GUARD_CHARS, GUARD_WORDS = 200, 50
+MAX_CLASS_JS = 0.3
+#: The largest common-word distance from a reference, as a share of the distance that a text without any common word has from it; its
+#: square grows by ``WORD_NOISE`` over the number of words, about twice what a text drawn from the reference is off by chance.
+MAX_WORD_SHARE, WORD_NOISE = 0.5, 4.0
 
 
 def _vocabulary() -> list[str]:
@@ -60,18 +64,27 @@ def _common(ws: Column) -> Column:
     return F.filter(ws, lambda w: w.isin(*_vocabulary()))
 
 
-def _word_counts(common: Column) -> Column:
-    return F.transform(F.array(*map(F.lit, _vocabulary())), lambda w: (F.size(common) - F.size(F.array_remove(common, w))).cast("double"))
+def _word_counts(common: Column, n: Column) -> Column:
+    """Counts of each common word and, last, of every other word of ``n``."""
+    found = F.transform(F.array(*map(F.lit, _vocabulary())), lambda w: (F.size(common) - F.size(F.array_remove(common, w))).cast("double"))
+    return F.concat(found, F.array((n - F.size(common)).cast("double")))
 
 
 def references(docs: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """(language, class shares, common-word shares) of each reference language that has labelled text; at most ``len(COMMON_WORDS)`` rows."""
-    n_classes, n_words = N_CLASSES, len(_vocabulary())
+    """(language, class shares, shares of common words and all others) of each reference language that has labelled text with common words; at most ``len(COMMON_WORDS)`` rows."""
+    n_classes, n_words = N_CLASSES, len(_vocabulary()) + 1
     per_doc = docs.select("lang", "text").filter(F.col("lang").isin(*COMMON_WORDS) & F.col("text").isNotNull()).select("lang", "text", words(F.col("text")).alias("ws"), _rest(F.col("text")).alias("rest"))
-    per_doc = per_doc.select("lang", _classes(F.col("text"), F.col("rest"), F.length(F.array_join("ws", ""))).alias("c"), _common(F.col("ws")).alias("k")).select("lang", "c", _word_counts(F.col("k")).alias("w"))
+    per_doc = per_doc.select("lang", _classes(F.col("text"), F.col("rest"), F.length(F.array_join("ws", ""))).alias("c"), _common(F.col("ws")).alias("k"), F.size("ws").alias("n")).select("lang", "c", _word_counts(F.col("k"), F.col("n")).alias("w"))
     sums = per_doc.groupBy("lang").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(n_classes))).alias("c"), F.array(*(F.sum(F.col("w")[i]) for i in range(n_words))).alias("w"))
     shares = lambda xs: [x / max(sum(xs), 1.0) for x in xs]
-    return sorted((r["lang"], shares(r["c"]), shares(r["w"])) for r in sums.collect() if sum(r["c"]) > 0 and sum(r["w"]) > 0)
+    return sorted((r["lang"], shares(r["c"]), shares(r["w"])) for r in sums.collect() if sum(r["c"]) > 0 and sum(r["w"][:-1]) > 0)
+
+
+def max_word_js(shares: list[float]) -> float:
+    """The largest common-word distance of a long text from a reference."""
+    o = shares[-1]  # every other word; a text without common words has 1 there
+    none = math.sqrt((math.log2(2 / (1 + o)) + (1 - o) + (o * math.log2(2 * o / (1 + o)) if o > 0 else 0.0)) / 2)
+    return MAX_WORD_SHARE * none
 
 
 def _js_distance(p: Column, q: list[float]) -> Column:
@@ -126,20 +139,23 @@ def judge(docs: DataFrame, refs: list[tuple[str, list[float], list[float]]] | No
         f"{prefix}n_symbols": F.length(F.regexp_replace(F.col(f"{p}r"), r"[^#*$%&|<>]+", "")).cast("long"),
         f"{prefix}n_dup_lines": (F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l"))).cast("long"),
         f"{prefix}n_repeat_words": F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(_repeat_words(x)).cast("long"),
-        f"{p}d": _word_counts(F.col(f"{p}k")),
+        f"{p}d": _word_counts(F.col(f"{p}k"), n),
     })
     shares = lambda a: F.transform(a, lambda v: v / F.greatest(F.aggregate(a, F.lit(0.0), lambda s, t: s + t), F.lit(1.0)))
     out = out.withColumns({f"{p}p": shares(F.col(f"{p}c")), f"{p}q": shares(F.col(f"{p}d"))})
-    nearest = lambda col, k: F.least(*(_js_distance(F.col(col), r[k]) for r in refs), F.lit(1.0)) if refs else F.lit(0.0)
-    out = out.withColumns({f"{prefix}class_js": nearest(f"{p}p", 1), f"{prefix}word_js": nearest(f"{p}q", 2), f"{prefix}n_common": F.size(f"{p}k").cast("long")})
-    diverges = ((F.length(text) >= GUARD_CHARS) & (F.col(f"{prefix}class_js") > MAX_CLASS_JS)) | ((F.col(f"{prefix}n_common") >= GUARD_COMMON) & (F.col(f"{prefix}word_js") > MAX_WORD_JS))
+    out = out.withColumns({f"{p}a": F.array(*(_js_distance(F.col(f"{p}p"), r[1]) for r in refs)).cast("array<double>"), f"{p}b": F.array(*(_js_distance(F.col(f"{p}q"), r[2]) for r in refs)).cast("array<double>")})
+    nearest = lambda col: F.array_min(F.concat(col, F.array(F.lit(1.0)))) if refs else F.lit(0.0)
+    limits = F.array(*(F.lit(max_word_js(r[2]) ** 2) for r in refs)).cast("array<double>")
+    like_one = F.exists(F.zip_with(f"{p}b", limits, lambda js, limit: js * js <= limit + WORD_NOISE / n), lambda x: x) if refs else F.lit(True)
+    out = out.withColumns({f"{prefix}class_js": nearest(F.col(f"{p}a")), f"{prefix}word_js": nearest(F.col(f"{p}b")), f"{p}o": (n >= GUARD_WORDS) & ~like_one})
+    diverges = ((F.length(text) >= GUARD_CHARS) & (F.col(f"{prefix}class_js") > MAX_CLASS_JS)) | F.col(f"{p}o")
     # A label that names a language without a reference leaves nothing to compare with.
     diverges = diverges & (F.col("lang").isNull() | F.col("lang").isin(*(r[0] for r in refs)))
     out = out.withColumn(f"{prefix}base_failed", (F.col(f"{prefix}n_words") < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{prefix}n_words")))
     # A filter stays above an indeterminate column; pushed down, it would hold a copy of every expression below.
     stays = F.monotonically_increasing_id() >= 0
     out = out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & ~diverges & stays)
-    return out.drop(*(f"{p}{k}" for k in "whlckrxdpq"))
+    return out.drop(*(f"{p}{k}" for k in "whlckrxdpqabo"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -132,3 +132,22 @@ def test_odd_items_and_documents(spark, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(docs[k][0]) for k, w in want.items() if not w[4])
     assert decontamination.query(d.limit(0), i).count() == 0
     assert not any(r["contaminated"] for r in decontamination.query(d, i.limit(0)).collect())
+
+
+def test_texts_of_few_common_words_diverge(spark):
+    words = [f"zq{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    rows = [(k, f"{PROSE} {k} " + " ".join(PROSE.split()[::-1]), "en") for k in range(20)]
+    rows += [(50, " | ".join(words), "en"), (51, " ".join(words), None), (52, " ".join(words[:40]), "en"), (53, " ".join(f"the {w} the" for w in words), "en"), (54, " ".join(words), "pl")]
+    got = {r["doc_id"]: r for r in quality_rules.query(docs_of(spark, rows)).collect()}
+    assert not any(got[k]["base_failed"] for k in (50, 51, 52, 53, 54))
+    refs = quality_rules.references(docs_of(spark, rows[:20]))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs_of(spark, rows), refs).collect()}
+    assert got == {k: k not in (50, 51, 53) for k in got}  # 52 is short, 54 has no reference for its language
+
+
+def test_labelled_junk_is_rejected_and_prose_kept(spark):
+    sf = SF.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = quality_rules.query(docs).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))).collect()
+    kept = {r[0]: r[1] for r in got}
+    assert kept[0] < 0.06 and kept[1] > 0.99
