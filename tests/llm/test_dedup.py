@@ -148,3 +148,21 @@ def test_every_stage_returns_the_columns_of_documents(spark):
     docs = read(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_pipeline_stage_takes_a_similarity_of_80_percent(spark):
+    rng = np.random.default_rng(5)
+    docs = dict(read(spark, SF, "documents").select("doc_id", "text").collect())
+    for k in range(60):  # pairs of 70 to 95 %: 0 to 30 of 200 words at the end differ
+        words = [f"s{k}_{j}" for j in range(200)]
+        docs[20_000 + 2 * k] = " ".join(words)
+        docs[20_001 + 2 * k] = " ".join(words[: 200 - k // 2] + [f"t{k}_{j}" for j in range(k // 2)])
+    docs[30_000] = " ".join(f"v{j}" for j in range(94))  # 90 shingles
+    docs[30_001] = " ".join(f"v{j}" for j in range(84)) + " " + " ".join(f"w{j}" for j in range(10))  # 80 of 100
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want, _ = brute.near_components(docs, 80)
+    other, _ = brute.near_components(docs)
+    got = {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, frame, SF).collect()}
+    assert got == {d for d in docs if want[d] == d} != {d for d in docs if other[d] == d}
+    assert 30_001 not in got
+    assert {r["doc_id"] for r in near_dedup.query(frame).filter("kept").collect()} == {d for d in docs if other[d] == d}
