@@ -1,7 +1,7 @@
 """Optimal length buckets and token-budget batches.
 
-The global histogram of token counts is one combined count. Dynamic programming over it chooses the bucket boundaries that pad least, exactly up to
-``MAX_POINTS`` different lengths; beyond that, lengths are first rounded up to the smallest step that leaves so many. Inside a bucket every batch
+The global histogram of token counts is one combined count; ``u`` different lengths need u * (u + 1) / 2 tokens at least, so it has few rows on any corpus.
+Dynamic programming over it chooses the bucket boundaries that pad least, exactly whatever the number of lengths or the longest of them. Inside a bucket every batch
 holds as many documents as its token budget has room for at the bucket's length, at least one.
 
 A document's place in its bucket is counted in two steps: rows are dealt to cells of a bucket by a hash, numbered inside a cell, and
@@ -21,7 +21,38 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, tidy
 from .lengths import VOCABULARY, encoder, vocabulary
 
-BUCKETS, BUDGET, MAX_POINTS, CELL_ROWS = 16, 65_536, 20_000, 50_000
+BUCKETS, BUDGET, CELL_ROWS = 16, 65_536, 50_000
+#: Cuts that are compared at a time, or those of one length where they are more; a matter of memory, not of results.
+MAX_POINTS = 20_000
+
+
+def _layer(best: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least padded sizes, last cuts or -1) of the first j+1 lengths with one bucket more than in ``best``."""
+    new, arg = best.copy(), np.full(len(best), -1)
+    lo, hi, a, b = (np.array([x]) for x in (0, len(best) - 1, 0, len(best) - 1))
+    while len(lo):
+        j = (lo + hi) // 2
+        width, at = np.maximum(np.minimum(b, j - 1) - a + 1, 0), a.copy()
+        ends, i = np.cumsum(width), 0
+        while i < len(j):
+            stop = max(i + 1, int(np.searchsorted(ends, ends[i] - width[i] + MAX_POINTS, "right")))
+            some = i + np.flatnonzero(width[i:stop])
+            i = stop
+            if not len(some):
+                continue
+            w = width[some]
+            first = np.cumsum(w) - w
+            k, to = np.arange(w.sum()) + np.repeat(a[some] - first, w), np.repeat(j[some], w)
+            total = best[k] + lengths[to] * (number[to + 1] - number[k + 1])
+            least = np.minimum.reduceat(total, first)
+            places = np.flatnonzero(total == np.repeat(least, w))
+            at[some] = k[places[np.searchsorted(places, first)]]
+            won = some[least < new[j[some]]]
+            new[j[won]], arg[j[won]] = least[least < new[j[some]]], at[won]
+        lo, hi, a, b = np.concatenate([lo, j + 1]), np.concatenate([j - 1, hi]), np.concatenate([a, at]), np.concatenate([at, b])
+        left = lo <= hi
+        lo, hi, a, b = lo[left], hi[left], a[left], b[left]
+    return new, arg
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -39,25 +70,8 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = B
     best = lengths * number[1:]  # one bucket: padded size of the first j+1 lengths
     cuts = []
     for _ in range(1, buckets):
-        new, arg = best.copy(), np.full(u, -1)
-        todo = [(0, u - 1, 0, u - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            k = np.arange(a, min(b, j - 1) + 1)
-            if len(k):
-                total = best[k] + lengths[j] * (number[j + 1] - number[k + 1])
-                m = int(total.argmin())
-                if total[m] < new[j]:
-                    new[j], arg[j] = total[m], k[m]
-                at = int(k[m])
-            else:
-                at = a
-            todo += [(lo, j - 1, a, at), (j + 1, hi, at, b)]
+        best, arg = _layer(best, lengths, number)
         cuts.append(arg)
-        best = new
     out, j = [], u - 1
     for arg in reversed(cuts):
         out.append(j)
@@ -84,18 +98,14 @@ def token_counts(docs: DataFrame, vocab: bytes) -> DataFrame:
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch, place) for rows (doc_id, n_tokens); batches are numbered inside a bucket."""
     rows = lengths.select("doc_id", "n_tokens", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(1)).cast("long").alias("__n"))
-    top = rows.agg(F.max("__n").alias("m"), F.count("*").alias("n")).first()
-    step = max(1, -(-int(top["m"] or 0) // MAX_POINTS))
-    # At most MAX_POINTS rows, as lengths are rounded up to multiples of the step.
-    size = (F.ceil(F.col("__n") / step) * step).cast("long") if step > 1 else F.col("__n")
-    histogram = rows.groupBy(size.alias("l")).count().toPandas().sort_values("l")
+    histogram = rows.groupBy(F.col("__n").alias("l")).count().toPandas().sort_values("l")
     bounds = optimal_boundaries(histogram["l"].to_numpy(), histogram["count"].to_numpy(), buckets)
     bucket, bound = F.lit(0), F.lit(bounds[-1] if bounds else 1)
     for k in range(len(bounds) - 2, -1, -1):
         bound = F.when(F.col("__n") <= bounds[k], F.lit(bounds[k])).otherwise(bound)
     for k in range(len(bounds) - 1):
         bucket = bucket + (F.col("__n") > bounds[k]).cast("int")
-    cells = max(1, -(-int(top["n"]) // CELL_ROWS))
+    cells = max(1, -(-int(histogram["count"].sum()) // CELL_ROWS))
     placed = rows.select("doc_id", "n_tokens", bucket.alias("bucket"), bound.cast("long").alias("bucket_length"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(cells)).cast("int").alias("cell"))
     sizes = placed.groupBy("bucket", "cell").count()
     offsets = sizes.select("bucket", "cell", (F.sum("count").over(Window.partitionBy("bucket").orderBy("cell")) - F.col("count")).alias("before"))

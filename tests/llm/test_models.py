@@ -190,3 +190,29 @@ def test_lengths_are_rounded_beyond_the_point_limit(spark, monkeypatch):
 def test_packing_of_texts(spark):
     out = packing.query(odd(spark)).collect()
     assert len(out) == len(ODD) and {r["n_tokens"] for r in out if r["doc_id"] in (1, 2)} == {0}
+
+
+def least_padding(n, c, b):
+    """By trying every last cut."""
+    number = np.concatenate([[0], np.cumsum(c)])
+    best = n * number[1:]
+    for _ in range(1, b):
+        best = np.array([min([best[j], *(best[k] + n[j] * (number[j + 1] - number[k + 1]) for k in range(j))]) for j in range(len(n))])
+    return best[-1] - (n * c).sum()
+
+
+@pytest.mark.parametrize("points", [packing.MAX_POINTS, 7])
+def test_boundaries_are_lengths_and_pad_least_whatever_the_longest(spark, monkeypatch, points):
+    monkeypatch.setattr(packing, "MAX_POINTS", points)
+    rng = np.random.default_rng(6)
+    n = np.sort(np.concatenate([rng.choice(np.arange(1, 3000), 150, replace=False), [54_006, 2_000_001]]))
+    c = rng.integers(1, 50, len(n))
+    out = packing.pack(spark.createDataFrame([(k, int(v)) for k, v in enumerate(np.repeat(n, c))], "doc_id long, n_tokens long"), buckets=9).toPandas()
+    assert set(out.bucket_length) <= set(n.tolist()) and out.bucket_length.nunique() <= 9
+    assert (out.bucket_length - out.n_tokens).sum() == least_padding(n, c, 9)
+
+
+def test_many_lengths_stay_exact():
+    n = np.arange(1, 60_001)
+    got = packing.optimal_boundaries(n, np.ones(len(n), int), 16)
+    assert len(got) == 16 and np.diff([0, *got]).tolist() == [3750] * 16
