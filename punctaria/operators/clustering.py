@@ -267,13 +267,10 @@ def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, join_s
 def hulls(assignment: DataFrame, fewest: int = 3) -> DataFrame:
     """(label, ring, area, population, cx, cy) of clusters with (label, x, y): convex outlines, an approximation of buffered unions.
 
-    Extreme points by direction are kept before grouping, so a cluster's task holds a bounded number of them for its outline.
+    The outline has every corner of the convex hull, counter-clockwise.
     """
-    import math
+    from .spatial import convex_hulls, ring_area
 
-    angles = [2 * math.pi * k / 64 for k in range(64)]
     wanted = assignment.filter("label >= 0")
-    extremes = wanted.groupBy("label").agg(F.count("*").alias("population"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.array_distinct(F.array(*(F.max_by(F.struct("x", "y"), F.struct(F.col("x") * math.cos(a) + F.col("y") * math.sin(a), "x", "y")) for a in angles))).alias("ring"))
-    from .spatial import ring_area
-
-    return extremes.filter(F.col("population") >= fewest).select("label", "ring", ring_area(F.col("ring")).alias("area"), "population", "cx", "cy")
+    sizes = wanted.groupBy("label").agg(F.count("*").alias("population"), F.avg("x").alias("cx"), F.avg("y").alias("cy")).filter(F.col("population") >= fewest)
+    return sizes.join(convex_hulls(wanted, "label"), "label").select("label", "ring", ring_area(F.col("ring")).alias("area"), "population", "cx", "cy")

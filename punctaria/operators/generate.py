@@ -56,6 +56,17 @@ def _numbered(placed: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(before), "truth").select((F.col("before") + F.col("at")).alias("pid"), "x", "y", "truth")
 
 
+def _apart(p, q, d: float) -> bool:
+    """No point of p within d of a point of q; boxes that far apart settle it, and points meet a block at a time."""
+    import numpy as np
+
+    gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
+    if (gap**2).sum() > d * d:
+        return True
+    step = max(1, 2_000_000 // len(q))
+    return all(((p[k : k + step, None] - q[None]) ** 2).sum(2).min() > d * d for k in range(0, len(p), step))
+
+
 def geometry_free(templates: DataFrame, noise_ratio: float = 0.0, seed: int = 0) -> DataFrame:
     """Every template once, at random places in a box of side 3 D sqrt(n), no two nearer than D, with noise.
 
@@ -72,7 +83,7 @@ def geometry_free(templates: DataFrame, noise_ratio: float = 0.0, seed: int = 0)
         while True:
             at = rng.uniform(0, side, 2)
             mine = pts + at
-            if all(((mine[:, None] - other[None]) ** 2).sum(2).min() > d * d for other in placed):
+            if all(_apart(mine, other, d) for other in placed):
                 break
         placed.append(mine)
         centres.append((int(tid), k, float(at[0]), float(at[1])))

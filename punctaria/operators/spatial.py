@@ -155,6 +155,58 @@ def ring_area(ring: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def hull(points):
+    """Corners of the convex hull of an array of points (n, 2), counter-clockwise, without points on its edges."""
+    import numpy as np
+
+    p = np.unique(points, axis=0)
+    if len(p) > 64:
+        # Of equal x, which are rows in order of y, only the lowest and the highest can be corners.
+        new = np.flatnonzero(np.diff(p[:, 0], prepend=np.nan) != 0)
+        p = p[np.unique(np.concatenate([new, np.append(new[1:], len(p)) - 1]))]
+    rows = p.tolist()
+    if len(rows) < 3:
+        return p
+
+    def chain(rows):
+        out = []
+        for x, y in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append((x, y))
+        return out[:-1]
+
+    return np.array(chain(rows) + chain(rows[::-1]))
+
+
+def convex_hulls(points: DataFrame, by: str) -> DataFrame:
+    """(by, ring) of the points (by, x, y) of each cluster: the corners of its convex hull, none for a cluster of null coordinates only.
+
+    Hulls of batches are found first, so the task of a cluster holds the corners of those and not its points.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = points.schema[by].dataType.simpleString()
+
+    def corners(pdf):
+        p = pdf[["x", "y"]].to_numpy(float)
+        return hull(p[~np.isnan(p).any(1)])
+
+    def partial(batches):
+        for pdf in batches:
+            for key, group in pdf.groupby(by, dropna=False, sort=False):
+                c = corners(group)
+                c = c if len(c) else np.full((1, 2), np.nan)
+                yield pd.DataFrame({by: group[by].iloc[:1].repeat(len(c)).to_numpy(), "x": c[:, 0], "y": c[:, 1]})
+
+    def whole(pdf):
+        return pd.DataFrame({by: pdf[by].iloc[:1].to_numpy(), "ring": [[{"x": x, "y": y} for x, y in corners(pdf).tolist()]]})
+
+    some = points.select(by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(partial, f"{by} {kind}, x double, y double")
+    return some.groupBy(by).applyInPandas(whole, f"{by} {kind}, ring array<struct<x:double,y:double>>")
+
+
 def isometric_spots(bounds: tuple[float, float, float, float], spacing: float, spark) -> DataFrame:
     """Grid points strictly inside a box, every second column shifted by half a step."""
     xmin, xmax, ymin, ymax = bounds

@@ -48,19 +48,11 @@ def density(points: DataFrame) -> DataFrame:
 
 
 def diameters(clusters: DataFrame, by: str = "tid") -> DataFrame:
-    """Largest distance within each cluster.
-
-    Only extreme points of 64 directions meet in pairs, which is exact up to a factor of cos(pi/128): the farthest pair of a cluster lies within it.
-    Clusters of up to 64 points are compared whole.
-    """
-    import math
-
-    angles = [2 * math.pi * k / 64 for k in range(64)]
-    few = clusters.groupBy(by).agg(F.count("*").alias("n"), F.array_distinct(F.array(*(F.max_by(F.struct("x", "y"), F.struct(F.col("x") * math.cos(a) + F.col("y") * math.sin(a), "x", "y")) for a in angles))).alias("ends"))
-    small = clusters.join(few.filter("n <= 64").select(by), by, "left_semi").groupBy(by).agg(F.collect_list(F.struct("x", "y")).alias("ends"))
-    ends = few.filter("n > 64").select(by, "ends").unionByName(small)
-    far = F.array_max(F.transform("ends", lambda p: F.array_max(F.transform("ends", lambda q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))))
-    return ends.select(by, F.sqrt(far).alias("diameter"))
+    """Largest distance within each cluster: between two corners of its convex hull."""
+    from .spatial import convex_hulls
+
+    far = F.array_max(F.transform("ring", lambda p: F.array_max(F.transform("ring", lambda q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))))
+    return convex_hulls(clusters, by).select(by, F.sqrt(far).alias("diameter"))
 
 
 def noise_shares(assignment: DataFrame, large: int) -> DataFrame:

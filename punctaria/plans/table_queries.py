@@ -255,7 +255,7 @@ def simulated_cells(spark, sf_dir):
 
 
 def _templates(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 600").select((F.col("event_id") % 12).cast("int").alias("tid"), F.col("event_id").alias("pid"), (F.col("value") % 5).alias("x"), ((F.col("user_id") * 7) % 5).cast("double").alias("y"))
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 12).cast("int").alias("tid"), F.col("event_id").alias("pid"), (F.col("value") % 5).alias("x"), ((F.col("user_id") * 7) % 5).cast("double").alias("y"))
     return generate.prepared_templates(e, 1.0)
 
 
@@ -285,7 +285,8 @@ T = "t AS (SELECT CAST(event_id % 12 AS INTEGER) AS tid, value % 5 AS x, CAST((u
 
 @query(f"WITH {T} SELECT a.tid, round(sqrt(max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS diameter FROM t a JOIN t b USING (tid) GROUP BY a.tid")
 def template_diameters(spark, sf_dir):
-    return stats.diameters(_templates(spark, sf_dir)).select("tid", R("diameter", 6).alias("diameter"))
+    # The points that its SQL takes.
+    return stats.diameters(_templates(spark, sf_dir).filter("pid < 600")).select("tid", R("diameter", 6).alias("diameter"))
 
 
 @query(f"WITH {LABELLED}, s AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM labelled WHERE label >= 0 GROUP BY 1) SELECT label, n AS population, round(cx, 6) AS cx, round(cy, 6) AS cy FROM s WHERE n >= 3")

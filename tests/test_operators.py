@@ -200,3 +200,36 @@ def test_stream_of_events(spark, tmp_path):
 def test_size_statistics_of_one_row(spark):
     r = stats.size_statistics(spark.createDataFrame([(5, 4.0)], "threshold int, clusterSize double")).first()
     assert (r["n"], r["mean"], r["firstBin"], r["fano"]) == (1, 4.0, 1, 0.0)
+
+
+def test_hulls_and_diameters_are_exact_at_every_size(spark):
+    from punctaria.operators import clustering
+
+    rng = np.random.default_rng(4)
+    angle = rng.uniform(0, 2 * np.pi, 700)
+    sets = {0: np.stack([np.cos(angle), np.sin(angle)], 1) * 100, 1: rng.normal(0, 5, (3000, 2)), 2: rng.integers(0, 9, (500, 2)).astype(float), 3: rng.normal(0, 1, (40, 2)), 4: np.array([[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]]), 5: np.array([[3.0, 4.0]] * 3)}
+    rows = [(k, float(x), float(y)) for k, p in sets.items() for x, y in p]
+    frame = spark.createDataFrame(rows, "label int, x double, y double").repartition(5)
+    far = {r["label"]: r["diameter"] for r in stats.diameters(frame, "label").collect()}
+    outlines = {r["label"]: r for r in clustering.hulls(frame).collect()}
+    for k, p in sets.items():
+        assert far[k] == pytest.approx(np.sqrt(((p[:, None] - p[None]) ** 2).sum(2).max()), rel=1e-12)
+        assert outlines[k]["population"] == len(p)
+        if k < 4:
+            # A convex ring of points that has all points inside is the hull.
+            ring = np.array([(c["x"], c["y"]) for c in outlines[k]["ring"]])
+            (x, y), (u, v) = ring.T, np.roll(ring, -1, 0).T
+            assert {tuple(c) for c in ring} <= {tuple(c) for c in p}
+            assert ((u - x)[:, None] * (p[None, :, 1] - y[:, None]) - (v - y)[:, None] * (p[None, :, 0] - x[:, None]) >= -1e-9).all()
+            assert outlines[k]["area"] == pytest.approx((x * v - u * y).sum() / 2, rel=1e-12)
+    assert len(outlines[0]["ring"]) == 700 and outlines[4]["area"] == outlines[5]["area"] == 0
+    none = spark.createDataFrame([(1, None, None), (2, 0.0, 0.0), (2, None, 1.0), (2, 3.0, 4.0)], "tid int, x double, y double")
+    assert {r["tid"]: r["diameter"] for r in stats.diameters(none).collect()} == {1: None, 2: 5.0}
+
+
+def test_geometries_take_whole_tables(spark):
+    from punctaria.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert n > 600 and QUERIES["geometry_free"](spark, sf).filter("truth >= 0").count() == n
