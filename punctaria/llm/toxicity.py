@@ -2,7 +2,9 @@
 
 The lexicon is a trie of terms: a fixed list of insults, and words and word stems learned from labelled rows by greedy cover.
 The automaton of every term within its edit distance is intersected with the trie and made deterministic as it meets characters: a state is the set of
-(trie node, edits so far) that are alive, and its transitions are kept, so a word costs one lookup a character and most words die early.
+(trie node, edits so far) that are alive, and its transitions are kept, so a word costs one lookup a character and most words die early. Stems match by prefix, with
+edits too. Words of clean labelled texts that are near a term by chance only match as they are. A word with digits or symbols between letters is
+matched whole where no part of it matches.
 
 Each match is seen in a window of ``WINDOW`` words on either side: quotation marks around it or a reporting word before it count as quotation,
 an address of the second person as abuse. A logistic layer over the counts of a text gives its score.
@@ -34,27 +36,30 @@ QUOTES = "\"“”„«»‘’'"
 
 MAX_TRAIN, MAX_TRAIN_BYTES, WINDOW, THRESHOLD = 12_000, 100_000, 6, 0.3
 STEM_LENGTHS, MAX_TERMS, MIN_SUPPORT, MIN_SHARE, MAX_CLEAN_SHARE = tuple(range(4, 11)), 2000, 3, 0.01, 0.02
-CACHE_WORDS = 200_000
+CACHE_WORDS, STEM_EDIT_LETTERS = 200_000, 7
 #: Weights without labels: bias, exact, misspelled, stem, share of words, quoted, addressed.
 FIXED = np.array([-3.0, 3.0, 2.0, 3.0, 2.0, -2.0, 1.0])
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters with one or two digits or symbols between them.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:(?:(?!\s)[\W\d_]){1,2}[^\W\d_]++)+")
 
 
-def edits_allowed(term: str) -> int:
-    """Short terms only match as they are."""
-    return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
+def edits_allowed(term: str, stem: bool = False) -> int:
+    """Terms of three letters only match as they are. A stem needs more letters, as it matches with anything behind it."""
+    return 0 if len(term) < (STEM_EDIT_LETTERS if stem else 4) else 1 if len(term) < 10 else 2
 
 
 class Lexicon:
-    """Trie of (term, is_stem), with the deterministic automaton of all terms within their edits."""
+    """Trie of (term, is_stem), with the deterministic automaton of all terms within their edits; words of ``plain`` match without edits only."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool]], plain: frozenset[str] = frozenset()) -> None:
+        self.plain = plain
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, bool, int]]] = [[]]  # of a node: (term, is_stem, edits allowed)
         self.reach = [0]  # the most edits of any term below a node
         self.terms = sorted(terms)
         for k, (term, stem) in enumerate(self.terms):
-            allowed = 0 if stem else edits_allowed(term)
+            allowed = edits_allowed(term, stem)
             node = 0
             self.reach[0] = max(self.reach[0], allowed)
             for ch in term:
@@ -106,7 +111,8 @@ class Lexicon:
         return self._state(out)
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the nearest term, the first of equally near ones; None if there is none. A stem matches any word that starts with it."""
+        """(term, edits) of the nearest term, the first of equally near ones; None if there is none. A stem matches any word that starts with it, or
+        with something within its edits."""
         found = self.words.get(word, 0)
         if found != 0:
             return found
@@ -120,14 +126,18 @@ class Lexicon:
             state = nxt
             if state < 0:
                 break
-            if best is None:
-                stems = [(k, e) for node, e in self.sets[state] for k, stem, _ in self.ends[node] if stem and e == 0]
-                best = min(stems, default=None)
+            if best is None or best[1]:
+                stems = [(e, k) for node, e in self.sets[state] for k, stem, allowed in self.ends[node] if stem and e <= allowed]
+                if stems and (best is None or min(stems) < best[::-1]):
+                    e, k = min(stems)
+                    best = (k, e)
         if state >= 0:
             whole = [(e, k) for node, e in self.sets[state] for k, stem, allowed in self.ends[node] if not stem and e <= allowed]
-            if whole and (best is None or min(whole)[0] == 0):
+            if whole and (best is None or min(whole)[0] == 0 or min(whole)[0] <= best[1]):
                 e, k = min(whole)
                 best = (k, e)
+        if best is not None and best[1] and word in self.plain:
+            best = None
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
         self.words[word] = best
@@ -188,23 +198,25 @@ def mine(texts: list[str], labels: list[int]) -> list[tuple[str, bool]]:
 
 
 def counts(text: str, lexicon: Lexicon) -> np.ndarray:
-    """Bias, then log counts of exact, misspelled and stem matches, share of words, and counts of quoted and addressed matches."""
+    """Bias, then log counts of exact, misspelled and stem matches, share of words, and counts of quoted and addressed matches. A misspelled stem is misspelled."""
     out = np.zeros(7)
     out[0] = 1.0
     low = text.lower()
     ws = _WORD.findall(low)
     known = lexicon.words
     hit = {w for w in set(ws) if known.get(w, 0) is not None and lexicon.match(w) is not None}
-    if not hit:
+    masked = {m.start(): m.group() for m in _MASKED.finditer(low) if hit.isdisjoint(_WORD.findall(m.group())) and lexicon.match(m.group()) is not None}
+    if not hit and not masked:
         return out
     spans = [(m.start(), m.end()) for m in _WORD.finditer(low)]
     quoted = addressed = 0
     kinds = [0, 0, 0]
     for i, w in enumerate(ws):
-        if w not in hit:
+        w = masked.get(spans[i][0], w)
+        if w not in hit and spans[i][0] not in masked:
             continue
         k, e = lexicon.match(w)
-        kinds[2 if lexicon.terms[k][1] else 1 if e else 0] += 1
+        kinds[1 if e else 2 if lexicon.terms[k][1] else 0] += 1
         near = ws[max(0, i - WINDOW) : i + WINDOW + 1]
         before, after = low[spans[max(0, i - WINDOW)][0] : spans[i][0]], low[spans[i][1] : spans[min(len(ws) - 1, i + WINDOW)][1] + 1]
         inside = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
@@ -218,26 +230,41 @@ def counts(text: str, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[list[tuple[str, bool]], np.ndarray]:
-    """(terms, weights)."""
+def clean_words(texts: list[str], labels: list[int], lexicon: Lexicon) -> frozenset[str]:
+    """Words that are within the edits of a term but belong to clean texts, by the rule that also keeps clean words from being terms."""
+    seen: tuple[Counter, Counter] = Counter(), Counter()
+    for t, y in zip(texts, labels, strict=True):
+        low = t.lower()
+        seen[y].update(w for w in {*_WORD.findall(low), *_MASKED.findall(low)} if (m := lexicon.match(w)) is not None and m[1])
+    n_toxic = max(1, sum(labels))
+    n_clean = max(1, len(labels) - n_toxic)
+    return frozenset(w for w, n in seen[0].items() if n / n_clean > MAX_CLEAN_SHARE * seen[1][w] / n_toxic)
+
+
+def fit(texts: list[str], labels: list[int]) -> tuple[list[tuple[str, bool]], frozenset[str], np.ndarray]:
+    """(terms, words that only match as they are, weights)."""
     terms = sorted({(t, False) for t in SEED_TERMS} | set(mine(texts, labels)))
     y = np.array(labels, float)
+    near = Lexicon(terms)
+    plain = clean_words(texts, labels, near)
     if len(set(labels)) < 2:
-        return terms, FIXED
-    lexicon = Lexicon(terms)
-    x = np.stack([counts(t, lexicon) for t in texts])
+        return terms, plain, FIXED
+    # Weights see a text as they will see new ones: with the clean words of the other half only.
+    halves = [Lexicon(terms, clean_words(texts[1 - h :: 2], labels[1 - h :: 2], near)) for h in (0, 1)]
+    x = np.stack([counts(t, halves[i % 2]) for i, t in enumerate(texts)])
     w = FIXED.copy()
     for _ in range(50):  # Newton steps with a ridge around the fixed weights
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 0.05 * (w - FIXED)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1]), grad)
         w -= np.clip(step, -1, 1)
+        w[1:4] = np.maximum(w[1:4], 0)  # a match never speaks for a text
         if np.abs(step).max() < 1e-6:
             break
-    return terms, w
+    return terms, plain, w
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MAX_TRAIN) -> tuple[list[tuple[str, bool]], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MAX_TRAIN) -> tuple[list[tuple[str, bool]], frozenset[str], np.ndarray]:
     """Fit on the bounded sample of labelled rows for which ``learn`` holds."""
     small_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).filter(learn)
@@ -247,15 +274,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MA
     return fit(sample["text"].tolist(), sample["y"].tolist())
 
 
-def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], frozenset[str], np.ndarray]) -> DataFrame:
     """(doc_id, score, n_matches) of each row."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        terms, weights = held.value
-        lexicon = Lexicon(terms)
+        terms, plain, weights = held.value
+        lexicon = Lexicon(terms, plain)
         for batch in batches:
             x = np.stack([counts(t.as_py() or "", lexicon) for t in batch.column(1)]) if len(batch) else np.empty((0, 7))
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))

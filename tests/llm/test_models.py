@@ -216,3 +216,22 @@ def test_many_lengths_stay_exact():
     n = np.arange(1, 60_001)
     got = packing.optimal_boundaries(n, np.ones(len(n), int), 16)
     assert len(got) == 16 and np.diff([0, *got]).tolist() == [3750] * 16
+
+
+def test_misspelled_short_terms_stems_and_masked_letters():
+    lexicon = toxicity.Lexicon([*((t, False) for t in toxicity.SEED_TERMS), ("zorkels", True)], frozenset({"crown"}))
+    for w, term in [("loserr", "loser"), ("clwn", "clown"), ("scumm", "scum"), ("mron", "moron"), ("zorkelsings", "zorkels"), ("zorklsings", "zorkels"), ("zoorkelsings", "zorkels")]:
+        assert lexicon.terms[lexicon.match(w)[0]][0] == term
+    assert lexicon.match("crown") is None and lexicon.match("clown") == (lexicon.terms.index(("clown", False)), 0) and lexicon.match("zork") is None
+    for text in ("what a mor0n", "you st*pid", "tr4sh", "an idi0t here", "cl**n"):
+        found = toxicity.counts(text, lexicon)
+        assert (np.rint(np.expm1(found[1:4])).astype(int).tolist() == [0, 1, 0]) == (text != "cl**n")  # two edits of five letters
+    assert np.expm1(toxicity.counts("me@idiot.com and scum-2", lexicon)[1]) == pytest.approx(2)
+    assert toxicity.counts("don't mind the e-mail of 3rd parties", lexicon)[1:].sum() == 0
+
+
+def test_clean_words_near_terms_are_learned():
+    texts = [f"the crown of number {k} is gold" for k in range(30)] + [f"you clown {k} are trash" for k in range(30)]
+    terms, plain, _ = toxicity.fit(texts, [0] * 30 + [1] * 30)
+    assert "crown" in plain and toxicity.Lexicon(terms, plain).match("crown") is None
+    assert toxicity.Lexicon(terms, plain).match("clwn") is not None
