@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .clustering import NOISE, k_core
+from .clustering import NOISE
 from .components import connected_components
 from .spatial import eps_pairs, knn
 
@@ -45,16 +44,10 @@ def phase_assignment(points: DataFrame, cells: list[tuple[int, float, int]], noi
     folder = _folder(spark)
     eps_pairs(points, max(s for _, s, _ in cells)).write.parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
+    near = pairs.join(_cells(spark, cells), F.col("d2") <= F.col("sigma") * F.col("sigma")).select("idx", "p", "q", "d2", "threshold")
     if noise_free:
-        parts = []
-        for idx, sigma, threshold in cells:
-            near = pairs.filter(F.col("d2") <= sigma * sigma)
-            core = k_core(near, threshold).withColumn("idx", F.lit(idx))
-            parts.append(core)
-        core = reduce(DataFrame.unionByName, parts)
-        near = pairs.join(_cells(spark, cells), F.col("d2") <= F.col("sigma") * F.col("sigma")).select("idx", "p", "q", "d2", "threshold")
+        core = _k_cores(near)
     else:
-        near = pairs.join(_cells(spark, cells), F.col("d2") <= F.col("sigma") * F.col("sigma")).select("idx", "p", "q", "d2", "threshold")
         core = near.groupBy("idx", F.col("p").alias("pid"), "threshold").agg(F.count("*").alias("n")).filter("n >= threshold").select("idx", "pid")
     core.write.parquet(f"{folder}/core")
     core = spark.read.parquet(f"{folder}/core")
@@ -73,6 +66,28 @@ def phase_assignment(points: DataFrame, cells: list[tuple[int, float, int]], noi
     return out.join(border, ["idx", "pid"], "left").select("idx", "pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"))
 
 
+def _k_cores(near: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(idx, pid) of the k-cores of all cells, peeled in the same rounds."""
+    spark = near.sparkSession
+    from .components import _folder
+
+    folder, before = _folder(spark), None
+    now = near.select("idx", "p", "q", "threshold")
+    for k in range(max_rounds):
+        now.write.parquet(f"{folder}/{k}")
+        now = spark.read.schema(now.schema).parquet(f"{folder}/{k}")
+        if k > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        n = now.count()
+        if n == before:
+            return now.select("idx", F.col("p").alias("pid")).distinct()
+        before = n
+        core = now.groupBy("idx", "p", "threshold").agg(F.count("*").alias("n")).filter("n >= threshold").select("idx", "p")
+        now = now.join(core, ["idx", "p"], "left_semi").join(core.withColumnRenamed("p", "q"), ["idx", "q"], "left_semi").select("idx", "p", "q", "threshold")
+    raise RuntimeError(f"peeling did not settle in {max_rounds} rounds")
+
+
 def _cells(spark: SparkSession, cells: list[tuple[int, float, int]]) -> DataFrame:
     """The grid, as many rows as the caller listed."""
     return F.broadcast(spark.createDataFrame([(int(i), float(s), int(t)) for i, s, t in cells], "idx int, sigma double, threshold int"))

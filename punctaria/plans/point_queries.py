@@ -412,8 +412,7 @@ def phase_similarity(spark, sf_dir):
 
 @query()
 def finder_selection(spark, sf_dir):
-    f = phase.Finder(points_per_dimension=3, thresholds=(10, 20), neighbour=10)
-    return f.fit(points(spark, sf_dir).filter("event_type = 'view'")).selected.select("idx", R("sigma", 6).alias("sigma"), "threshold", "similarityScore")
+    return phase.Finder().fit(points(spark, sf_dir)).selected.select("idx", R("sigma", 6).alias("sigma"), "threshold", "similarityScore")
 
 
 @query(f"WITH {LABELLED} SELECT pid, label, 'incell' AS type FROM labelled WHERE y < 240 UNION ALL SELECT pid, label, 'outcell' FROM labelled WHERE y >= 240")

@@ -128,3 +128,42 @@ def test_optimal_t_against_plain(spark):
     assert (got["T"], pytest.approx(got["score"])) == best
     none = phase.optimal_t(spark.createDataFrame(rows[:3], "type string, clusterSize double"), "clusterSize").first()
     assert (none["T"], none["score"]) == (0, 0)
+
+
+def test_finder_selection_against_brute_force(spark, tmp_path):
+    from punctaria.plans import QUERIES
+    from punctaria.plans.views import points
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_id < 260")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = sorted((r["pid"], float(r["x"]), float(r["y"])) for r in points(spark, str(tmp_path)).collect())
+    xy = np.array([r[1:] for r in rows])
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    kth = np.sort(d2 + np.where(np.eye(len(xy)) > 0, np.inf, 0), 1)[:, 9] ** 0.5
+    lo, hi = np.quantile(kth, [0.1, 0.9])
+    sigmas, thresholds = np.exp(np.linspace(np.log(lo), np.log(hi), 15)), sorted({round(5 + 15 * k / 14) for k in range(15)})
+    found = {}
+    for i, s in enumerate(sigmas):
+        for j, t in enumerate(thresholds):
+            near, on = d2 <= s * s, np.ones(len(xy), bool)
+            while (drop := on & ((near & on).sum(1) < t)).any():
+                on &= ~drop
+            clusters, left = [], set(np.flatnonzero(on))
+            while left:
+                todo, own = [left.pop()], set()
+                while todo:
+                    own.add(p := todo.pop())
+                    new = left & set(np.flatnonzero(near[p]))
+                    left -= new
+                    todo += new
+                clusters.append(own)
+            found[i * len(thresholds) + j] = s, t, clusters
+    like = lambda a, b: 2 * len(a & b) > len(a) and 2 * len(a & b) > len(b)
+    score = {k: sum(any(like(a, b) for b in found[m][2]) for a in found[k][2] for m in found if m != k) for k in found}
+    best = [max((k for k in found if found[k][1] == t), key=lambda k: (score[k], -k)) for t in thresholds]
+    ys = [score[k] for k in best]
+    below = [k for k, y in zip(best, ys, strict=True) if max(ys) > min(ys) and (y - min(ys)) / (max(ys) - min(ys)) < 0.5]
+    k = below[0] if below else best[-1]
+    got = QUERIES["finder_selection"](spark, str(tmp_path)).collect()
+    assert len(got) == 1 and (got[0]["idx"], got[0]["threshold"], got[0]["similarityScore"]) == (k, found[k][1], score[k])
+    assert got[0]["sigma"] == pytest.approx(found[k][0], abs=1e-6)
