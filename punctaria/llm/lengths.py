@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 
@@ -11,8 +12,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 # Fixed value: how the vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: tiktoken's run time grows faster than the length of a run of one kind of character; longer texts go in pieces cut at white space.
+#: Texts above this go to the encoder in pieces, as it recurses over long runs of white space.
 PIECE = 100_000
+# Fixed value: the pattern's white space.
+_WHITE = r"\t-\r \x85\xa0  -     　"
+_RUN = re.compile(f"[{_WHITE}]+")
 
 _loaded: dict = {}
 
@@ -23,6 +27,27 @@ def vocabulary(spark, path: str = VOCABULARY) -> bytes:
         return f.read()
 
 
+def pieces(text: str):
+    """(piece, is_run) whose ids one after the other are those of the whole text.
+
+    The pattern starts a token wherever white space starts, so a text may be cut before any run of it. A run of more than ``PIECE`` characters is a piece of its own, without its
+    last character where something follows: the pattern leaves that one to the token behind.
+    """
+    at, end = 0, len(text)
+    for run in _RUN.finditer(text):
+        lo, hi = run.span()
+        long = hi - lo > PIECE
+        if lo > at and (long or lo - at >= PIECE):
+            yield text[at:lo], False
+            at = lo
+        if long:
+            stop = hi if hi == end else hi - 1
+            yield text[lo:stop], True
+            at = stop
+    if at < end:
+        yield text[at:], False
+
+
 def encoder(content: bytes):
     """A function from a text to its token ids, an array of 16-bit numbers."""
     key = hash(content)
@@ -33,20 +58,14 @@ def encoder(content: bytes):
         if max(ranks.values()) > 0xFFFF:
             raise ValueError("the vocabulary has more than 65536 ids")
         _loaded[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    encode_ordinary = _loaded[key].encode_ordinary
+    encode_ordinary, encode_run = _loaded[key].encode_ordinary, _loaded[key]._encode_single_piece
 
     def encode(text: str) -> np.ndarray:
         if len(text) <= PIECE:
             return np.array(encode_ordinary(text), np.uint16)
         out: list[int] = []
-        at = 0
-        while at < len(text):
-            end = min(len(text), at + PIECE)
-            if end < len(text):
-                space = text.rfind(" ", at + 1, end)
-                end = space if space > at else end
-            out += encode_ordinary(text[at:end])
-            at = end
+        for piece, run in pieces(text):
+            out += encode_run(piece.encode()) if run else encode_ordinary(piece)
         return np.array(out, np.uint16)
 
     return encode

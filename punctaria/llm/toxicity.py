@@ -3,16 +3,17 @@
 The lexicon is a trie of terms: a fixed list of insults, and words and word stems learned from labelled rows by greedy cover.
 The automaton of every term within its edit distance is intersected with the trie and made deterministic as it meets characters: a state is the set of
 (trie node, edits so far) that are alive, and its transitions are kept, so a word costs one lookup a character and most words die early. Stems match by prefix, with
-edits too. Words of clean labelled texts that are near a term by chance only match as they are. A word with digits or symbols between letters is
+edits too. Words of clean labelled texts that are near a term by chance only match as they are, and a term that many such words are near takes no edits. A word with digits or symbols between letters is
 matched whole where no part of it matches.
 
 Each match is seen in a window of ``WINDOW`` words on either side: quotation marks around it or a reporting word before it count as quotation,
-an address of the second person as abuse. A logistic layer over the counts of a text gives its score.
+an address of the second person as abuse. A logistic layer over the counts of a text gives its score; quoted matches count for less there.
 
 Learning uses at most ``MAX_TRAIN`` labelled documents, those with the smallest id hashes; scoring covers every whole text.
 
 Defined results: a null, empty or wordless text has no match and the score of none; without labelled rows the fixed list and fixed weights hold;
-rows with null labels are not learned from; repeated rows score alike; labels of repeated ids count once, the largest.
+rows with null labels are not learned from; repeated rows score alike; labels of repeated ids count once, the largest,
+with the smallest of their texts.
 """
 
 from __future__ import annotations
@@ -32,13 +33,18 @@ from .hashing import WordHashes, shingle_hashes
 SEED_TERMS = ["idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "trash", "clown"]
 REPORTING = ["said", "says", "wrote", "called", "quoted", "word", "term", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"]
 ADDRESS = ["you", "your", "youre", "du", "dich", "dein", "ihr", "tu", "toi", "vous", "votre", "tú", "usted", "ustedes"]
-QUOTES = "\"“”„«»‘’'"
+# Opening and closing quotation marks. An apostrophe is none.
+QUOTES = [("“", "”"), ("„", "“"), ("„", "”"), ("«", "»"), ("»", "«")]
 
 MAX_TRAIN, MAX_TRAIN_BYTES, WINDOW, THRESHOLD = 12_000, 100_000, 6, 0.3
 STEM_LENGTHS, MAX_TERMS, MIN_SUPPORT, MIN_SHARE, MAX_CLEAN_SHARE = tuple(range(4, 11)), 2000, 3, 0.01, 0.02
-CACHE_WORDS, STEM_EDIT_LETTERS = 200_000, 7
-#: Weights without labels: bias, exact, misspelled, stem, share of words, quoted, addressed.
-FIXED = np.array([-3.0, 3.0, 2.0, 3.0, 2.0, -2.0, 1.0])
+#: The share of clean texts in which new words may be near a term by chance, for it to take edits.
+MAX_CHANCE = 0.001
+CACHE_WORDS, CACHE_STATES, STEM_EDIT_LETTERS = 200_000, 50_000, 7
+#: What a misspelled match counts for against a match as it is, and a quoted one against one that is not.
+MISSPELLED, QUOTED = 0.8, 0.2
+#: Weights without labels: bias, matches, what is more or less than that in misspelled ones, stems, share of words, quoted, addressed.
+FIXED = np.array([-3.0, 3.0, 0.0, 3.0, 2.0, -1.0, 1.0])
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters with one or two digits or symbols between them.
 _MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:(?:(?!\s)[\W\d_]){1,2}[^\W\d_]++)+")
@@ -50,7 +56,7 @@ def edits_allowed(term: str, stem: bool = False) -> int:
 
 
 class Lexicon:
-    """Trie of (term, is_stem), with the deterministic automaton of all terms within their edits; words of ``plain`` match without edits only."""
+    """Trie of (term, is_stem), with the deterministic automaton of all terms within their edits; words of ``plain`` match without edits only, and terms among them take none."""
 
     def __init__(self, terms: list[tuple[str, bool]], plain: frozenset[str] = frozenset()) -> None:
         self.plain = plain
@@ -59,7 +65,7 @@ class Lexicon:
         self.reach = [0]  # the most edits of any term below a node
         self.terms = sorted(terms)
         for k, (term, stem) in enumerate(self.terms):
-            allowed = edits_allowed(term, stem)
+            allowed = 0 if term in plain else edits_allowed(term, stem)
             node = 0
             self.reach[0] = max(self.reach[0], allowed)
             for ch in term:
@@ -72,11 +78,15 @@ class Lexicon:
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node].append((k, stem, allowed))
         self.letters = {ch for row in self.children for ch in row}
+        self.words: dict[str, tuple[int, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start without any state; they are made anew as words need them."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.start = self._state({(0, 0)})
-        self.words: dict[str, tuple[int, int] | None] = {}
 
     def _state(self, alive: set[tuple[int, int]]) -> int:
         """Number of the state, -1 for a dead one. Letters of a term may be left out: those steps are taken at once."""
@@ -116,6 +126,8 @@ class Lexicon:
         found = self.words.get(word, 0)
         if found != 0:
             return found
+        if len(self.sets) > CACHE_STATES:
+            self._forget()
         state, best = self.start, None
         other = "\0"  # one key for all letters that no term has
         for ch in word:
@@ -197,6 +209,24 @@ def mine(texts: list[str], labels: list[int]) -> list[tuple[str, bool]]:
     return out
 
 
+def in_quotes(before: str, after: str) -> bool:
+    """Is a place between two texts in quotation marks that open in the first and close in the second?"""
+    if before.count('"') % 2 and '"' in after:
+        return True
+    return any(before.rfind(a) > before.rfind(b) and b in after for a, b in QUOTES)
+
+
+def design(x: np.ndarray) -> np.ndarray:
+    """What the logistic layer sees of rows of ``counts``.
+
+    Matches in quotation count for ``QUOTED`` of one. Misspelled matches join the exact ones, each for ``MISSPELLED`` of one, so that they weigh what exact ones were learned to weigh
+    even if the labelled rows have none; a column of their own lets labels say otherwise.
+    """
+    exact, edits, stems = np.expm1(x[:, 1:4]).T
+    own = 1 - (1 - QUOTED) * x[:, 5]
+    return np.stack([x[:, 0], np.log1p(own * (exact + MISSPELLED * edits)), np.log1p(own * edits), np.log1p(own * stems), own * x[:, 4], x[:, 5], x[:, 6]], 1)
+
+
 def counts(text: str, lexicon: Lexicon) -> np.ndarray:
     """Bias, then log counts of exact, misspelled and stem matches, share of words, and counts of quoted and addressed matches. A misspelled stem is misspelled."""
     out = np.zeros(7)
@@ -219,8 +249,7 @@ def counts(text: str, lexicon: Lexicon) -> np.ndarray:
         kinds[1 if e else 2 if lexicon.terms[k][1] else 0] += 1
         near = ws[max(0, i - WINDOW) : i + WINDOW + 1]
         before, after = low[spans[max(0, i - WINDOW)][0] : spans[i][0]], low[spans[i][1] : spans[min(len(ws) - 1, i + WINDOW)][1] + 1]
-        inside = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-        if inside or any(x in REPORTING for x in near[: min(i, WINDOW)]):
+        if in_quotes(before, after) or any(x in REPORTING for x in near[: min(i, WINDOW)]):
             quoted += 1
         if any(x in ADDRESS for x in near):
             addressed += 1
@@ -231,14 +260,17 @@ def counts(text: str, lexicon: Lexicon) -> np.ndarray:
 
 
 def clean_words(texts: list[str], labels: list[int], lexicon: Lexicon) -> frozenset[str]:
-    """Words that are within the edits of a term but belong to clean texts, by the rule that also keeps clean words from being terms."""
+    """Words that are within the edits of a term but belong to clean texts, by the rule that also keeps clean words from being terms; and the terms
+    that clean words come near so often by chance that new ones will too: words seen in one clean text only tell how often (Good and Turing)."""
     seen: tuple[Counter, Counter] = Counter(), Counter()
     for t, y in zip(texts, labels, strict=True):
         low = t.lower()
         seen[y].update(w for w in {*_WORD.findall(low), *_MASKED.findall(low)} if (m := lexicon.match(w)) is not None and m[1])
     n_toxic = max(1, sum(labels))
     n_clean = max(1, len(labels) - n_toxic)
-    return frozenset(w for w, n in seen[0].items() if n / n_clean > MAX_CLEAN_SHARE * seen[1][w] / n_toxic)
+    plain = {w for w, n in seen[0].items() if n / n_clean > MAX_CLEAN_SHARE * seen[1][w] / n_toxic}
+    once = Counter(lexicon.terms[lexicon.match(w)[0]][0] for w in plain if seen[0][w] == 1)
+    return frozenset(plain | {t for t, n in once.items() if n / n_clean > MAX_CHANCE})
 
 
 def fit(texts: list[str], labels: list[int]) -> tuple[list[tuple[str, bool]], frozenset[str], np.ndarray]:
@@ -251,14 +283,16 @@ def fit(texts: list[str], labels: list[int]) -> tuple[list[tuple[str, bool]], fr
         return terms, plain, FIXED
     # Weights see a text as they will see new ones: with the clean words of the other half only.
     halves = [Lexicon(terms, clean_words(texts[1 - h :: 2], labels[1 - h :: 2], near)) for h in (0, 1)]
-    x = np.stack([counts(t, halves[i % 2]) for i, t in enumerate(texts)])
+    x = design(np.stack([counts(t, halves[i % 2]) for i, t in enumerate(texts)]))
     w = FIXED.copy()
+    ridge = np.where(np.arange(len(FIXED)) == 2, 1.0, 0.05)  # what sets misspelled matches apart takes more evidence
     for _ in range(50):  # Newton steps with a ridge around the fixed weights
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 0.05 * (w - FIXED)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1]), grad)
+        grad = x.T @ (p - y) + ridge * (w - FIXED)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
         w -= np.clip(step, -1, 1)
-        w[1:4] = np.maximum(w[1:4], 0)  # a match never speaks for a text
+        w[[1, 3]] = np.maximum(w[[1, 3]], 0)  # a match never speaks for a text
+        w[2] = max(w[2], -MISSPELLED * w[1])
         if np.abs(step).max() < 1e-6:
             break
     return terms, plain, w
@@ -270,7 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MA
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).filter(learn)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train ids and texts of MAX_TRAIN_BYTES each: longer documents are scored, not learned from.
-    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    few = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
+    sample = few.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas().sort_values("doc_id")
     return fit(sample["text"].tolist(), sample["y"].tolist())
 
 
@@ -285,7 +320,7 @@ def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], frozenset[str],
         lexicon = Lexicon(terms, plain)
         for batch in batches:
             x = np.stack([counts(t.as_py() or "", lexicon) for t in batch.column(1)]) if len(batch) else np.empty((0, 7))
-            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(design(x) @ weights, -30, 30)))
             n = np.rint(np.expm1(x[:, 1:4]).sum(1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(n)], ["doc_id", "score", "n_matches"])
 

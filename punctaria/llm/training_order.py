@@ -1,14 +1,14 @@
 """Training-order materialisation of token ids as fixed-stride binary shards.
 
-Texts become token ids, end marks between them, cut into sequences of ``seq_len`` ids; the last of a partition is padded with end marks. A first pass
-sums the bytes of each input partition, which bound its sequences, so that a sequence's number, partition * bound + place, is known where it is made. A keyed
-Feistel network over the smallest even number of bits that holds all such numbers, walked until it falls among them, gives each sequence a place in the order. Ranges of
-places are shards; a task sorts its range and writes it: ids as little-endian 16-bit numbers, ``seq_len`` to a sequence. A
-sequence's global slot is its rank in its shard after the sequences of the shards before, whose numbers ``meta.json`` lists; slots run from 0 to
-N-1 without a gap, any one is one seek away, and reading may start anywhere.
+Texts become token ids, end marks between them, cut into sequences of ``seq_len`` ids; the last of an input partition is padded with end marks. A first pass tokenises
+and counts the sequences of each partition, so their number N is exact and each has its own, 0 to N-1, by partition and place. A keyed Feistel
+network over the smallest even number of bits that holds N numbers, walked until it falls among them, permutes these: its value is a sequence's global slot, which anyone
+can compute from its number, and its inverse gives the number back. Shard k holds slots k * ``shard_slots`` onwards, all shards but the last are full; a task sorts its range
+of slots and writes it: ids as little-endian 16-bit numbers, ``seq_len`` to a sequence. Any slot is one seek away, and reading may start anywhere.
 
-Texts are tokenised once and shuffled once. A shard is written under a task's own name and then renamed, so that a task that runs again, or
-twice, leaves the same file; a partition with more sequences than its bound allows (one that changed between the passes) fails.
+Texts are tokenised twice, which costs less than keeping their ids between the passes, and shuffled once. Both passes must see the same partitions, as scans of files give; a table that has
+been shuffled is written first. A partition whose number of sequences differs between the passes fails. A shard is written under a task's own name and then renamed, so that a
+task that runs again, or twice, leaves the same file: its content depends on nothing but the input.
 
 Defined results: null and empty texts give no ids; an empty table gives no shard; repeated rows are repeated text; extra columns are left out.
 """
@@ -84,102 +84,118 @@ class _Cutter:
             yield self.take()
 
 
-def sequences(docs: DataFrame, vocab: bytes, capacity: int, seq_len: int = SEQ_LEN) -> DataFrame:
-    """Numbered sequences (seq, doc_ids, n_tokens, ids)."""
+def _stream(batches, vocab: bytes, seq_len: int):
+    """Sequences (doc_ids, n_tokens, ids) of a partition, in order."""
+    encode, cutter, end = encoder(vocab), _Cutter(seq_len), np.array([END], np.uint16)
+    for batch in batches:
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = t.as_py()
+            if text:
+                yield from cutter.add(d, np.concatenate([encode(text), end]))
+    yield from cutter.rest()
+
+
+def sequence_counts(docs: DataFrame, vocab: bytes, seq_len: int = SEQ_LEN) -> dict[int, int]:
+    """Number of sequences of each input partition that has any: one row a partition."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        encode, tokens = encoder(vocab), 0
+        for batch in batches:
+            tokens += sum(len(encode(t)) + 1 for t in batch.column(0).to_pylist() if t)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // seq_len)], pa.int64())], ["part", "n"])
+
+    return {r["part"]: r["n"] for r in docs.select("text").mapInArrow(tidy(run), "part int, n long").collect()}
+
+
+def sequences(docs: DataFrame, vocab: bytes, counts: dict[int, int], seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
+    """Placed sequences (slot, shard, seq, doc_ids, n_tokens, ids)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    total = sum(counts.values())
+    first = dict(zip(sorted(counts), itertools.accumulate((counts[p] for p in sorted(counts)), initial=0), strict=False))
+    held_out = docs.sparkSession.sparkContext.broadcast((counts, first))
 
     def cut(batches):
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() * capacity
-        encode, cutter, end = encoder(vocab), _Cutter(seq_len), np.array([END], np.uint16)
-        done, held, doc_type = 0, [], pa.int64()
-
-        def out():
-            nonlocal held, done
-            if done + len(held) > capacity:
-                raise RuntimeError(f"partition has more sequences than the {capacity} that its bytes allow")
-            seq = pa.array(np.arange(first + done, first + done + len(held)), pa.int64())
+        part = TaskContext.get().partitionId()
+        known, offset = held_out.value[0].get(part, 0), held_out.value[1].get(part, 0)
+        done, doc_type = 0, pa.int64()
+
+        def typed(batches):
+            nonlocal doc_type
+            for batch in batches:
+                doc_type = batch.schema.field(0).type
+                yield batch
+
+        stream = _stream(typed(batches), vocab, seq_len)
+        while held := list(itertools.islice(stream, 500)):
+            if done + len(held) > known:
+                break
+            seq = np.arange(offset + done, offset + done + len(held))
             done += len(held)
-            cols = [seq, pa.array([h[0] for h in held], pa.list_(doc_type)), pa.array([h[1] for h in held], pa.int32()), pa.array([h[2].tobytes() for h in held], pa.binary())]
-            held = []
-            return pa.RecordBatch.from_arrays(cols, ["seq", "doc_ids", "n_tokens", "ids"])
+            slot = feistel(seq, total, key).astype(np.int64)
+            lists = [pa.array([h[0] for h in held], pa.list_(doc_type)), pa.array([h[1] for h in held], pa.int32()), pa.array([h[2].tobytes() for h in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard_slots).astype(np.int32)), pa.array(seq, pa.int64()), *lists], ["slot", "shard", "seq", "doc_ids", "n_tokens", "ids"])
+        if done != known or held:
+            raise RuntimeError(f"partition {part} has other sequences than the {known} counted before")
 
-        for batch in batches:
-            doc_type = batch.schema.field(0).type
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = t.as_py()
-                if text:
-                    held.extend(cutter.add(d, np.concatenate([encode(text), end])))
-                    if len(held) >= 500:
-                        yield out()
-        held.extend(cutter.rest())
-        if held:
-            yield out()
-
-    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"seq long, doc_ids array<{kind}>, n_tokens int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"slot long, shard int, seq long, doc_ids array<{kind}>, n_tokens int, ids binary")
 
 
 def materialise_order(docs: DataFrame, path: str, vocab: bytes, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
-    """Write the shards, of about ``shard_slots`` sequences, and ``meta.json`` under ``path``: (slot, shard, byte_offset, seq, n_tokens, doc_ids) of every sequence."""
+    """Write the shards of ``shard_slots`` sequences and ``meta.json`` under ``path``: (slot, shard, byte_offset, seq, n_tokens, doc_ids) of every sequence."""
     spark = docs.sparkSession
     small_batches(spark)
-    # One row for each input partition. A token is a byte or more.
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    parts = docs.select(F.spark_partition_id().alias("part"), size.alias("b")).groupBy("part").agg(F.sum("b").alias("b")).collect()
-    total = sum(r["b"] for r in parts)
-    capacity = max((-(-r["b"] // seq_len) for r in parts), default=1)
-    domain = capacity * (max((r["part"] for r in parts), default=0) + 1)
-    shards = max(1, -(-total // (2 * seq_len * shard_slots)))  # two bytes a token or more, as a rule
-    stride = 2 * seq_len
-
-    def place(batches):
-        for batch in batches:
-            at = feistel(batch.column(0).to_numpy(), domain, key)
-            shard = (at * np.uint64(shards) // np.uint64(domain)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(shard), *batch.columns], ["at", "shard", *batch.schema.names])
-
-    rows = sequences(docs, vocab, capacity, seq_len)
-    placed = rows.mapInArrow(tidy(place), f"at long, shard int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}")
+    docs = docs.select("doc_id", "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = materialise(docs, "training-documents")
+    counts = sequence_counts(docs, vocab, seq_len)
+    total, stride = sum(counts.values()), 2 * seq_len
+    shards = -(-total // shard_slots)
+    rows = sequences(docs, vocab, counts, seq_len, shard_slots, key)
     # A task for each shard; hashed, several shards would meet in one.
-    dealt = placed.repartitionById(shards, "shard").sortWithinPartitions("shard", "at")
+    dealt = rows.repartitionById(max(1, shards), "shard").sortWithinPartitions("slot")
 
     def write(batches):
         from pyarrow import fs as pafs
 
         store, root = pafs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        now, stream, temporary, done = None, None, "", 0
+        now, stream, temporary, held = None, None, "", 0
 
         def close():
-            if stream is not None:
-                stream.close()
-                store.move(temporary, f"{root}/shard-{now:06d}.bin")
+            if stream is None:
+                return
+            stream.close()
+            final = f"{root}/shard-{now:06d}.bin"
+            try:
+                store.move(temporary, final)
+            except OSError:  # some stores do not overwrite: another attempt at this task was here, with the same content
+                if store.get_file_info(final).size != held * stride:
+                    raise
+                store.delete_file(temporary)
 
         for batch in batches:
-            of, rank = batch.column(1).to_numpy(), []
+            shard = batch.column(1).to_numpy()
             for i, ids in enumerate(batch.column(5)):
-                if of[i] != now:
+                if shard[i] != now:
                     close()
-                    now, done = int(of[i]), 0
+                    now, held = int(shard[i]), 0
                     temporary = f"{root}/_shard-{now:06d}-{uuid.uuid4().hex}"
                     stream = store.open_output_stream(temporary)
                 stream.write(ids.as_py())
-                rank.append(done)
-                done += 1
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rank, pa.int64()), batch.column(2), batch.column(4), batch.column(3)], ["shard", "rank", "seq", "n_tokens", "doc_ids"])
+                held += 1
+            yield batch.select(["slot", "shard", "seq", "n_tokens", "doc_ids"])
         close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    written = materialise(dealt.mapInArrow(tidy(write), f"shard int, rank long, seq long, n_tokens int, doc_ids array<{kind}>"), "shard-rows")
-    # One row for each shard.
-    counts = {r["shard"]: r["count"] for r in written.groupBy("shard").count().collect()}
-    sizes = [counts.get(k, 0) for k in range(shards)]
-    meta = {"n": sum(sizes), "seq_len": seq_len, "stride": stride, "sizes": sizes, "dtype": "<u2", "key": key}
+    written = materialise(dealt.mapInArrow(tidy(write), f"slot long, shard int, seq long, n_tokens int, doc_ids array<{kind}>"), "shard-rows")
+    meta = {"n": total, "seq_len": seq_len, "stride": stride, "shard_slots": shard_slots, "dtype": "<u2", "key": key}
     _write_text(spark, f"{path}/meta.json", json.dumps(meta))
-    before = [0, *itertools.accumulate(sizes)][:-1]
-    table = spark.createDataFrame([(k, b) for k, b in enumerate(before)], "shard int, before long")
-    return written.join(table, "shard").select((F.col("before") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * stride).alias("byte_offset"), "seq", "n_tokens", "doc_ids")
+    return written.select("slot", "shard", ((F.col("slot") - F.col("shard") * F.lit(shard_slots).cast("long")) * stride).alias("byte_offset"), "seq", "n_tokens", "doc_ids")
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -196,14 +212,12 @@ def read_slots(path: str, start: int, n: int) -> np.ndarray:
 
     store, root = pafs.FileSystem.from_uri(path)
     meta = json.loads(store.open_input_stream(f"{root}/meta.json").read())
-    before = np.concatenate([[0], np.cumsum(meta["sizes"])]).astype(int)
     out, stop = [], min(start + n, meta["n"])
     while start < stop:
-        shard = int(np.searchsorted(before, start, "right")) - 1
-        inner = start - before[shard]
-        m = int(min(stop - start, meta["sizes"][shard] - inner))
+        shard, inner = divmod(start, meta["shard_slots"])
+        m = min(stop - start, meta["shard_slots"] - inner)
         with store.open_input_file(f"{root}/shard-{shard:06d}.bin") as f:
-            f.seek(int(inner) * meta["stride"])
+            f.seek(inner * meta["stride"])
             out.append(np.frombuffer(f.read(m * meta["stride"]), meta["dtype"]).reshape(m, meta["seq_len"]))
         start += m
     return np.concatenate(out) if out else np.empty((0, meta["seq_len"]), meta["dtype"])

@@ -118,9 +118,9 @@ def test_phrases_are_longest_matches():
 
 def test_features_do_not_depend_on_pieces(monkeypatch):
     text = "The quick, brown föx\njumps " * 40
-    whole = np.sort(quality_classifier.features(text))
+    whole = [np.sort(f) for f in quality_classifier.features(text)]
     monkeypatch.setattr(quality_classifier, "_PIECE", 64)
-    assert (np.sort(quality_classifier.features(text)) == whole).all()
+    assert all((np.sort(f) == w).all() for f, w in zip(quality_classifier.features(text), whole, strict=True))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000])
@@ -235,3 +235,111 @@ def test_clean_words_near_terms_are_learned():
     terms, plain, _ = toxicity.fit(texts, [0] * 30 + [1] * 30)
     assert "crown" in plain and toxicity.Lexicon(terms, plain).match("crown") is None
     assert toxicity.Lexicon(terms, plain).match("clwn") is not None
+
+
+def test_slot_is_the_permutation_of_the_sequence_number(spark, tmp_path):
+    docs = spark.createDataFrame([*ODD, *((100 + k, f"text number {k} " * (k + 1)) for k in range(60))], "doc_id long, text string").repartition(3).withColumn("slot", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("part", F.lit(2))
+    vocab, path = lengths.vocabulary(spark, lengths.VOCABULARY), (tmp_path / "out").as_uri()
+    rows = sorted(training_order.materialise_order(docs, path, vocab, seq_len=32, shard_slots=20).collect(), key=lambda r: r["seq"])
+    n = len(rows)
+    assert [r["seq"] for r in rows] == list(range(n)) and [r["slot"] for r in rows] == training_order.feistel(np.arange(n), n).tolist()
+    assert training_order.feistel(np.array([r["slot"] for r in rows]), n, inverse=True).tolist() == list(range(n))
+    assert all((r["shard"], r["byte_offset"]) == (r["slot"] // 20, r["slot"] % 20 * 64) for r in rows)
+    files = sorted((tmp_path / "out").glob("shard-*.bin"))
+    assert [f.stat().st_size for f in files] == [20 * 64] * (n // 20) + ([n % 20 * 64] if n % 20 else []) and not list((tmp_path / "out").glob("_shard*"))
+    again = training_order.materialise_order(docs, path, vocab, seq_len=32, shard_slots=20)  # over the files of another attempt
+    assert again.count() == n
+
+
+@pytest.mark.parametrize("piece", [7, lengths.PIECE])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, piece):
+    import random
+
+    import tiktoken
+
+    encode = lengths.encoder(open(lengths.VOCABULARY, "rb").read())
+    plain = next(iter(lengths._loaded.values()))
+    assert isinstance(plain, tiktoken.Encoding)
+    monkeypatch.setattr(lengths, "PIECE", piece)
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["a", "b1", "'s", "漢", "é", " ", "  ", "\n", "\n\n", "\t", "　", "\x1c", "!!", "12", "\xa0"]) for _ in range(rnd.randrange(25))) + " " * rnd.choice([0, 9]) + rnd.choice(["", "x", " y", "\n"]) for _ in range(3000)]
+    texts += ["ab" * 65_000, "x-1" * 60_000, "漢字" * 60_000, "a " * 90_000, " " * 150_000 + "x", "q" + "\n" * 150_000]
+    for t in texts:
+        assert encode(t).tolist() == plain.encode_ordinary(t)
+    assert len(encode("z" + " " * 2_000_000 + "z")) > 1  # the library alone cannot
+
+
+def test_misspelled_and_quoted_terms_in_held_out_rows(spark):
+    """Edits find terms that are misspelled, and quotation lowers scores, though the labelled rows have neither."""
+    import random
+    import re
+
+    sf = SF.replace("0.01", "0.1")
+    rows = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id").filter("toxic is not null and length(text) < 20000").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
+    import zlib
+
+    held = np.array([zlib.crc32(str(i).encode()) % toxicity.FOLDS == toxicity.HELD_OUT for i in rows.doc_id])
+    terms, plain, weights = toxicity.fit(rows.text[~held].tolist(), rows.toxic[~held].tolist())
+    rnd, toxic = random.Random(5), rows.toxic[held].to_numpy() == 1
+
+    def changed(t, f):
+        return re.sub(r"\b(" + "|".join(toxicity.SEED_TERMS) + r")\b", lambda m: f(m.group()), t, flags=re.I)
+
+    def typo(w):
+        k = rnd.randrange(1, len(w) - 1)
+        return w[:k] + rnd.choice(["", w[k] * 2, "x"]) + w[k + 1 :]
+
+    full, exact = toxicity.Lexicon(terms, plain), toxicity.Lexicon(terms, plain)
+    exact.reach = [0] * len(exact.reach)
+    exact._forget()
+    score = lambda texts, lexicon: 1 / (1 + np.exp(-(toxicity.design(np.stack([toxicity.counts(t, lexicon) for t in texts])) @ weights)))
+    texts = rows.text[held].tolist()
+    typos = [changed(t, typo) for t in texts]
+    with_edits, without = score(typos, full) >= 0.3, score(typos, exact) >= 0.3
+    assert with_edits[toxic].mean() > without[toxic].mean() + 0.2 and with_edits[~toxic].mean() < 0.02
+    quoted = score([changed(t, lambda w: f'"{w}"') for t in texts], full)
+    as_is = score(texts, full)
+    assert (quoted <= as_is + 1e-9).all() and quoted[toxic].mean() < as_is[toxic].mean() - 0.1
+    assert weights[1] > 0 and toxicity.MISSPELLED * weights[1] + weights[2] > 0
+
+
+def test_apostrophes_are_no_quotation():
+    lexicon = toxicity.Lexicon([(t, False) for t in toxicity.SEED_TERMS])
+    assert toxicity.counts("you don't listen you idiot and it's sad", lexicon)[5] == 0
+    assert toxicity.counts("you don’t listen you idiot and it’s sad", lexicon)[5] == 0
+    assert toxicity.counts('one "first" idiot "second" part', lexicon)[5] == 0
+    assert all(toxicity.counts(t, lexicon)[5] == 1 for t in ('he was an "idiot" there', "das Wort „idiot“ hier", "un « idiot » là", "a “real idiot” here"))
+
+
+def test_states_of_the_automaton_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE_STATES", 5)
+    lexicon = toxicity.Lexicon([(t, False) for t in toxicity.SEED_TERMS])
+    assert [lexicon.match(w) is not None for w in ("idiot", "idoit", "pathetc", "worthles", "garden", "kitchen", "scumm")] == [True, False, True, True, False, False, True]
+    assert len(lexicon.sets) < 50
+
+
+def auc(score, y):
+    order = np.argsort(np.argsort(score)) + 1.0
+    return (order[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
+def test_quality_by_grams_alone_ranks_held_out_rows(spark):
+    sf = SF.replace("0.01", "0.1")
+    got = registry.op6_quality_classifier(spark, sf).join(read(spark, sf, "labels").filter("quality is not null"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert auc(held.score.to_numpy(), held.quality.to_numpy() == 1) > 0.94
+    assert (held.predicted == 1)[held.quality == 1].mean() > 0.99
+
+
+def test_quality_scores_against_plain_means(spark):
+    """The query's scores are the softmax of means that a plain loop gives."""
+    docs, labels = read(spark, SF.replace("0.01", "0.001"), "documents"), read(spark, SF.replace("0.01", "0.001"), "labels")
+    weight, bias = quality_classifier.train(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0)
+    weight = weight.astype(np.float32)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.query(docs, labels).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        parts = [(s, [float(weight[b]) for b in f]) for s, f in zip(quality_classifier.SHARES, quality_classifier.features(r["text"] or ""), strict=True) if len(f)]
+        z = bias + (sum(s * sum(v) / len(v) for s, v in parts) / sum(s for s, _ in parts) if parts else 0)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    words, pairs = quality_classifier.word_grams("The cat  the CAT\nthe")
+    assert words[0] == words[2] == words[4] and words[1] == words[3] and pairs[0] == pairs[2] and len(pairs) == 4
