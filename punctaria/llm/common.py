@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +12,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="punctaria-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``, which a cluster has to set; a temporary one where one machine runs all."""
+    from punctaria.operators.components import shared_folder
+
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -34,14 +31,13 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for ``df``; only once nothing reads it any more."""
-    path = getattr(df, "_punctaria_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these; only once nothing reads it any more."""
+    for df in written:
+        path = getattr(df, "_punctaria_path", None)
+        if path is not None:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def tidy(run):
@@ -67,7 +63,7 @@ def tidy(run):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches that stay small where rows hold whole texts."""
+    """Arrow batches that stay small where rows hold whole texts. Plans take the setting when they run, so it stays set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

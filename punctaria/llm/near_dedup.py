@@ -34,7 +34,9 @@ from punctaria.operators.components import connected_components
 from .common import discard, materialise, small_batches, tidy
 from .hashing import WordHashes, shingle_hashes
 
-SHINGLE, PERCENT, COORDINATES, MISS = 5, 85, 32, 2e-5
+SHINGLE, PERCENT, COORDINATES, MISS = 5, 80, 32, 2e-5
+#: The similarity that op8 is asked for.
+QUERY_PERCENT = 85
 #: Ids broadcast to pick candidate texts; above it the join shuffles instead.
 BROADCAST_IDS = 500_000
 _CHUNK = 200_000
@@ -162,9 +164,9 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int
     cross = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.component") < F.col("q.component")) & _near(F.col("p.n"), F.col("q.n"), percent) & reach)
     cross = cross.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     second = materialise(_confirm(cross, sets, percent), "open-links")
-    for df in (rest, across, prefix, common, lists, star, candidates, sets):
-        discard(df)
-    return first.unionByName(second)
+    out = materialise(first.unionByName(second), "links")
+    discard(rest, across, prefix, common, lists, star, candidates, sets, members, first, second)
+    return out
 
 
 def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
@@ -175,6 +177,7 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, coo
     classes = materialise(classes, "classes")
     found = links(docs, classes, percent, size, coordinates)
     members = connected_components(found)
+    discard(found)
     named = classes.select("set_key", "rep").join(members.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
@@ -199,4 +202,4 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return components(docs)
+    return components(docs, QUERY_PERCENT)

@@ -6,12 +6,37 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _ITEM_WORDS = f"list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 _WORDS = f"list_filter(string_split_regex({_LOW}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
-#: Holds for pages without canonical links and refreshes, like those of the driver's tables: their aliases are spellings that no rule tells apart.
-OP5 = """
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-r AS (SELECT * FROM (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')) v(action, rule)),
-m AS (SELECT page_id, rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM u JOIN r ON (host = split_part(rule, '/', 1) OR suffix(host, '.' || split_part(rule, '/', 1))) AND prefix(path, substr(rule, strpos(rule, '/'))))
-SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) b USING (page_id)
+_HOST = r"translate(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+_QUERY = r"regexp_extract({0}, '(?s)^[^?#]*\?([^#]*)', 1)"
+_RULE_OF = """r AS (SELECT * FROM (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')) v(action, rule))"""
+_FITS = "(host = split_part(rule, '/', 1) OR suffix(host, '.' || split_part(rule, '/', 1))) AND prefix(path, substr(rule, strpos(rule, '/')))"
+
+
+def _key(url: str) -> str:
+    host, path, query = _HOST.format(url), _PATH.format(url), _QUERY.format(url)
+    return f"CASE WHEN {host} <> '' THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END END"
+
+
+OP5 = rf"""
+WITH RECURSIVE u AS (SELECT page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, {_key("url")} AS key FROM pages),
+{_RULE_OF},
+t AS (
+  SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM pages, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>', 0)) x(tag) WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?\s*canonical')
+  UNION ALL
+  SELECT url, regexp_extract(tag, '(?is)\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)', 1) FROM pages, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>', 0)) x(tag) WHERE regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh')
+),
+l AS (SELECT {_key("url")} AS src, CASE WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*://') THEN link WHEN prefix(link, '//') THEN 'http:' || link WHEN prefix(link, '/') THEN 'http://' || {_HOST.format("url")} || link ELSE 'http://' || {_HOST.format("url")} || regexp_replace({_PATH.format("url")}, '[^/]*$', '') || CASE WHEN {_PATH.format("url")} = '' THEN '/' ELSE '' END || link END AS target FROM t WHERE link <> ''),
+e AS (SELECT DISTINCT src, {_key("target")} AS dst, {_HOST.format("target")} AS host, {_PATH.format("target")} AS path FROM l WHERE src IS NOT NULL AND {_key("target")} IS NOT NULL),
+both_ways AS (SELECT src AS p, dst AS q FROM e UNION SELECT dst, src FROM e),
+reach(key, seen) AS (SELECT p, p FROM both_ways UNION SELECT b.q, r.seen FROM reach r JOIN both_ways b ON b.p = r.key AND r.seen < b.q),
+member AS (SELECT key, min(seen) AS component FROM reach GROUP BY key),
+own AS (SELECT page_id, rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM u JOIN r ON {_FITS}),
+outer_rule AS (SELECT dst, action, row_number() OVER (PARTITION BY dst, host, path ORDER BY length(rule) DESC) AS k FROM e JOIN r ON {_FITS}),
+decided AS (SELECT key, action FROM u JOIN own USING (page_id) WHERE k = 1 AND key IS NOT NULL UNION ALL SELECT dst, action FROM outer_rule WHERE k = 1),
+named AS (SELECT coalesce(component, key) AS component, action FROM decided LEFT JOIN member USING (key)),
+blocked AS (SELECT component FROM named GROUP BY component HAVING bool_or(action = 'block') AND NOT bool_or(action = 'allow'))
+SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN coalesce(component, key) IN (SELECT component FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN (SELECT * FROM own WHERE k = 1) b USING (page_id) LEFT JOIN member USING (key)
 """
 
 OP8 = f"""

@@ -9,14 +9,14 @@ A byte goes if a string of ``length`` bytes that covers it also starts elsewhere
    Anchors found once are settled.
 3. Rows whose whole stretch of bytes is found twice or more are settled by a combined count.
 4. What remains are the ends of repeats. One row of each distinct stretch is laid into a block with all others of its anchor; the
-   block's suffixes are sorted by prefix doubling up to ``length``. In suffix order, with ties by position, the previous smaller position of a
-   suffix with an equal prefix is its predecessor, its next smaller one does not exist, and so a suffix has a previous factor of ``length``
-   bytes exactly if its predecessor's rank is equal; the same for the successor and a later copy.
+   block's suffixes are sorted by prefix doubling up to ``length``. The longest previous factor of a suffix, cut at ``length``, is the longer of
+   its common prefixes with the previous and the next suffix in that order that start at a smaller position (its nearest smaller positions on either side); where it has ``length``
+   bytes, an earlier copy exists. The same with larger positions gives later copies.
 5. Anchors with more than ``GROUP_ROWS`` distinct stretches are dealt over several blocks; the distinct windows of those blocks meet in a
    combined minimum by window hash.
 
 Every step's rows are linear in the bytes, and no step holds the rows of an unbounded key together. Hashes of 64 bits stand for
-anchors, stretches and windows of split anchors; windows within a block are compared byte by byte.
+anchors, stretches and windows of split anchors; windows within a block are compared byte by byte. Rows are told apart by doc_id and a hash of 128 bits of their text.
 
 Defined results: a null or empty text has no bytes and loses none; texts below ``length`` bytes lose none; rows of equal id and text
 are copies of each other for ``keep="none"`` and one document for ``keep="first"``; rows of equal id and different text are different
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, small_batches, tidy
@@ -100,18 +100,18 @@ def _anchors(b: np.ndarray, rolling: _Rolling, length: int) -> tuple[np.ndarray,
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, tag, a, c, lo, hi) of all texts of ``docs`` (doc_id, tag, text)."""
+    """(doc_id, tag, tag2, a, c, lo, hi) of all texts of ``docs`` (doc_id, tag, tag2, text)."""
 
     def run(batches):
         rolling = _Rolling()
         for batch in batches:
-            ids, tags, texts = batch.columns
+            ids, tags, tags2, texts = batch.columns
             of, parts, held = [], [], 0
 
             def out(of, parts):
                 rows = pa.array(np.repeat(np.array(of), [len(p[0]) for p in parts]))
                 a, c, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-                return pa.RecordBatch.from_arrays([ids.take(rows), tags.take(rows), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "tag", "a", "c", "lo", "hi"])  # noqa: B023
+                return pa.RecordBatch.from_arrays([ids.take(rows), tags.take(rows), tags2.take(rows), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "tag", "tag2", "a", "c", "lo", "hi"])  # noqa: B023
 
             for i, t in enumerate(texts):
                 b = np.frombuffer(t.as_py() or b"", np.uint8)
@@ -126,7 +126,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 yield out(of, parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "tag", F.col("text").cast("binary")).mapInArrow(tidy(run), f"doc_id {kind}, tag int, a long, c long, lo int, hi int")
+    return docs.select(*ROW, F.col("text").cast("binary")).mapInArrow(tidy(run), f"doc_id {kind}, tag long, tag2 long, a long, c long, lo int, hi int")
 
 
 def _ranked(high: np.ndarray, bits: int) -> np.ndarray:
@@ -139,10 +139,10 @@ def _ranked(high: np.ndarray, bits: int) -> np.ndarray:
     return rank
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
+def suffix_ranks(text: np.ndarray, length: int, levels: list | None = None) -> np.ndarray:
     """Rank in suffix order of each suffix of a byte array, cut at ``length`` bytes; equal prefixes have equal ranks.
 
-    Prefix doubling: ranks of a few bytes, then of pairs of ranks of half the width.
+    Prefix doubling: ranks of a few bytes, then of pairs of ranks of half the width; each (width, ranks) goes into ``levels``.
     """
     n = len(text)
     bits = max(1, n.bit_length())
@@ -152,6 +152,8 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     for k in range(width):
         key = (key << np.uint64(8)) | padded[k : n + k]
     rank = _ranked(key, bits)
+    levels = [] if levels is None else levels
+    levels.append((width, rank))
     while width < length:
         shift = min(width, length - width)
         second = np.zeros(n, np.uint64)
@@ -159,36 +161,87 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
         pair = (rank << np.uint64(bits)) | second
         rank = _ranked(pair, bits) if 3 * bits <= 63 else np.unique(pair, return_inverse=True)[1].astype(np.uint64)
         width += shift
+        levels.append((width, rank))
     return rank
 
 
-def previous_and_next(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of suffixes given in text order: does an earlier, does a later one have an equal prefix?
+def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(ranks cut at ``length`` bytes, [(width, ranks cut at that width)]) of prefix doubling, narrow widths first."""
+    levels: list[tuple[int, np.ndarray]] = []
+    return suffix_ranks(text, length, levels), levels
 
-    In suffix order, with ties in text order, the predecessor of an equal rank is the previous smaller position, and the suffix's
-    previous factor is as long as the ranks' width.
+
+def common_prefixes(text: np.ndarray, levels: list[tuple[int, np.ndarray]], x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix, cut at ``length``, of the suffixes that start at x and y, which have at least that many bytes: by ranks of falling widths, then by bytes."""
+    out = np.zeros(len(x), np.int64)
+    for width, rank in reversed(levels):
+        for _ in range(2 if width < length else 1):  # a width is less than twice the next one
+            fits = np.flatnonzero(out + width <= length)
+            out[fits[rank[x[fits] + out[fits]] == rank[y[fits] + out[fits]]]] += width
+    least = levels[0][0]
+    for _ in range(least):
+        fits = np.flatnonzero(out < length)
+        fits = fits[text[x[fits] + out[fits]] == text[y[fits] + out[fits]]]
+        if not len(fits):
+            break
+        out[fits] += 1
+    return out
+
+
+def _nearest_smaller(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For suffixes that start at ``at``, in suffix order, where ``lcp`` is each one's common prefix with the one before it: the common prefix with the nearest one before it that
+    starts at a smaller position, 0 without one.
+
+    Pointers jump over pointers: all between a suffix and where it points start at larger positions than itself, so it may take over the pointer of
+    what it points at if that starts later, with the smaller of both common prefixes.
+    """
+    to, least = np.arange(-1, len(at) - 1), lcp.copy()
+    todo = np.arange(len(at))
+    while len(todo):
+        todo = todo[to[todo] >= 0]
+        todo = todo[at[to[todo]] > at[todo]]
+        over = to[todo]
+        least[todo], to[todo] = np.minimum(least[todo], least[over]), to[over]
+    return np.where(to >= 0, least, 0)
+
+
+def previous_factors(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix, in suffix order, from its start and its common prefix with the suffix before it (the first one's is not read)."""
+    lcp = np.concatenate([[0], lcp[1:]])[: len(at)]
+    back = np.concatenate([[0], lcp[:0:-1]])[: len(at)]
+    return np.maximum(_nearest_smaller(at, lcp), _nearest_smaller(at[::-1], back)[::-1])
+
+
+def previous_and_next(rank: np.ndarray, common=None, length: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes given in text order: does an earlier, does a later one share a prefix of ``length``?
+
+    ``common`` gives the common prefixes of suffixes at two places of ``rank``; without it equal ranks share 1, others 0.
     """
     bits = max(1, len(rank).bit_length())
     if 2 * bits <= 63:
         keys = np.sort((rank << np.uint64(bits)) | np.arange(len(rank), dtype=np.uint64))
-        order, value = (keys & np.uint64((1 << bits) - 1)).astype(np.int64), keys >> np.uint64(bits)
+        order = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
     else:
         order = np.argsort(rank, kind="stable")
-        value = rank[order]
-    same = value[1:] == value[:-1]
+    same = rank[order[1:]] == rank[order[:-1]]
+    lcp = np.zeros(len(rank), np.int64)
+    lcp[1:] = np.where(same, length, 0)
+    if common is not None:
+        other = np.flatnonzero(~same)
+        lcp[1:][other] = common(order[other], order[other + 1])
     earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:][same]] = True
-    later[order[:-1][same]] = True
+    earlier[order] = previous_factors(order, lcp) >= length
+    later[order] = previous_factors(len(rank) - 1 - order, lcp) >= length
     return earlier, later
 
 
 def _block(table: pa.Table, length: int, keep: str, rolling: _Rolling) -> pa.RecordBatch:
-    """(doc_id, tag, lo, hi, w) of the stretches (doc_id, tag, lo, bytes, split) of a block.
+    """(doc_id, tag, tag2, lo, hi, w) of the stretches (doc_id, tag, tag2, lo, bytes, split) of a block.
 
     w is null for a repeated run of window starts lo..hi; of a split anchor's windows that no earlier one of the block equals it is
     the hash, for the anchor's other blocks.
     """
-    order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("tag", "ascending"), ("lo", "ascending")], null_placement="at_start")
+    order = pc.sort_indices(table, sort_keys=[*((k, "ascending") for k in ROW), ("lo", "ascending")], null_placement="at_start")
     table = table.take(order).combine_chunks()
     held = table["bytes"].combine_chunks()
     held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
@@ -200,8 +253,8 @@ def _block(table: pa.Table, length: int, keep: str, rolling: _Rolling) -> pa.Rec
     owner = np.repeat(np.arange(len(runs)), runs)
     inner = np.arange(len(owner)) - first[owner]
     starts = begin[owner] + inner
-    rank = suffix_ranks(text, length)[starts]
-    earlier, later = previous_and_next(rank)
+    rank, levels = suffix_order(text, length)
+    earlier, later = previous_and_next(rank[starts], lambda x, y: common_prefixes(text, levels, starts[x], starts[y], length), length)
     gone = earlier | later if keep == "none" else earlier
     head = np.zeros(len(gone) + 1, bool)  # a run ends with its stretch
     head[first] = head[-1] = True
@@ -220,8 +273,8 @@ def _block(table: pa.Table, length: int, keep: str, rolling: _Rolling) -> pa.Rec
     at = np.concatenate([lo[owner[up]] + inner[up], lo[owner[alone]] + inner[alone]])
     upto = np.concatenate([lo[owner[down]] + inner[down], lo[owner[alone]] + inner[alone]])
     null = np.concatenate([np.ones(len(up), bool), np.zeros(len(alone), bool)])
-    cols = [table["doc_id"].combine_chunks().take(where), table["tag"].combine_chunks().take(where), pa.array(at.astype(np.int32)), pa.array(upto.astype(np.int32)), pa.array(np.concatenate([np.zeros(len(up), np.int64), w]), mask=null)]
-    return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], ["doc_id", "tag", "lo", "hi", "w"])
+    cols = [*(table[k].combine_chunks().take(where) for k in ROW), pa.array(at.astype(np.int32)), pa.array(upto.astype(np.int32)), pa.array(np.concatenate([np.zeros(len(up), np.int64), w]), mask=null)]
+    return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], [*ROW, "lo", "hi", "w"])
 
 
 def _block_rows(stretches: DataFrame, length: int, keep: str) -> DataFrame:
@@ -235,7 +288,7 @@ def _block_rows(stretches: DataFrame, length: int, keep: str) -> DataFrame:
             a, salt = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("a", "salt"))
             bytes_at = batch.column(batch.schema.get_field_index("bytes"))
             sizes = np.concatenate([[0], np.cumsum(pc.binary_length(bytes_at).to_numpy().astype(np.int64))])
-            rows = pa.Table.from_batches([batch]).select(["doc_id", "tag", "lo", "bytes", "split"])
+            rows = pa.Table.from_batches([batch]).select([*ROW, "lo", "bytes", "split"])
             cuts = np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1])) + 1
             if last is not None and (a[0], salt[0]) != last:
                 cuts = np.concatenate([[0], cuts])
@@ -251,79 +304,102 @@ def _block_rows(stretches: DataFrame, length: int, keep: str) -> DataFrame:
         if size:
             yield _block(pa.concat_tables(held), length, keep, rolling)
 
-    return stretches.mapInArrow(tidy(run), f"doc_id {kind}, tag int, lo int, hi int, w long")
+    return stretches.mapInArrow(tidy(run), f"doc_id {kind}, tag long, tag2 long, lo int, hi int, w long")
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted (doc_id, tag, a, salt, split, lo, hi)."""
+    """The bytes of the wanted (doc_id, tag, tag2, a, salt, split, lo, hi)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            ids, tags, texts, lists = batch.columns
+            ids, tags, tags2, texts, lists = batch.columns
             for i in range(len(ids)):
                 b, rows = texts[i].as_py(), lists[i].as_py()
                 n = len(rows)
                 at = pa.array([i] * n, pa.int64())
                 cols = [[r[k] for r in rows] for k in ("a", "salt", "split", "lo")]
-                yield pa.RecordBatch.from_arrays([ids.take(at), tags.take(at), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int32()), pa.array([b[r["lo"] : r["hi"] + length] for r in rows], pa.binary())], ["doc_id", "tag", "a", "salt", "split", "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), tags.take(at), tags2.take(at), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int32()), pa.array([b[r["lo"] : r["hi"] + length] for r in rows], pa.binary())], [*ROW, "a", "salt", "split", "lo", "bytes"])
+
+    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("a", "salt", "split", "lo", "hi")).alias("rows"))
+    rows = _only(docs, wanted.select(*ROW).distinct())
+    rows = _with_row(rows, lists).dropDuplicates(ROW)
+    return rows.select("doc_id", "tag", "tag2", F.col("text").cast("binary").alias("text"), "rows").mapInArrow(tidy(run), f"doc_id {kind}, tag long, tag2 long, a long, salt int, split boolean, lo int, bytes binary")
 
-    lists = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "salt", "split", "lo", "hi")).alias("rows"))
-    rows = _only(docs, wanted.select("doc_id", "tag").distinct())
-    rows = rows.join(lists.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "rows"), rows["doc_id"].eqNullSafe(F.col("__d")) & (rows["tag"] == F.col("__t")))
-    rows = rows.dropDuplicates(["doc_id", "tag"])
-    return rows.select("doc_id", "tag", F.col("text").cast("binary").alias("text"), "rows").mapInArrow(tidy(run), f"doc_id {kind}, tag int, a long, salt int, split boolean, lo int, bytes binary")
 
+#: What tells rows apart: the id, which may be null or repeated, and 128 bits of the text's hash.
+ROW = ["doc_id", "tag", "tag2"]
 
-def _only(docs: DataFrame, ids: DataFrame, anti: bool = False) -> DataFrame:
-    """Rows of ``docs`` with (or without) an entry in ``ids`` (doc_id, tag): ids of a checked number are broadcast, more are shuffled."""
-    ids = ids.select(F.col("doc_id").alias("__i"), F.col("tag").alias("__g"))
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].eqNullSafe(F.col("__i")) & (docs["tag"] == F.col("__g")), "left_anti" if anti else "left_semi")
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` with the two halves of the text's hash, which have seeds of their own."""
+    return docs.withColumns({"tag": F.xxhash64("text"), "tag2": F.xxhash64(F.lit(0x5EED), "text")})
+
+
+def _first(row: str = "first") -> Column:
+    """Is a row the one in the struct?"""
+    return F.col(f"{row}.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"{row}.tag") == F.col("tag")) & (F.col(f"{row}.tag2") == F.col("tag2"))
+
+
+def _with_row(docs: DataFrame, side: DataFrame, how: str = "inner", names: list[str] = ROW) -> DataFrame:
+    """``docs`` joined by row, whose columns are called ``names`` there."""
+    side = side.withColumnsRenamed({k: f"__{k}_of" for k in ROW})
+    on = docs[names[0]].eqNullSafe(F.col("__doc_id_of"))
+    for k, name in zip(ROW[1:], names[1:], strict=True):
+        on = on & (docs[name] == F.col(f"__{k}_of"))
+    return docs.join(side, on, how).drop(*(f"__{k}_of" for k in ROW))
+
+
+def _only(docs: DataFrame, rows: DataFrame, anti: bool = False, names: list[str] = ROW) -> DataFrame:
+    """Rows of ``docs`` with (or without) an entry in ``rows``: a checked number of them is broadcast, more are shuffled."""
+    small = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return _with_row(docs, F.broadcast(rows) if small else rows, "left_anti" if anti else "left_semi", names)
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, keep: str = "none", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, tag, spans): for each document with a repeat, byte spans [lo, hi) that go, unmerged. ``docs`` has doc_id, tag and text."""
+    """(doc_id, tag, tag2, spans), written: for each document with a repeat, byte spans [lo, hi) that go, unmerged. ``docs`` has those three and text."""
     small_batches(docs.sparkSession)
     long = docs.filter(F.octet_length("text") >= length)
-    keyed = long.select("doc_id", "tag", F.xxhash64("text").alias("h"), F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("n"))
-    texts = keyed.groupBy("m", "n").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "tag")).alias("first")).filter("rows > 1")
-    copies = materialise(keyed.join(texts, ["m", "n"]).select("doc_id", "tag", "n", ((F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.tag") == F.col("tag"))).alias("is_first")), "copies")
-    later = copies.filter("not is_first").select("doc_id", "tag").distinct()
-    one_each = _only(long.select("doc_id", "tag", "text"), later, anti=True)
+    keyed = long.select(*ROW, F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("n"))
+    texts = keyed.groupBy("m", "n").agg(F.count("*").alias("rows"), F.min(F.struct(*ROW)).alias("first")).filter("rows > 1")
+    copies = materialise(keyed.join(texts, ["m", "n"]).select(*ROW, "n", _first().alias("is_first")), "copies")
+    later = copies.filter("not is_first").select(*ROW).distinct()
+    one_each = _only(long.select(*ROW, "text"), later, anti=True)
 
     rows = materialise(_anchor_rows(one_each, length), "anchors")
     # Aggregated sides are written first: a join of two plain exchanges is one that Spark can split at a hot key.
     shared = materialise(rows.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "shared")
     rows2 = materialise(rows.join(shared, "a"), "shared-anchors")
-    discard(rows)
+    discard(rows, shared)
     # Null ids first in order, like the minimum of a struct.
-    stretch = materialise(rows2.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "lo", "hi")).alias("first")), "stretches")
+    stretch = materialise(rows2.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "lo", "hi")).alias("first")), "stretches")
     twice = stretch.filter("n > 1").select("a", "c", "first")
     full = rows2.join(twice, ["a", "c"])
     if keep == "first":
-        same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")) & (F.col("lo") == F.col("first.lo"))
-        full = full.filter(~same)
-    full = full.select("doc_id", "tag", "lo", "hi")
+        full = full.filter(~(_first() & (F.col("lo") == F.col("first.lo"))))
+    full = full.select(*ROW, "lo", "hi")
 
-    several = stretch.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a", F.ceil(F.col("k") / group_rows).cast("int").alias("blocks"))
+    several = materialise(stretch.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a", F.ceil(F.col("k") / group_rows).cast("int").alias("blocks")), "open-anchors")
     wanted = stretch.join(several, "a").select("first.*", "a", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).otherwise(F.lit(0)).alias("salt"), (F.col("blocks") > 1).alias("split"))
     wanted = materialise(wanted, "open-stretches")
-    laid = _stretches(docs.select("doc_id", "tag", "text"), wanted, length)
+    laid = _stretches(docs.select(*ROW, "text"), wanted, length)
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     laid = laid.repartition(int(parts), "a", "salt").sortWithinPartitions("a", "salt")
     block = materialise(_block_rows(laid, length, keep), "block-runs")
-    ends = block.filter("w is null").select("doc_id", "tag", "lo", "hi")
-    windows = block.filter("w is not null").select("doc_id", "tag", "lo", "w")
-    met = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "lo")).alias("first")).filter("n > 1")
+    ends = block.filter("w is null").select(*ROW, "lo", "hi")
+    windows = block.filter("w is not null").select(*ROW, "lo", "w")
+    met = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "lo")).alias("first")).filter("n > 1")
     across = windows.join(met, "w")
     if keep == "first":
-        across = across.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")) & (F.col("lo") == F.col("first.lo"))))
-    across = across.select("doc_id", "tag", "lo", F.col("lo").alias("hi"))
-    spans = full.unionByName(ends).unionByName(across).select("doc_id", "tag", "lo", (F.col("hi") + length).alias("hi"))
+        across = across.filter(~(_first() & (F.col("lo") == F.col("first.lo"))))
+    across = across.select(*ROW, "lo", F.col("lo").alias("hi"))
+    spans = full.unionByName(ends).unionByName(across).select(*ROW, "lo", (F.col("hi") + length).alias("hi"))
     whole = copies if keep == "none" else copies.filter("not is_first")
-    spans = spans.unionByName(whole.select("doc_id", "tag", F.lit(0).alias("lo"), F.col("n").alias("hi")))
-    return spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.unionByName(whole.select(*ROW, F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    # A set: rows of equal id and text say the same.
+    out = materialise(spans.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(copies, rows2, stretch, several, wanted, block)
+    return out
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -358,14 +434,10 @@ def cut_characters(text: bytes, spans: list[tuple[int, int]]) -> str:
     return cut(text, whole).decode("utf-8")
 
 
-def _with_tag(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("tag", F.hash("text"))
-
-
 def digests(docs: DataFrame, length: int = LENGTH, keep: str = "none", group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``."""
-    docs = _with_tag(docs.select("doc_id", "text"))
-    found = materialise(repeated_runs(docs, length, keep, group_rows), "spans")
+    docs = _tagged(docs.select("doc_id", "text"))
+    found = repeated_runs(docs, length, keep, group_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -381,42 +453,31 @@ def digests(docs: DataFrame, length: int = LENGTH, keep: str = "none", group_row
                 sha.append(hashlib.sha256(cut(b, runs)).hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    hit, clean = _split(docs, found)
+    rows = found.select(*ROW)
+    hit, clean = _with_row(_only(docs, rows), found), _only(docs, rows, anti=True)
     text = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
     clean = clean.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
     return clean.unionByName(hit.select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def _split(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with spans (with them), and rows without."""
-    ids = found.select("doc_id", "tag")
-    some = _only(docs, ids)
-    spans = found.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "spans")
-    hit = some.join(spans, some["doc_id"].eqNullSafe(F.col("__d")) & (some["tag"] == F.col("__t"))).drop("__d", "__t")
-    return hit, _only(docs, ids, anti=True)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
     """``docs`` without repeated strings; ``n_chars`` follows the text where it is a column. Documents of which nothing but white space is left go."""
-    tagged = docs.withColumn("__tag", F.hash("text"))
-    found = materialise(repeated_runs(_with_tag(docs.select("doc_id", "text")), length, keep), "spans").withColumnRenamed("tag", "__tag")
+    names = ["doc_id", "__tag", "__tag2"]
+    tagged = _tagged(docs.select("doc_id", "text"))
+    found = repeated_runs(tagged, length, keep).withColumnRenamed("spans", "__spans")
+    tagged = docs.withColumns({"__tag": F.xxhash64("text"), "__tag2": F.xxhash64(F.lit(0x5EED), "text")})
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_characters(bytes(t), merge([(r["lo"], r["hi"]) for r in rows])) for t, rows in zip(text, spans, strict=True)])
 
-    ids = found.select(F.col("doc_id").alias("__i"), F.col("__tag").alias("__g"), F.col("spans").alias("__spans"))
-    some_ids = found.select(F.col("doc_id").alias("__i"), F.col("__tag").alias("__g"))
-    small = some_ids.count() <= BROADCAST_IDS
-    on = tagged["doc_id"].eqNullSafe(F.col("__i")) & (tagged["__tag"] == F.col("__g"))
-    side = F.broadcast(some_ids) if small else some_ids
-    hit = tagged.join(side, on, "left_semi")
-    hit = hit.join(ids, hit["doc_id"].eqNullSafe(F.col("__i")) & (hit["__tag"] == F.col("__g"))).withColumn("text", kept(F.col("text").cast("binary"), F.col("__spans")))
+    rows = found.select(*ROW)
+    hit = _with_row(_only(tagged, rows, names=names), found, names=names).withColumn("text", kept(F.col("text").cast("binary"), F.col("__spans")))
     hit = hit.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return tagged.join(side, on, "left_anti").select(*docs.columns).unionByName(hit.select(*docs.columns))
+    return _only(tagged, rows, anti=True, names=names).select(*docs.columns).unionByName(hit.select(*docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

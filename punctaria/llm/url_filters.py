@@ -3,7 +3,8 @@
 Native DataFrame operator. Rules are (action, "host/path") strings; a rule fits its host and all
 subdomains where the URL's path starts with the rule's; the longest fitting rule decides. URLs without a rule
 take the decision of their aliases: connected components over redirect and canonical-link edges, where one explicit
-allow in a component overrides every block in it.
+allow in a component overrides every block in it. URLs are one where they differ in no more than scheme, case of the host, fragment or an empty path for ``/``;
+``spellings`` also takes a leading www or m, tracking parameters and last slashes for nothing, which the query does not.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule and no alias, and is
 allowed; null or malformed HTML has no links; repeated rows and repeated URLs are judged alike; an
@@ -17,15 +18,18 @@ from pyspark.sql import functions as F
 
 from punctaria.operators.components import connected_components
 
-from .common import lower_ascii, materialise
+from .common import discard, lower_ascii, materialise
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Rules become one expression of the plan; longer lists belong in a table.
 MAX_RULES = 2000
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh)[^>]*?\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_LINK, _META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+_IS_CANONICAL = r"""(?is)\brel\s*=\s*["']?\s*canonical"""
+_IS_REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh"""
+_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_CONTENT_URL = r"""(?is)\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
 #: Query parameters that name no other page.
 _TRACKING = r"(^|&)(utm_[a-z]+|gclid|fbclid|ref)=[^&]*"
 
@@ -51,12 +55,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def alias_key(url: Column) -> Column:
-    """One name for the spellings of a URL: no scheme, leading www or m, fragment, tracking parameter or last slash."""
-    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
-    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), _TRACKING, ""), "^&", "")
-    key = F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    return F.when(host != "", key)
+def alias_key(url: Column, spellings: bool = False) -> Column:
+    """One name for a URL: host, path and query; null without a host."""
+    host, path = host_of(url), path_of(url)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    if spellings:
+        host, path = F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, "/+$", "")
+        query = F.regexp_replace(F.regexp_replace(query, _TRACKING, ""), "^&", "")
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    return F.when(host != "", F.concat(host, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
 
 
 def _absolute(link: Column, url: Column) -> Column:
@@ -70,38 +77,47 @@ def _absolute(link: Column, url: Column) -> Column:
     )
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
+def link_edges(pages: DataFrame, spellings: bool = False) -> DataFrame:
     """(src, dst, dst_url) for each canonical link and refresh redirect in the pages' HTML."""
     html = F.col("html")
-    found = lambda word, pattern: F.when(html.contains(word) | html.rlike(f"(?i){word}"), F.regexp_extract_all(html, F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
-    links = pages.select("url", F.explode(F.concat(found("canonical", _CANONICAL), found("refresh", _REFRESH))).alias("link"))
-    target = links.select(alias_key(F.col("url")).alias("src"), _absolute(F.col("link"), F.col("url")).alias("dst_url"))
-    return target.select("src", alias_key(F.col("dst_url")).alias("dst"), "dst_url").filter("src is not null and dst is not null").distinct()
 
+    def found(word: str, tag: str, wanted: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(tag), 0), lambda t: t.rlike(wanted))
+        return F.when(html.contains(word) | html.rlike(f"(?i){word}"), F.transform(tags, lambda t: F.regexp_extract(t, target, 1))).otherwise(F.array().cast("array<string>"))
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, component) of each page; ``redirects`` (src, dst URLs) adds edges from a crawl log."""
+    links = F.concat(found("canonical", _LINK, _IS_CANONICAL, _HREF), found("refresh", _META, _IS_REFRESH, _CONTENT_URL))
+    links = pages.select("url", F.explode(F.filter(links, lambda x: x != "")).alias("link"))
+    target = links.select(alias_key(F.col("url"), spellings).alias("src"), _absolute(F.col("link"), F.col("url")).alias("dst_url"))
+    return target.select("src", alias_key(F.col("dst_url"), spellings).alias("dst"), "dst_url").filter("src is not null and dst is not null").distinct()
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None, spellings: bool = False) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of each page; ``redirects`` (src, dst URLs) adds edges from a crawl log."""
     url = F.col("url")
-    edges = link_edges(pages)
+    edges = link_edges(pages, spellings)
     if redirects is not None:
-        log = redirects.select(alias_key(F.col("src")).alias("src"), alias_key(F.col("dst")).alias("dst"), F.col("dst").alias("dst_url"))
+        log = redirects.select(alias_key(F.col("src"), spellings).alias("src"), alias_key(F.col("dst"), spellings).alias("dst"), F.col("dst").alias("dst_url"))
         edges = edges.unionByName(log.filter("src is not null and dst is not null")).distinct()
     edges = materialise(edges, "alias-edges")
-    members = materialise(connected_components(edges, "src", "dst"), "alias-components")
-    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("key"))
+    members = connected_components(edges, "src", "dst")
+    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url, spellings).alias("key"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     # One row a name, with the decisions taken on it; targets outside the table count too.
     decided = rows.filter("key is not null and r is not null").select("key", F.col("r.action").alias("action"))
     outside = edges.select(F.col("dst").alias("key"), rule_of(host_of(F.col("dst_url")), path_of(F.col("dst_url")), rules)["action"].alias("action")).filter("action is not null")
     by_name = decided.unionByName(outside).groupBy("key").agg(F.bool_or(F.col("action") == "block").alias("block"), F.bool_or(F.col("action") == "allow").alias("allow"))
     names = by_name.join(members.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    blocked = names.groupBy("component").agg(F.bool_or("block").alias("block"), F.bool_or("allow").alias("allow")).filter("block and not allow").select("component", F.lit(True).alias("blocked"))
-    # Back to names, then to the pages without a rule of their own.
-    blocked_names = names.select("key", "component").unionByName(members.select(F.col("id").alias("key"), "component")).distinct().join(blocked, "component", "left_semi").select("key", F.lit(True).alias("blocked")).distinct()
+    blocked = names.groupBy("component").agg(F.bool_or("block").alias("block"), F.bool_or("allow").alias("allow")).filter("block and not allow").select("component")
+    # Back to names, then to the pages without a rule of their own. Written, so that the last join is one of two plain exchanges.
+    blocked_names = names.select("key", "component").unionByName(members.select(F.col("id").alias("key"), "component")).join(blocked, "component", "left_semi").select("key", F.lit(True).alias("blocked")).distinct()
+    blocked_names = materialise(blocked_names, "blocked-names")
+    discard(edges)
     ruled = rows.filter("r is not null").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.action").alias("verdict"))
-    free = rows.filter("r is null").join(blocked_names, "key", "left")
+    free = rows.filter("r is null")
+    nameless = free.filter("key is null").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    free = free.filter("key is not null").join(blocked_names, "key", "left")
     free = free.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
-    return ruled.unionByName(free)
+    return ruled.unionByName(free).unionByName(nameless)
 
 
 def query(pages: DataFrame) -> DataFrame:

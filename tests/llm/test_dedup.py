@@ -42,8 +42,10 @@ def test_near_groups_of_all_kinds(spark, table):
     want, sizes = brute.near_components(docs)
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in near_dedup.query(frame).collect()}
     assert got == {d: (want[d], sizes[d], want[d] == d) for d in docs}
-    kept = near_dedup.keep_one(frame)
+    kept = near_dedup.keep_one(frame, 85)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {d for d in docs if want[d] == d}
+    want, _ = brute.near_components(docs, 80)
+    assert {r["doc_id"] for r in near_dedup.keep_one(frame).collect()} == {d for d in docs if want[d] == d}
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
@@ -129,7 +131,7 @@ def test_pipeline_against_brute_force(spark):
     docs = read(spark, SF, "documents")
     items = [(r["item_id"], r["text"]) for r in read(spark, SF, "benchmark").collect()]
     good = {r["doc_id"]: r["text"] for r in docs.join(quality_rules.query(docs).filter("kept"), "doc_id").select("doc_id", "text").collect()}
-    component, _ = brute.near_components(good)
+    component, _ = brute.near_components(good, 80)
     one = sorted((d, t) for d, t in good.items() if component[d] == d)
     cut = {d: suffix_dedup.cut_characters(b, spans) for (d, _), (b, spans) in zip(one, brute.repeat_spans(one, keep="first"), strict=True)}
     cut = {d: t for d, t in cut.items() if t.strip()}
@@ -166,3 +168,38 @@ def test_pipeline_stage_takes_a_similarity_of_80_percent(spark):
     assert got == {d for d in docs if want[d] == d} != {d for d in docs if other[d] == d}
     assert 30_001 not in got
     assert {r["doc_id"] for r in near_dedup.query(frame).filter("kept").collect()} == {d for d in docs if other[d] == d}
+
+
+def test_previous_factors_against_a_plain_version():
+    rng = np.random.default_rng(4)
+    for n, letters, length in ((1, 2, 5), (2, 1, 5), (60, 1, 7), (300, 2, 20), (500, 3, 9), (400, 26, 30)):
+        text = rng.integers(97, 97 + letters, n + length).astype(np.uint8)
+        rank, levels = suffix_dedup.suffix_order(text, length)
+        order = np.lexsort([np.arange(n), rank[:n]])
+        s = [text[i : i + length].tobytes() for i in range(n)]
+        common = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)  # noqa: E731, B023
+        lcp = np.concatenate([[0], suffix_dedup.common_prefixes(text, levels, order[:-1], order[1:], length)]).astype(np.int64)
+        assert lcp[1:].tolist() == [common(s[x], s[y]) for x, y in zip(order, order[1:], strict=False)]
+        got = np.zeros(n, np.int64)
+        got[order] = suffix_dedup.previous_factors(order, lcp)
+        assert got.tolist() == [max((common(s[i], s[j]) for j in range(i)), default=0) for i in range(n)]
+
+
+def test_rows_of_null_ids_are_told_apart_by_more_than_32_bits(spark):
+    """Texts of one 32-bit hash, found by their birthday: neither takes the other's spans."""
+    rng = np.random.default_rng(12)
+    passages = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(2)]
+    n = 150_000
+    made = spark.range(n).select("id", F.concat(F.lit(passages[0]), F.lit(" "), F.sha2(F.col("id").cast("string"), 256)).alias("t")).unionAll(spark.range(n).select("id", F.concat(F.lit(passages[1][:250]), F.lit(" "), F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256)).alias("t")))
+    twins = made.groupBy(F.hash("t").alias("h")).agg(F.sort_array(F.collect_list("t")).alias("ts")).filter("size(ts) = 2").filter(F.substring(F.col("ts")[0], 1, 40) != F.substring(F.col("ts")[1], 1, 40)).orderBy("h").first()["ts"]
+    rows = [(None, twins[0]), (None, twins[1]), (1, "one " + passages[0] + " tail"), (2, passages[1] + " other tail")]
+    want = sorted((str(d), *brute.repeat_digest(*x)) for (d, _), x in zip(rows, brute.repeat_spans(rows), strict=True))
+    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in suffix_dedup.query(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and min(w[2] for w in want) >= 250
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    text = "".join(np.random.default_rng(3).choice(list("abcdef "), 400))
+    frame = spark.createDataFrame([(1, text)] * 300 + [(2, text[:250])], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.query(frame).collect()}
+    assert got == {(1, 400, 1), (2, 250, 1)} and suffix_dedup.query(frame).count() == 301

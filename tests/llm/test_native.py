@@ -151,3 +151,87 @@ def test_labelled_junk_is_rejected_and_prose_kept(spark):
     got = quality_rules.query(docs).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))).collect()
     kept = {r[0]: r[1] for r in got}
     assert kept[0] < 0.06 and kept[1] > 0.99
+
+
+def generated_pages(rng, n=400):
+    """Pages of a few hundred names with chains, cycles, stars, self-links, repeated urls and links of every form."""
+    hosts = ["a.com", "b.com", "shop.b.com", "x.net", "example.net", "sub.example.net", "example.com", "c.org", "d.edu", "Mixed.COM"]
+    urls = [f"http://{h}/{p}" for h in hosts for p in ("", "en/1", "de/2", "fr/3", "fr/3?q=1", "q?x=1", *(f"p/{k}" for k in range(40)))]
+    forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' REL='Canonical'/>", '<meta http-equiv="refresh" content="0; url={}">', "<META HTTP-EQUIV=Refresh content='5;URL={}'>"]
+    rows = []
+    for k in range(n):
+        url = urls[int(rng.integers(len(urls)))]
+        links = [forms[int(rng.integers(4))].format(rng.choice([urls[int(rng.integers(len(urls)))], "/en/1", "//x.net/q", "4", "https://outside.net/z", "http://outside.edu/y"])) for _ in range(int(rng.choice([0, 0, 1])))]
+        rows.append((k, url + str(rng.choice(["", "#top"])), "<html><link rel=stylesheet href=x.css>" + "".join(links) + "</html>"))
+    rows += [(1000, None, forms[0].format("http://x.net/")), (1001, "no url", forms[0].format("http://x.net/")), (1002, "http://e.info/1", None), (1003, "http://e.info/2", "<link rel=canonical"), (1004, "http://e.info/3", '<link rel="canonical" href="">')]
+    return rows
+
+
+def plain_verdicts(rows):
+    import re
+
+    def parts(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", url or "")
+        return (brute.low(m[1]), m[2], m[3] or "") if m else ("", "", "")
+
+    def name(url):
+        host, path, query = parts(url)
+        return host + (path or "/") + ("?" + query if query else "") if host else None
+
+    parent, decided = {}, {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, url, _ in rows:
+        rule = plain_rule(url)[2]
+        if name(url) and rule:
+            decided.setdefault(name(url), set()).add(rule[1])
+    for _, url, html in rows:
+        host, path, _ = parts(url)
+        tags = re.findall(r"(?is)<link\b[^>]*>|<meta\b[^>]*>", html or "")
+        for t in tags:
+            m = re.search(r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", t) if re.match("(?i)<link", t) and re.search(r"""(?i)rel\s*=\s*["']?canonical""", t) else re.search(r"""(?is)content\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)""", t) if re.search("(?i)http-equiv", t) else None
+            if not m or not name(url):
+                continue
+            to = m[1] if re.match("(?i)[a-z][a-z0-9+.-]*://", m[1]) else "http:" + m[1] if m[1].startswith("//") else f"http://{host}{m[1]}" if m[1].startswith("/") else f"http://{host}{re.sub('[^/]*$', '', path) or '/'}{m[1]}"
+            if name(to):
+                rule = plain_rule(to)[2]
+                if rule:
+                    decided.setdefault(name(to), set()).add(rule[1])
+                parent[root(name(url))] = root(name(to))
+    groups = {}
+    for k, actions in decided.items():
+        groups.setdefault(root(k), set()).update(actions)
+    out = {}
+    for i, url, _ in rows:
+        host, path, rule = plain_rule(url)
+        out[i] = (host, path, rule[0] if rule else None, rule[1] if rule else "block" if name(url) and groups.get(root(name(url))) == {"block"} else "allow")
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_generated_pages_against_brute_force_and_sql(spark, seed):
+    import duckdb
+    import numpy as np
+
+    rows = generated_pages(np.random.default_rng(seed), 120 if seed == 1 else 300)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("rule", F.lit("x"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.query(pages).collect()}
+    want = plain_verdicts(rows)
+    assert got == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert {r[0]: r[1:] for r in con.execute(registry.SQL["op5_url_filters"]).fetchall()} == want
+    free = {i for i, w in want.items() if w[2] is None}
+    assert any(want[i][3] == "block" for i in free) and any(want[i][3] == "allow" for i in free)
+
+
+def test_spellings_are_one_only_if_asked_for(spark):
+    rows = [(1, "http://www.a.com/x?utm_source=1", '<link rel="canonical" href="http://bad.net/p">'), (2, "http://a.com/x/", None), (3, "http://www.a.com/x?utm_source=1#f", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = lambda **k: {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, **k).collect()}
+    assert verdicts() == {1: "block", 2: "allow", 3: "block"} and verdicts(spellings=True) == {1: "block", 2: "block", 3: "block"}
