@@ -1,13 +1,16 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is built, from a bounded sample: at most ``TRAIN_CHARS`` normalised characters of the
-documents with the smallest id hashes. A text is parsed greedily into phrases, each the longest string that occurs in the sample; the language that needs
-fewest phrases a character wins. Whole texts are parsed, in blocks of ``BLOCK`` characters that start a new phrase each; all blocks of a batch
+For each language a suffix automaton of labelled text is built, from a bounded sample: at most ``TRAIN_CHARS`` normalised symbols, or an equal part of ``TOTAL_CHARS`` where
+there are many languages, of the documents with the smallest id hashes; of a document at most its first ``MAX_DOC_CHARS`` characters are learned from. A text is parsed greedily
+into phrases, each the longest string that occurs in the sample. The number of phrases times the logarithm of the sample's size is the cross-parsing estimate of the text's bits: the
+language with the lowest wins. Whole texts are parsed, in blocks of ``BLOCK`` symbols that start a new phrase each; all blocks of a batch
 advance together through a dense transition table.
 
+Letters that are not among the commonest of all samples together are written as ``DIGITS`` symbols, their code point in base 16, so any number of scripts keeps all its letters.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is ``und``;
-ties go to the first language in order; rows with a null language are not learned from; repeated rows are predicted alike.
-The score is the share of the second-best phrase rate in the sum of the best two, doubled and reduced to 0..1.
+ties go to the first language in order; rows with a null language are not learned from; repeated rows are predicted alike; more than ``MAX_LANGUAGES`` labels
+are an error. The score is the share of the second-best estimate in the sum of the best two, doubled and reduced to 0..1.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import fold, small_batches, tidy
 
-TRAIN_CHARS, TRAIN_DOCS, MAX_DOC_CHARS, MAX_LANGUAGES = 30_000, 60, 20_000, 200
-ALPHABET, BLOCK = 48, 2048
-_OTHER = ALPHABET - 1
+TRAIN_CHARS, TOTAL_CHARS, MAX_DOC_CHARS, MAX_LANGUAGES = 30_000, 600_000, 20_000, 8192
+#: Rows of a language that pass the first, rough choice, at least.
+TRAIN_DOCS = 64
+ALPHABET, DIGITS, BLOCK = 64, 5, 2048
+_DIGIT = ALPHABET - 16  # the first of 16 digit symbols
+_WRITTEN = 255
 
 
 def automaton(symbols: list[int]) -> np.ndarray:
@@ -69,7 +75,7 @@ def parsing_table(table: np.ndarray) -> np.ndarray:
 
 
 class Alphabet:
-    """Symbols of characters: 0 for anything but letters, 1.. for the sample's commonest lower-case letters, the last for other letters."""
+    """Symbols of characters: 0 for anything but letters, 1.. for the samples' commonest lower-case letters; other letters are written in digit symbols."""
 
     def __init__(self, texts: list[str]) -> None:
         counts: dict[str, int] = {}
@@ -77,26 +83,38 @@ class Alphabet:
             for ch in t.lower():
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(sorted(counts), key=lambda ch: -counts[ch])[: ALPHABET - 2]
+        letters = sorted(sorted(counts), key=lambda ch: -counts[ch])[: _DIGIT - 1]
         symbol = {ch: i + 1 for i, ch in enumerate(letters)}
-        self.table = np.zeros(0x10000, np.uint8)
+        self.table, self.low = np.zeros(0x10000, np.uint8), np.arange(0x10000, dtype=np.uint32)
         for cp in range(0x10000):
             ch = chr(cp)
             if ch.isalpha():
                 low = ch.lower()
-                self.table[cp] = symbol.get(low, _OTHER)
+                self.table[cp] = symbol.get(low, _WRITTEN)
+                self.low[cp] = ord(low[0])
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols with runs of other characters as one 0, none at the ends."""
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.table[np.minimum(cp, 0xFFFF)]
+        at = np.minimum(cp, 0xFFFF)
+        out, low = self.table[at], self.low[at]
         if len(cp) and int(cp.max()) > 0xFFFF:
             high = cp > 0xFFFF
-            out[high] = [_OTHER if chr(c).isalpha() else 0 for c in cp[high]]
+            out[high] = [_WRITTEN if chr(c).isalpha() else 0 for c in cp[high]]
+            low[high] = cp[high]
         keep = out != 0
         keep[1:] |= out[:-1] != 0
-        out = out[keep]
-        return out[:-1] if len(out) and out[-1] == 0 else out
+        out, low = out[keep], low[keep]
+        if len(out) and out[-1] == 0:
+            out, low = out[:-1], low[:-1]
+        written = out == _WRITTEN
+        if not written.any():
+            return out
+        size = np.where(written, DIGITS, 1)
+        of = np.repeat(np.arange(len(out)), size)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        digits = (low[of] >> (4 * (DIGITS - 1 - place)).astype(np.uint32)) & np.uint32(15)
+        return np.where(written[of], digits + _DIGIT, out[of]).astype(np.uint8)
 
 
 def phrases(streams: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
@@ -126,46 +144,54 @@ def phrases(streams: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, learn: Column) -> tuple[list[str], Alphabet | None, list[np.ndarray]]:
-    """(languages, alphabet, parsing tables) from the bounded sample of rows for which ``learn`` holds."""
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_DOC_CHARS) & F.col("text").rlike(r"\p{L}"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    # Per language a hash threshold that about four times TRAIN_DOCS rows pass, then the smallest hashes of those.
-    share = F.broadcast(sizes).select(F.col("lang"), (F.lit(4.0 * TRAIN_DOCS) / F.col("count")).alias("share"))
-    few = known.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h")).join(share, "lang").filter((F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)))
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= TRAIN_DOCS)
-    rows = few.select("lang", "h", "text").toPandas().sort_values(["lang", "h"])
+def train(docs: DataFrame, learn: Column) -> tuple[list[str], tuple[np.ndarray, np.ndarray] | None, list[np.ndarray], list[float]]:
+    """(languages, alphabet's tables, parsing tables, weights of a phrase) from the bounded sample of rows for which ``learn`` holds."""
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = known.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, MAX_DOC_CHARS).alias("text"))
+    # One row for each language.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not sizes:
+        return [], None, [], []
+    most = min(TRAIN_CHARS, TOTAL_CHARS // len(sizes))
+    # Per language a hash threshold that several times the sample passes, then the smallest hashes of those.
+    share = [(r["lang"], min(1.0, max(4.0 * most / max(r["chars"], 1), TRAIN_DOCS / r["rows"]))) for r in sizes]
+    few = known.join(F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share double")), "lang").filter(F.pmod("h", F.lit(1 << 20)) <= F.col("share") * (1 << 20))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    few = few.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most)
+    rows = few.select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"])
     languages = sorted(rows["lang"].unique().tolist())
-    if not languages:
-        return [], None, []
     alphabet = Alphabet(rows["text"].tolist())
-    tables = []
+    tables, weights = [], []
     for lang in languages:
         symbols: list[int] = []
         for t in rows.loc[rows["lang"] == lang, "text"]:
             symbols += [0, *alphabet.symbols(t).tolist()]
-            if len(symbols) >= TRAIN_CHARS:
+            if len(symbols) >= most:
                 break
-        tables.append(parsing_table(automaton(symbols[:TRAIN_CHARS])))
-    return languages, alphabet, tables
+        symbols = symbols[:most]
+        tables.append(parsing_table(automaton(symbols)))
+        weights.append(float(np.log2(max(2, len(symbols)))))
+    return languages, (alphabet.table, alphabet.low), tables, weights
 
 
-def predict(docs: DataFrame, model: tuple[list[str], Alphabet | None, list[np.ndarray]]) -> DataFrame:
-    """(doc_id, lang_pred, score, phrases_per_char) of each row."""
+def predict(docs: DataFrame, model: tuple[list[str], tuple[np.ndarray, np.ndarray] | None, list[np.ndarray], list[float]]) -> DataFrame:
+    """(doc_id, lang_pred, score, phrases_per_char) of each row; phrases of the best language, a symbol."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((model[0], model[1].table if model[1] else None, model[2]))
+    held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        languages, letters, tables = held.value
+        languages, letters, tables, weights = held.value
         alphabet = Alphabet.__new__(Alphabet)
-        alphabet.table = letters
+        alphabet.table, alphabet.low = letters or (None, None)
         none = np.empty(0, np.uint8)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
             streams = [alphabet.symbols(t) if languages else none for t in texts]
             size = np.array([len(s) for s in streams])
-            rates = phrases(streams, tables) / np.maximum(size, 1)[:, None] if languages else np.ones((len(texts), 1))
+            rates = phrases(streams, tables) * np.array(weights) / np.maximum(size, 1)[:, None] if languages else np.ones((len(texts), 1))
             best = rates.argmin(1) if len(texts) else np.empty(0, int)
             pred, score = [], []
             for j, b in enumerate(best):
@@ -176,7 +202,7 @@ def predict(docs: DataFrame, model: tuple[list[str], Alphabet | None, list[np.nd
                 first, second = np.partition(rates[j], 1)[:2] if len(languages) > 1 else (rates[j, 0], 1.0)
                 pred.append(languages[b])
                 score.append(float(min(1.0, max(0.0, 2 * second / (first + second) - 1))) if first + second > 0 else 0.0)
-            rate = rates[np.arange(len(texts)), best] if len(texts) else np.empty(0)
+            rate = rates[np.arange(len(texts)), best] / (np.array(weights)[best] if languages else 1.0) if len(texts) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "phrases_per_char"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, phrases_per_char double")

@@ -8,7 +8,7 @@ document inside its own row: no shuffle, no join.
 Defined results: a null text has no words, lines or characters; a null or wrong ``lang`` is of no
 matter for a verdict, as a document is compared with every reference and the nearest counts, but one labelled with a language that
 has no reference is not rejected by a divergence; a text
-shorter than the guards is never rejected by a divergence; without any reference nothing is; a text without common words diverges
+shorter than the guards is never rejected by a divergence; without any reference, as without a column ``lang``, nothing is; a text without common words diverges
 like any other: all its words are in the histogram's class of every other word;
 repeated rows are judged each for itself; other columns of the input pass through ``keep_good`` unchanged.
 """
@@ -72,6 +72,8 @@ def _word_counts(common: Column, n: Column) -> Column:
 
 def references(docs: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     """(language, class shares, shares of common words and all others) of each reference language that has labelled text with common words; at most ``len(COMMON_WORDS)`` rows."""
+    if "lang" not in docs.columns:
+        return []
     n_classes, n_words = N_CLASSES, len(_vocabulary()) + 1
     per_doc = docs.select("lang", "text").filter(F.col("lang").isin(*COMMON_WORDS) & F.col("text").isNotNull()).select("lang", "text", words(F.col("text")).alias("ws"), _rest(F.col("text")).alias("rest"))
     per_doc = per_doc.select("lang", _classes(F.col("text"), F.col("rest"), F.length(F.array_join("ws", ""))).alias("c"), _common(F.col("ws")).alias("k"), F.size("ws").alias("n")).select("lang", "c", _word_counts(F.col("k"), F.col("n")).alias("w"))
@@ -150,7 +152,8 @@ def judge(docs: DataFrame, refs: list[tuple[str, list[float], list[float]]] | No
     out = out.withColumns({f"{prefix}class_js": nearest(F.col(f"{p}a")), f"{prefix}word_js": nearest(F.col(f"{p}b")), f"{p}o": (n >= GUARD_WORDS) & ~like_one})
     diverges = ((F.length(text) >= GUARD_CHARS) & (F.col(f"{prefix}class_js") > MAX_CLASS_JS)) | F.col(f"{p}o")
     # A label that names a language without a reference leaves nothing to compare with.
-    diverges = diverges & (F.col("lang").isNull() | F.col("lang").isin(*(r[0] for r in refs)))
+    if "lang" in docs.columns:
+        diverges = diverges & (F.col("lang").isNull() | F.col("lang").isin(*(r[0] for r in refs)))
     out = out.withColumn(f"{prefix}base_failed", (F.col(f"{prefix}n_words") < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{prefix}n_words")))
     # A filter stays above an indeterminate column; pushed down, it would hold a copy of every expression below.
     stays = F.monotonically_increasing_id() >= 0
@@ -167,4 +170,4 @@ RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return judge(docs.select("doc_id", "text", "lang")).select(*RESULT)
+    return judge(docs.select(*(c for c in ("doc_id", "text", "lang") if c in docs.columns))).select(*RESULT)

@@ -343,3 +343,55 @@ def test_quality_scores_against_plain_means(spark):
         assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
     words, pairs = quality_classifier.word_grams("The cat  the CAT\nthe")
     assert words[0] == words[2] == words[4] and words[1] == words[3] and pairs[0] == pairs[2] and len(pairs) == 4
+
+
+def test_many_scripts_long_documents_and_small_samples(spark, monkeypatch):
+    """Languages whose letters are none of the commonest, that only have documents beyond the learned part, or few words, are predicted too."""
+    rng = np.random.default_rng(9)
+    rows, scripts = [], {f"s{k:02d}": [chr(c) for c in range(0x4E00 + 300 * k, 0x4E00 + 300 * k + 60)] for k in range(12)}
+    scripts |= {"high": [chr(c) for c in range(0x10400, 0x10420)], "latin": list("abcdefghij"), "latin2": list("jihgfklmno")}
+    make = lambda letters, n: " ".join("".join(rng.choice(letters, int(rng.integers(2, 6)), p=None)) for _ in range(n))
+    for lang, letters in scripts.items():
+        rows += [(len(rows) + k, make(letters, 60), lang) for k in range(6)]
+    rows += [(900, make([chr(c) for c in range(0x3B1, 0x3C9)], 9000), "long"), (901, "ოთხი სიტყვა", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    new = [(5000 + k, make(letters, 30), lang) for k, (lang, letters) in enumerate(scripts.items())] + [(6000, make([chr(c) for c in range(0x3B1, 0x3C9)], 20), "long"), (6001, "სიტყვა", "few")]
+    for total in (language_id.TOTAL_CHARS, 17 * 400):
+        monkeypatch.setattr(language_id, "TOTAL_CHARS", total)
+        model = language_id.train(docs, F.lit(True))
+        assert model[0] == sorted({lang for _, _, lang in rows}) and max(len(t) for t in model[2]) <= 2 * min(language_id.TRAIN_CHARS, total // 17) + 2
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()}
+        assert got == {d: lang for d, _, lang in new}
+
+
+def test_symbols_write_rare_letters_out():
+    alphabet = language_id.Alphabet(["abc" * 50 + "".join(chr(c) for c in range(0x4E00, 0x4E40))])
+    got = alphabet.symbols(" Ab, \U00010401漢")
+    assert (got[:2] < language_id._DIGIT).all() and got[2] == 0
+    code = lambda part: sum((int(x) - language_id._DIGIT) << (4 * (language_id.DIGITS - 1 - k)) for k, x in enumerate(part))
+    assert code(got[3:8]) == 0x10401 and (code(got[8:]) == 0x6F22 or len(got) == 9)
+
+
+def test_predictions_against_a_plain_parser(spark):
+    """The query's languages are those of a parser that looks phrases up in the sample's text."""
+    rows = [(k, f"{w} garden of number {k} and the house" if k % 2 else f"{w} jardin de nombre {k} et la maison", "en" if k % 2 else "fr") for k, w in enumerate("alpha beta gamma delta kappa sigma theta omega".split())]
+    docs = spark.createDataFrame([*rows, (50, "the house of the garden", None), (51, "la maison et le jardin", None), (52, "", None)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    alphabet = language_id.Alphabet.__new__(language_id.Alphabet)
+    alphabet.table, alphabet.low = model[1]
+    samples = {}
+    known = docs.filter("lang is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").collect()
+    for lang in model[0]:
+        samples[lang] = "".join(chr(x) for r in sorted((r for r in known if r["lang"] == lang), key=lambda r: r["h"]) for x in [0, *alphabet.symbols(r["text"]).tolist()])
+    for r in language_id.predict(docs, model).collect():
+        s = "".join(map(chr, alphabet.symbols({d: t for d, t, _ in [*rows, (50, "the house of the garden", None), (51, "la maison et le jardin", None), (52, "", None)]}[r["doc_id"]])))
+        bits = {}
+        for lang, sample in samples.items():
+            n, at = 0, 0
+            while at < len(s):
+                k = at + 1
+                while k < len(s) and s[at : k + 1] in sample:
+                    k += 1
+                n, at = n + 1, k
+            bits[lang] = n * np.log2(len(sample))
+        assert r["lang_pred"] == (min(sorted(bits), key=bits.get) if s else "und")

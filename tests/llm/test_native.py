@@ -235,3 +235,48 @@ def test_spellings_are_one_only_if_asked_for(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     verdicts = lambda **k: {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, **k).collect()}
     assert verdicts() == {1: "block", 2: "allow", 3: "block"} and verdicts(spellings=True) == {1: "block", 2: "block", 3: "block"}
+
+
+def test_without_a_language_column_only_the_base_judges(spark):
+    docs = docs_of(spark, ODD).drop("lang")
+    assert all(r["kept"] == (not r["base_failed"]) for r in quality_rules.query(docs).collect())
+    assert quality_rules.keep_good(docs).columns == docs.columns
+
+
+def plain_verdict(text, lang, refs):
+    """``kept`` of a text by plain Python."""
+    import math
+    import re
+
+    t = text or ""
+    base = brute.base_counts(t)
+    if base[5]:
+        return False
+    if not refs or (lang is not None and lang not in [r[0] for r in refs]):
+        return True
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        kl = lambda xs: sum(x * math.log2(x / y) for x, y in zip(xs, m, strict=True) if x > 0)
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    ws, vocabulary = brute.WORD.findall(t), sorted({w for v in quality_rules.COMMON_WORDS.values() for w in v})
+    counts = [ws.count(w) for w in vocabulary]
+    shares = [c / len(ws) for c in [*counts, len(ws) - sum(counts)]]
+    plain = [c for c in t if c in "abcdefghijklmnopqrstuvwxyz"]
+    classes = [sum(bool(re.match(p, c)) for c in t) for p in quality_rules.CLASSES.values()]
+    space, wide = sum(c in " \t\n\v\f\r" for c in t), sum(ord(c) > 0x7F for c in t)
+    other = len(t) - sum(classes) - space - wide - len(plain)
+    classes += [other, space, len(t.encode()) - len(t), len(plain) + wide]
+    total = max(sum(classes), 1)
+    near_class = min(js([c / total for c in classes], r[1]) for r in refs)
+    like_one = any(js(shares, r[2]) ** 2 <= quality_rules.max_word_js(r[2]) ** 2 + quality_rules.WORD_NOISE / len(ws) for r in refs)
+    return not ((len(t) >= quality_rules.GUARD_CHARS and near_class > quality_rules.MAX_CLASS_JS) or (len(ws) >= quality_rules.GUARD_WORDS and not like_one))
+
+
+def test_verdicts_against_plain_divergences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(docs_of(spark, ODD).select("doc_id", "text", "lang"))
+    refs = quality_rules.references(docs)
+    got = quality_rules.judge(docs, refs).select("text", "lang", "kept").collect()
+    assert all(r["kept"] == plain_verdict(r["text"], r["lang"], refs) for r in got)
+    assert len({r["kept"] for r in got}) == 2
