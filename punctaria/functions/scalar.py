@@ -43,6 +43,26 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def log_gamma(value: Column) -> Column:
+    """Logarithm of the gamma function for positive values: a series about eight more, then back by the product."""
+    z = value + 8
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    product = F.lit(0.0)
+    for k in range(8):
+        product = product + F.log(value + k)
+    return series - product
+
+
+def poisson_column(k: Column, mean: Column) -> Column:
+    """Poisson probability of k."""
+    return F.exp(k * F.log(mean) - mean - log_gamma(k + 1.0))
+
+
+def negative_binomial_column(k: Column, r: Column, p: Column) -> Column:
+    """Probability of k by the negative binomial distribution whose mean is r * p / (1 - p)."""
+    return F.exp(log_gamma(k + r) - log_gamma(k + 1.0) - log_gamma(r) + r * F.log(1 - p) + k * F.log(p))
+
+
 def poisson_pmf(k: int, mean: float) -> float:
     return math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
 
@@ -51,12 +71,23 @@ def negative_binomial_pmf(k: int, r: float, p: float) -> float:
     return math.exp(math.lgamma(k + r) - math.lgamma(k + 1) - math.lgamma(r) + r * math.log(1 - p) + k * math.log(p))
 
 
-def readable_bytes(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        if n < 1024 or unit == "TB":
-            return f"{n:.1f} {unit}"
-        n /= 1024
-    raise AssertionError
+def readable_bytes(value: Column) -> Column:
+    """A number of bytes with one decimal and its unit."""
+    units = ["B", "KB", "MB", "GB", "TB"]
+    out = F.format_string("%.1f TB", value / 1024.0**4)
+    for k in range(3, -1, -1):
+        out = F.when(value < 1024.0 ** (k + 1), F.format_string(f"%.1f {units[k]}", value / 1024.0**k)).otherwise(out)
+    return out
+
+
+def date_label(moment: Column) -> Column:
+    """A time as a name for files: 20240131_235959."""
+    return F.date_format(moment, "yyyyMMdd_HHmmss")
+
+
+def estimated_seconds(points: Column, square: float, linear: float, constant: float = 0.0) -> Column:
+    """A run-time model: a parabola in the number of points, not below zero."""
+    return F.greatest(F.lit(0.0), points * points * square + points * linear + constant)
 
 
 def padded_id(value: Column, width: int) -> Column:

@@ -5,13 +5,19 @@ Labels are 0, 1, ... in order of the smallest point id of a cluster, and -1 for
 
 from __future__ import annotations
 
+import itertools
+import math
+import time
 from collections.abc import Callable
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .spatial import eps_pairs, knn
+from .storage import delete, written
 
 NOISE = -1
 
@@ -27,10 +33,18 @@ def core_points(pairs: DataFrame, min_samples: float, weights: DataFrame | None
     return degrees(pairs, weights).filter(F.col("degree") >= min_samples).select("pid")
 
 
-def _numbered(component: DataFrame) -> DataFrame:
-    """(pid, label) from (pid, rep): ranks over one row for each cluster."""
-    reps = component.select("rep").distinct().withColumn("label", (F.row_number().over(Window.orderBy("rep")) - 1).cast("int"))
-    return component.join(reps, "rep").select("pid", "label")
+def _numbered(component: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., pid, label) from (by..., pid, rep): ranks of the representatives.
+
+    Representatives are numbered within ranges of their order, which are offset by the ranges before, so that no task holds them all.
+    """
+    reps = component.select(*by, "rep").distinct().repartitionByRange(*by, "rep").sortWithinPartitions(*by, "rep")
+    parts = reps.withColumn("part", F.spark_partition_id()).withColumn("at", F.row_number().over(Window.partitionBy("part", *by).orderBy("rep")))
+    parts = written(parts, "representatives")
+    before = parts.groupBy("part", *by).agg(F.max("at").alias("n"))  # one row for each range (and group)
+    before = before.select("part", *by, (F.sum("n").over(Window.partitionBy(*by).orderBy("part")) - F.col("n")).alias("before"))
+    numbers = parts.join(before, ["part", *by]).select(*by, "rep", (F.col("before") + F.col("at") - 1).cast("int").alias("label"))
+    return component.join(numbers, [*by, "rep"]).select(*by, "pid", "label")
 
 
 def _components_of(core: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -41,35 +55,100 @@ def _components_of(core: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def dbscan_from_pairs(points: DataFrame, pairs: DataFrame, min_samples: float, weights: DataFrame | None = None) -> DataFrame:
-    """(pid, label, is_core)."""
-    core = core_points(pairs, min_samples, weights)
-    labels = _numbered(_components_of(core, pairs))
+    """(pid, label, is_core). Pairs are found once and written."""
+    pairs = written(pairs.select("p", "q"), "eps-pairs")
+    core = written(core_points(pairs, min_samples, weights), "core-points")
+    labels = written(_numbered(_components_of(core, pairs)), "core-labels")
     border = pairs.join(labels.select(F.col("pid").alias("q"), "label"), "q").groupBy(F.col("p").alias("pid")).agg(F.min("label").alias("near"))
     out = points.select("pid").join(labels, "pid", "left").join(border, "pid", "left")
-    return out.select("pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"), F.col("label").isNotNull().alias("is_core"))
+    out = written(out.select("pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"), F.col("label").isNotNull().alias("is_core")), "dbscan")
+    delete(pairs, core, labels)
+    return out
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: float, weights: DataFrame | None = None, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """(pid, label, is_core): a point is core with ``min_samples`` points, or that much weight, within eps, itself included; a border point
-    takes the smallest label of a core point near it."""
-    return dbscan_from_pairs(points, eps_pairs(points, eps, columns=columns), min_samples, weights)
+    takes the smallest label of a core point near it.
+
+    Without weights, points are laid into cells so small that any two of a cell are neighbours. All points of a cell with ``min_samples`` points or more are core, and the core points of a cell
+    are one cluster, so pairs are only made of points in emptier cells, and links only between cells: first of the outermost core points of each, then, between cells that are
+    still apart, of all. What it costs grows with the points, however dense they are.
+    """
+    if eps <= 0:
+        raise ValueError("eps must be positive")
+    if weights is not None:
+        return dbscan_from_pairs(points, eps_pairs(points, eps, columns=columns), min_samples, weights)
+    size = eps / math.sqrt(len(columns)) * (1 - 1e-9)
+    cells = [f"c{i}" for i in range(len(columns))]
+    cell, near = F.struct(*cells), F.struct(*(f"n{i}" for i in range(len(columns))))
+    laid = points.filter(reduce(and_, (F.col(c).isNotNull() for c in columns))).select("pid", *columns, *(F.floor(F.col(c) / size).alias(k) for c, k in zip(columns, cells, strict=True)))
+    full = laid.groupBy(*cells).agg(F.count("*").alias("n"))
+    laid = written(laid.join(full, cells).select("pid", *columns, cell.alias("cell"), (F.col("n") >= min_samples).alias("dense")), "cells")
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Each row once for each cell that can hold a neighbour, named ``near``."""
+        out = rows.select("*", *(F.col(f"cell.{k}").alias(f"n{i}") for i, k in enumerate(cells)))
+        for i in range(len(columns)):
+            out = out.withColumn(f"n{i}", F.explode(F.array(*(F.col(f"n{i}") + o for o in (-2, -1, 0, 1, 2)))))
+        return out.withColumn("near", near).drop(*(f"n{i}" for i in range(len(columns))))
+
+    d2 = reduce(add, ((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in columns))
+    within = (F.col("p.near") == F.col("q.cell")) & (d2 <= eps * eps)
+    # Of the points of emptier cells: how many are near, cell by cell, and in emptier cells which.
+    sparse = around(laid.filter("not dense")).alias("p").join(laid.alias("q"), within)
+    sparse = sparse.groupBy(F.col("p.pid").alias("pid"), F.col("q.cell").alias("cell"), F.col("q.dense").alias("dense")).agg(F.count("*").alias("n"), F.collect_list(F.when(~F.col("q.dense"), F.col("q.pid"))).alias("members"))
+    sparse = written(sparse, "near-cells")
+    more = sparse.groupBy("pid").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("pid")
+    core = laid.filter("dense").select("pid", *columns, "cell").unionByName(laid.filter("not dense").join(more, "pid", "left_semi").select("pid", *columns, "cell"))
+    core = written(core, "core-points")
+
+    # The outermost core points of each cell in 8 directions of every plane, the least pid of equal ones.
+    sides = [*columns, *(f"({a} + {b})" for i, a in enumerate(columns) for b in columns[i + 1 :]), *(f"({a} - {b})" for i, a in enumerate(columns) for b in columns[i + 1 :])]
+    whole = F.struct("pid", *columns)
+    outer = core.groupBy("cell").agg(*(f(F.struct(F.expr(s).alias("s"), whole.alias("w"))).alias(f"{n}{i}") for i, s in enumerate(sides) for n, f in (("lo", F.min), ("hi", F.max))), F.min("pid").alias("rep"))
+    outer = written(outer, "outer-points")
+    some = outer.select("cell", F.explode(F.array_distinct(F.array(*(F.col(f"{n}{i}.w") for i in range(len(sides)) for n in ("lo", "hi"))))).alias("w")).select("cell", "w.*")
+    reps = outer.select("cell", "rep")
+
+    def links(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Cells with a pair of points within eps."""
+        return left.alias("p").join(right.alias("q"), within & (F.col("p.cell") < F.col("q.cell"))).select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b")).distinct()
+
+    first = connected_components(links(around(some), some))
+    group = reps.join(first.select(F.col("id").alias("cell"), "component"), "cell", "left").select("cell", F.coalesce("component", "cell").alias("grp"))
+    group = groups = written(group, "cell-groups")
+    # Cells that lie near one of another group are looked at in full.
+    apart = around(group).alias("p").join(group.alias("q"), (F.col("p.near") == F.col("q.cell")) & (F.col("p.grp") < F.col("q.grp"))).select(F.explode(F.array("p.cell", "q.cell")).alias("cell")).distinct()
+    left = written(core.join(apart, "cell", "left_semi").join(group, "cell"), "open-core")
+    if left.take(1):
+        second = around(left).alias("p").join(left.alias("q"), within & (F.col("p.grp") < F.col("q.grp"))).select(F.col("p.grp").alias("a"), F.col("q.grp").alias("b")).distinct()
+        merged = connected_components(second)
+        group = group.join(merged.select(F.col("id").alias("grp"), "component"), "grp", "left").select("cell", F.coalesce("component", "grp").alias("grp"))
+    # A cluster is called after its smallest pid.
+    named = reps.join(group, "cell")
+    named = named.join(named.groupBy("grp").agg(F.min("rep").alias("least")), "grp").select("cell", F.col("least").alias("rep"))
+    cell_labels = written(_numbered(named.select(F.col("cell").alias("pid"), "rep")).withColumnRenamed("pid", "cell"), "cell-labels")
+    labels = written(core.select("pid", "cell").join(cell_labels, "cell").select("pid", "label"), "core-labels")
+    # Border points: dense cells near them hold core points only, of emptier ones those that are core count.
+    rim = sparse.join(more, "pid", "left_anti")
+    by_cell = rim.filter("dense").join(cell_labels, "cell").select("pid", "label")
+    by_member = rim.filter("not dense").select("pid", F.explode("members").alias("q")).join(labels.withColumnRenamed("pid", "q"), "q").select("pid", "label")
+    border = by_cell.unionByName(by_member).groupBy("pid").agg(F.min("label").alias("near"))
+    out = points.select("pid").join(labels, "pid", "left").join(border, "pid", "left")
+    out = written(out.select("pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"), F.col("label").isNotNull().alias("is_core")), "dbscan")
+    delete(laid, sparse, core, outer, groups, left, cell_labels, labels)
+    return out
 
 
 def k_core(pairs: DataFrame, min_samples: int, max_rounds: int = 1000) -> DataFrame:
     """(pid) of what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is."""
-    spark = pairs.sparkSession
-    from .components import _folder
-
-    folder = _folder(spark)
-    pairs.select("p", "q").write.parquet(f"{folder}/0")
-    now = spark.read.parquet(f"{folder}/0")
+    now = written(pairs.select("p", "q"), "peeled")
     before = now.count()
-    for k in range(1, max_rounds + 1):
+    for _ in range(max_rounds):
         core = core_points(now, min_samples)
-        left = now.join(core.withColumnRenamed("pid", "p"), "p", "left_semi").join(core.withColumnRenamed("pid", "q"), "q", "left_semi").select("p", "q")
-        left.write.parquet(f"{folder}/{k}")
-        now = spark.read.schema(now.schema).parquet(f"{folder}/{k}")
-        n = now.count()
+        left = written(now.join(core.withColumnRenamed("pid", "p"), "p", "left_semi").join(core.withColumnRenamed("pid", "q"), "q", "left_semi").select("p", "q"), "peeled")
+        delete(now)
+        now, n = left, left.count()
         if n == before:
             return now.select(F.col("p").alias("pid")).distinct()
         before = n
@@ -78,8 +157,8 @@ def k_core(pairs: DataFrame, min_samples: int, max_rounds: int = 1000) -> DataFr
 
 def dbscan_loop(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(pid, label): clusters without border points, from which points are peeled until all that is left is core."""
-    pairs = eps_pairs(points, eps)
-    labels = _numbered(_components_of(k_core(pairs, min_samples), pairs))
+    pairs = written(eps_pairs(points, eps).select("p", "q"), "eps-pairs")
+    labels = _numbered(_components_of(written(k_core(pairs, min_samples), "core-points"), pairs))
     return points.select("pid").join(labels, "pid", "left").select("pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label"))
 
 
@@ -106,12 +185,11 @@ def tile_of(points: DataFrame, per_tile: int) -> DataFrame:
 
 def tiled_dbscan(points: DataFrame, per_tile: int, eps: float, min_samples: int) -> DataFrame:
     """(tile, pid, label): each tile clustered by itself, all in one plan. Labels count within a tile."""
-    tiled = tile_of(points, per_tile)
-    pairs = eps_pairs(tiled, eps, by=("tile",))
-    core = core_points(pairs, min_samples)
+    tiled = written(tile_of(points, per_tile), "tiles")
+    pairs = written(eps_pairs(tiled, eps, by=("tile",)).select("p", "q"), "eps-pairs")
+    core = written(core_points(pairs, min_samples), "core-points")
     comp = _components_of(core, pairs).join(tiled.select("pid", "tile"), "pid")
-    reps = comp.select("tile", "rep").distinct().withColumn("label", (F.row_number().over(Window.partitionBy("tile").orderBy("rep")) - 1).cast("int"))
-    labels = comp.join(reps, ["tile", "rep"]).select("pid", "label")
+    labels = _numbered(comp, ("tile",)).select("pid", "label")
     near = pairs.join(labels.select(F.col("pid").alias("q"), "label"), "q").groupBy(F.col("p").alias("pid")).agg(F.min("label").alias("near"))
     out = tiled.select("tile", "pid").join(labels, "pid", "left").join(near, "pid", "left")
     return out.select("tile", "pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"))
@@ -213,59 +291,131 @@ def cluster(points: DataFrame, algorithm: str, **parameters) -> DataFrame:
     return _ALGORITHMS[algorithm](points, **parameters)
 
 
+def timed_cluster(points: DataFrame, algorithm: str, **parameters) -> tuple[DataFrame, float]:
+    """(pid, label), written, and the seconds it took."""
+    began = time.monotonic()
+    labels = written(cluster(points, algorithm, **parameters), "labels")
+    return labels, time.monotonic() - began
+
+
+def _searched(algo: str, one_two_d: str) -> Callable[..., DataFrame]:
+    def run(points: DataFrame, **parameters) -> DataFrame:
+        from .phase import ParameterSearch
+
+        return ParameterSearch(algo=algo, one_two_d=one_two_d, **parameters).fit(points).labels
+
+    return run
+
+
+def staged(points: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFrame], neighbours: int = 10, least: int = 3, by: str | None = None) -> DataFrame:
+    """(pid, label) by stages: nearest neighbours, a classifier of points from them, clusters from those that it calls clustered.
+
+    ``classify`` gets the points and their neighbours (pid, rank, nn_pid, dist) and returns (pid, score, label), label 1 for clustered. A classifier that finds
+    nothing leaves noise.
+    """
+    near = written(knn(points, neighbours), "stage-neighbours")
+    called = classify(points, near)
+    called = called.join(points.select("pid", by), "pid") if by else called
+    formed = club(called, near, by=by, least=least)
+    return points.select("pid").join(formed, "pid", "left").select("pid", F.coalesce("cluster", F.lit(NOISE)).alias("label"))
+
+
+def dense_points(cut: float) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A classifier for ``staged``: clustered are points whose neighbours are on average nearer than ``cut``; the nearer, the higher the score."""
+
+    def run(points: DataFrame, near: DataFrame) -> DataFrame:
+        mean = near.groupBy("pid").agg(F.avg("dist").alias("m"))
+        return points.select("pid").join(mean, "pid", "left").select("pid", F.coalesce(1 / (1 + F.col("m")), F.lit(0.0)).alias("score"), F.coalesce((F.col("m") < cut).cast("int"), F.lit(0)).alias("label"))
+
+    return run
+
+
 register_algorithm("dbscan", lambda points, eps, min_samples: dbscan(points, eps, min_samples).select("pid", "label"))
 register_algorithm("DbscanLoop", dbscan_loop)
 register_algorithm("OPTICS", optics)
+register_algorithm("staged", lambda points, cut, **k: staged(points, dense_points(cut), **k))
+# Searches over one line or the whole grid of settings, with border points or without.
+for _name, _algo, _dims in (("search_line", "dbscan", "oneD"), ("search_line_loop", "DbscanLoop", "oneD"), ("search_grid", "dbscan", "twoD"), ("search_grid_loop", "DbscanLoop", "twoD")):
+    register_algorithm(_name, _searched(_algo, _dims))
 
 
-def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, join_share: float = 0.5) -> DataFrame:
+def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, least: int = 3, crowded: float = 0.95) -> DataFrame:
     """(pid, cluster): clusters formed from points classified as clustered, best scores first.
 
-    ``points`` has pid, score and label (1 clustered). In order of score, then pid, a clustered point joins the cluster that holds most of its clustered neighbours if
-    those are at least ``join_share`` of them, merging smaller clusters among them into it, and else starts one. Sequential by
-    definition: one task for each group of ``by``.
+    ``points`` has pid, score and label (1 clustered), ``neighbours`` pid, rank, nn_pid and, for crowded groups, dist. A clustered point's friends are its nearest neighbours up to the first one that is not
+    clustered. In order of score, then pid, a point with fewer than ``least`` friends stops being clustered, also for those after it; any other gives itself and its friends the best
+    rank that one of them holds, each clustered point holding its own at first. Where more than ``crowded`` of a group's points are clustered, friends end at the first jump in distance that stands out, if more than ``least`` do.
+    Clusters are numbered by their smallest pid. Sequential by definition: one task for each group of ``by``.
     """
     grouped = points if by else points.withColumn("__g", F.lit(0))
     key = by or "__g"
-    lists = neighbours.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("rank", "nn_pid"))).alias("nn"))
-    rows = grouped.join(lists, "pid", "left")
+    columns = [c for c in ("rank", "nn_pid", "dist") if c in neighbours.columns]
+    lists = neighbours.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("nn"))
 
     def run(pdf):
-        clustered = pdf[pdf["label"] == 1].sort_values(["score", "pid"], ascending=[False, True])
-        own: dict[int, int] = {}
-        parent: list[int] = []
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                c = parent[c]
-            return c
-
-        members = set(clustered["pid"])
-        for pid, nn in zip(clustered["pid"], clustered["nn"], strict=True):
-            near = [r["nn_pid"] for r in nn if r["nn_pid"] in members] if nn is not None else []
-            counts: dict[int, int] = {}
-            for q in near:
-                if q in own:
-                    c = root(own[q])
-                    counts[c] = counts.get(c, 0) + 1
-            best = min(counts, key=lambda c: (-counts[c], c)) if counts else None
-            if best is not None and sum(counts.values()) >= join_share * max(1, len(counts)):
-                for c in counts:
-                    parent[max(best, c)] = min(best, c)
-                    best = min(best, c)
-                own[pid] = best
-            else:
-                parent.append(len(parent))
-                own[pid] = len(parent) - 1
-        roots = {p: root(c) for p, c in own.items()}
-        number = {c: i for i, c in enumerate(sorted(set(roots.values()), key=lambda c: min(p for p, r in roots.items() if r == c)))}
-        return pdf[["pid"]].assign(cluster=[number[roots[p]] if p in roots else NOISE for p in pdf["pid"]]).astype({"cluster": "int32"})
-
-    return rows.groupBy(key).applyInPandas(run, "pid long, cluster int")
+        import numpy as np
+
+        queue = pdf[pdf["label"] == 1].sort_values(["score", "pid"], ascending=[False, True])
+        holds = {p: r for r, p in enumerate(queue["pid"])}  # a point's rank; who is not in it is not clustered
+        jumps = len(queue) > crowded * len(pdf)
+        for pid, nn in zip(queue["pid"], queue["nn"], strict=True):
+            friends = list(itertools.takewhile(lambda r: r["nn_pid"] in holds, nn if nn is not None else []))
+            if len(friends) < least:
+                holds.pop(pid, None)
+                continue
+            if jumps and "dist" in columns:
+                steps = np.diff([r["dist"] for r in friends])
+                off = np.abs(steps - np.median(steps))
+                spread = np.median(off)
+                out = np.flatnonzero(off > 5 * spread * spread) if spread else np.empty(0, int)
+                if len(out) > least:
+                    friends = friends[: out[0] + 1]
+            group = [pid, *(r["nn_pid"] for r in friends)]
+            best = min(holds[p] for p in group if p in holds)
+            holds.update((p, best) for p in group)
+        first: dict[int, int] = {}
+        for p, r in holds.items():
+            first[r] = min(p, first.get(r, p))
+        number = {r: k for k, r in enumerate(sorted(first, key=first.get))}
+        return pdf[["pid"]].assign(cluster=[number[holds[p]] if p in holds else NOISE for p in pdf["pid"]]).astype({"cluster": "int32"})
+
+    return grouped.join(lists, "pid", "left").groupBy(key).applyInPandas(run, "pid long, cluster int")
+
+
+def shaped(assignment: DataFrame, neighbours: DataFrame, eroded: bool = True, least: int = 3) -> DataFrame:
+    """(pid, label, piece): points of clusters (pid, label, x, y) by the piece of their cluster's outline that holds them; noise is left out.
+
+    A cluster's outline is the union of discs about its points whose radius is 1.2 times the mean distance to the nearest neighbour, twice that and taken back by once if ``eroded``. Two
+    points are in one piece if their discs meet (for eroded outlines, if the neck between them is left). Clusters of fewer than ``least`` points and pieces of ``least`` points or fewer, where a cluster falls
+    apart, have piece null: their points are demoted.
+    """
+    near = neighbours.filter("rank = 1").select("pid", "dist")
+    rows = assignment.filter("label >= 0").join(near, "pid", "left")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), (1.2 * F.avg("dist")).alias("buffer"))
+    # In units of its own buffer every cluster has the same reach.
+    reach = 2 * math.sqrt(3) if eroded else 2.0
+    unit = F.greatest(F.col("buffer"), F.lit(1e-12))
+    own = written(rows.join(sizes.filter(F.col("n") >= least), "label").select("pid", "label", "n", (F.col("x") / unit).alias("x"), (F.col("y") / unit).alias("y")), "outline-points")
+    links = eps_pairs(own, reach, by=("label",)).filter("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    parts = connected_components(links)
+    pieces = own.select("pid", "label", "n").join(parts.select(F.col("id").alias("pid"), "component"), "pid", "left").withColumn("piece", F.coalesce("component", "pid"))
+    held = pieces.groupBy("label", "piece").agg(F.count("*").alias("held"))
+    pieces = pieces.join(held, ["label", "piece"])
+    keep = (F.col("held") == F.col("n")) | (F.col("held") > least)
+    demoted = assignment.filter("label >= 0").select("pid", "label")
+    return demoted.join(pieces.select("pid", F.when(keep, F.col("piece")).alias("piece")), "pid", "left").select("pid", "label", "piece")
+
+
+def cleaned(pieces: DataFrame) -> DataFrame:
+    """(pid, label, refined): pieces numbered from 1 in order of their smallest pid, 0 and refined 0 for demoted points."""
+    kept = pieces.filter("piece is not null").select("pid", F.col("piece").alias("rep"))
+    numbers = _numbered(kept).select("pid", (F.col("label") + 1).alias("new"))
+    out = pieces.select("pid").join(numbers, "pid", "left")
+    return out.select("pid", F.coalesce("new", F.lit(0)).alias("label"), F.col("new").isNotNull().cast("int").alias("refined"))
 
 
 def hulls(assignment: DataFrame, fewest: int = 3) -> DataFrame:
-    """(label, ring, area, population, cx, cy) of clusters with (label, x, y): convex outlines, an approximation of buffered unions.
+    """(label, ring, area, population, cx, cy) of clusters with (label, x, y): convex outlines.
 
     The outline has every corner of the convex hull, counter-clockwise.
     """

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the session's checkpoint folder. Where neither is set, a temporary folder if one machine runs all; on a cluster
-    executors could not see each other's files there, so that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="punctaria-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from .storage import shared_folder
 
 
 def _folder(spark: SparkSession) -> str:

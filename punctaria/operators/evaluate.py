@@ -94,6 +94,12 @@ def confusion(df: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = (
     return n.select(*by, "tp", "fp", "fn", "tn", F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall_1"), F.try_divide("tn", F.col("tn") + F.col("fp")).alias("recall_0"), F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"))
 
 
+def pooled_confusion(df: DataFrame, truth: str, predicted: str, by: str) -> DataFrame:
+    """``confusion`` of each group and, with a null group, of all rows."""
+    whole = confusion(df, truth, predicted)
+    return confusion(df, truth, predicted, (by,)).unionByName(whole.select(F.lit(None).cast(df.schema[by].dataType).alias(by), "*"))
+
+
 def confusion_shares(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(truth, predicted, share): rows of a confusion matrix as shares."""
     n = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import hashed_rank
+
 # Names of the normalisations.
 NORMALISATIONS = ["Raw-Distances", "Norm-Distances-Only", "Raw-Differences", "Diff-Norm", "Norm-Diff", "Norm-Diffs-Only-NoRescale", "Norm-Self", "Norm-FirstDiff", "Norm-MinDiff", "Norm-MaxDiff", "CoordsOnly"]
 SCALE = 100_000
@@ -92,10 +94,10 @@ def outlier_cut(a: Column) -> Column:
     return F.try_element_at(hit, F.lit(1))
 
 
-def pool(rows: DataFrame, label: str, quotas: dict[str, int], seed: int = 0, key: str = "pid") -> DataFrame:
+def pool(rows: DataFrame, label: str, quotas: dict[str, int], seed: int = 0, key: str = "pid", order: Column | None = None) -> DataFrame:
     """``rows`` with a column part: exact quotas of train, validation and test rows, the same number from each class, the last class absorbing what rounding leaves.
 
-    Order within a class is by a seeded hash, so it is the same on any cluster. Raises if a class is too small.
+    Order within a class is by a seeded hash, or by another number of 64 bits, so it is the same on any cluster. Raises if a class is too small.
     """
     classes = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]  # class labels, few by nature
     have = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
@@ -105,27 +107,25 @@ def pool(rows: DataFrame, label: str, quotas: dict[str, int], seed: int = 0, key
     for c in classes:
         if sum(share[c].values()) > have[c]:
             raise ValueError(f"class {c} has {have[c]} rows where {sum(share[c].values())} are wanted")
-    r = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
     part = F.lit(None).cast("string")
     for c in classes:
         upto = 0
         for p in quotas:
             lo, upto = upto, upto + share[c][p]
             part = F.when((F.col(label) == c) & (F.col("__r") > lo) & (F.col("__r") <= upto), F.lit(p)).otherwise(part)
-    return rows.withColumn("__r", r).withColumn("part", part).filter("part is not null").drop("__r")
+    return hashed_rank(rows, (label,), key, seed, order=order).withColumn("part", part).filter("part is not null").select(*rows.columns, "part")
 
 
-def stratified_folds(rows: DataFrame, label: str, k: int = 10, seed: int = 270879, key: str = "pid") -> DataFrame:
+def stratified_folds(rows: DataFrame, label: str, k: int = 10, seed: int = 270879, key: str = "pid", order: Column | None = None) -> DataFrame:
     """``rows`` with a fold 0..k-1 such that each class is spread evenly."""
-    r = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return rows.withColumn("fold", ((r - 1) % k).cast("int"))
+    return hashed_rank(rows, (label,), key, seed, order=order).withColumn("fold", ((F.col("__r") - 1) % k).cast("int")).select(*rows.columns, "fold")
 
 
-def sample_rows(rows: DataFrame, most: int | None = None, fraction: float | None = None, seed: int = 0, key: str = "pid") -> DataFrame:
+def sample_rows(rows: DataFrame, most: int | None = None, fraction: float | None = None, seed: int = 0, key: str = "pid", order: Column | None = None) -> DataFrame:
     """A random subset without replacement; all rows if there are few enough."""
     if most is None:
         most = int(rows.count() * fraction)
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
+    return hashed_rank(rows, (), key, seed, order=order).filter(F.col("__r") <= most).select(*rows.columns)
 
 
 def leading_class(neighbours: DataFrame, classes: DataFrame) -> DataFrame:

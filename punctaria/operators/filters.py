@@ -112,6 +112,19 @@ def n_nearest(points: DataFrame, x0: float, y0: float, n: int) -> DataFrame:
     return points.withColumn("d", d).join(F.broadcast(far)).filter(F.col("d") < F.col("r")).drop("r")
 
 
+def define_window(inside: DataFrame, outside: DataFrame, centres: tuple[tuple[float, float], tuple[float, float]], n: int) -> tuple[DataFrame, str]:
+    """About ``n`` points around a centre of each of two sets: (pid, x, y, type), and the settings as JSON."""
+    import json
+
+    parts = [n_nearest(p, *c, n).select("pid", "x", "y", F.lit(k).alias("type")) for p, c, k in zip((inside, outside), centres, ("incell", "outcell"), strict=True)]
+    return parts[0].unionByName(parts[1]), json.dumps({"n": n, "incell": list(centres[0]), "outcell": list(centres[1])}, sort_keys=True)
+
+
+def large_clusters(info: DataFrame, criterion: str, least: float, strictly: bool = False) -> DataFrame:
+    """Clusters whose criterion is at least, or more than, a limit."""
+    return info.filter(F.col(criterion) > least if strictly else F.col(criterion) >= least)
+
+
 def first_occurrence(points: DataFrame, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Without later copies of a point; the smallest pid stays."""
     first = points.groupBy(*columns).agg(F.min("pid").alias("pid")).select("pid")

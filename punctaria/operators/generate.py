@@ -163,8 +163,10 @@ def scenario_densities(grid: DataFrame) -> DataFrame:
 
 
 def valid_scenarios(grid: DataFrame, cpm: tuple[float, float], ratio: tuple[float, float]) -> DataFrame:
-    """Scenarios whose clusters fit and whose numbers lie strictly within the limits."""
+    """Scenarios whose clusters fit and whose numbers lie strictly within the limits; where the grid has radius_min and radius_max, the first has to be smaller."""
     d = scenario_densities(grid)
+    if {"radius_min", "radius_max"} <= set(grid.columns):
+        d = d.filter(F.col("radius_min") < F.col("radius_max"))
     return d.filter((F.col("clustered_area") < F.col("side") * F.col("side")) & (F.col("cpm") > cpm[0]) & (F.col("cpm") < cpm[1]) & (F.col("density_ratio") > ratio[0]) & (F.col("density_ratio") < ratio[1]))
 
 
@@ -201,11 +203,68 @@ def simulated_cells(grid: DataFrame, replicates: int, gaussian: bool = False, ji
     return inside.unionByName(placed.filter(far).select("sc", "rep", "x", "y", F.lit(0).alias("cluster"), F.lit(0).alias("label")))
 
 
+def sprinkled(spark: SparkSession, ring: list[tuple[float, float]], n: int, seed: int = 0, fuzz: float = 0.0, spacing: float = 0.0) -> DataFrame:
+    """(pid, x, y): n points of complete spatial randomness in a polygon, distinct ones, fewer only if the polygon has no area.
+
+    Candidates are uniform in the bounding box, by hashes of their number, a few rounds more of them than the areas' ratio asks for; those inside the polygon are numbered and the first n taken. ``fuzz`` then moves
+    each by a normal step of that size. With ``spacing``, a candidate with a smaller number within it is passed over, so there may be fewer than n.
+    """
+    from .ranks import ranked
+    from .spatial import in_ring, range_pairs
+
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    x0, y0, w, h = min(xs), min(ys), max(xs) - min(xs), max(ys) - min(ys)
+    closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+    area = abs(sum(a * d - c * b for (a, b), (c, d) in zip(closed, closed[1:], strict=False))) / 2
+    if not area:
+        return spark.createDataFrame([], "pid long, x double, y double")
+    tries = int(n * w * h / area * 1.2 + 50 + 6 * math.sqrt(n * w * h / area))
+    made = spark.range(tries).select("id", (F.lit(x0) + uniform("id", F.lit(seed), F.lit("x")) * w).alias("x"), (F.lit(y0) + uniform("id", F.lit(seed), F.lit("y")) * h).alias("y"))
+    inside = made.filter(in_ring(F.col("x"), F.col("y"), ring)).groupBy("x", "y").agg(F.min("id").alias("pid"))
+    if spacing > 0:
+        crowd = range_pairs(inside, inside, spacing).filter("p > q").select(F.col("p").alias("pid")).distinct()
+        inside = inside.join(crowd, "pid", "left_anti")
+    out = ranked(inside, "pid", name="n").filter(F.col("n") < n)
+    step = lambda c: F.col(c) + normal("n", F.lit(seed), F.lit(c)) * fuzz if fuzz else F.col(c)
+    return out.select(F.col("n").alias("pid"), step("x").alias("x"), step("y").alias("y"))
+
+
+def depleted(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
+    """Points without those within a radius of a centre."""
+    from .spatial import far_from
+
+    return far_from(points, centres, radius)
+
+
+def spaced_seeds(spark: SparkSession, ring: list[tuple[float, float]], n: int, radius: float, seed: int = 0) -> DataFrame:
+    """(pid, x, y): cluster centres in a polygon, 2.2 radii or more from one another."""
+    return sprinkled(spark, ring, n, seed, spacing=2.2 * radius)
+
+
 def ground_truth(cells: DataFrame) -> DataFrame:
     """Counts for each scenario and replicate."""
     return cells.groupBy("sc", "rep").agg(F.count("*").alias("points"), F.count_if(F.col("label") == 1).alias("clustered"), F.countDistinct(F.when(F.col("label") == 1, F.col("cluster"))).alias("clusters"), F.try_divide(F.count_if(F.col("label") == 1), F.count("*")).alias("share_clustered"))
 
 
+def truth_table(cells: DataFrame, grid: DataFrame, cell_area: float | None = None) -> DataFrame:
+    """The 16 numbers of each simulated cell: what its scenario (sc, points, share_clustered, per_cluster, radius, side) asked for and what it got. Lengths in nanometres, areas in square micrometres; ``cell_area`` is
+    that of the cell, the whole image without it."""
+    d = scenario_densities(grid)
+    whole = F.col("side") * F.col("side") * 1e-6
+    area = whole if cell_area is None else F.lit(float(cell_area))
+    asked = d.select(
+        "sc", (F.col("points") / whole).alias("points_per_um2"), F.col("per_cluster").alias("points_per_cluster"), (F.col("share_clustered") * 100).alias("percent_clustered_target"),
+        F.col("radius").alias("radius_min"), F.col("radius").alias("radius_max"), (F.col("clusters") / whole).alias("clusters_per_um2"), area.alias("cell_area_um2"), whole.alias("__whole"),
+    )
+    got = ground_truth(cells).withColumnRenamed("points", "total_points")
+    j = asked.join(got, "sc")
+    return j.select(
+        F.col("sc").alias("file_uid"), "points_per_um2", "points_per_cluster", "percent_clustered_target", "radius_min", "radius_max", "clusters_per_um2", F.col("rep").alias("cell_repeat"),
+        F.col("clusters").alias("cluster_count"), (F.col("clusters") / F.col("cell_area_um2")).alias("clusters_per_um2_actual"), (F.col("share_clustered") * 100).alias("percent_clustered"), "total_points",
+        F.col("clustered").alias("total_clustered_points"), "cell_area_um2", (F.col("total_points") / F.col("cell_area_um2")).alias("points_per_um2_in_roi"), (F.col("total_points") / F.col("__whole")).alias("points_per_um2_in_image"),
+    )
+
+
 def cell_outline(seed: int = 0, knots: int = 50, size: float = 20.0, points: int = 400) -> list[tuple[float, float]]:
     """A closed smooth outline through random radii: periodic cubic interpolation between them."""
     import numpy as np

@@ -76,6 +76,23 @@ def gaussian(image: DataFrame, nx: int, ny: int, sigma: float) -> DataFrame:
     return image.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, "ix int, iy int, v double")
 
 
+def autocorrelation(image: DataFrame, nx: int, ny: int) -> DataFrame:
+    """(dx, dy, v): circular autocorrelation of a dense image by its Fourier transform, 1 for the image's square of the mean; one task, as for ``gaussian``."""
+    if nx * ny > MAX_PIXELS:
+        raise ValueError(f"more than {MAX_PIXELS} pixels")
+
+    def run(pdf):
+        a = np.zeros((nx, ny))
+        a[pdf["ix"], pdf["iy"]] = pdf["v"]
+        power = np.abs(np.fft.fft2(a)) ** 2
+        level = a.mean() ** 2 * a.size
+        g = np.fft.ifft2(power).real / (level if level else 1.0)
+        ix, iy = np.indices(a.shape)
+        return pd.DataFrame({"dx": ix.ravel().astype("int32"), "dy": iy.ravel().astype("int32"), "v": g.ravel()})
+
+    return image.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, "dx int, dy int, v double")
+
+
 def otsu_threshold(image: DataFrame, bins: int = 256) -> float:
     """Threshold that separates a dense image's values best into two classes: largest between-class variance over histogram cuts."""
     row = image.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()

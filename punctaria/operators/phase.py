@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .clustering import NOISE
+from .clustering import NOISE, _numbered
 from .components import connected_components
 from .spatial import eps_pairs, knn
+from .storage import delete, written
 
 
 def log_grid(low: float, high: float, n: int) -> list[float]:
@@ -32,60 +33,139 @@ def grid(spark: SparkSession, sigmas: list[float], thresholds: list[int]) -> Dat
     return spark.createDataFrame(rows, "idx int, sigma double, threshold int")
 
 
+#: A block of the local part of ``phase_assignment`` is this many times the largest sigma wide.
+BLOCK_SIGMAS = 8
+
+
 def phase_assignment(points: DataFrame, cells: list[tuple[int, float, int]], noise_free: bool = False) -> DataFrame:
     """(idx, pid, label) of all cells (idx, sigma, threshold) of a grid.
 
-    Pairs are found once, at the largest sigma, and kept with their distance: each sigma is then a filter. All cells run as one graph whose nodes are
-    (idx, pid), so the number of jobs does not grow with the grid.
+    Pairs are found once, at the largest sigma, and kept with the first sigma that holds them. A point has one level for each sigma: the number of thresholds that it is core at, which are
+    always the smallest ones; counting neighbours gives it, and for the noise-free variant repeating that over neighbours of at least the same level, all cells in the same rounds. The
+    clusters of all thresholds of a sigma are then found in one go from high levels to low: within blocks of space first, in a task each, then over the pairs between blocks, whose
+    ends are block clusters by then.
     """
     spark = points.sparkSession
-    from .components import _folder
-
-    folder = _folder(spark)
-    eps_pairs(points, max(s for _, s, _ in cells)).write.parquet(f"{folder}/pairs")
-    pairs = spark.read.parquet(f"{folder}/pairs")
-    near = pairs.join(_cells(spark, cells), F.col("d2") <= F.col("sigma") * F.col("sigma")).select("idx", "p", "q", "d2", "threshold")
+    sigmas, thresholds = sorted({s for _, s, _ in cells}), sorted({t for _, _, t in cells})
+    at = {(s, t): i for i, s, t in cells}
+    side = F.lit(float(max(sigmas)) * BLOCK_SIGMAS)
+    block = F.struct(F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"))
+    first = sum(((F.col("d2") > s * s).cast("int") for s in sigmas), F.lit(0)).cast("byte")
+    pairs = written(eps_pairs(points, max(sigmas)).filter("p < q").select("p", "q", "d2", first.alias("s0")), "pairs")
+    both = pairs.select("p", "q", "s0").unionAll(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"), "s0"))
+    counts = both.groupBy(F.col("p").alias("pid")).agg(F.array(*(F.count_if(F.col("s0") <= i) + 1 for i in range(len(sigmas)))).alias("n"))
+    level = lambda n: sum(((n >= t).cast("int") for t in thresholds), F.lit(0)).cast("byte")
+    alone = F.array(*(F.lit(1) for _ in sigmas))
+    levels = points.select("pid", block.alias("block")).join(counts, "pid", "left").select("pid", "block", F.transform(F.coalesce("n", alone), level).alias("v"))
+    levels = written(levels, "levels")
     if noise_free:
-        core = _k_cores(near)
-    else:
-        core = near.groupBy("idx", F.col("p").alias("pid"), "threshold").agg(F.count("*").alias("n")).filter("n >= threshold").select("idx", "pid")
-    core.write.parquet(f"{folder}/core")
-    core = spark.read.parquet(f"{folder}/core")
-    # Nodes order by pid within a cell: a pair of numbers as one.
-    key = lambda c: F.struct("idx", c)
-    inside = near.filter("p < q").join(core.withColumnRenamed("pid", "p"), ["idx", "p"], "left_semi").join(core.withColumnRenamed("pid", "q"), ["idx", "q"], "left_semi")
-    parts = connected_components(inside.select(F.struct("idx", F.col("p").alias("pid")).alias("a"), F.struct("idx", F.col("q").alias("pid")).alias("b")))
-    reps = core.join(parts.select(F.col("id.idx").alias("idx"), F.col("id.pid").alias("pid"), F.col("component.pid").alias("rep")), ["idx", "pid"], "left").withColumn("rep", F.coalesce("rep", "pid"))
-    numbers = reps.select("idx", "rep").distinct().withColumn("label", (F.row_number().over(Window.partitionBy("idx").orderBy("rep")) - 1).cast("int"))
-    labels = reps.join(numbers, ["idx", "rep"]).select("idx", "pid", "label")
+        levels = _settled_levels(levels, both, sigmas, thresholds)
+    vp = levels.select(F.col("pid").alias("p"), F.col("block").alias("bp"), F.col("v").alias("vp"))
+    vq = levels.select(F.col("pid").alias("q"), F.col("block").alias("bq"), F.col("v").alias("vq"))
+    ends = written(pairs.select("p", "q", "s0").join(vp, "p").join(vq, "q"), "pair-levels")
+    itself = levels.select(F.col("pid").alias("p"), F.col("pid").alias("q"), F.lit(0).cast("byte").alias("s0"), F.col("v").alias("vp"), F.col("v").alias("vq"), "block").filter(F.exists("v", lambda x: x > 0))
+    inner = ends.filter("bp = bq").select("p", "q", "s0", "vp", "vq", F.col("bp").alias("block")).unionAll(itself)
+    held = spark.sparkContext.broadcast((len(sigmas), thresholds, {(si, ti): at[s, t] for si, s in enumerate(sigmas) for ti, t in enumerate(thresholds) if (s, t) in at}))
+    local = written(inner.groupBy("block").applyInPandas(lambda pdf: _block_clusters(pdf, *held.value), "idx int, pid long, rep long"), "block-clusters")
+    # Between blocks: each cell in which both ends are core.
+    table = [F.struct(F.lit(i).alias("idx"), F.lit(sigmas.index(s)).alias("s"), F.lit(thresholds.index(t) + 1).alias("t")) for i, s, t in cells]
+    shared = F.filter(F.array(*table), lambda c: (c["s"] >= F.col("s0")) & (F.get("vp", c["s"]) >= c["t"]) & (F.get("vq", c["s"]) >= c["t"]))
+    across = ends.filter("bp != bq").select("p", "q", F.explode(F.transform(shared, lambda c: c["idx"])).alias("idx"))
+    across = across.join(local.select("idx", F.col("pid").alias("p"), F.col("rep").alias("rp")), ["idx", "p"]).join(local.select("idx", F.col("pid").alias("q"), F.col("rep").alias("rq")), ["idx", "q"])
+    across = across.select(F.struct("idx", F.col("rp").alias("rep")).alias("a"), F.struct("idx", F.col("rq").alias("rep")).alias("b")).distinct()
+    joined = connected_components(across).select(F.col("id.idx").alias("idx"), F.col("id.rep").alias("rep"), F.col("component.rep").alias("least"))
+    reps = local.join(joined, ["idx", "rep"], "left").select("idx", "pid", F.coalesce("least", "rep").alias("rep"))
+    labels = _numbered(reps, ("idx",))
     everyone = points.select("pid").join(F.broadcast(_cells(spark, cells).select("idx")))
     out = everyone.join(labels, ["idx", "pid"], "left")
-    if noise_free:
-        return out.select("idx", "pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label"))
-    border = near.join(labels.select("idx", F.col("pid").alias("q"), "label"), ["idx", "q"]).groupBy("idx", F.col("p").alias("pid")).agg(F.min("label").alias("near"))
-    return out.join(border, ["idx", "pid"], "left").select("idx", "pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"))
-
-
-def _k_cores(near: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(idx, pid) of the k-cores of all cells, peeled in the same rounds."""
-    spark = near.sparkSession
-    from .components import _folder
-
-    folder, before = _folder(spark), None
-    now = near.select("idx", "p", "q", "threshold")
-    for k in range(max_rounds):
-        now.write.parquet(f"{folder}/{k}")
-        now = spark.read.schema(now.schema).parquet(f"{folder}/{k}")
-        if k > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-        n = now.count()
-        if n == before:
-            return now.select("idx", F.col("p").alias("pid")).distinct()
-        before = n
-        core = now.groupBy("idx", "p", "threshold").agg(F.count("*").alias("n")).filter("n >= threshold").select("idx", "p")
-        now = now.join(core, ["idx", "p"], "left_semi").join(core.withColumnRenamed("p", "q"), ["idx", "q"], "left_semi").select("idx", "p", "q", "threshold")
-    raise RuntimeError(f"peeling did not settle in {max_rounds} rounds")
+    if not noise_free:
+        labels = written(labels, "core-labels")
+        near = F.filter(F.array(*table), lambda c: (c["s"] >= F.col("s0")) & (F.get("vp", c["s"]) < c["t"]) & (F.get("vq", c["s"]) >= c["t"]))
+        ways = ends.select("p", "q", "s0", "vp", "vq").unionAll(ends.select(F.col("q").alias("p"), F.col("p").alias("q"), "s0", F.col("vq").alias("vp"), F.col("vp").alias("vq")))
+        rim = ways.select("p", "q", F.explode(F.transform(near, lambda c: c["idx"])).alias("idx"))
+        border = rim.join(labels.select("idx", F.col("pid").alias("q"), "label"), ["idx", "q"]).groupBy("idx", F.col("p").alias("pid")).agg(F.min("label").alias("near"))
+        out = everyone.join(labels, ["idx", "pid"], "left").join(border, ["idx", "pid"], "left").withColumn("label", F.coalesce("label", "near"))
+    out = written(out.select("idx", "pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label")), "assignment")
+    delete(pairs, levels, ends, local, labels)
+    return out
+
+
+def _settled_levels(levels: DataFrame, both: DataFrame, sigmas: list[float], thresholds: list[int], max_rounds: int = 1000) -> DataFrame:
+    """Levels at which points stay core among the points of at least their level: what is left of each cell when points that are not core are dropped until all are.
+
+    Each round a point takes the highest level that enough of its neighbours have too; levels only fall, and where none does they are those of the peeled graphs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    need, kind = np.array(thresholds), levels.schema["block"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            pids, blocks, own, lists = batch.columns
+            n = len(pids)
+            v = own.flatten().to_numpy().reshape(n, len(sigmas))
+            members = lists.flatten()
+            size = np.diff(lists.offsets.to_numpy())
+            new = np.zeros_like(v)
+            if len(members):
+                s0, theirs = (members.field(k) for k in ("s0", "v"))
+                theirs = theirs.flatten().to_numpy().reshape(len(members), len(sigmas))
+                theirs = np.where(s0.to_numpy()[:, None] <= np.arange(len(sigmas))[None], theirs, 0)
+                some = np.flatnonzero(size)
+                begin = (np.cumsum(size) - size)[some]
+            for j, t in enumerate(need):
+                count = np.ones(v.shape, np.int64)
+                if len(members):
+                    count[some] += np.add.reduceat((theirs > j).astype(np.int64), begin, axis=0)
+                new += ((count >= t) & (v > j)).astype(new.dtype)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(sigmas), pa.int32()), pa.array(new.ravel(), pa.int8()))
+            yield pa.RecordBatch.from_arrays([pids, blocks, flat, pa.array((new != v).any(1))], ["pid", "block", "v", "changed"])
+
+    now = levels
+    for _ in range(max_rounds):
+        told = both.join(now.select(F.col("pid").alias("q"), "v"), "q").groupBy(F.col("p").alias("pid")).agg(F.collect_list(F.struct("s0", "v")).alias("near"))
+        empty = F.array().cast(told.schema["near"].dataType)
+        rows = now.select("pid", "block", "v").join(told, "pid", "left").select("pid", "block", "v", F.coalesce("near", empty).alias("near"))
+        new = written(rows.mapInArrow(run, f"pid long, block {kind}, v array<tinyint>, changed boolean"), "levels")
+        delete(now)
+        now = new
+        if not now.filter("changed").take(1):
+            return now
+    raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
+
+
+def _block_clusters(pdf, n_sigmas: int, thresholds: list[int], idx_of: dict):
+    """(idx, pid, rep) of the core points of a block in each cell: the smallest pid that they reach within the block."""
+    import numpy as np
+    import pandas as pd
+
+    ids, codes = np.unique(np.concatenate([pdf["p"].to_numpy(), pdf["q"].to_numpy()]), return_inverse=True)
+    p, q = np.split(codes, 2)
+    vp, vq = (np.array(pdf[c].tolist(), np.int8).reshape(len(pdf), n_sigmas) for c in ("vp", "vq"))
+    s0, own = pdf["s0"].to_numpy(), p == q
+    out = []
+    for s in range(n_sigmas):
+        level = np.zeros(len(ids), np.int8)
+        level[p[own]] = vp[own, s]
+        weight = np.where((s0 <= s) & ~own, np.minimum(vp[:, s], vq[:, s]), 0)
+        rep = np.arange(len(ids))
+        for j in range(len(thresholds), 0, -1):  # edges of high levels hold at all lower ones
+            here = weight == j
+            a, b = p[here], q[here]
+            while len(a):
+                x, y = rep[a], rep[b]
+                apart = x != y
+                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+                if not len(a):
+                    break
+                np.minimum.at(rep, np.maximum(x, y), np.minimum(x, y))
+                while (rep[rep] != rep).any():
+                    rep = rep[rep]
+            core = np.flatnonzero(level >= j)
+            if (s, j - 1) in idx_of and len(core):
+                out.append(pd.DataFrame({"idx": np.full(len(core), idx_of[s, j - 1], np.int32), "pid": ids[core], "rep": ids[rep[core]]}))
+    return pd.concat(out) if out else pd.DataFrame({"idx": np.empty(0, np.int32), "pid": np.empty(0, np.int64), "rep": np.empty(0, np.int64)})
 
 
 def _cells(spark: SparkSession, cells: list[tuple[int, float, int]]) -> DataFrame:
@@ -106,14 +186,44 @@ def cluster_info(cells: DataFrame, assignment: DataFrame, kind: str) -> DataFram
 
 
 def overlaps(assignment: DataFrame) -> DataFrame:
-    """(i, a, j, b, n, na, nb): clusters of different clusterings with common points."""
-    sizes = assignment.filter("label >= 0").groupBy("idx", "label").agg(F.count("*").alias("n"))
-    one = assignment.filter("label >= 0")
-    two = one.select(F.col("idx").alias("j"), F.col("label").alias("b"), "pid")
-    met = one.select(F.col("idx").alias("i"), F.col("label").alias("a"), "pid").join(two, "pid").filter("i != j").groupBy("i", "a", "j", "b").agg(F.count("*").alias("n"))
+    """(i, a, j, b, n, na, nb): clusters of different clusterings with common points.
+
+    A point's labels meet as one array; batches of points count all pairs of clusterings together, so only counts are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    named = assignment.filter("label >= 0")
+    sizes = written(named.groupBy("idx", "label").agg(F.count("*").alias("n")), "cluster-sizes")
+    lists = named.groupBy("pid").agg(F.collect_list(F.struct("idx", "label")).alias("l")).select("l")
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column(0)
+            size, flat = np.diff(cells.offsets.to_numpy()), cells.flatten()
+            idx, label = (flat.field(k).to_numpy() for k in ("idx", "label"))
+            known, column = np.unique(idx, return_inverse=True)
+            table = np.full((len(size), len(known)), -1, np.int64)
+            table[np.repeat(np.arange(len(size)), size), column] = label
+            table, times = np.unique(table, axis=0, return_counts=True)  # points that agree everywhere count together
+            most = int(table.max(initial=0)) + 1
+            for i in range(len(known)):
+                rows = np.flatnonzero(table[:, i] >= 0)
+                parts = []
+                for j in range(i + 1, len(known)):
+                    both = rows[table[rows, j] >= 0]
+                    keys, place = np.unique(table[both, i] * most + table[both, j], return_inverse=True)
+                    if len(keys):
+                        parts.append((keys // most, np.full(len(keys), known[j]), keys % most, np.bincount(place, times[both])))
+                if parts:
+                    a, j, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), known[i]), pa.int32()), pa.array(a, pa.int32()), pa.array(j, pa.int32()), pa.array(b, pa.int32()), pa.array(n.astype(np.int64))], ["i", "a", "j", "b", "n"])
+
+    met = lists.mapInArrow(run, "i int, a int, j int, b int, n long").groupBy("i", "a", "j", "b").agg(F.sum("n").alias("n"))
     na = sizes.select(F.col("idx").alias("i"), F.col("label").alias("a"), F.col("n").alias("na"))
     nb = sizes.select(F.col("idx").alias("j"), F.col("label").alias("b"), F.col("n").alias("nb"))
-    return met.join(na, ["i", "a"]).join(nb, ["j", "b"])
+    met = met.join(na, ["i", "a"]).join(nb, ["j", "b"]).select("i", "a", "j", "b", "n", "na", "nb")
+    return met.unionAll(met.select(F.col("j").alias("i"), F.col("b").alias("a"), F.col("i").alias("j"), F.col("a").alias("b"), "n", F.col("nb").alias("na"), F.col("na").alias("nb")))
 
 
 def half_of_both(share: float = 0.5) -> Column:
@@ -121,15 +231,19 @@ def half_of_both(share: float = 0.5) -> Column:
     return (F.col("n") > share * F.col("na")) & (F.col("n") > share * F.col("nb"))
 
 
+def _scores(assignment: DataFrame, similar: DataFrame) -> DataFrame:
+    """(idx, label, similarityScore) from similar clusters (i, a, j)."""
+    per = similar.groupBy(F.col("i").alias("idx"), F.col("a").alias("label")).agg(F.countDistinct("j").alias("similarityScore"))
+    every = assignment.filter("label >= 0").select("idx", "label").distinct()
+    return every.join(per, ["idx", "label"], "left").na.fill(0, ["similarityScore"])
+
+
 def similarity(assignment: DataFrame, predicate: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores of clusters (idx, label, similarityScore) and of clusterings (idx, similarityScore).
 
     A cluster scores one for each other clustering that has a similar cluster; a clustering the sum of its clusters'.
     """
-    good = overlaps(assignment).filter(half_of_both() if predicate is None else predicate)
-    per = good.groupBy(F.col("i").alias("idx"), F.col("a").alias("label")).agg(F.countDistinct("j").alias("similarityScore"))
-    all_clusters = assignment.filter("label >= 0").select("idx", "label").distinct()
-    scores = all_clusters.join(per, ["idx", "label"], "left").na.fill(0, ["similarityScore"])
+    scores = _scores(assignment, overlaps(assignment).filter(half_of_both() if predicate is None else predicate))
     return scores, scores.groupBy("idx").agg(F.sum("similarityScore").alias("similarityScore"))
 
 
@@ -167,37 +281,94 @@ def select_threshold(optima: DataFrame, score: str = "similarityScore", cut: flo
     return scaled.orderBy(F.desc(below.cast("int")), F.when(below, F.col("threshold")).otherwise(-F.col("threshold"))).limit(1)
 
 
-class Finder:
-    """Clusters with parameters chosen by how well clusters persist over a grid of parameters."""
+class ParameterSearch:
+    """Clusters with parameters chosen by how well clusters persist over a grid of parameters.
 
-    def __init__(self, algo: str = "DbscanLoop", points_per_dimension: int = 15, thresholds: tuple[int, int] = (5, 20), log_sigmas: bool = True, log_thresholds: bool = False, neighbour: int = 10, quantiles: tuple[float, float] = (0.1, 0.9)) -> None:
-        self.algo, self.n, self.thresholds = algo, points_per_dimension, thresholds
+    ``algo`` is ``dbscan`` or ``DbscanLoop`` (noise-free). The grid has ``points_per_dimension`` sigmas and as many thresholds within ``minmax_threshold``, which are whole numbers; sigmas lie between quantiles of the
+    distance to the neighbour of rank ``neighbour`` (``adaptive_sigma_boundaries``), or between given ``sigma_boundaries``. ``similarity_score_computation`` is ``threshold``: clusters are similar that share more than
+    ``threshold`` of both, or a column of its own over ``overlaps``. ``one_two_d`` is ``oneD``: selection along the line of optima, or ``twoD``: the most similar clustering of the whole grid.
+    """
+
+    def __init__(self, algo: str = "DbscanLoop", one_two_d: str = "oneD", similarity_score_computation: str | Column = "threshold", threshold: float = 0.5, points_per_dimension: int = 15, minmax_threshold: tuple[int, int] = (5, 20), log_sigmas: bool = True, log_thresholds: bool = False, adaptive_sigma_boundaries: bool = True, sigma_boundaries: tuple[float, float] | None = None, neighbour: int = 10, quantiles: tuple[float, float] = (0.1, 0.9)) -> None:
+        if algo not in ("dbscan", "DbscanLoop"):
+            raise ValueError(f"unknown algorithm {algo}")
+        if one_two_d not in ("oneD", "twoD"):
+            raise ValueError(f"one_two_d is oneD or twoD, not {one_two_d}")
+        if isinstance(similarity_score_computation, str) and similarity_score_computation != "threshold":
+            raise ValueError(f"unknown similarity {similarity_score_computation}")
+        if not adaptive_sigma_boundaries and sigma_boundaries is None:
+            raise ValueError("sigma_boundaries are needed where they are not adaptive")
+        self.algo, self.n, self.minmax_threshold, self.one_two_d = algo, points_per_dimension, minmax_threshold, one_two_d
         self.log_sigmas, self.log_thresholds, self.neighbour, self.quantiles = log_sigmas, log_thresholds, neighbour, quantiles
+        self.sigma_boundaries = None if adaptive_sigma_boundaries else sigma_boundaries
+        self.predicate = half_of_both(threshold) if isinstance(similarity_score_computation, str) else similarity_score_computation
 
     def settings(self, points: DataFrame) -> list[tuple[int, float, int]]:
-        lo, hi = sigma_bounds(points, self.neighbour, *self.quantiles)
+        """(idx, sigma, threshold), sigma-major."""
+        lo, hi = self.sigma_boundaries or sigma_bounds(points, self.neighbour, *self.quantiles)
         lo = max(lo, 1e-9)
-        sigmas = log_grid(lo, hi, self.n) if self.log_sigmas else [lo + (hi - lo) * k / max(1, self.n - 1) for k in range(self.n)]
-        a, b = self.thresholds
-        raw = log_grid(a, b, self.n) if self.log_thresholds else [a + (b - a) * k / max(1, self.n - 1) for k in range(self.n)]
-        thresholds = sorted({round(t) for t in raw})
+        even = lambda a, b: [a + (b - a) * k / max(1, self.n - 1) for k in range(self.n)]
+        sigmas = log_grid(lo, hi, self.n) if self.log_sigmas else sorted(set(even(lo, hi)))
+        thresholds = sorted({round(t) for t in (log_grid if self.log_thresholds else lambda a, b, n: even(a, b))(*self.minmax_threshold, self.n)})
         return [(i * len(thresholds) + j, s, t) for i, s in enumerate(sigmas) for j, t in enumerate(thresholds)]
 
-    def fit(self, points: DataFrame, grid_from: DataFrame | None = None, skip_similarity: bool = False):
+    def fit(self, points: DataFrame, grid_from: DataFrame | None = None, skip_similarity: bool = False, kind: str = "incell") -> ParameterSearch:
+        """Cluster over the whole grid, whose sigmas come from ``grid_from`` if given. Without similarity nothing is selected."""
         spark = points.sparkSession
-        self.cells = self.settings(points if grid_from is None else grid_from)
+        self.points, self.cells = points, self.settings(points if grid_from is None else grid_from)
         table = spark.createDataFrame(self.cells, "idx int, sigma double, threshold int")
         self.assignment = phase_assignment(points, self.cells, noise_free=self.algo == "DbscanLoop")
         self.phasespace = phase_space(table, self.assignment)
-        self.cluster_info = cluster_info(table, self.assignment, "incell")
-        if not skip_similarity:
-            _, total = similarity(self.assignment)
-            self.phasespace = self.phasespace.join(total, "idx", "left").na.fill(0, ["similarityScore"])
-            self.optima = line_of_optima(self.phasespace, "threshold", "similarityScore")
-            self.selected = select_threshold(self.optima)
-            self.labels = self.assignment.join(self.selected.select("idx"), "idx", "left_semi").select("pid", "label")
+        info = cluster_info(table, self.assignment, kind)
+        if skip_similarity:
+            self.cluster_info = info
+            return self
+        self.similar = written(overlaps(self.assignment).filter(self.predicate).select("i", "a", "j"), "similar-clusters")
+        scores = _scores(self.assignment, self.similar)
+        total = scores.groupBy("idx").agg(F.sum("similarityScore").alias("similarityScore"))
+        self.cluster_info = info.join(scores.select(F.col("idx").alias("index"), F.col("label").alias("labels"), "similarityScore"), ["index", "labels"])
+        self.phasespace = written(self.phasespace.join(total, "idx", "left").na.fill(0, ["similarityScore"]), "phase-space")
+        self.optima = line_of_optima(self.phasespace, "threshold", "similarityScore")
+        self.selected = select_threshold(self.optima) if self.one_two_d == "oneD" else best_row(self.phasespace, "similarityScore")
+        self.labels = self.assignment.join(F.broadcast(self.selected.select("idx")), "idx", "left_semi").select("pid", "label")
         return self
 
+    def selected_parameters(self) -> dict:
+        row = self.selected.first()
+        return {"sigma": row["sigma"], "threshold": row["threshold"]}
+
+    def compute_clusters(self, sigma: float, threshold: int, points: DataFrame | None = None) -> DataFrame:
+        """(pid, label) at one setting, of the fitted points or of others."""
+        points = self.points if points is None else points
+        return phase_assignment(points, [(0, float(sigma), int(threshold))], noise_free=self.algo == "DbscanLoop").select("pid", "label")
+
+    def similarity_matrix(self) -> DataFrame:
+        """(i, j, score): number of clusters of i that have a similar one in j."""
+        return self.similar.groupBy("i", "j").agg(F.countDistinct("a").alias("score"))
+
+    def score_distribution(self, idx: int) -> DataFrame:
+        """(pid, label, similarityScore) of the points of one clustering: how often a point's cluster is found elsewhere; 0 for noise."""
+        scores = self.cluster_info.filter(F.col("index") == idx).select(F.col("labels").alias("label"), "similarityScore")
+        return self.assignment.filter(F.col("idx") == idx).join(F.broadcast(scores), "label", "left").select("pid", "label", F.coalesce("similarityScore", F.lit(0)).alias("similarityScore"))
+
+
+def in_and_out_cell(inside: DataFrame, outside: DataFrame, search: ParameterSearch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phase spaces of a region and of a reference region on the same grid, that of the region, joined by setting.
+
+    Returns (idx, sigma, threshold, no_clusters, no_points_clustered, similarityScore, no_clusters_ref, no_points_clustered_ref), the cluster infos of both with their
+    type, and the assignments of both (idx, pid, label, type).
+    """
+    search.fit(inside)
+    ref = ParameterSearch.__new__(ParameterSearch)
+    ref.__dict__.update({k: v for k, v in search.__dict__.items() if k in ("algo", "predicate", "one_two_d")})
+    ref.settings = lambda points: search.cells
+    ref.fit(outside, skip_similarity=True, kind="outcell")
+    other = ref.phasespace.select("sigma", "threshold", F.col("no_clusters").alias("no_clusters_ref"), F.col("no_points_clustered").alias("no_points_clustered_ref"))
+    joined = search.phasespace.join(other, ["sigma", "threshold"]).select("idx", "sigma", "threshold", "no_clusters", "no_points_clustered", "similarityScore", "no_clusters_ref", "no_points_clustered_ref")
+    info = search.cluster_info.unionByName(ref.cluster_info, allowMissingColumns=True)
+    labels = search.assignment.withColumn("type", F.lit("incell")).unionByName(ref.assignment.withColumn("type", F.lit("outcell")))
+    return joined, info, labels
+
 
 def optimal_t(info: DataFrame, criterion: str, fewest: int = 10, rate: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., T, score, n_in, n_out): the value of in-cell clusters above which they stand out most against out-cell ones.

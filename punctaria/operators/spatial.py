@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import delete, written
+
 
 def _cells(columns: tuple[str, ...], size: float) -> list[Column]:
     return [F.floor(F.col(c) / size).alias(f"__c_{c}") for c in columns]
@@ -49,51 +52,124 @@ def far_from(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
     return left.join(near, "pid", "left_anti")
 
 
-def knn(points: DataFrame, k: int, columns: tuple[str, ...] = ("x", "y"), targets: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
+#: A grid cell of the first round holds no more targets than this many times k, if cells can be cut that far.
+CELL_SHARE = 16
+
+
+def _cell_width(near: DataFrame, k: int, columns: tuple[str, ...], width: float) -> float:
+    """A width at which the fullest cell holds few targets: halved until it does, or stops getting emptier."""
+    limit = CELL_SHARE * (k + 1)
+    for _ in range(8):
+        most = near.groupBy(*_cells(columns, width)).count().agg(F.max("count")).first()[0] or 0
+        if most <= limit:
+            break
+        width /= 2 ** max(1, math.ceil(math.log2(most / limit) / len(columns)))
+    return width
+
+
+def knn(points: DataFrame, k: int, columns: tuple[str, ...] = ("x", "y"), targets: DataFrame | None = None, max_rounds: int = 80) -> DataFrame:
     """Exact (pid, rank, nn_pid, dist), ranks 1..k, without the point itself; fewer rows where there are fewer points.
 
-    Grid cells sized for about k points; points whose k-th neighbour lies within one cell's width are done, the others go on with cells
-    twice as wide. Ties go to the smaller pid.
+    Of targets in one place only the k + 1 smallest pids can be among anyone's k, so others are left out. Grid cells are as narrow as the fullest
+    one needs; points whose k-th neighbour lies within one cell's width are done, the others go on with cells twice as wide, each round written. Ties go to the smaller pid.
     """
-    targets = points if targets is None else targets
-    row = targets.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in columns), *(F.max(c).alias(f"hi_{c}") for c in columns)).first()
+    same = targets is None
+    near = (points if same else targets).select("pid", *columns)
+    near = near.withColumn("__r", F.row_number().over(Window.partitionBy(*columns).orderBy("pid"))).filter(F.col("__r") <= k + 1).drop("__r")
+    all_targets = points if same else targets
+    row = all_targets.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in columns), *(F.max(c).alias(f"hi_{c}") for c in columns)).first()
     n = row["n"]
+    near = written(near, "knn-targets")
+    todo = points.select("pid", *columns)
+    if n > k:
+        todo = todo.withColumn("__want", F.lit(k))
+    else:  # a point that is a target itself has one neighbour less
+        own = all_targets.select("pid", F.lit(1).alias("__own"))
+        todo = todo.join(own, "pid", "left").select("pid", *columns, (F.lit(n) - F.coalesce("__own", F.lit(0))).alias("__want"))
+    todo = written(todo.filter("__want > 0"), "knn-open")
     spans = [float(row[f"hi_{c}"] or 0) - float(row[f"lo_{c}"] or 0) for c in columns]
+    far = todo.agg(*(F.min(c) for c in columns), *(F.max(c) for c in columns)).first()
+    d = len(columns)
+    reach = max([1e-9, *(max(float(far[d + i]), float(row[f"hi_{c}"])) - min(float(far[i]), float(row[f"lo_{c}"])) for i, c in enumerate(columns) if far[i] is not None and row[f"lo_{c}"] is not None)])
     volume = 1.0
     for s in spans:
         volume *= max(s, 1e-12)
-    width = max((volume * max(k, 1) / max(n, 1)) ** (1 / len(columns)), max(spans) * 1e-6, 1e-9)
-    widest = max(max(spans), 1e-9) * 2
-    want = F.least(F.lit(k), F.lit(max(n - 1, 0)))
-    todo, parts = points, []
+    width = max((volume * max(k, 1) / max(n, 1)) ** (1 / d), max(spans) * 1e-6, 1e-9)
+    width = max(_cell_width(near, k, columns, width), reach * 1e-9)
+    parts, rounds = [], [todo]
     order = Window.partitionBy("p").orderBy("d2", "q")
     for _ in range(max_rounds):
-        last = width >= widest
-        found = range_pairs(todo, targets, width, columns=columns).filter("p != q").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        found = found.select(F.col("p").alias("pid"), "rank", F.col("q").alias("nn_pid"), F.sqrt("d2").alias("dist"))
+        last = width > reach * math.sqrt(d)  # no distance is longer
+        found = range_pairs(todo, near, width, columns=columns).filter("p != q").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = written(found.select(F.col("p").alias("pid"), "rank", F.col("q").alias("nn_pid"), F.sqrt("d2").alias("dist")), "knn-round")
         if last:
             parts.append(found)
+            rounds.append(found)
             break
-        done = found.groupBy("pid").count().filter(F.col("count") >= want).select("pid")
+        counted = found.groupBy("pid").count()
+        done = counted.filter(F.col("count") >= k) if n > k else counted.join(todo.select("pid", "__want"), "pid").filter(F.col("count") >= F.col("__want"))
+        done = done.select("pid")
         parts.append(found.join(done, "pid", "left_semi"))
-        todo = todo.join(done, "pid", "left_anti").checkpoint() if _has_checkpoint(todo) else todo.join(done, "pid", "left_anti")
+        todo = written(todo.join(done, "pid", "left_anti"), "knn-open")
+        rounds += [found, todo]
         if not todo.take(1):
             break
         width *= 2
-    return reduce(DataFrame.unionByName, parts)
+    out = written(reduce(DataFrame.unionByName, parts), "knn")
+    delete(near, *rounds)
+    return out
+
 
+def neighbour_ranks(points: DataFrame, closest: int, furthest: int, columns: tuple[str, ...] = ("x", "y"), targets: DataFrame | None = None) -> DataFrame:
+    """(pid, rank, nn_pid, dist) for every point and rank from ``closest`` to ``furthest``; nulls where there are fewer neighbours."""
+    near = knn(points, furthest, columns, targets).filter(F.col("rank") >= closest)
+    every = points.select("pid", F.explode(F.sequence(F.lit(closest), F.lit(furthest))).alias("rank"))
+    return every.join(near, ["pid", "rank"], "left")
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+
+#: Rows of a block of query vectors; one block is broadcast at a time, whatever their number.
+QUERY_BLOCK = 2000
 
 
 def knn_vectors(vectors: DataFrame, k: int, queries: DataFrame) -> DataFrame:
     """Exact (pid, rank, nn_pid, dist) of stated query vectors (pid, v) against all vectors.
 
-    The queries, a bounded set, meet every vector in blocks; each task keeps the k best of a query it has seen.
+    Queries meet the vectors in blocks of a fixed size, each with a pass over the vectors; a batch of vectors gives only the k best of each query on.
     """
-    dist = F.aggregate(F.zip_with("p.v", "q.v", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.alias("q").join(F.broadcast(queries.alias("p")), F.col("p.pid") != F.col("q.pid")).select(F.col("p.pid").alias("pid"), F.col("q.pid").alias("nn_pid"), dist.alias("d2"))
+    import numpy as np
+    import pandas as pd
+
+    asked = queries.select("pid", "v")
+    n = asked.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    kind = vectors.schema["pid"].dataType.simpleString()
+    parts = []
+    for b in range(blocks):
+        block = (asked.filter(F.pmod(F.xxhash64("pid"), F.lit(blocks)) == b) if blocks > 1 else asked).toPandas()
+        if not len(block) and blocks > 1:
+            continue
+        held = vectors.sparkSession.sparkContext.broadcast((block["pid"].to_numpy(), np.array(block["v"].tolist(), float).reshape(len(block), -1)))
+
+        def nearest(batches, held=held):
+            pids, asked = held.value
+            for batch in batches:
+                if not len(batch) or not len(pids):
+                    continue
+                own, v = batch["pid"].to_numpy(), np.array(batch["v"].tolist(), float)
+                square = (v * v).sum(1)
+                for at in range(0, len(pids), 256):  # of 256 queries at a time: a matter of memory
+                    some = asked[at : at + 256]
+                    rough = (some * some).sum(1)[:, None] + square[None] - 2 * some @ v.T
+                    rough[pids[at : at + 256, None] == own[None]] = np.inf
+                    most = min(k, len(own))
+                    # Distances by products are rounded; candidates have some room and are measured again.
+                    cut = np.partition(rough, most - 1, 1)[:, most - 1]
+                    room = 1e-9 * (1 + (some * some).sum(1) + square.max())
+                    i, j = np.nonzero((rough <= (cut + room)[:, None]) & np.isfinite(rough))
+                    yield pd.DataFrame({"pid": pids[at + i], "nn_pid": own[j], "d2": ((some[i] - v[j]) ** 2).sum(1)})
+
+        parts.append(vectors.select("pid", "v").mapInPandas(nearest, f"pid {kind}, nn_pid {kind}, d2 double"))
+    pairs = reduce(DataFrame.unionAll, parts)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "nn_pid"))).filter(F.col("rank") <= k)
     return ranked.select("pid", "rank", "nn_pid", F.sqrt("d2").alias("dist"))
 
@@ -155,6 +231,16 @@ def ring_area(ring: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def ring_centroid(ring: Column) -> Column:
+    """Struct x, y: the centre of a ring's area, or the mean of its corners where it has none."""
+    n = F.size(ring)
+    cross = lambda i: ring[i]["x"] * ring[(i + 1) % n]["y"] - ring[(i + 1) % n]["x"] * ring[i]["y"]
+    total = lambda f: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + f(i))
+    twice = total(cross)
+    part = lambda c: F.coalesce(F.try_divide(total(lambda i: (ring[i][c] + ring[(i + 1) % n][c]) * cross(i)), 3 * twice), F.try_divide(total(lambda i: ring[i][c]), n))
+    return F.struct(part("x").alias("x"), part("y").alias("y"))
+
+
 def hull(points):
     """Corners of the convex hull of an array of points (n, 2), counter-clockwise, without points on its edges."""
     import numpy as np

@@ -118,11 +118,24 @@ def series_ratios(results: DataFrame) -> DataFrame:
     return results.select("var_1", "var_2", "algo", F.try_divide("true_positives", "N_clusters").alias("true_positives_ratio"), F.try_divide("false_positives", "N_clusters").alias("false_positives_ratio"))
 
 
-def roi_statistics(points: DataFrame, membership: DataFrame, areas: DataFrame) -> DataFrame:
-    """For each ROI (roi, area): points, clustered points, their share, clusters, densities, median cluster population. ``membership`` is (pid, roi)."""
+def roi_statistics(points: DataFrame, membership: DataFrame, areas: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """For each ROI (roi, area): points, clustered points, their share, clusters, densities, median cluster population. ``membership`` is (pid, roi).
+
+    With ``shapes`` (label, area, population) of clusters also the medians of the area and the density of the clusters that have points in it.
+    """
     inside = membership.join(points, "pid")
     sizes = inside.filter("label >= 0").groupBy("roi", "label").agg(F.count("*").alias("n"))
     clusters = sizes.groupBy("roi").agg(F.count("*").alias("clusters"), F.median("n").alias("median_points"))
     counts = inside.groupBy("roi").agg(F.count("*").alias("points"), F.count_if(F.col("label") >= 0).alias("clustered"))
     out = areas.join(counts, "roi", "left").join(clusters, "roi", "left").na.fill(0, ["points", "clustered", "clusters"])
-    return out.select("roi", "area", "points", "clustered", F.try_divide("clustered", "points").alias("clustered_share"), "clusters", F.try_divide("points", "area").alias("points_per_area"), F.try_divide("clusters", "area").alias("clusters_per_area"), "median_points")
+    more = []
+    if shapes is not None:
+        known = sizes.join(with_shapes(shapes), "label").groupBy("roi").agg(F.median("cluster_area").alias("median_area"), F.median("cluster_density").alias("median_density"))
+        out, more = out.join(known, "roi", "left"), ["median_area", "median_density"]
+    return out.select("roi", "area", "points", "clustered", F.try_divide("clustered", "points").alias("clustered_share"), "clusters", F.try_divide("points", "area").alias("points_per_area"), F.try_divide("clusters", "area").alias("clusters_per_area"), "median_points", *more)
+
+
+def with_shapes(shapes: DataFrame, assignment: DataFrame | None = None) -> DataFrame:
+    """(label, cluster_area, cluster_population, cluster_density), joined to the points of an assignment by label if given."""
+    known = shapes.select("label", F.col("area").alias("cluster_area"), F.col("population").alias("cluster_population"), F.try_divide("population", F.nullif(F.col("area"), F.lit(0.0))).alias("cluster_density"))
+    return known if assignment is None else assignment.join(known, "label", "left")

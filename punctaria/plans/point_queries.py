@@ -138,7 +138,12 @@ def dbscan_weighted(spark, sf_dir):
     return clustering.dbscan(p, EPS, 8.0, weights=p.select("pid", ((F.col("pid") % 3) - 0.5).alias("weight")))
 
 
-@query()
+#: Points that are left after peeling: each round drops those with too few neighbours left; the rounds are more than any of the tables needs.
+PEELED = f"{PAIRS}, peel(k, pid) AS (SELECT 0, pid FROM points UNION ALL SELECT l.k + 1, l.pid FROM peel l JOIN pairs ON pairs.p = l.pid JOIN peel m ON m.pid = pairs.q WHERE l.k < 40 GROUP BY l.k, l.pid HAVING count(*) >= 20), core AS (SELECT pid FROM peel WHERE k = 40)"
+LOOP = REACH.replace(CORE, PEELED)
+
+
+@query(f"WITH RECURSIVE {LOOP} SELECT p.pid, CAST(coalesce(n.label, -1) AS INTEGER) AS label FROM points p LEFT JOIN numbers n USING (pid)")
 def dbscan_loop_labels(spark, sf_dir):
     return clustering.dbscan_loop(points(spark, sf_dir), EPS, MIN_SAMPLES)
 
@@ -163,16 +168,15 @@ def optics_tiles(spark, sf_dir):
 def cluster_club(spark, sf_dir):
     p = points(spark, sf_dir)
     tiled = clustering.tile_of(p, 2000).withColumn("score", 1 / (1 + F.col("x"))).withColumn("label", (F.col("x") < 30).cast("int"))
-    near = spatial.eps_pairs(tiled, EPS, by=("tile",)).filter("p != q").select(F.col("p").alias("pid"), F.row_number().over(Window.partitionBy("p").orderBy("d2", "q")).alias("rank"), F.col("q").alias("nn_pid")).filter("rank <= 20")
+    near = spatial.eps_pairs(tiled, EPS, by=("tile",)).filter("p != q").select(F.col("p").alias("pid"), F.row_number().over(Window.partitionBy("p").orderBy("d2", "q")).alias("rank"), F.col("q").alias("nn_pid"), F.sqrt("d2").alias("dist")).filter("rank <= 20")
     return clustering.club(tiled.select("pid", "score", "label", "tile"), near, by="tile")
 
 
 @query(f"WITH RECURSIVE {REACH}, own AS (SELECT label FROM dbscan WHERE label >= 0 AND pid = (SELECT min(pid) FROM core)) SELECT pid FROM dbscan WHERE label = (SELECT label FROM own)")
 def cluster_of_one_point(spark, sf_dir):
     p = points(spark, sf_dir)
-    labels = clustering.dbscan(p, EPS, MIN_SAMPLES)
-    first = labels.filter("is_core").orderBy("pid").limit(1).select("label")
-    return labels.join(F.broadcast(first), "label", "left_semi").select("pid")
+    first = clustering.core_points(spatial.eps_pairs(p, EPS), MIN_SAMPLES).agg(F.min("pid")).first()[0]
+    return clustering.cluster_of(p, EPS, MIN_SAMPLES, -1 if first is None else first)
 
 
 @query(f"WITH RECURSIVE {REACH}, s AS (SELECT label, count(*) AS n FROM dbscan GROUP BY label) SELECT pid, CASE WHEN n > 40 THEN label ELSE -1 END AS label FROM dbscan JOIN s USING (label)")
@@ -258,8 +262,11 @@ def points_in_polygon(spark, sf_dir):
     return p.filter(spatial.in_ring(F.col("x"), F.col("y"), RING)).select("pid")
 
 
+ROI_RINGS = [("a", RING), ("b", [(0.0, 0.0), (40.0, 0.0), (40.0, 150.0), (0.0, 150.0), (0.0, 0.0)]), ("c", [(500.0, 5.0), (600.0, 5.0), (600.0, 9.0), (500.0, 5.0)])]
+
+
 def _rois(spark):
-    rows = [("a", RING), ("b", [(0.0, 0.0), (40.0, 0.0), (40.0, 150.0), (0.0, 150.0), (0.0, 0.0)]), ("c", [(500.0, 5.0), (600.0, 5.0), (600.0, 9.0), (500.0, 5.0)])]
+    rows = ROI_RINGS
     return spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in ring]) for k, ring in rows], "roi string, ring array<struct<x double, y double>>")
 
 
@@ -274,12 +281,24 @@ def roi_statistics(spark, sf_dir):
     return s.select("roi", R("area", 6).alias("area"), "points", "clustered", R("clustered_share", 6).alias("clustered_share"), "clusters", R("points_per_area", 6).alias("points_per_area"), R("median_points", 6).alias("median_points"))
 
 
-@query("SELECT 'b' AS roi, 'outer' AS \"outer\"")
+CORNERS = "v(roi, i, x, y) AS (VALUES " + ", ".join(f"('{k}', {i}, {x}e0, {y}e0)" for k, ring in ROI_RINGS for i, (x, y) in enumerate(ring)) + ")"
+
+
+@query(f"WITH {CORNERS} SELECT roi, 'outer' AS \"outer\" FROM v GROUP BY roi HAVING bool_and(x > -1 AND x < 80 AND y > -1 AND y < 160)")
 def polygons_within_polygon(spark, sf_dir):
     outer = spark.createDataFrame([("outer", [{"x": x, "y": y} for x, y in [(-1.0, -1.0), (80.0, -1.0), (80.0, 160.0), (-1.0, 160.0), (-1.0, -1.0)]])], "roi string, ring array<struct<x double, y double>>")
     return spatial.rings_within(_rois(spark), outer)
 
 
+@query(
+    f"WITH {CORNERS}, e AS (SELECT roi, x, y, lead(x, 1, first_x) OVER w AS x2, lead(y, 1, first_y) OVER w AS y2 FROM (SELECT *, first_value(x) OVER (PARTITION BY roi ORDER BY i) AS first_x, first_value(y) OVER (PARTITION BY roi ORDER BY i) AS first_y FROM v) WINDOW w AS (PARTITION BY roi ORDER BY i)) "
+    "SELECT roi, round(sum((x + x2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cy FROM e GROUP BY roi"
+)
+def ring_centroids(spark, sf_dir):
+    c = _rois(spark).select("roi", spatial.ring_centroid(F.col("ring")).alias("c"))
+    return c.select("roi", R("c.x", 6).alias("cx"), R("c.y", 6).alias("cy"))
+
+
 BIN = "CAST(least(floor((x - 0e0) / (200e0 / 50)), 49) AS INTEGER) AS ix, CAST(least(floor((y - 0e0) / (480e0 / 60)), 59) AS INTEGER) AS iy"
 IMG = f"{POINTS}, img AS (SELECT {BIN}, CAST(count(*) AS DOUBLE) AS v FROM points WHERE x BETWEEN 0 AND 200 AND y BETWEEN 0 AND 480 GROUP BY 1, 2)"
 BOUNDS = (0.0, 200.0, 0.0, 480.0)
@@ -396,23 +415,8 @@ CELLS = [(i * 2 + j, s, t) for i, s in enumerate((2.0, 3.0, 4.0)) for j, t in en
 
 
 @query()
-def phase_space(spark, sf_dir):
-    p = points(spark, sf_dir)
-    cells = spark.createDataFrame(CELLS, "idx int, sigma double, threshold int")
-    return phase.phase_space(cells, phase.phase_assignment(p, CELLS))
-
-
-@query()
-def phase_similarity(spark, sf_dir):
-    p = points(spark, sf_dir)
-    a = phase.phase_assignment(p, CELLS)
-    scores, _ = phase.similarity(a)
-    return scores
-
-
-@query()
-def finder_selection(spark, sf_dir):
-    return phase.Finder().fit(points(spark, sf_dir)).selected.select("idx", R("sigma", 6).alias("sigma"), "threshold", "similarityScore")
+def parameter_selection(spark, sf_dir):
+    return phase.ParameterSearch().fit(points(spark, sf_dir)).selected.select("idx", R("sigma", 6).alias("sigma"), "threshold", "similarityScore")
 
 
 @query(f"WITH {LABELLED} SELECT pid, label, 'incell' AS type FROM labelled WHERE y < 240 UNION ALL SELECT pid, label, 'outcell' FROM labelled WHERE y >= 240")

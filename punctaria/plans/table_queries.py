@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from punctaria.functions import scalar
 from punctaria.operators import evaluate, features, filters, generate, ml, phase, stats
+from punctaria.operators.ranks import ranked
 from punctaria.streaming import windowed_statistics
 
 from .catalog import query
@@ -200,21 +200,30 @@ def class_counts(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT label, 20 AS n_train, 5 AS n_test FROM (SELECT DISTINCT label FROM embeddings)")
+# An order that SQL can give too: the first 60 bits of a digest.
+SHUFFLED = "CAST('0x' || substr(md5('s' || CAST({0} AS VARCHAR)), 1, 15) AS BIGINT)"
+EMBEDDED = f"SELECT vec_id AS pid, label, row_number() OVER (PARTITION BY label ORDER BY {SHUFFLED.format('vec_id')}, vec_id) AS r FROM embeddings"
+
+
+def _shuffled(key):
+    return F.conv(F.substring(F.md5(F.concat(F.lit("s"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+@query(f"SELECT pid, label, CASE WHEN r <= 20 THEN 'train' ELSE 'test' END AS part FROM ({EMBEDDED}) WHERE r <= 25")
 def training_pool(spark, sf_dir):
-    p = features.pool(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label"), "label", {"train": 200, "test": 50})
-    return p.groupBy("label").agg(F.count_if(F.col("part") == "train").cast("int").alias("n_train"), F.count_if(F.col("part") == "test").cast("int").alias("n_test"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label")
+    return features.pool(e, "label", {"train": 200, "test": 50}, order=_shuffled("pid"))
 
 
-@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, CAST(f AS INTEGER) AS fold, CAST(n // 10 + CASE WHEN f < n % 10 THEN 1 ELSE 0 END AS BIGINT) AS n FROM n, range(10) r(f)")
+@query(f"SELECT pid, label, CAST((r - 1) % 10 AS INTEGER) AS fold FROM ({EMBEDDED})")
 def stratified_folds(spark, sf_dir):
-    f = features.stratified_folds(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label"), "label")
-    return f.groupBy("label", "fold").agg(F.count("*").alias("n"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), "label")
+    return features.stratified_folds(e, "label", order=_shuffled("pid"))
 
 
-@query(f"WITH {POINTS} SELECT count(*) // 4 AS n FROM points")
+@query(f"WITH {POINTS} SELECT pid, x FROM points ORDER BY {SHUFFLED.format('pid')}, pid LIMIT (SELECT count(*) // 4 FROM points)")
 def random_subset(spark, sf_dir):
-    return features.sample_rows(points(spark, sf_dir), fraction=0.25).agg(F.count("*").alias("n"))
+    return features.sample_rows(points(spark, sf_dir), fraction=0.25, order=_shuffled("pid")).select("pid", "x")
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS label FROM embeddings")
@@ -280,13 +289,12 @@ def overlay_reference(spark, sf_dir):
     return generate.overlay(p.filter("x < 5"), p.filter("x >= 5"))
 
 
-T = "t AS (SELECT CAST(event_id % 12 AS INTEGER) AS tid, value % 5 AS x, CAST((user_id * 7) % 5 AS DOUBLE) AS y FROM events WHERE event_id < 600)"
+T = "t AS (SELECT CAST(event_id % 12 AS INTEGER) AS tid, value % 5 AS x, CAST((user_id * 7) % 5 AS DOUBLE) AS y FROM events)"
 
 
 @query(f"WITH {T} SELECT a.tid, round(sqrt(max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS diameter FROM t a JOIN t b USING (tid) GROUP BY a.tid")
 def template_diameters(spark, sf_dir):
-    # The points that its SQL takes.
-    return stats.diameters(_templates(spark, sf_dir).filter("pid < 600")).select("tid", R("diameter", 6).alias("diameter"))
+    return stats.diameters(_templates(spark, sf_dir)).select("tid", R("diameter", 6).alias("diameter"))
 
 
 @query(f"WITH {LABELLED}, s AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM labelled WHERE label >= 0 GROUP BY 1) SELECT label, n AS population, round(cx, 6) AS cx, round(cy, 6) AS cy FROM s WHERE n >= 3")
@@ -347,6 +355,6 @@ def boundary_purity(spark, sf_dir):
     return ml.boundary_purity(p, "x", "y", [-10.0, -5.0, 0.0], [100.0, 200.0, 300.0])
 
 
-@query(f"WITH {POINTS}, w AS (SELECT pid, row_number() OVER (ORDER BY x DESC, pid) AS r FROM points WHERE event_type = 'view') SELECT pid, CAST(r AS INTEGER) AS cluster0 FROM w")
+@query(f"WITH {POINTS}, w AS (SELECT pid, row_number() OVER (ORDER BY x DESC, pid) AS r FROM points) SELECT pid, CAST(r AS INTEGER) AS cluster0 FROM w")
 def rank_by_score(spark, sf_dir):
-    return points(spark, sf_dir).filter("event_type = 'view'").select("pid", F.row_number().over(Window.orderBy(F.desc("x"), "pid")).alias("cluster0"))
+    return ranked(points(spark, sf_dir), F.desc("x"), "pid", name="r").select("pid", (F.col("r") + 1).cast("int").alias("cluster0"))

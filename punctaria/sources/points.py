@@ -54,14 +54,10 @@ def read_hdf5_points(spark: SparkSession, path: str, dataset: str = "locs") -> D
 
 
 def with_pid(points: DataFrame) -> DataFrame:
-    """Distinct points numbered in lexicographic order.
+    """Distinct points numbered in lexicographic order."""
+    from punctaria.operators.ranks import ranked
 
-    Numbers come from range partitions: each is numbered alone, and the sums of those before it are added, so no task holds all points.
-    """
-    parts = points.distinct().repartitionByRange("x", "y").sortWithinPartitions("x", "y").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = parts.groupBy("part").agg((F.max("at") + 1).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return parts.join(F.broadcast(before), "part").select((F.col("before") + F.col("at")).alias("pid"), *points.columns)
+    return ranked(points.distinct(), "x", "y", name="pid").select("pid", *points.columns)
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +84,42 @@ def read_partitioned_points(spark: SparkSession, pattern: str) -> DataFrame:
     return read_text_points(spark, pattern).withColumn("tid", F.regexp_extract("file", r"(\d+)\.[A-Za-z]+$", 1).cast("int")).select("tid", "x", "y")
 
 
+def read_fixed_width(spark: SparkSession, path: str, shape_path: str, dtype: str = "<f8", rows_a_task: int = 100_000) -> DataFrame:
+    """(row, v) of a binary matrix whose [rows, columns] a JSON file gives. Tasks read ranges of rows, each by one seek."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, width = json.loads(spark.read.text(shape_path, wholetext=True).first()[0])
+    stride = width * np.dtype(dtype).itemsize
+
+    def run(batches):
+        from pyarrow import fs as pafs
+
+        store, name = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                m = min(rows_a_task, n - start)
+                with store.open_input_file(name) as f:
+                    f.seek(start * stride)
+                    v = np.frombuffer(f.read(m * stride), dtype).astype(float)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * width, pa.int32()), pa.array(v))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + m)), lists], ["row", "v"])
+
+    tasks = max(1, -(-n // rows_a_task))
+    return spark.range(0, n, rows_a_task, numPartitions=tasks).mapInArrow(run, "row long, v array<double>")
+
+
+def append_records(df: DataFrame, path: str) -> None:
+    """Add rows to a growing set of records."""
+    df.write.mode("append").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str, condition: str | None = None) -> DataFrame:
+    """All records that were appended, or those that meet a condition, which the scan sees."""
+    out = spark.read.parquet(path)
+    return out if condition is None else out.filter(condition)
+
+
 def read_parameters(path: str, defaults: dict | None = None) -> dict:
     """A JSON parameter file over defaults; the defaults alone if it is missing."""
     try:
@@ -122,6 +154,27 @@ def name_parts(name, pattern: str = r"[,_()\-]"):
     return F.split(name, pattern)
 
 
+def values_in_name(name, wanted: dict[str, tuple[int, str]], pattern: str = r"[,_()\-]"):
+    """Columns of numbers from a file name: for each, the piece at a position (from 1), if the one before it is the expected token."""
+    parts = name_parts(name, pattern)
+    return [F.when(F.try_element_at(parts, F.lit(at - 1)) == token, F.try_element_at(parts, F.lit(at)).try_cast("double")).alias(column) for column, (at, token) in wanted.items()]
+
+
+def queue_slice(files: DataFrame, start: int, finish: int, reverse: bool = False, name: str = "file") -> DataFrame:
+    """Files number ``start`` up to but not ``finish`` of a queue in natural order, forwards or backwards, with their number."""
+    from punctaria.operators.ranks import ranked
+
+    number = F.regexp_extract(name, r"(\d+)\D*$", 1).try_cast("bigint")
+    order = [number.desc_nulls_last(), F.desc(name)] if reverse else [number.asc_nulls_last(), F.asc(name)]
+    return ranked(files, *order, name="ordinal").filter((F.col("ordinal") >= start) & (F.col("ordinal") < finish))
+
+
+def matched_regions(regions: DataFrame, files: DataFrame, pattern: str = r"^(.*?)(?:_roi\d*)?\.[A-Za-z]+$") -> DataFrame:
+    """Region files joined with the data file of the same name: (stem, file, ...) on what the pattern's group takes of ``region_file`` and ``file``."""
+    stem = lambda c: F.regexp_extract(c, pattern, 1).alias("stem")
+    return regions.select(stem("region_file"), "*").join(files.select(stem("file"), "*"), "stem")
+
+
 def write_text(df: DataFrame, path: str, sep: str = " ", comment: str | None = None) -> None:
     """Columns as plain text; a comment line first if given."""
     line = F.concat_ws(sep, *(F.col(c).cast("string") for c in df.columns))
@@ -135,6 +188,28 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite")
     df.write.mode(mode).csv(path, header=True, sep=sep)
 
 
+def write_fixed(df: DataFrame, path: str, number: str = "%10.3f", sep: str = "\t") -> None:
+    """A headed table with every number in one format."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    cells = [F.format_string(number, F.col(c).cast("double")) if isinstance(kinds[c], T.NumericType) else F.col(c).cast("string") for c in df.columns]
+    df.select(*(x.alias(c) for x, c in zip(cells, df.columns, strict=True))).write.mode("overwrite").csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=False)
+
+
+def write_settings(path: str, settings: dict) -> None:
+    """Settings as JSON, keys in order."""
+    with open(path, "w") as f:
+        json.dump(settings, f, indent=1, sort_keys=True)
+
+
+def download(df: DataFrame, path: str, most: int = 1_000_000) -> int:
+    """Labelled points as one CSV file on the driver, for tables of at most ``most`` rows. Returns the number of rows."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write_csv writes them from the executors")
+    rows.to_csv(path, index=False)
+    return len(rows)
+
+
 def label_matrix(assignment: DataFrame, columns: list) -> DataFrame:
     """Points by clusterings: one column of labels for each idx in ``columns``."""
     return assignment.groupBy("pid").pivot("idx", columns).agg(F.first("label"))
@@ -146,6 +221,24 @@ def rectangular(values: DataFrame, group: str, value: str, groups: list) -> Data
     return numbered.groupBy("row").pivot(group, groups).agg(F.first(value))
 
 
+def rectangular_rows(values: DataFrame, group: str, value: str, width: int) -> DataFrame:
+    """Ragged rows, one for each group: value_1 to value_``width`` in order, short ones filled with null."""
+    lists = values.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("__l"))
+    return lists.select(group, *(F.try_element_at("__l", F.lit(k)).alias(f"value_{k}") for k in range(1, width + 1)))
+
+
+def pooled(tables: dict[str, DataFrame], name: str = "source") -> DataFrame:
+    """Tables one under the other, each row with the name of its own; columns that one lacks are null."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.select(F.lit(k).alias(name), "*") for k, df in tables.items()))
+
+
+def replicate_table(values: DataFrame, replicate: str, condition: str, value: str, conditions: list) -> DataFrame:
+    """One statistic with a row for each replicate and a column for each condition."""
+    return values.groupBy(replicate).pivot(condition, conditions).agg(F.first(value, ignorenulls=True))
+
+
 class Cache:
     """Results kept as Parquet by name and a hash of their parameters; computed once."""
 

@@ -130,7 +130,7 @@ def test_optimal_t_against_plain(spark):
     assert (none["T"], none["score"]) == (0, 0)
 
 
-def test_finder_selection_against_brute_force(spark, tmp_path):
+def test_parameter_selection_against_brute_force(spark, tmp_path):
     from punctaria.plans import QUERIES
     from punctaria.plans.views import points
 
@@ -164,6 +164,6 @@ def test_finder_selection_against_brute_force(spark, tmp_path):
     ys = [score[k] for k in best]
     below = [k for k, y in zip(best, ys, strict=True) if max(ys) > min(ys) and (y - min(ys)) / (max(ys) - min(ys)) < 0.5]
     k = below[0] if below else best[-1]
-    got = QUERIES["finder_selection"](spark, str(tmp_path)).collect()
+    got = QUERIES["parameter_selection"](spark, str(tmp_path)).collect()
     assert len(got) == 1 and (got[0]["idx"], got[0]["threshold"], got[0]["similarityScore"]) == (k, found[k][1], score[k])
     assert got[0]["sigma"] == pytest.approx(found[k][0], abs=1e-6)

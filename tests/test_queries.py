@@ -10,7 +10,7 @@ from punctaria.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"finder_selection"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
