@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import discard, lower_ascii, materialise
 
 WINDOW = 10
 BLOCK_WINDOWS = 100_000
@@ -54,14 +54,15 @@ def _with_prefix(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, h, spans, item_ids) of each document with an occurring window; h is the text's hash."""
+    """(doc_id, h, spans, item_ids), written, of each document with an occurring window; h is the text's hash."""
     all_windows = materialise(windows(items, size), "benchmark-windows")
     n = all_windows.count()
     blocks = max(1, -(-n // BLOCK_WINDOWS))
-    parts = []
+    parts, prefixes = [], []
     for k in range(blocks):
         block = all_windows.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k) if blocks > 1 else all_windows
         prefix = materialise(_with_prefix(block, docs), "benchmark-prefixes")
+        prefixes.append(prefix)
         ws = docs.select("doc_id", F.xxhash64("text").alias("h"), item_words(F.col("text")).alias("ws"))
         each = ws.select("doc_id", "h", "ws", F.posexplode("ws").alias("pos", "t"))
         met = each.join(F.broadcast(prefix), "t").withColumn("start", F.col("pos") - F.col("off"))
@@ -69,7 +70,10 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
         met = met.filter(F.slice("ws", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("w")) == F.col("w"))
         parts.append(met.select("doc_id", "h", F.struct("start", F.size("w").alias("len")).alias("span"), "item_ids"))
     met = reduce(DataFrame.unionAll, parts)
-    return met.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
+    out = met.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
+    out = materialise(out, "benchmark-hits")
+    discard(all_windows, *prefixes)
+    return out
 
 
 def _covered(spans: Column) -> Column:
@@ -91,11 +95,10 @@ def judge(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without any window of an item."""
-    found = materialise(hits(docs.select("doc_id", "text"), items, size).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "contaminated")
+    found = hits(docs.select("doc_id", "text"), items, size).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     side = F.broadcast(found) if found.count() <= BROADCAST_IDS else found  # more are shuffled
     return docs.join(side, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left_anti").select(*docs.columns)
 
 
-
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     return judge(docs, items).drop("item_ids")

@@ -145,7 +145,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int
     candidates = materialise(lists.join(centres.select("k", "v"), ["k", "v"], "left_semi").select(F.col("rep").alias("id")).distinct(), "candidates")
     sets = materialise(shingle_sets(docs, candidates, size), "candidate-sets")
     first = materialise(_confirm(star, sets, percent), "star-links")
-    members = materialise(connected_components(first), "star-components")
+    stars = connected_components(first)
+    members = materialise(stars, "star-components")
 
     # What is left: lists that hold several components.
     placed = lists.select("k", "v", F.col("rep").alias("id")).join(members, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -165,7 +166,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int
     cross = cross.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     second = materialise(_confirm(cross, sets, percent), "open-links")
     out = materialise(first.unionByName(second), "links")
-    discard(rest, across, prefix, common, lists, star, candidates, sets, members, first, second)
+    discard(rest, across, prefix, common, lists, star, candidates, sets, stars, members, first, second)
     return out
 
 
@@ -181,7 +182,9 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, coo
     named = classes.select("set_key", "rep").join(members.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out._reads = (rows, classes, members)
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -189,7 +192,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Of rows with equal ids, which are one document, the one with the smallest text stays, and of equal texts one.
     """
-    drop = materialise(components(docs, percent).filter("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "near-copies")
+    found = components(docs, percent)
+    drop = materialise(found.filter("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "near-copies")
+    discard(*found._reads)
     side = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
     kept = docs.join(side, docs["doc_id"] == F.col("__drop"), "left_anti").select(*docs.columns)
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__again"))

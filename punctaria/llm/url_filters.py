@@ -111,7 +111,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     # Back to names, then to the pages without a rule of their own. Written, so that the last join is one of two plain exchanges.
     blocked_names = names.select("key", "component").unionByName(members.select(F.col("id").alias("key"), "component")).join(blocked, "component", "left_semi").select("key", F.lit(True).alias("blocked")).distinct()
     blocked_names = materialise(blocked_names, "blocked-names")
-    discard(edges)
+    discard(edges, members)
     ruled = rows.filter("r is not null").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.action").alias("verdict"))
     free = rows.filter("r is null")
     nameless = free.filter("key is null").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
