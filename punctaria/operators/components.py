@@ -55,4 +55,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     member = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return member.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = member.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out._punctaria_path = folder  # what ``storage.delete`` deletes
+    return out

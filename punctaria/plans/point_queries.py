@@ -148,7 +148,29 @@ def dbscan_loop_labels(spark, sf_dir):
     return clustering.dbscan_loop(points(spark, sf_dir), EPS, MIN_SAMPLES)
 
 
-@query()
+TILED = f"""
+WITH RECURSIVE {POINTS},
+b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, greatest(1, floor(sqrt(count(*) / 2000e0))) AS n FROM points),
+t AS (
+  SELECT pid, x, y, floor(x / 4e0) AS cx, floor(y / 4e0) AS cy,
+    CAST(greatest(0, least(n - 1, floor((x - x0) / ((x1 - x0) / n)))) * n + greatest(0, least(n - 1, floor((y - y0) / ((y1 - y0) / n)))) AS INTEGER) AS tile
+  FROM points, b
+),
+near AS (
+  SELECT p.tile, p.pid AS p, q.pid AS q
+  FROM (SELECT tile, pid, x, y, cx + a.o AS cx, cy + c.o AS cy FROM t, (VALUES (-1), (0), (1)) a(o), (VALUES (-1), (0), (1)) c(o)) p
+  JOIN t q USING (tile, cx, cy) WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 16
+),
+core AS (SELECT tile, p AS pid FROM near GROUP BY tile, p HAVING count(*) >= 10),
+edge AS (SELECT p, q FROM near WHERE p <> q AND p IN (SELECT pid FROM core) AND q IN (SELECT pid FROM core)),
+reach(pid, seen) AS (SELECT pid, pid FROM core UNION SELECT e.q, r.seen FROM reach r JOIN edge e ON e.p = r.pid AND r.seen < e.q),
+num AS (SELECT tile, pid, dense_rank() OVER (PARTITION BY tile ORDER BY rep) - 1 AS label FROM (SELECT pid, min(seen) AS rep FROM reach GROUP BY pid) JOIN core USING (pid)),
+rim AS (SELECT e.p AS pid, min(m.label) AS label FROM near e JOIN num m ON m.pid = e.q GROUP BY e.p)
+SELECT t.tile, t.pid, CAST(coalesce(m.label, r.label, -1) AS INTEGER) AS label FROM t LEFT JOIN num m ON m.pid = t.pid LEFT JOIN rim r ON r.pid = t.pid
+"""
+
+
+@query(TILED)
 def dbscan_tiled(spark, sf_dir):
     return clustering.tiled_dbscan(points(spark, sf_dir), 2000, EPS, 10)
 
@@ -379,19 +401,46 @@ def label_overlaps(spark, sf_dir):
     return evaluate.overlap(labelled(spark, sf_dir)).select("label", "truth", "n", "n_label", "n_truth")
 
 
-@query()
+RATIOS = [k / 19 for k in range(20)]
+
+
+def _matched(ratios: list[float]) -> str:
+    """SQL of greedy matching at each of some least overlaps, as the table ``match``."""
+    return f"""
+WITH RECURSIVE {LABELLED},
+pair AS (
+  SELECT g.label, g.truth, n, n_label, n_truth FROM (SELECT label, truth, count(*) AS n FROM labelled WHERE label >= 0 AND truth >= 0 GROUP BY 1, 2) g
+  JOIN (SELECT label, count(*) AS n_label FROM labelled WHERE label >= 0 GROUP BY 1) a USING (label) JOIN (SELECT truth, count(*) AS n_truth FROM labelled WHERE truth >= 0 GROUP BY 1) b USING (truth)
+),
+ratios(ratio) AS (VALUES {", ".join(f"({r!r}e0)" for r in ratios)}),
+able AS (SELECT ratio, pair.* FROM ratios JOIN pair ON n > ratio * n_truth),
+turn AS (SELECT ratio, label, dense_rank() OVER (PARTITION BY ratio ORDER BY label) AS k FROM (SELECT DISTINCT ratio, label FROM able)),
+match(ratio, k, label, truth, taken) AS (
+  SELECT ratio, CAST(0 AS BIGINT), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST([] AS INTEGER[]) FROM ratios
+  UNION ALL
+  SELECT ratio, k, label, truth, CASE WHEN truth IS NULL THEN taken ELSE list_append(taken, truth) END FROM (
+    SELECT m.ratio, t.k, t.label, any_value(m.taken) AS taken, first(a.truth ORDER BY a.n / a.n_label DESC, a.truth) FILTER (NOT list_contains(m.taken, a.truth)) AS truth
+    FROM match m JOIN turn t ON t.ratio = m.ratio AND t.k = m.k + 1 JOIN able a ON a.ratio = t.ratio AND a.label = t.label GROUP BY m.ratio, t.k, t.label
+  )
+)"""
+
+
+@query(f"{_matched([0.3])} SELECT label, truth FROM match WHERE truth IS NOT NULL")
 def greedy_cluster_matching(spark, sf_dir):
     return evaluate.greedy_match(labelled(spark, sf_dir))
 
 
-@query()
+COUNTED = "(SELECT count(DISTINCT label) FROM labelled WHERE label >= 0) AS k, (SELECT count(DISTINCT truth) FROM labelled WHERE truth >= 0) AS g"
+
+
+@query(f"{_matched([0.3])}, c AS (SELECT count(truth) AS tp, {COUNTED} FROM match) SELECT tp AS true_positives, k - tp AS false_positives, g - tp AS false_negatives, g AS n_groundtruth FROM c")
 def cluster_level_scores(spark, sf_dir):
     return evaluate.cluster_evaluation(labelled(spark, sf_dir)).select("true_positives", "false_positives", "false_negatives", "n_groundtruth")
 
 
-@query()
+@query(f"{_matched(RATIOS)}, c AS (SELECT ratio, count(truth) AS tp, {COUNTED} FROM match GROUP BY ratio) SELECT round(ratio, 6) AS ratio, round(tp / g, 6) AS true_positives_ratio, round((k - tp) / g, 6) AS false_positives_ratio FROM c")
 def overlap_threshold_sweep(spark, sf_dir):
-    return evaluate.overlap_sweep(labelled(spark, sf_dir), [k / 19 for k in range(20)])
+    return evaluate.overlap_sweep(labelled(spark, sf_dir), RATIOS).select(*(R(c, 6).alias(c) for c in ("ratio", "true_positives_ratio", "false_positives_ratio")))
 
 
 @query(f"WITH {LABELLED} SELECT count(*) FILTER (label >= 0 AND truth >= 0) AS true_positives, count(*) FILTER (label >= 0 AND truth < 0) AS false_positives, count(*) FILTER (label < 0 AND truth >= 0) AS false_negatives FROM labelled")

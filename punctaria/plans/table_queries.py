@@ -349,10 +349,21 @@ def network_scores(spark, sf_dir):
     return ml.scores(ml.train_network(v, 64, epochs=20), v).select("pid", R("score", 4).alias("score"), "label_pred")
 
 
-@query()
+@query(f"""
+WITH {POINTS},
+p AS (SELECT x, y, CAST(x + y / 10 > 30 AS INTEGER) AS label FROM points),
+l AS (SELECT slope, off FROM (VALUES (-10e0), (-5e0), (0e0)) a(slope), (VALUES (100e0), (200e0), (300e0)) b(off)),
+n AS (
+  SELECT slope, off, count(*) FILTER (y > slope * x + off AND label = 1) AS a, count(*) FILTER (y > slope * x + off) AS na,
+    count(*) FILTER (NOT y > slope * x + off AND label = 0) AS b, count(*) FILTER (NOT y > slope * x + off) AS nb
+  FROM p, l GROUP BY slope, off
+)
+SELECT slope, off AS "offset", round(coalesce(a / nullif(na, 0), 0) + coalesce(b / nullif(nb, 0), 0), 6) AS purity FROM n ORDER BY coalesce(a / nullif(na, 0), 0) + coalesce(b / nullif(nb, 0), 0) DESC, slope, off LIMIT 1
+""")
 def boundary_purity(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("label", (F.col("x") + F.col("y") / 10 > 30).cast("int"))
-    return ml.boundary_purity(p, "x", "y", [-10.0, -5.0, 0.0], [100.0, 200.0, 300.0])
+    best = ml.boundary_purity(p, "x", "y", [-10.0, -5.0, 0.0], [100.0, 200.0, 300.0])
+    return best.select("slope", "offset", R("purity", 6).alias("purity"))
 
 
 @query(f"WITH {POINTS}, w AS (SELECT pid, row_number() OVER (ORDER BY x DESC, pid) AS r FROM points) SELECT pid, CAST(r AS INTEGER) AS cluster0 FROM w")
