@@ -148,14 +148,19 @@ def phase_space(spark, sf_dir):
     return phase.phase_space(_grid(spark), phase.phase_assignment(points(spark, sf_dir), CELLS))
 
 
-@query(f"{ALL}, {_scored('g')} SELECT idx, label, \"similarityScore\" FROM g_score")
+#: Settings so near one another that clusters persist.
+NEAR = [(i * 2 + j, s, t) for i, s in enumerate((3.7, 3.85, 4.0)) for j, t in enumerate((19, 20))]
+NEARBY = f"WITH RECURSIVE {POINTS}, {_assigned('g', 'true', NEAR)}, {_scored('g')}"
+
+
+@query(f'{NEARBY} SELECT idx, label, "similarityScore" FROM g_score')
 def phase_similarity(spark, sf_dir):
-    return phase.similarity(phase.phase_assignment(points(spark, sf_dir), CELLS))[0]
+    return phase.similarity(phase.phase_assignment(points(spark, sf_dir), NEAR))[0]
 
 
-@query(f"{ALL}, {_scored('g')} SELECT i, j, count(DISTINCT a) AS score FROM g_like GROUP BY 1, 2")
+@query(f"{NEARBY} SELECT i, j, count(DISTINCT a) AS score FROM g_like GROUP BY 1, 2")
 def similarity_matrix(spark, sf_dir):
-    return phase.similarity_matrix(phase.phase_assignment(points(spark, sf_dir), CELLS))
+    return phase.similarity_matrix(phase.phase_assignment(points(spark, sf_dir), NEAR))
 
 
 REGIONS = [(0, 2.0, 15), (1, 2.0, 25), (2, 4.0, 15), (3, 4.0, 25)]
