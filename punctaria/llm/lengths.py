@@ -10,8 +10,8 @@ import numpy as np
 #: Default vocabulary file; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
-# Fixed value: how the vocabulary's texts are cut before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: how the vocabulary's texts are cut before merging, in the form that never goes back over what it has read.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Texts above this go to the encoder in pieces, as it recurses over long runs of white space.
 PIECE = 100_000
 # Fixed value: the pattern's white space.
@@ -48,8 +48,8 @@ def pieces(text: str):
         yield text[at:], False
 
 
-def encoder(content: bytes):
-    """A function from a text to its token ids, an array of 16-bit numbers."""
+def _lists(content: bytes):
+    """A function from a text to the list of its token ids."""
     key = hash(content)
     if key not in _loaded:
         import tiktoken
@@ -60,12 +60,29 @@ def encoder(content: bytes):
         _loaded[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     encode_ordinary, encode_run = _loaded[key].encode_ordinary, _loaded[key]._encode_single_piece
 
-    def encode(text: str) -> np.ndarray:
+    def encode(text: str) -> list[int]:
         if len(text) <= PIECE:
-            return np.array(encode_ordinary(text), np.uint16)
+            return encode_ordinary(text)
         out: list[int] = []
         for piece, run in pieces(text):
             out += encode_run(piece.encode()) if run else encode_ordinary(piece)
-        return np.array(out, np.uint16)
+        return out
 
     return encode
+
+
+def encoder(content: bytes):
+    """A function from a text to its token ids, an array of 16-bit numbers."""
+    lists = _lists(content)
+
+    def encode(text: str) -> np.ndarray:
+        ids = lists(text)
+        return np.fromiter(ids, np.uint16, len(ids))
+
+    return encode
+
+
+def counter(content: bytes):
+    """A function from a text to its number of tokens."""
+    lists = _lists(content)
+    return lambda text: len(lists(text))

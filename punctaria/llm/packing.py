@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, tidy
-from .lengths import VOCABULARY, encoder, vocabulary
+from .lengths import VOCABULARY, counter, vocabulary
 
 BUCKETS, BUDGET, CELL_ROWS = 16, 65_536, 50_000
 #: Cuts that are compared at a time, or those of one length where they are more; a matter of memory, not of results.
@@ -88,9 +88,9 @@ def token_counts(docs: DataFrame, vocab: bytes) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encode = encoder(vocab)
+        count = counter(vocab)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t.as_py() or "")) for t in batch.column(1)], pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(t or "") for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long")
 

@@ -6,7 +6,8 @@ network over the smallest even number of bits that holds N numbers, walked until
 can compute from its number, and its inverse gives the number back. Shard k holds slots k * ``shard_slots`` onwards, all shards but the last are full; a task sorts its range
 of slots and writes it: ids as little-endian 16-bit numbers, ``seq_len`` to a sequence. Any slot is one seek away, and reading may start anywhere.
 
-Texts are tokenised twice, which costs less than keeping their ids between the passes, and shuffled once. Both passes must see the same partitions, as scans of files give; a table that has
+The first pass writes the sequences of ``KEPT`` of the partitions, as much as the disk may hold beside the shuffle and the shards; the others are tokenised again by the second pass. All are
+shuffled once. Both passes must see the same partitions, as scans of files give; a table that has
 been shuffled is written first. A partition whose number of sequences differs between the passes fails. A shard is written under a task's own name and then renamed, so that a
 task that runs again, or twice, leaves the same file: its content depends on nothing but the input.
 
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, small_batches, tidy
-from .lengths import END, VOCABULARY, encoder, vocabulary
+from .common import discard, materialise, shared_dir, small_batches, tidy
+from .lengths import END, VOCABULARY, counter, encoder, vocabulary
 
 SEQ_LEN, SHARD_SLOTS, KEY, ROUNDS = 2048, 4096, 0x5EED, 4
+#: The share of partitions whose ids are kept between the passes: disk against time, of no matter for results.
+KEPT = 0.4
 
 
 def _round(half: np.ndarray, key: int, k: int) -> np.ndarray:
@@ -88,39 +91,80 @@ def _stream(batches, vocab: bytes, seq_len: int):
     """Sequences (doc_ids, n_tokens, ids) of a partition, in order."""
     encode, cutter, end = encoder(vocab), _Cutter(seq_len), np.array([END], np.uint16)
     for batch in batches:
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = t.as_py()
-            if text:
-                yield from cutter.add(d, np.concatenate([encode(text), end]))
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if t:
+                yield from cutter.add(d, encode(t))
+                yield from cutter.add(d, end)
     yield from cutter.rest()
 
 
-def sequence_counts(docs: DataFrame, vocab: bytes, seq_len: int = SEQ_LEN) -> dict[int, int]:
-    """Number of sequences of each input partition that has any: one row a partition."""
+def _part() -> int:
+    from pyspark import TaskContext
 
-    def run(batches):
-        from pyspark import TaskContext
+    return TaskContext.get().partitionId()
+
+
+def _kept(part: int) -> bool:
+    """Are a partition's sequences written by the first pass? So are ``KEPT`` of any run of partitions."""
+    return int((part + 1) * KEPT) > int(part * KEPT)
 
-        encode, tokens = encoder(vocab), 0
-        for batch in batches:
-            tokens += sum(len(encode(t)) + 1 for t in batch.column(0).to_pylist() if t)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // seq_len)], pa.int64())], ["part", "n"])
 
-    return {r["part"]: r["n"] for r in docs.select("text").mapInArrow(tidy(run), "part int, n long").collect()}
+def _columns(held: list, doc_type) -> list:
+    return [pa.array([h[0] for h in held], pa.list_(doc_type)), pa.array([h[1] for h in held], pa.int32()), pa.array([h[2].tobytes() for h in held], pa.binary())]
 
 
-def sequences(docs: DataFrame, vocab: bytes, counts: dict[int, int], seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
-    """Placed sequences (slot, shard, seq, doc_ids, n_tokens, ids)."""
+def first_pass(docs: DataFrame, vocab: bytes, seq_len: int = SEQ_LEN) -> DataFrame:
+    """(part, n, place, doc_ids, n_tokens, ids), written: the sequences of kept partitions, with n 1 and their place; of other partitions their number n."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    total = sum(counts.values())
-    first = dict(zip(sorted(counts), itertools.accumulate((counts[p] for p in sorted(counts)), initial=0), strict=False))
-    held_out = docs.sparkSession.sparkContext.broadcast((counts, first))
+    names = ["part", "n", "place", "doc_ids", "n_tokens", "ids"]
+
+    def run(batches):
+        part, doc_type = _part(), pa.int64()
 
-    def cut(batches):
-        from pyspark import TaskContext
+        def rows(n, place, columns):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(n, pa.int64()), pa.array(place, pa.int64()), *columns], names)
 
-        part = TaskContext.get().partitionId()
+        if not _kept(part):
+            count, tokens = counter(vocab), 0
+            for batch in batches:
+                doc_type = batch.schema.field(0).type
+                tokens += sum(count(t) + 1 for t in batch.column(1).to_pylist() if t)
+            if tokens:
+                yield rows([-(-tokens // seq_len)], [None], [pa.array([None], pa.list_(doc_type)), pa.array([None], pa.int32()), pa.array([None], pa.binary())])
+            return
+
+        def typed(batches):
+            nonlocal doc_type
+            for batch in batches:
+                doc_type = batch.schema.field(0).type
+                yield batch
+
+        stream, done = _stream(typed(batches), vocab, seq_len), 0
+        while held := list(itertools.islice(stream, 500)):
+            yield rows(np.ones(len(held)), np.arange(done, done + len(held)), _columns(held, doc_type))
+            done += len(held)
+
+    return materialise(docs.select("doc_id", "text").mapInArrow(tidy(run), f"part int, n long, place long, doc_ids array<{kind}>, n_tokens int, ids binary"), "first-pass")
+
+
+def sequences(docs: DataFrame, first: DataFrame, counts: dict[int, int], vocab: bytes, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
+    """Placed sequences (slot, shard, seq, doc_ids, n_tokens, ids): those of the first pass, and those of the other partitions of ``docs``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    total = sum(counts.values())
+    parts = sorted(counts)
+    offsets = dict(zip(parts, itertools.accumulate((counts[p] for p in parts), initial=0), strict=False))
+    held_out = docs.sparkSession.sparkContext.broadcast((counts, offsets))
+
+    def placed(seq: np.ndarray, columns: list) -> pa.RecordBatch:
+        slot = feistel(seq, total, key).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard_slots).astype(np.int32)), pa.array(seq, pa.int64()), *columns], ["slot", "shard", "seq", "doc_ids", "n_tokens", "ids"])
+
+    def again(batches):
+        part = _part()
+        if _kept(part):
+            for _ in batches:
+                pass
+            return
         known, offset = held_out.value[0].get(part, 0), held_out.value[1].get(part, 0)
         done, doc_type = 0, pa.int64()
 
@@ -134,15 +178,21 @@ def sequences(docs: DataFrame, vocab: bytes, counts: dict[int, int], seq_len: in
         while held := list(itertools.islice(stream, 500)):
             if done + len(held) > known:
                 break
-            seq = np.arange(offset + done, offset + done + len(held))
+            yield placed(np.arange(offset + done, offset + done + len(held)), _columns(held, doc_type))
             done += len(held)
-            slot = feistel(seq, total, key).astype(np.int64)
-            lists = [pa.array([h[0] for h in held], pa.list_(doc_type)), pa.array([h[1] for h in held], pa.int32()), pa.array([h[2].tobytes() for h in held], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard_slots).astype(np.int32)), pa.array(seq, pa.int64()), *lists], ["slot", "shard", "seq", "doc_ids", "n_tokens", "ids"])
         if done != known or held:
             raise RuntimeError(f"partition {part} has other sequences than the {known} counted before")
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"slot long, shard int, seq long, doc_ids array<{kind}>, n_tokens int, ids binary")
+    def given(batches):
+        offset = held_out.value[1]
+        for batch in batches:
+            part, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield placed(np.array([offset[p] for p in part], np.int64) + place, batch.columns[2:])
+
+    schema = f"slot long, shard int, seq long, doc_ids array<{kind}>, n_tokens int, ids binary"
+    # The tables' tasks come first in a union: their numbers are those of the first pass.
+    fresh = docs.select("doc_id", "text").mapInArrow(tidy(again), schema)
+    return fresh.unionAll(first.filter("place is not null").select("part", "place", "doc_ids", "n_tokens", "ids").mapInArrow(tidy(given), schema))
 
 
 def materialise_order(docs: DataFrame, path: str, vocab: bytes, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
@@ -152,10 +202,11 @@ def materialise_order(docs: DataFrame, path: str, vocab: bytes, seq_len: int = S
     docs = docs.select("doc_id", "text")
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = materialise(docs, "training-documents")
-    counts = sequence_counts(docs, vocab, seq_len)
+    first = first_pass(docs, vocab, seq_len)
+    counts = {r["part"]: r["n"] for r in first.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
     total, stride = sum(counts.values()), 2 * seq_len
     shards = -(-total // shard_slots)
-    rows = sequences(docs, vocab, counts, seq_len, shard_slots, key)
+    rows = sequences(docs, first, counts, vocab, seq_len, shard_slots, key)
     # A task for each shard; hashed, several shards would meet in one.
     dealt = rows.repartitionById(max(1, shards), "shard").sortWithinPartitions("slot")
 
@@ -193,6 +244,7 @@ def materialise_order(docs: DataFrame, path: str, vocab: bytes, seq_len: int = S
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     written = materialise(dealt.mapInArrow(tidy(write), f"slot long, shard int, seq long, n_tokens int, doc_ids array<{kind}>"), "shard-rows")
+    discard(first)
     meta = {"n": total, "seq_len": seq_len, "stride": stride, "shard_slots": shard_slots, "dtype": "<u2", "key": key}
     _write_text(spark, f"{path}/meta.json", json.dumps(meta))
     return written.select("slot", "shard", ((F.col("slot") - F.col("shard") * F.lit(shard_slots).cast("long")) * stride).alias("byte_offset"), "seq", "n_tokens", "doc_ids")

@@ -237,7 +237,9 @@ def test_clean_words_near_terms_are_learned():
     assert toxicity.Lexicon(terms, plain).match("clwn") is not None
 
 
-def test_slot_is_the_permutation_of_the_sequence_number(spark, tmp_path):
+@pytest.mark.parametrize("kept", [0.0, training_order.KEPT, 1.0])
+def test_slot_is_the_permutation_of_the_sequence_number(spark, tmp_path, monkeypatch, kept):
+    monkeypatch.setattr(training_order, "KEPT", kept)
     docs = spark.createDataFrame([*ODD, *((100 + k, f"text number {k} " * (k + 1)) for k in range(60))], "doc_id long, text string").repartition(3).withColumn("slot", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("part", F.lit(2))
     vocab, path = lengths.vocabulary(spark, lengths.VOCABULARY), (tmp_path / "out").as_uri()
     rows = sorted(training_order.materialise_order(docs, path, vocab, seq_len=32, shard_slots=20).collect(), key=lambda r: r["seq"])
@@ -257,15 +259,18 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch, piece):
 
     import tiktoken
 
-    encode = lengths.encoder(open(lengths.VOCABULARY, "rb").read())
-    plain = next(iter(lengths._loaded.values()))
-    assert isinstance(plain, tiktoken.Encoding)
+    import base64
+
+    content = open(lengths.VOCABULARY, "rb").read()
+    encode, count = lengths.encoder(content), lengths.counter(content)
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+    plain = tiktoken.Encoding("plain", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
     monkeypatch.setattr(lengths, "PIECE", piece)
     rnd = random.Random(4)
     texts = ["".join(rnd.choice(["a", "b1", "'s", "漢", "é", " ", "  ", "\n", "\n\n", "\t", "　", "\x1c", "!!", "12", "\xa0"]) for _ in range(rnd.randrange(25))) + " " * rnd.choice([0, 9]) + rnd.choice(["", "x", " y", "\n"]) for _ in range(3000)]
     texts += ["ab" * 65_000, "x-1" * 60_000, "漢字" * 60_000, "a " * 90_000, " " * 150_000 + "x", "q" + "\n" * 150_000]
     for t in texts:
-        assert encode(t).tolist() == plain.encode_ordinary(t)
+        assert encode(t).tolist() == plain.encode_ordinary(t) and count(t) == len(encode(t))
     assert len(encode("z" + " " * 2_000_000 + "z")) > 1  # the library alone cannot
 
 
