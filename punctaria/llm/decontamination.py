@@ -47,7 +47,7 @@ def _with_prefix(found: DataFrame, docs: DataFrame) -> DataFrame:
     tokens = found.select(F.explode("w").alias("t")).distinct()
     # The tokens of at most BLOCK_WINDOWS windows: bounded.
     frequency = docs.select(F.explode(F.array_distinct(item_words(F.col("text")))).alias("t")).join(F.broadcast(tokens), "t").groupBy("t").count()
-    each = found.select("w", "item_ids", F.posexplode("w").alias("off", "t")).join(frequency, "t", "left")
+    each = found.select("w", "item_ids", F.posexplode("w").alias("off", "t")).join(F.broadcast(frequency), "t", "left")  # one row a token
     best = each.groupBy("w").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("off"), F.col("t"))).alias("p"), F.first("item_ids").alias("item_ids"))
     # A token that no document has rules its windows out.
     return best.filter("p.n > 0").select("w", "item_ids", F.col("p.off").alias("off"), F.col("p.t").alias("t"))
