@@ -53,7 +53,7 @@ def far_from(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
 
 
 #: A grid cell of the first round holds no more targets than this many times k, if cells can be cut that far.
-CELL_SHARE = 16
+CELL_SHARE = 64
 
 
 def _cell_width(near: DataFrame, k: int, columns: tuple[str, ...], width: float) -> float:
