@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from punctaria.functions import scalar
 from punctaria.operators import clustering, evaluate, features, filters, generate, phase, spatial, stats
 from punctaria.operators.ranks import hashed_rank, ranked
 from punctaria.sources import points as src
@@ -225,3 +226,17 @@ def test_confusion_of_all_files(spark):
     assert got == {"a": (1, 1, 0, 0), "b": (1, 0, 1, 0), None: (2, 1, 1, 0)}
     shapes = spark.createDataFrame([(0, 4.0, 8)], "label int, area double, population long")
     assert stats.with_shapes(shapes).first()["cluster_density"] == 2.0
+
+
+def test_nulls_and_ratios(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 4.0), (None, 1.0), (3.0, 0.0), (0.0, 0.0), (3.0, None)], "a double, b double")
+    plain = df.select(scalar.nan_to_null(F.col("a")).alias("a"), scalar.safe_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [r["a"] for r in plain] == [1.0, None, None, 3.0, 0.0, 3.0]
+    assert plain[0]["r"] == 0.5 and [r["r"] for r in plain[2:]] == [None] * 4
+
+
+def test_full_field_roi(spark):
+    ring = generate.full_field_roi((0.0, 4.0, -1.0, 2.0))
+    assert ring[0] == ring[-1] and {(x, y) for x, y in ring} == {(0.0, -1.0), (4.0, -1.0), (4.0, 2.0), (0.0, 2.0)}
+    x, y = np.array(ring).T
+    assert abs(np.sum(x[:-1] * y[1:] - x[1:] * y[:-1])) / 2 == 12.0
