@@ -272,7 +272,7 @@ def chunk_filter(shared: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-_PIECE = "row long, pos int, key binary, ids binary, head binary, tail binary, n_head int, n_tail int"
+_PIECE = "row long, pos int, key binary, own binary, head binary, tail binary, n_head int, n_tail int"
 _DONE, _PART, _REFERENCE, _TEXT = range(4)
 
 
@@ -341,7 +341,7 @@ def _arrow(spark: SparkSession, schema: str) -> tuple[list, list[str]]:
 
 
 def _encoded_once(texts: DataFrame, content: str) -> DataFrame:
-    """Each key's piece from (key, ids), where ``ids`` is the chunk's text and keys may come several times; dealt by key."""
+    """Each key's piece from (key, own), where ``own`` is the chunk's text and keys may come several times; dealt by key."""
 
     def run(batches):
         encoder, done = _encoder(content), set()
@@ -354,7 +354,7 @@ def _encoded_once(texts: DataFrame, content: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], columns)
 
-    schema = "key binary, ids binary, head binary, tail binary, n_head int, n_tail int"
+    schema = "key binary, own binary, head binary, tail binary, n_head int, n_tail int"
     types, columns = _arrow(texts.sparkSession, schema)
     return texts.repartition("key").mapInArrow(tidy(run), schema)
 
@@ -374,8 +374,8 @@ def encode(docs: DataFrame, path: str | None = None, finish: Callable | None = N
     known = spark.sparkContext.broadcast(chunk_filter(shared))
     discard(shared)
     found = materialise(_second_pass(texts, content, known, finish, names, schema), "encoded")
-    chunks = materialise(_encoded_once(found.filter(F.col("kind") == _TEXT).select("key", "ids"), content), "encoded-chunks")
-    piece = ["ids", "head", "tail", "n_head", "n_tail"]
+    chunks = materialise(_encoded_once(found.filter(F.col("kind") == _TEXT).select("key", "own"), content), "encoded-chunks")
+    piece = ["own", "head", "tail", "n_head", "n_tail"]
     references = found.filter(F.col("kind") == _REFERENCE).select("doc_id", "row", "pos", "key").join(chunks, "key").select("doc_id", "row", "pos", *piece)
     pieces = references.unionByName(found.filter(F.col("kind") == _PART).select("doc_id", "row", "pos", *piece))
     laid = pieces.repartition("row").sortWithinPartitions("row", "pos")
