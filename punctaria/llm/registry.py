@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_reuse, decontamination, language_id, near_dedup, oracles, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, training_order, url_filters
+from . import bpe_reuse, decontamination, language_id, near_dedup, oracles, packing, quality_classifier, quality_rules, spelling_variants, suffix_dedup, toxicity, training_order, url_filters
 from .common import read
 
 
@@ -54,5 +54,9 @@ def op11_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_training_order, op4_packing, op5_url_filters, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_decontamination, op11_bpe_reuse)}
-SQL: dict[str, str] = {"op5_url_filters": oracles.OP5, "op8_minhash_near_dedup": oracles.OP8, "op10_decontamination": oracles.OP10}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_training_order, op4_packing, op5_url_filters, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_decontamination, op11_bpe_reuse, op12_spelling_variants)}
+SQL: dict[str, str] = {"op5_url_filters": oracles.OP5, "op8_minhash_near_dedup": oracles.OP8, "op10_decontamination": oracles.OP10, "op12_spelling_variants": oracles.OP12}
