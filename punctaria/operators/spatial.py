@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from operator import add, and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from . import kd
 from .storage import delete, written
 
 
@@ -52,71 +56,114 @@ def far_from(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
     return left.join(near, "pid", "left_anti")
 
 
-#: A grid cell of the first round holds no more targets than this many times k, if cells can be cut that far.
-CELL_SHARE = 64
+#: Targets of a block of the tree that deals points for ``knn``, and queries that one task answers from a block.
+BLOCK_TARGETS, BLOCK_QUERIES = 2048, 20_000
 
 
-def _cell_width(near: DataFrame, k: int, columns: tuple[str, ...], width: float) -> float:
-    """A width at which the fullest cell holds few targets: halved until it does, or stops getting emptier."""
-    limit = CELL_SHARE * (k + 1)
-    for _ in range(8):
-        most = near.groupBy(*_cells(columns, width)).count().agg(F.max("count")).first()[0] or 0
-        if most <= limit:
-            break
-        width /= 2 ** max(1, math.ceil(math.log2(most / limit) / len(columns)))
-    return width
+def knn(points: DataFrame, k: int, columns: tuple[str, ...] = ("x", "y"), targets: DataFrame | None = None) -> DataFrame:
+    """Exact (pid, rank, nn_pid, dist), ranks 1..k, without the point itself; fewer rows where there are fewer points. Ties go to the smaller pid.
 
-
-def knn(points: DataFrame, k: int, columns: tuple[str, ...] = ("x", "y"), targets: DataFrame | None = None, max_rounds: int = 80) -> DataFrame:
-    """Exact (pid, rank, nn_pid, dist), ranks 1..k, without the point itself; fewer rows where there are fewer points.
-
-    Of targets in one place only the k + 1 smallest pids can be among anyone's k, so others are left out. Grid cells are as narrow as the fullest
-    one needs; points whose k-th neighbour lies within one cell's width are done, the others go on with cells twice as wide, each round written. Ties go to the smaller pid.
+    Of targets in one place only the k + 1 smallest pids can be among anyone's k, so others are left out. A tree from a bounded sample deals targets and queries to blocks; each block answers
+    its own queries. Only a query whose ball of k neighbours leaves the box around its block's targets goes on, with that ball's radius, to the blocks whose boxes the ball touches,
+    and what they find is merged. Blocks that many queries come to are answered by several tasks. Points with a null or NaN coordinate are neither queries nor targets.
     """
-    same = targets is None
-    near = (points if same else targets).select("pid", *columns)
+    spark, d = points.sparkSession, len(columns)
+    plain = [F.col(c).cast("double").alias(c) for c in columns]
+    asked = points.filter(kd.valid(columns)).select("pid", *plain)
+    near = asked if targets is None else targets.filter(kd.valid(columns)).select("pid", *plain)
     near = near.withColumn("__r", F.row_number().over(Window.partitionBy(*columns).orderBy("pid"))).filter(F.col("__r") <= k + 1).drop("__r")
-    all_targets = points if same else targets
-    row = all_targets.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in columns), *(F.max(c).alias(f"hi_{c}") for c in columns)).first()
-    n = row["n"]
     near = written(near, "knn-targets")
-    todo = points.select("pid", *columns)
-    if n > k:
-        todo = todo.withColumn("__want", F.lit(k))
-    else:  # a point that is a target itself has one neighbour less
-        own = all_targets.select("pid", F.lit(1).alias("__own"))
-        todo = todo.join(own, "pid", "left").select("pid", *columns, (F.lit(n) - F.coalesce("__own", F.lit(0))).alias("__want"))
-    todo = written(todo.filter("__want > 0"), "knn-open")
-    spans = [float(row[f"hi_{c}"] or 0) - float(row[f"lo_{c}"] or 0) for c in columns]
-    far = todo.agg(*(F.min(c) for c in columns), *(F.max(c) for c in columns)).first()
-    d = len(columns)
-    reach = max([1e-9, *(max(float(far[d + i]), float(row[f"hi_{c}"])) - min(float(far[i]), float(row[f"lo_{c}"])) for i, c in enumerate(columns) if far[i] is not None and row[f"lo_{c}"] is not None)])
-    volume = 1.0
-    for s in spans:
-        volume *= max(s, 1e-12)
-    width = max((volume * max(k, 1) / max(n, 1)) ** (1 / d), max(spans) * 1e-6, 1e-9)
-    width = max(_cell_width(near, k, columns, width), reach * 1e-9)
-    parts, rounds = [], [todo]
-    order = Window.partitionBy("p").orderBy("d2", "q")
-    for _ in range(max_rounds):
-        last = width > reach * math.sqrt(d)  # no distance is longer
-        found = range_pairs(todo, near, width, columns=columns).filter("p != q").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        found = written(found.select(F.col("p").alias("pid"), "rank", F.col("q").alias("nn_pid"), F.sqrt("d2").alias("dist")), "knn-round")
-        if last:
-            parts.append(found)
-            rounds.append(found)
-            break
-        counted = found.groupBy("pid").count()
-        done = counted.filter(F.col("count") >= k) if n > k else counted.join(todo.select("pid", "__want"), "pid").filter(F.col("count") >= F.col("__want"))
-        done = done.select("pid")
-        parts.append(found.join(done, "pid", "left_semi"))
-        todo = written(todo.join(done, "pid", "left_anti"), "knn-open")
-        rounds += [found, todo]
-        if not todo.take(1):
-            break
-        width *= 2
-    out = written(reduce(DataFrame.unionByName, parts), "knn")
-    delete(near, *rounds)
+    tree = kd.build(near, columns, max(BLOCK_TARGETS, 8 * k))
+    block = kd.block_of(tree, columns)
+    held = near.select("pid", *columns, block.alias("block"))
+    queries = asked.select("pid", *columns, block.alias("block"))
+    both = held.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
+    sides = [f(F.when(~F.col("asks"), F.col(c))).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i, c in enumerate(columns)]
+    rows = both.groupBy("block").agg(F.count_if(~F.col("asks")).alias("held"), F.count_if(F.col("asks")).alias("asked"), *sides).collect()  # a row a block
+    lo, hi, counts = np.full((tree.blocks, d), np.inf), np.full((tree.blocks, d), -np.inf), np.zeros(tree.blocks, np.int64)
+    for r in rows:
+        if r["held"]:
+            lo[r["block"]], hi[r["block"]] = [r[f"lo{i}"] for i in range(d)], [r[f"hi{i}"] for i in range(d)]
+            counts[r["block"]] = r["held"]
+    tree.bound(lo, hi)
+
+    pid = near.schema["pid"].dataType
+    kind, own_kind = pid.simpleString(), asked.schema["pid"].dataType.simpleString()
+    schema = f"pid {own_kind}, rank int, nn_pid {kind}, d2 double, open boolean, r2 double, {', '.join(f'{c} double' for c in columns)}, block int"
+    arrow = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema).fields]
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+
+    def answered(table: pa.Table, first: bool) -> pa.Table:
+        """What a block's targets say to its queries; in the first round also where queries go on to."""
+        x = np.stack([table[c].to_numpy() for c in columns], 1)
+        asks = table["asks"].to_numpy(zero_copy_only=False)
+        pids = table["pid"]
+        _, order = np.unique(pids.to_numpy(zero_copy_only=False), return_inverse=True)
+        t, q = np.flatnonzero(~asks), np.flatnonzero(asks)
+        r2 = np.full(len(q), np.inf) if first else table["r2"].to_numpy()[q]
+        i, j, d2 = kd.nearest(x[t], order[t], x[q], order[q], k, r2)
+        n = np.bincount(i, minlength=len(q))
+        rank = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + 1
+        goes_on = np.zeros(len(q), bool)
+        row = at = np.zeros(0, np.int64)
+        if first:
+            radius = np.full(len(q), np.inf)
+            radius[i[rank == k]] = d2[rank == k]
+            for m in np.flatnonzero(~np.isfinite(radius)):  # by whole boxes
+                gap = np.maximum(np.abs(lo - x[q[m]]), np.abs(hi - x[q[m]]))
+                far = np.where(counts > 0, (gap * gap).sum(1), np.inf)
+                by = np.argsort(far)
+                enough = np.searchsorted(np.cumsum(counts[by]), k + 1)
+                radius[m] = far[by[enough]] if enough < len(by) else np.inf
+            home = table["block"].to_numpy()[0]
+            row, at = tree.touching(x[q], radius)
+            row, at = row[at != home], at[at != home]
+            goes_on[row] = True
+            r2 = radius
+
+        def column(of_found, of_sent, kind):
+            return pa.concat_arrays([pa.array(of_found, kind), pa.array(of_sent, kind)])
+
+        none = [None] * len(row)
+        mine = pids.combine_chunks()
+        values = [
+            pa.concat_arrays([mine.take(pa.array(q[i])).cast(arrow[0]), mine.take(pa.array(q[row])).cast(arrow[0])]),
+            column(rank, none, arrow[1]),
+            pa.concat_arrays([mine.take(pa.array(t[j])).cast(arrow[2]), pa.nulls(len(row), arrow[2])]),
+            column(d2, none, arrow[3]),
+            column(goes_on[i], none, arrow[4]),
+            column([None] * len(i), r2[row], arrow[5]),
+            *(column([None] * len(i), x[q[row], c], arrow[6]) for c in range(d)),
+            column([None] * len(i), at, arrow[-1]),
+        ]
+        return pa.Table.from_arrays(values, names)
+
+    def dealt(asking: DataFrame, many: dict[int, int]) -> DataFrame:
+        """Targets and queries by block and part: the queries of a block in ``many`` are split, and its targets go to each part."""
+        parts = F.lit(1)
+        if many:
+            split = spark.createDataFrame(list(many.items()), "block int, parts int")  # a row a block at most
+            side = lambda df: df.join(F.broadcast(split), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        else:
+            side = lambda df: df.withColumn("parts", parts)
+        asking = side(asking).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int"))
+        targets = side(held.join(asking.select("block").distinct(), "block", "left_semi")) if not many else side(held)
+        targets = targets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"asks": F.lit(False), "r2": F.lit(None).cast("double")})
+        wanted = ["block", "part", "pid", *columns, "asks", "r2"]
+        return targets.select(*wanted).unionByName(asking.withColumn("asks", F.lit(True)).select(*wanted)).groupBy("block", "part")
+
+    crowded = {r["block"]: -(-r["asked"] // BLOCK_QUERIES) for r in rows if r["asked"] > BLOCK_QUERIES}
+    first = written(dealt(queries.withColumn("r2", F.lit(None).cast("double")), crowded).applyInArrow(lambda t: answered(t, True), schema), "knn-first")
+    sent = first.filter("block is not null").select("pid", *columns, "block", "r2")
+    busy = {r["block"]: -(-r["count"] // BLOCK_QUERIES) for r in sent.groupBy("block").count().filter(F.col("count") > BLOCK_QUERIES).collect()}
+    found = first.filter("block is null")
+    result = ["pid", "rank", "nn_pid", "d2"]
+    more = dealt(sent, busy).applyInArrow(lambda t: answered(t, False), schema)
+    merged = found.filter("open").select(*result).unionByName(more.select(*result))
+    merged = merged.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "nn_pid"))).filter(F.col("rank") <= k)
+    out = found.filter("not open").select(*result).unionByName(merged)
+    out = written(out.select("pid", "rank", "nn_pid", F.sqrt("d2").alias("dist")), "knn")
+    delete(near, first)
     return out
 
 
