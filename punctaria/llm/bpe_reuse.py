@@ -125,10 +125,15 @@ class Encoder:
 
     def _fresh(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not remembered."""
-        mark, out = _MARK.encode(), {}
-        some = [w for w in words if mark not in w and not any(s in w for s in self.special)] if len(self.mark) == 1 else []
-        for w in words.difference(some):
-            out[w] = np.array(self.ids_of(w.decode()), np.uint16).tobytes()
+        mark, out, some = _MARK.encode(), {}, list(words)
+        everything = b" ".join(some)
+        if len(self.mark) != 1:
+            some = []
+        elif mark in everything or any(s in everything for s in self.special):
+            some = [w for w in some if mark not in w and not any(s in w for s in self.special)]
+        if len(some) < len(words):
+            for w in words.difference(some):
+                out[w] = np.array(self.ids_of(w.decode()), np.uint16).tobytes()
         for at in range(0, len(some), 4096):
             part = some[at : at + 4096]
             ids = np.array(self.ids_of(f" {_MARK} ".join(w.decode() for w in part)), np.uint16)
@@ -143,18 +148,19 @@ class Encoder:
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as 16-bit numbers."""
+        own = set(words)
+        fresh = own.difference(self.memo)
+        if not fresh:
+            return [self.memo[w] for w in words]
+        learned = self._fresh(fresh)
+        if len(self.memo) + len(learned) > MEMO:
+            self.memo = {w: self.memo[w] for w in own.difference(fresh)}
         memo = self.memo
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            own = set(words)
-            known = {w: memo[w] for w in own if w in memo}
-            fresh = self._fresh(own.difference(known))
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-            memo.update((w, i) for w, i in fresh.items() if len(w) <= LONG_WORD)
-            known |= fresh
-            return [known[w] for w in words]
+        memo.update(learned)
+        out = [memo[w] for w in words]
+        for w in [w for w in fresh if len(w) > LONG_WORD]:
+            del memo[w]
+        return out
 
     def encode(self, text: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(self.words(text.split())), np.uint16)
