@@ -10,12 +10,17 @@ import math
 import time
 from collections.abc import Callable
 from functools import reduce
-from operator import add, and_
+from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kd
 from .components import connected_components
+from .kd import valid
 from .spatial import eps_pairs, knn
 from .storage import delete, written
 
@@ -66,100 +71,228 @@ def dbscan_from_pairs(points: DataFrame, pairs: DataFrame, min_samples: float, w
     return out
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: float, weights: DataFrame | None = None, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """(pid, label, is_core): a point is core with ``min_samples`` points, or that much weight, within eps, itself included; a border point
-    takes the smallest label of a core point near it.
+def _around(rows: DataFrame, axes: int, by: tuple[str, ...]) -> DataFrame:
+    """Each row once for each cell that can hold a neighbour of its ``cell``'s points, named ``near``."""
+    out = rows.select("*", *(F.col(f"cell.c{i}").alias(f"__n{i}") for i in range(axes)))
+    for i in range(axes):
+        out = out.withColumn(f"__n{i}", F.explode(F.array(*(F.col(f"__n{i}") + o for o in (-2, -1, 0, 1, 2)))))
+    near = F.struct(*(F.col(f"cell.{b}").alias(b) for b in by), *(F.col(f"__n{i}").alias(f"c{i}") for i in range(axes)))
+    return out.withColumn("near", near).drop(*(f"__n{i}" for i in range(axes)))
 
-    Without weights, points are laid into cells so small that any two of a cell are neighbours. All points of a cell with ``min_samples`` points or more are core, and the core points of a cell
-    are one cluster, so pairs are only made of points in emptier cells, and links only between cells: first of the outermost core points of each, then, between cells that are
-    still apart, of all. What it costs grows with the points, however dense they are.
-    """
+
+def _d2(columns: tuple[str, ...]):
+    return reduce(add, ((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in columns))
+
+
+def _laid(points: DataFrame, eps: float, min_samples: float, columns: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """(pid, columns, cell, dense), written: points in cells so small that any two of a cell are neighbours; dense cells have ``min_samples`` or more."""
     if eps <= 0:
         raise ValueError("eps must be positive")
-    if weights is not None:
-        return dbscan_from_pairs(points, eps_pairs(points, eps, columns=columns), min_samples, weights)
     size = eps / math.sqrt(len(columns)) * (1 - 1e-9)
-    cells = [f"c{i}" for i in range(len(columns))]
-    cell, near = F.struct(*cells), F.struct(*(f"n{i}" for i in range(len(columns))))
-    laid = points.filter(reduce(and_, (F.col(c).isNotNull() for c in columns))).select("pid", *columns, *(F.floor(F.col(c) / size).alias(k) for c, k in zip(columns, cells, strict=True)))
-    full = laid.groupBy(*cells).agg(F.count("*").alias("n"))
-    laid = written(laid.join(full, cells).select("pid", *columns, cell.alias("cell"), (F.col("n") >= min_samples).alias("dense")), "cells")
-
-    def around(rows: DataFrame) -> DataFrame:
-        """Each row once for each cell that can hold a neighbour, named ``near``."""
-        out = rows.select("*", *(F.col(f"cell.{k}").alias(f"n{i}") for i, k in enumerate(cells)))
-        for i in range(len(columns)):
-            out = out.withColumn(f"n{i}", F.explode(F.array(*(F.col(f"n{i}") + o for o in (-2, -1, 0, 1, 2)))))
-        return out.withColumn("near", near).drop(*(f"n{i}" for i in range(len(columns))))
-
-    d2 = reduce(add, ((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in columns))
-    within = (F.col("p.near") == F.col("q.cell")) & (d2 <= eps * eps)
-    # Of the points of emptier cells: how many are near, cell by cell, and in emptier cells which.
-    sparse = around(laid.filter("not dense")).alias("p").join(laid.alias("q"), within)
-    sparse = sparse.groupBy(F.col("p.pid").alias("pid"), F.col("q.cell").alias("cell"), F.col("q.dense").alias("dense")).agg(F.count("*").alias("n"), F.collect_list(F.when(~F.col("q.dense"), F.col("q.pid"))).alias("members"))
-    sparse = written(sparse, "near-cells")
-    more = sparse.groupBy("pid").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("pid")
-    core = laid.filter("dense").select("pid", *columns, "cell").unionByName(laid.filter("not dense").join(more, "pid", "left_semi").select("pid", *columns, "cell"))
-    core = written(core, "core-points")
+    cell = F.struct(*by, *(F.floor(F.col(c) / size).alias(f"c{i}") for i, c in enumerate(columns)))
+    laid = points.filter(valid(columns)).select("pid", *columns, cell.alias("cell"))
+    # Written, so that the join is one of two plain exchanges, which can be split at a crowded cell.
+    full = written(laid.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("cell", F.lit(True).alias("dense")), "dense-cells")
+    out = written(laid.join(full, "cell", "left").select("pid", *columns, "cell", F.coalesce("dense", F.lit(False)).alias("dense")), "cells")
+    delete(full)
+    return out
+
+
+def _near_cells(laid: DataFrame, eps: float, columns: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """(owner, pid, cell, dense, n, members), written: for points of emptier cells, how many points of a cell are near, and in emptier cells which. ``owner`` is the point's own cell."""
+    rows = _around(laid.filter("not dense"), len(columns), by).alias("p").join(laid.alias("q"), (F.col("p.near") == F.col("q.cell")) & (_d2(columns) <= eps * eps))
+    rows = rows.groupBy(F.col("p.cell").alias("owner"), F.col("p.pid").alias("pid"), F.col("q.cell").alias("cell"), F.col("q.dense").alias("dense"))
+    return written(rows.agg(F.count("*").alias("n"), F.collect_list(F.when(~F.col("q.dense"), F.col("q.pid"))).alias("members")), "near-cells")
+
+
+#: Pairs of core points that are compared one by one, times the number of core points, before cells are cut finer; and how often they are, at most.
+PAIRS_A_POINT, FINEST = 64, 24
+
+
+def _open_links(core: DataFrame, groups: DataFrame, eps: float, columns: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """(a, b), written: groups of cells with core points within eps of each other, of cells that lie near one another. ``groups`` has (cell, grp).
+
+    Pairs of cells are told apart by the boxes around their points: too far apart, or all near. Pairs that neither settles are looked at in boxes a quarter as wide, and so on,
+    without the groups that are found linked, until so few pairs of points are left that they can be compared.
+    """
+    d, reach = len(columns), eps * eps
+    boxes = [f(c).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i, c in enumerate(columns)]
+    gap = lambda i: F.greatest(F.col(f"q.lo{i}") - F.col(f"p.hi{i}"), F.col(f"p.lo{i}") - F.col(f"q.hi{i}"), F.lit(0.0))
+    span = lambda i: F.greatest(F.col(f"q.hi{i}") - F.col(f"p.lo{i}"), F.col(f"p.hi{i}") - F.col(f"q.lo{i}"))
+    least, most = (reduce(add, (f(i) * f(i) for i in range(d))) for f in (gap, span))
+    size = eps / math.sqrt(d)
+    sides = ["p", "q"]
+
+    # Cells that lie near one of another group, with the boxes around their core points.
+    held = core.join(groups, "cell")
+    whole = written(held.groupBy("cell", "grp").agg(F.count("*").alias("n"), *boxes), "cell-boxes")
+    pairs = _around(whole, d, by).alias("p").join(whole.alias("q"), (F.col("p.near") == F.col("q.cell")) & (F.col("p.grp") < F.col("q.grp")) & (least <= reach))
+    kept = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in sides for c in ("cell", "grp", "n")]
+    pairs = written(pairs.select(*kept, F.lit("").alias("p_part"), F.lit("").alias("q_part"), (most <= reach).alias("all_near")), "cell-pairs")
+    links, passed = [pairs.filter("all_near")], [whole, pairs]
+    budget = PAIRS_A_POINT * core.count()
+    open_pairs, level = pairs, 0
+    while True:
+        linked = open_pairs.filter("all_near").select("p_grp", "q_grp").distinct()
+        left = open_pairs.filter("not all_near").join(linked, ["p_grp", "q_grp"], "left_anti")
+        row = left.agg(F.count("*").alias("n"), F.sum(F.col("p_n") * F.col("q_n")).alias("work")).first()
+        if not row["n"] or row["work"] <= budget or level == FINEST:
+            break
+        level += 1
+        part = lambda k: F.concat_ws(",", *(F.floor(F.col(c) / (size / 4**k)).cast("string") for c in columns)) if k else F.lit("")
+        wanted = left.select(F.explode(F.array("p_cell", "q_cell")).alias("cell")).distinct()
+        finer = held.join(wanted, "cell", "left_semi").withColumns({"above": part(level - 1), "part": part(level)}).groupBy("cell", "grp", "above", "part")
+        finer = written(finer.agg(F.count("*").alias("n"), *boxes), "part-boxes")
+        both = left.select(*(f"{s}_{c}" for s in sides for c in ("cell", "part"))).alias("l")
+        for s in sides:
+            both = both.join(finer.alias(s), (F.col(f"l.{s}_cell") == F.col(f"{s}.cell")) & (F.col(f"l.{s}_part") == F.col(f"{s}.above")))
+        both = both.filter(least <= reach).select(*kept, *(F.col(f"{s}.part").alias(f"{s}_part") for s in sides), (most <= reach).alias("all_near"))
+        open_pairs = written(both, "part-pairs")
+        links.append(open_pairs.filter("all_near"))
+        passed += [finer, open_pairs]
+    if row["n"]:
+        part = F.concat_ws(",", *(F.floor(F.col(c) / (size / 4**level)).cast("string") for c in columns)) if level else F.lit("")
+        points = held.select("cell", part.alias("part"), *columns)
+        both = left.select(*(f"{s}_{c}" for s in sides for c in ("cell", "part", "grp"))).alias("l")
+        for s in sides:
+            both = both.join(points.alias(s), (F.col(f"l.{s}_cell") == F.col(f"{s}.cell")) & (F.col(f"l.{s}_part") == F.col(f"{s}.part")))
+        links.append(both.filter(_d2(columns) <= reach))
+    out = written(reduce(DataFrame.unionByName, (x.select(F.col("p_grp").alias("a"), F.col("q_grp").alias("b")) for x in links)).distinct(), "group-links")
+    delete(*passed)
+    return out
 
-    # The outermost core points of each cell in 8 directions of every plane, the least pid of equal ones.
+
+def _cell_clusters(core: DataFrame, eps: float, columns: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """(cell, label), written: the cluster of each cell with core points. Core points of a cell are one cluster, and cells with core points within eps of each other are.
+
+    Links are found between the outermost core points of cells first, in 8 directions of every plane; what is still apart then is settled by ``_open_links``.
+    """
     sides = [*columns, *(f"({a} + {b})" for i, a in enumerate(columns) for b in columns[i + 1 :]), *(f"({a} - {b})" for i, a in enumerate(columns) for b in columns[i + 1 :])]
     whole = F.struct("pid", *columns)
     outer = core.groupBy("cell").agg(*(f(F.struct(F.expr(s).alias("s"), whole.alias("w"))).alias(f"{n}{i}") for i, s in enumerate(sides) for n, f in (("lo", F.min), ("hi", F.max))), F.min("pid").alias("rep"))
     outer = written(outer, "outer-points")
     some = outer.select("cell", F.explode(F.array_distinct(F.array(*(F.col(f"{n}{i}.w") for i in range(len(sides)) for n in ("lo", "hi"))))).alias("w")).select("cell", "w.*")
-    reps = outer.select("cell", "rep")
-
-    def links(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Cells with a pair of points within eps."""
-        return left.alias("p").join(right.alias("q"), within & (F.col("p.cell") < F.col("q.cell"))).select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b")).distinct()
-
-    first = connected_components(links(around(some), some))
-    group = reps.join(first.select(F.col("id").alias("cell"), "component"), "cell", "left").select("cell", F.coalesce("component", "cell").alias("grp"))
-    group = groups = written(group, "cell-groups")
-    # Cells that lie near one of another group are looked at in full.
-    apart = around(group).alias("p").join(group.alias("q"), (F.col("p.near") == F.col("q.cell")) & (F.col("p.grp") < F.col("q.grp"))).select(F.explode(F.array("p.cell", "q.cell")).alias("cell")).distinct()
-    left = written(core.join(apart, "cell", "left_semi").join(group, "cell"), "open-core")
-    if left.take(1):
-        second = around(left).alias("p").join(left.alias("q"), within & (F.col("p.grp") < F.col("q.grp"))).select(F.col("p.grp").alias("a"), F.col("q.grp").alias("b")).distinct()
-        merged = connected_components(second)
-        group = group.join(merged.select(F.col("id").alias("grp"), "component"), "grp", "left").select("cell", F.coalesce("component", "grp").alias("grp"))
-    # A cluster is called after its smallest pid.
-    named = reps.join(group, "cell")
-    named = named.join(named.groupBy("grp").agg(F.min("rep").alias("least")), "grp").select("cell", F.col("least").alias("rep"))
-    cell_labels = written(_numbered(named.select(F.col("cell").alias("pid"), "rep")).withColumnRenamed("pid", "cell"), "cell-labels")
-    labels = written(core.select("pid", "cell").join(cell_labels, "cell").select("pid", "label"), "core-labels")
+    near = (F.col("p.near") == F.col("q.cell")) & (_d2(columns) <= eps * eps) & (F.col("p.cell") < F.col("q.cell"))
+    first = connected_components(_around(some, len(columns), by).alias("p").join(some.alias("q"), near).select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b")))
+    groups = outer.select("cell", "rep").join(first.select(F.col("id").alias("cell"), "component"), "cell", "left")
+    groups = written(groups.select("cell", "rep", F.coalesce("component", "cell").alias("grp")), "cell-groups")
+    links = _open_links(core, groups.select("cell", "grp"), eps, columns, by)
+    merged = connected_components(links)
+    named = groups.join(merged.select(F.col("id").alias("grp"), "component"), "grp", "left").select("cell", "rep", F.coalesce("component", "grp").alias("grp"))
+    # A cluster is called after its smallest pid; groups of points are numbered apart.
+    named = named.join(named.groupBy("grp").agg(F.min("rep").alias("least")), "grp")
+    named = named.select(*(F.col(f"cell.{b}").alias(b) for b in by), F.col("cell").alias("pid"), F.col("least").alias("rep"))
+    out = written(_numbered(named, by).select(F.col("pid").alias("cell"), "label"), "cell-labels")
+    delete(outer, first, groups, links, merged)
+    return out
+
+
+def dbscan(points: DataFrame, eps: float, min_samples: float, weights: DataFrame | None = None, columns: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., pid, label, is_core): a point is core with ``min_samples`` points, or that much weight, within eps, itself included; a border point
+    takes the smallest label of a core point near it. Points of different values of ``by`` (not null) are clustered apart, all in one plan.
+
+    Without weights, points are laid into cells so small that any two of a cell are neighbours. All points of a cell with ``min_samples`` points or more are core, and the core points of a cell
+    are one cluster, so pairs are only made of points in emptier cells, and links only between cells. Crowded cells are told apart by boxes that get finer only where that matters. Points
+    with a null or NaN coordinate are noise.
+    """
+    if weights is not None:
+        return dbscan_from_pairs(points, eps_pairs(points, eps, columns=columns), min_samples, weights)
+    laid = _laid(points, eps, min_samples, columns, by)
+    sparse = _near_cells(laid, eps, columns, by)
+    more = sparse.groupBy("owner", "pid").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select(F.col("owner").alias("cell"), "pid")
+    core = laid.filter("dense").unionByName(laid.filter("not dense").join(more, ["cell", "pid"], "left_semi")).select("pid", *columns, "cell")
+    core = written(core, "core-points")
+    cell_labels = _cell_clusters(core, eps, columns, by)
+    labels = written(core.select("pid", "cell").join(cell_labels, "cell").select(*(F.col(f"cell.{b}").alias(b) for b in by), "pid", "label"), "core-labels")
     # Border points: dense cells near them hold core points only, of emptier ones those that are core count.
-    rim = sparse.join(more, "pid", "left_anti")
-    by_cell = rim.filter("dense").join(cell_labels, "cell").select("pid", "label")
-    by_member = rim.filter("not dense").select("pid", F.explode("members").alias("q")).join(labels.withColumnRenamed("pid", "q"), "q").select("pid", "label")
-    border = by_cell.unionByName(by_member).groupBy("pid").agg(F.min("label").alias("near"))
-    out = points.select("pid").join(labels, "pid", "left").join(border, "pid", "left")
-    out = written(out.select("pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"), F.col("label").isNotNull().alias("is_core")), "dbscan")
-    delete(laid, sparse, core, outer, groups, left, cell_labels, labels)
+    rim = sparse.join(more.withColumnRenamed("cell", "owner"), ["owner", "pid"], "left_anti").select(*(F.col(f"owner.{b}").alias(b) for b in by), "pid", "cell", "dense", "members")
+    by_cell = rim.filter("dense").join(cell_labels, "cell").select(*by, "pid", "label")
+    by_member = rim.filter("not dense").select(*by, "pid", F.explode("members").alias("q")).join(labels.withColumnRenamed("pid", "q"), [*by, "q"]).select(*by, "pid", "label")
+    border = by_cell.unionByName(by_member).groupBy(*by, "pid").agg(F.min("label").alias("near"))
+    out = points.select(*by, "pid").join(labels, [*by, "pid"], "left").join(border, [*by, "pid"], "left")
+    out = written(out.select(*by, "pid", F.coalesce("label", "near", F.lit(NOISE)).cast("int").alias("label"), F.col("label").isNotNull().alias("is_core")), "dbscan")
+    delete(laid, sparse, core, cell_labels, labels)
     return out
 
 
-def k_core(pairs: DataFrame, min_samples: int, max_rounds: int = 1000) -> DataFrame:
-    """(pid) of what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is."""
-    now = written(pairs.select("p", "q"), "peeled")
-    before = now.count()
-    for _ in range(max_rounds):
-        core = core_points(now, min_samples)
-        left = written(now.join(core.withColumnRenamed("pid", "p"), "p", "left_semi").join(core.withColumnRenamed("pid", "q"), "q", "left_semi").select("p", "q"), "peeled")
-        delete(now)
-        now, n = left, left.count()
-        if n == before:
-            return now.select(F.col("p").alias("pid")).distinct()
-        before = n
-    raise RuntimeError(f"peeling did not settle in {max_rounds} rounds")
+#: Points of emptier cells in one block of ``peeled``.
+PEEL_BLOCK = 50_000
+
+
+def _fallen(base: np.ndarray, of: np.ndarray, to: np.ndarray, least: float) -> np.ndarray:
+    """Which points fall below ``least`` neighbours one after the other: ``base`` neighbours stay, links (of, to) go with the point ``to``, which is -1 if it lies elsewhere."""
+    n = len(base)
+    degree = base + np.bincount(of, minlength=n)
+    inside = to >= 0
+    of, to = of[inside], to[inside]
+    by = np.argsort(to, kind="stable")
+    of, start = of[by], np.searchsorted(to[by], np.arange(n + 1))
+    gone = degree < least
+    wave = np.flatnonzero(gone)
+    while len(wave):
+        size = start[wave + 1] - start[wave]
+        at = np.repeat(start[wave] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        met, times = np.unique(of[at], return_counts=True)
+        degree[met] -= times
+        wave = met[(degree[met] < least) & ~gone[met]]
+        gone[wave] = True
+    return gone
+
+
+def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """(pid, columns, cell), written: what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is.
+
+    Points of a cell with that many keep each other for good, so only points of emptier cells can fall, and their neighbours in such cells are few. They are dealt to blocks by a tree
+    of boxes; a block peels its own until nothing moves, taking those of other blocks as they stand; then blocks tell each other what fell. The number of exchanges follows how
+    many blocks in a row a peeling runs through, not the number of points.
+    """
+    laid = _laid(points, eps, min_samples, columns, ())
+    near = _near_cells(laid, eps, columns, ())
+    loose = laid.filter("not dense").select("pid", *columns)
+    block = kd.block_of(kd.build(loose, columns, PEEL_BLOCK), columns)
+    home = written(loose.select("pid", block.alias("block")), "peel-blocks")
+    base = near.filter("dense").groupBy("pid").agg(F.sum("n").alias("base"))
+    nodes = home.join(base, "pid", "left").select("block", "pid", (F.coalesce("base", F.lit(0)) + 1).alias("base"))
+    nodes = written(nodes, "peel-points")
+    links = near.filter("not dense").select("pid", F.explode("members").alias("other")).filter("other != pid").join(home, "pid")
+    links = written(links.select("block", "pid", "other"), "peel-links")
+    kind = points.schema["pid"].dataType.simpleString()
+
+    def fall(table: pa.Table) -> pa.Table:
+        is_node = table["base"].is_valid()
+        nodes, links = table.filter(is_node), table.filter(pc.invert(is_node))
+        own, others = nodes["pid"].to_numpy(), links["other"].to_numpy()
+        by = np.argsort(own, kind="stable")
+        place = lambda v: by[np.minimum(np.searchsorted(own[by], v), len(own) - 1)]
+        to = place(others)
+        to[own[to] != others] = -1
+        gone = _fallen(nodes["base"].to_numpy(), place(links["pid"].to_numpy()), to, min_samples)
+        return nodes.select(["pid"]).filter(pa.array(gone))
+
+    while True:
+        rows = nodes.withColumn("other", F.lit(None).cast(kind)).unionByName(links.withColumn("base", F.lit(None).cast("long")))
+        fallen = written(rows.groupBy("block").applyInArrow(fall, f"pid {kind}"), "fallen")
+        if not fallen.take(1):
+            break
+        before = nodes, links
+        nodes = written(nodes.join(fallen, "pid", "left_anti"), "peel-points")
+        links = links.join(fallen, "pid", "left_anti").join(fallen.withColumnRenamed("pid", "other"), "other", "left_anti")
+        links = written(links.select("block", "pid", "other"), "peel-links")
+        delete(*before, fallen)
+    out = laid.filter("dense").unionByName(laid.filter("not dense").join(nodes, "pid", "left_semi")).select("pid", *columns, "cell")
+    out = written(out, "peeled")
+    delete(laid, near, home, nodes, links, fallen)
+    return out
 
 
 def dbscan_loop(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(pid, label): clusters without border points, from which points are peeled until all that is left is core."""
-    pairs = written(eps_pairs(points, eps).select("p", "q"), "eps-pairs")
-    labels = _numbered(_components_of(written(k_core(pairs, min_samples), "core-points"), pairs))
-    return points.select("pid").join(labels, "pid", "left").select("pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label"))
+    core = peeled(points, eps, min_samples)
+    cell_labels = _cell_clusters(core, eps, ("x", "y"), ())
+    labels = core.join(cell_labels, "cell").select("pid", "label")
+    out = written(points.select("pid").join(labels, "pid", "left").select("pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label")), "dbscan-loop")
+    delete(core, cell_labels)
+    return out
 
 
 def cluster_of(points: DataFrame, eps: float, min_samples: int, pid: int) -> DataFrame:

@@ -90,7 +90,7 @@ def phase_assignment(points: DataFrame, cells: list[tuple[int, float, int]], noi
     return out
 
 
-def _settled_levels(levels: DataFrame, both: DataFrame, sigmas: list[float], thresholds: list[int], max_rounds: int = 1000) -> DataFrame:
+def _settled_levels(levels: DataFrame, both: DataFrame, sigmas: list[float], thresholds: list[int]) -> DataFrame:
     """Levels at which points stay core among the points of at least their level: what is left of each cell when points that are not core are dropped until all are.
 
     Each round a point takes the highest level that enough of its neighbours have too; levels only fall, and where none does they are those of the peeled graphs.
@@ -123,7 +123,7 @@ def _settled_levels(levels: DataFrame, both: DataFrame, sigmas: list[float], thr
             yield pa.RecordBatch.from_arrays([pids, blocks, flat, pa.array((new != v).any(1))], ["pid", "block", "v", "changed"])
 
     now = levels
-    for _ in range(max_rounds):
+    while True:
         told = both.join(now.select(F.col("pid").alias("q"), "v"), "q").groupBy(F.col("p").alias("pid")).agg(F.collect_list(F.struct("s0", "v")).alias("near"))
         empty = F.array().cast(told.schema["near"].dataType)
         rows = now.select("pid", "block", "v").join(told, "pid", "left").select("pid", "block", "v", F.coalesce("near", empty).alias("near"))
@@ -132,7 +132,6 @@ def _settled_levels(levels: DataFrame, both: DataFrame, sigmas: list[float], thr
         now = new
         if not now.filter("changed").take(1):
             return now
-    raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
 
 
 def _block_clusters(pdf, n_sigmas: int, thresholds: list[int], idx_of: dict):
