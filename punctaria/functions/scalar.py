@@ -92,3 +92,19 @@ def estimated_seconds(points: Column, square: float, linear: float, constant: fl
 
 def padded_id(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
+
+
+# What stands between numbers of a line, and a number.
+NUMBER_GAP, NUMBER = r"[ \t\r\n,;]+", r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def numbers_in(text):
+    """The numbers among a text's pieces, in order; empty for null."""
+    pieces = F.split(F.coalesce(text, F.lit("")), NUMBER_GAP)
+    return F.transform(F.filter(pieces, lambda p: p.rlike(f"^{NUMBER}$")), lambda p: p.cast("double"))
+
+
+def data_lines(text):
+    """Lines of a text that hold numbers and nothing else."""
+    gap = NUMBER_GAP.replace(r"\n", "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(f"^({gap})?{NUMBER}({gap}{NUMBER})*({gap})?$"))
