@@ -26,13 +26,15 @@ def truncated(value: Column, scale: int = 100_000) -> Column:
     return (value * scale).cast("int")
 
 
-def linspace(low: float, high: float, n: int) -> Column:
-    """Array of n even steps."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * ((high - low) / max(1, n - 1)))
+def linspace(low: float | Column, high: float | Column, n: int) -> Column:
+    """Array of n even steps between two numbers or columns."""
+    low, high = (v if isinstance(v, Column) else F.lit(float(v)) for v in (low, high))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + i * ((high - low) / max(1, n - 1)))
 
 
-def logspace(low: float, high: float, n: int) -> Column:
-    return F.transform(linspace(math.log(low), math.log(high), n), F.exp)
+def logspace(low: float | Column, high: float | Column, n: int) -> Column:
+    low, high = (F.log(v if isinstance(v, Column) else F.lit(float(v))) for v in (low, high))
+    return F.transform(linspace(low, high, n), F.exp)
 
 
 def nan_to_null(value: Column) -> Column:

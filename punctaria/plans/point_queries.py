@@ -303,21 +303,30 @@ def roi_statistics(spark, sf_dir):
     return s.select("roi", R("area", 6).alias("area"), "points", "clustered", R("clustered_share", 6).alias("clustered_share"), "clusters", R("points_per_area", 6).alias("points_per_area"), R("median_points", 6).alias("median_points"))
 
 
-CORNERS = "v(roi, i, x, y) AS (VALUES " + ", ".join(f"('{k}', {i}, {x}e0, {y}e0)" for k, ring in ROI_RINGS for i, (x, y) in enumerate(ring)) + ")"
+def _boxes(p, name, margin=0.0):
+    """The box around the points of each label as a closed ring."""
+    b = p.filter(F.col(name) >= 0).groupBy(F.col(name).cast("string").alias("roi"))
+    b = b.agg((F.min("x") - margin).alias("x0"), (F.max("x") + margin).alias("x1"), (F.min("y") - margin).alias("y0"), (F.max("y") + margin).alias("y1"))
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return b.withColumn("ring", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0")))
 
 
-@query(f"WITH {CORNERS} SELECT roi, 'outer' AS \"outer\" FROM v GROUP BY roi HAVING bool_and(x > -1 AND x < 80 AND y > -1 AND y < 160)")
-def polygons_within_polygon(spark, sf_dir):
-    outer = spark.createDataFrame([("outer", [{"x": x, "y": y} for x, y in [(-1.0, -1.0), (80.0, -1.0), (80.0, 160.0), (-1.0, 160.0), (-1.0, -1.0)]])], "roi string, ring array<struct<x double, y double>>")
-    return spatial.rings_within(_rois(spark), outer)
+BOX = "(SELECT CAST({0} AS VARCHAR) AS roi, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM labelled WHERE {0} >= 0 GROUP BY 1)"
 
 
 @query(
-    f"WITH {CORNERS}, e AS (SELECT roi, x, y, lead(x, 1, first_x) OVER w AS x2, lead(y, 1, first_y) OVER w AS y2 FROM (SELECT *, first_value(x) OVER (PARTITION BY roi ORDER BY i) AS first_x, first_value(y) OVER (PARTITION BY roi ORDER BY i) AS first_y FROM v) WINDOW w AS (PARTITION BY roi ORDER BY i)) "
-    "SELECT roi, round(sum((x + x2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cy FROM e GROUP BY roi"
+    f"WITH {LABELLED} SELECT a.roi, b.roi AS \"outer\" FROM {BOX.format('label')} a JOIN {BOX.format('truth')} b "
+    "ON a.x0 > b.x0 - 0.503e0 AND a.x1 < b.x1 + 0.503e0 AND a.y0 > b.y0 - 0.503e0 AND a.y1 < b.y1 + 0.503e0"
 )
+def polygons_within_polygon(spark, sf_dir):
+    p = labelled(spark, sf_dir)
+    return spatial.rings_within(_boxes(p, "label").select("roi", "ring"), _boxes(p, "truth", 0.503).select("roi", "ring"))
+
+
+@query(f"WITH {LABELLED} SELECT roi, round((x0 + 2 * x1) / 3, 6) AS cx, round((2 * y0 + y1) / 3, 6) AS cy FROM {BOX.format('label')} WHERE x1 > x0 AND y1 > y0")
 def ring_centroids(spark, sf_dir):
-    c = _rois(spark).select("roi", spatial.ring_centroid(F.col("ring")).alias("c"))
+    half = F.array(*(F.get("ring", i) for i in (0, 1, 2, 0)))  # the lower right half of each box, so that the middle is not the answer
+    c = _boxes(labelled(spark, sf_dir), "label").filter("x1 > x0 and y1 > y0").select("roi", spatial.ring_centroid(half).alias("c"))
     return c.select("roi", R("c.x", 6).alias("cx"), R("c.y", 6).alias("cy"))
 
 

@@ -9,8 +9,8 @@ from punctaria.operators import clustering, evaluate, features, filters, generat
 from punctaria.sources import points as source
 
 from .catalog import query
-from .point_queries import BOUNDS, CELLS, PAIRS, VEC, _rois, _vector_neighbours
-from .views import LABELLED, POINTS, labelled, points, table
+from .point_queries import BOUNDS, CELLS, INSIDE, PAIRS, VEC, _rois, _vector_neighbours
+from .views import LABELLED, POINTS, counts_by_type, labelled, points, table
 
 R = F.round
 
@@ -20,18 +20,17 @@ R = F.round
 
 @query(f"""
 WITH {POINTS},
-t AS (SELECT * FROM points WHERE event_type = 'error' AND pid % 3 = 0),
 r AS (
   SELECT p.pid, t.pid AS nn_pid, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS dist,
     row_number() OVER (PARTITION BY p.pid ORDER BY (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y), t.pid) AS rank
-  FROM points p JOIN t ON p.pid <> t.pid AND p.pid % 50 = 0
+  FROM points p JOIN points t ON p.pid <> t.pid AND p.pid % 50 = 0
 )
 SELECT p.pid, k.rank, r.nn_pid, round(dist, 6) AS dist
 FROM (SELECT pid FROM points WHERE pid % 50 = 0) p CROSS JOIN (SELECT unnest(range(3, 7)) AS rank) k LEFT JOIN r ON r.pid = p.pid AND r.rank = k.rank
 """)
 def neighbour_rank_window(spark, sf_dir):
     p = points(spark, sf_dir)
-    near = spatial.neighbour_ranks(p.filter("pid % 50 = 0"), 3, 6, targets=p.filter("event_type = 'error' and pid % 3 = 0"))
+    near = spatial.neighbour_ranks(p.filter("pid % 50 = 0"), 3, 6, targets=p)  # a stated query set against all points
     return near.select("pid", F.col("rank").cast("long").alias("rank"), "nn_pid", R("dist", 6).alias("dist"))
 
 
@@ -82,7 +81,7 @@ def outlier_jumps(spark, sf_dir):
 
 @query(f"""
 WITH {PAIRS},
-n AS (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY d2, q) AS rank FROM pairs WHERE p <> q AND p % 10 = 0),
+n AS (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY d2, q) AS rank FROM pairs WHERE p <> q),
 r AS (SELECT n.p AS pid, n.rank, b.x - a.x AS dx, b.y - a.y AS dy FROM n JOIN points a ON a.pid = n.p JOIN points b ON b.pid = n.q WHERE n.rank <= 3),
 l AS (SELECT pid, least(0, min(least(dx, dy))) AS lo, greatest(0, max(greatest(dx, dy))) AS hi FROM r GROUP BY pid)
 SELECT pid, rank, round(coalesce(dx / nullif(hi - lo, 0), 0), 6) AS fx, round(coalesce(dy / nullif(hi - lo, 0), 0), 6) AS fy FROM r JOIN l USING (pid)
@@ -92,7 +91,7 @@ def neighbour_coordinates(spark, sf_dir):
 
     p = points(spark, sf_dir).select("pid", "x", "y")
     rank = F.row_number().over(Window.partitionBy("p").orderBy("d2", "q"))
-    near = spatial.range_pairs(p.filter("pid % 10 = 0"), p, 4.0).filter("p != q").select(F.col("p").alias("pid"), rank.alias("rank"), F.col("q").alias("nn_pid")).filter("rank <= 3")
+    near = spatial.range_pairs(p, p, 4.0).filter("p != q").select(F.col("p").alias("pid"), rank.alias("rank"), F.col("q").alias("nn_pid")).filter("rank <= 3")
     f = features.relative_coordinates(p, near)
     pair = F.transform(F.sequence(F.lit(0), F.floor(F.size("f") / 2).cast("int") - 1), lambda i: F.struct(R(F.get("f", 2 * i), 6).alias("fx"), R(F.get("f", 2 * i + 1), 6).alias("fy")))
     return f.select("pid", F.posexplode(pair).alias("rank", "c")).select("pid", (F.col("rank") + 1).cast("long").alias("rank"), "c.fx", "c.fy")
@@ -222,11 +221,13 @@ def points_with_cluster_shapes(spark, sf_dir):
 
 
 @query(f"""
-WITH {LABELLED}, {SHAPES}, m AS (SELECT DISTINCT label FROM labelled WHERE label >= 0 AND x < 40 AND y < 150)
-SELECT 'b' AS roi, round(median(area), 6) AS median_area, round(median(population / nullif(area, 0)), 6) AS median_density FROM m JOIN shape USING (label)
+WITH {LABELLED}, {SHAPES},
+m AS (SELECT DISTINCT 'a' AS roi, label FROM labelled WHERE label >= 0 AND ({INSIDE}) % 2 = 1 UNION SELECT DISTINCT 'b', label FROM labelled WHERE label >= 0 AND x < 40 AND y < 150)
+SELECT roi, round(median(area), 6) AS median_area, round(median(population / nullif(area, 0)), 6) AS median_density
+FROM (VALUES ('a'), ('b'), ('c')) z(roi) LEFT JOIN m USING (roi) LEFT JOIN shape USING (label) GROUP BY roi
 """)
 def roi_shape_medians(spark, sf_dir):
-    p, rois = labelled(spark, sf_dir), _rois(spark).filter("roi = 'b'")
+    p, rois = labelled(spark, sf_dir), _rois(spark)
     areas = rois.select("roi", spatial.ring_area(F.col("ring")).alias("area"))
     s = stats.roi_statistics(p, spatial.points_in_rings(p, rois), areas, _shapes(spark, sf_dir))
     return s.select("roi", R("median_area", 6).alias("median_area"), R("median_density", 6).alias("median_density"))
@@ -239,13 +240,13 @@ def clusters_above_limit(spark, sf_dir):
 
 @query("""
 WITH f AS (SELECT 'cell' || CAST(event_id % 400 AS VARCHAR) || '.txt' AS file, count(*) AS rows FROM events GROUP BY 1),
-r AS (SELECT 'cell' || CAST(event_id AS VARCHAR) || '_roi' || CAST(user_id AS VARCHAR) || '.json' AS region_file FROM events WHERE event_id % 5 = 0)
+r AS (SELECT 'cell' || CAST(event_id AS VARCHAR) || '_roi' || CAST(user_id AS VARCHAR) || '.json' AS region_file FROM events)
 SELECT region_file, file, rows FROM r JOIN f ON regexp_extract(region_file, '^(.*?)_roi', 1) || '.txt' = file
 """)
 def regions_of_files(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     files = e.groupBy(F.concat(F.lit("cell"), (F.col("event_id") % 400).cast("string"), F.lit(".txt")).alias("file")).agg(F.count("*").alias("rows"))
-    regions = e.filter("event_id % 5 = 0").select(F.concat(F.lit("cell"), F.col("event_id").cast("string"), F.lit("_roi"), F.col("user_id").cast("string"), F.lit(".json")).alias("region_file"))
+    regions = e.select(F.concat(F.lit("cell"), F.col("event_id").cast("string"), F.lit("_roi"), F.col("user_id").cast("string"), F.lit(".json")).alias("region_file"))
     return source.matched_regions(regions, files).select("region_file", "file", "rows")
 
 
@@ -270,16 +271,16 @@ def rectangular_rows(spark, sf_dir):
     return source.rectangular_rows(table(spark, sf_dir, "events"), "user_id", "value", 3)
 
 
-@query("SELECT 'a' AS source, event_id, value, NULL AS doubled FROM events WHERE event_type = 'click' UNION ALL SELECT 'b', event_id, NULL, 2 * value FROM events WHERE event_type = 'view'")
+@query("SELECT 'a' AS source, event_id, value, NULL AS doubled FROM events WHERE event_type = 'click' UNION ALL SELECT 'b', event_id, NULL, 2 * value FROM events WHERE event_type <> 'click'")
 def pooled_tables(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return source.pooled({"a": e.filter("event_type = 'click'").select("event_id", "value"), "b": e.filter("event_type = 'view'").select("event_id", (2 * F.col("value")).alias("doubled"))})
+    return source.pooled({"a": e.filter("event_type = 'click'").select("event_id", "value"), "b": e.filter("event_type <> 'click'").select("event_id", (2 * F.col("value")).alias("doubled"))})
 
 
-@query("SELECT user_id, max(v) FILTER (event_type = 'click') AS click, max(v) FILTER (event_type = 'error') AS error FROM (SELECT user_id, event_type, round(avg(value), 6) AS v FROM events GROUP BY 1, 2) GROUP BY user_id")
+@query("SELECT user_id, max(v) FILTER (event_type = 'click') AS click, max(v) FILTER (event_type = 'error') AS error, max(v) FILTER (event_type = 'purchase') AS purchase, max(v) FILTER (event_type = 'signup') AS signup, max(v) FILTER (event_type = 'view') AS view FROM (SELECT user_id, event_type, round(avg(value), 6) AS v FROM events GROUP BY 1, 2) GROUP BY user_id")
 def replicate_table(spark, sf_dir):
     means = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(R(F.avg("value"), 6).alias("v"))
-    return source.replicate_table(means, "user_id", "event_type", "v", ["click", "error"])
+    return source.replicate_table(means, "user_id", "event_type", "v", ["click", "error", "purchase", "signup", "view"])
 
 
 @query(f"""
@@ -339,22 +340,28 @@ def staged_clusters(spark, sf_dir):
     return clustering.cluster(clustering.tile_of(points(spark, sf_dir), 2000), "staged", cut=2.5, by="tile")
 
 
-RING = [(0.0, 0.0), (60.0, 10.0), (90.0, 70.0), (30.0, 40.0), (0.0, 0.0)]
+def _field(p):
+    """The box around all points as a ring, and their number."""
+    r = p.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    return [(r.x0, r.y0), (r.x1, r.y0), (r.x1, r.y1), (r.x0, r.y1), (r.x0, r.y0)], r.n
 
 
 @query()
 def sprinkled_points(spark, sf_dir):
-    return generate.sprinkled(spark, RING, 500, seed=4, fuzz=0.1)
+    """As many points as the table holds, at random in their field: what its clusters are compared with."""
+    ring, n = _field(points(spark, sf_dir))
+    return generate.sprinkled(spark, ring, n, seed=4, fuzz=0.1)
 
 
 @query()
 def spaced_seeds(spark, sf_dir):
-    return generate.spaced_seeds(spark, RING, 40, 2.0, seed=4)
+    ring, n = _field(points(spark, sf_dir))
+    return generate.spaced_seeds(spark, ring, n // 25, 2.0, seed=4)
 
 
 @query()
 def simulation_truth(spark, sf_dir):
-    grid = generate.scenarios(spark, {"points": [800.0], "share_clustered": [0.4, 0.6], "per_cluster": [20.0], "radius": [30.0], "side": [2000.0]})
+    grid = generate.scenarios(spark, {"points": counts_by_type(spark, sf_dir), "share_clustered": [0.4, 0.6], "per_cluster": [20.0], "radius": [30.0], "side": [2000.0]})
     return generate.truth_table(generate.simulated_cells(grid, 2), grid)
 
 

@@ -12,7 +12,7 @@ from punctaria.operators.ranks import ranked
 from punctaria.streaming import windowed_statistics
 
 from .catalog import query
-from .views import LABELLED, OPTIMA, PHASE, POINTS, labelled, optima_like, phase_like, points, table
+from .views import LABELLED, OPTIMA, PHASE, POINTS, counts_by_type, labelled, optima_like, phase_like, points, table
 
 R = F.round
 P = f"WITH {PHASE} "
@@ -238,29 +238,42 @@ def scalar_functions(spark, sf_dir):
     return points(spark, sf_dir).select("pid", features.label_from_score(part).alias("label"), scalar.truncated(part, 1000).alias("cut"), scalar.clamp(F.floor(x), 2, 20).cast("int").alias("clamped"), R(scalar.distance(x, y), 6).alias("norm"))
 
 
-@query("SELECT i, round(exp(ln(2e0) + i * (ln(50e0) - ln(2e0)) / 14), 6) AS sigma FROM range(15) r(i)")
+@query("SELECT event_type, i, round(exp(ln(lo) + i * (ln(hi) - ln(lo)) / 14), 6) AS sigma FROM (SELECT event_type, min(value) + 1 AS lo, max(value) + 1 AS hi FROM events GROUP BY 1), range(15) r(i)")
 def log_grid(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(scalar.logspace(2.0, 50.0, 15)).alias("i", "sigma")).select(F.col("i").cast("long").alias("i"), R("sigma", 6).alias("sigma"))
+    b = table(spark, sf_dir, "events").groupBy("event_type").agg((F.min("value") + 1).alias("lo"), (F.max("value") + 1).alias("hi"))
+    return b.select("event_type", F.posexplode(scalar.logspace(F.col("lo"), F.col("hi"), 15)).alias("i", "sigma")).select("event_type", F.col("i").cast("long").alias("i"), R("sigma", 6).alias("sigma"))
 
 
-@query("SELECT CAST(i * 3 + j AS INTEGER) AS sc, CAST(1000 * (i + 1) AS DOUBLE) AS points, 0.2e0 * (j + 1) AS share_clustered FROM range(3) a(i), range(3) b(j)")
+_COUNTS = "t AS (SELECT CAST(n AS DOUBLE) AS points, row_number() OVER (ORDER BY n, event_type) - 1 AS i FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1))"
+
+
+@query(f"WITH {_COUNTS} SELECT CAST(i * 3 + j AS INTEGER) AS sc, points, 0.2e0 * (j + 1) AS share_clustered FROM t, range(3) b(j)")
 def scenario_grid(spark, sf_dir):
-    return generate.scenarios(spark, {"points": [1000, 2000, 3000], "share_clustered": [0.2, 0.2 * 2, 0.2 * 3]}).select("sc", "points", "share_clustered")
+    return generate.scenarios(spark, {"points": counts_by_type(spark, sf_dir), "share_clustered": [0.2, 0.2 * 2, 0.2 * 3]}).select("sc", "points", "share_clustered")
+
 
+def _scenarios(spark, sf_dir):
+    return generate.scenarios(spark, {"points": counts_by_type(spark, sf_dir), "share_clustered": [0.0, 0.25, 0.5], "per_cluster": [10.0, 25.0], "radius": [20.0, 60.0], "side": [2000.0]})
 
-SCENARIOS = {"points": [1000.0, 4000.0], "share_clustered": [0.0, 0.25, 0.5], "per_cluster": [10.0, 25.0], "radius": [20.0, 60.0], "side": [2000.0]}
-_GRID = "g AS (SELECT * FROM (VALUES (1000e0), (4000e0)) a(points), (VALUES (0e0), (0.25e0), (0.5e0)) b(share_clustered), (VALUES (10e0), (25e0)) c(per_cluster), (VALUES (20e0), (60e0)) d(radius))"
 
+_GRID = f"{_COUNTS}, g AS (SELECT points, share_clustered, per_cluster, radius FROM t, (VALUES (0e0), (0.25e0), (0.5e0)) b(share_clustered), (VALUES (10e0), (25e0)) c(per_cluster), (VALUES (20e0), (60e0)) d(radius))"
 
-@query(f"WITH {_GRID}, h AS (SELECT *, floor(points * share_clustered / per_cluster) AS clusters FROM g), k AS (SELECT *, {math.pi} * radius * radius * clusters AS area FROM h) SELECT points, share_clustered, per_cluster, radius, CAST(clusters AS BIGINT) AS clusters, round(area, 4) AS clustered_area, round((clusters * per_cluster / nullif(area, 0)) / nullif((points - clusters * per_cluster) / nullif(4000000e0 - area, 0), 0), 4) AS density_ratio FROM k")
+
+@query(f"""
+WITH {_GRID}, h AS (SELECT *, floor(points * share_clustered / per_cluster) AS clusters FROM g), k AS (SELECT *, {math.pi} * radius * radius * clusters AS area FROM h)
+SELECT points, share_clustered, per_cluster, radius, CAST(clusters AS BIGINT) AS clusters, round(area, 4) AS clustered_area,
+  round((clusters * per_cluster / nullif(area, 0)) / nullif((points - clusters * per_cluster) / nullif(4000000e0 - area, 0), 0), 4) AS density_ratio
+FROM k
+""")
 def scenario_densities(spark, sf_dir):
-    d = generate.scenario_densities(generate.scenarios(spark, SCENARIOS))
-    return d.select("points", "share_clustered", "per_cluster", "radius", F.col("clusters").cast("long").alias("clusters"), R("clustered_area", 4).alias("clustered_area"), R("density_ratio", 4).alias("density_ratio"))
+    d = generate.scenario_densities(_scenarios(spark, sf_dir))
+    d = d.withColumns({"clusters": F.col("clusters").cast("long"), "clustered_area": R("clustered_area", 4), "density_ratio": R("density_ratio", 4)})
+    return d.select("points", "share_clustered", "per_cluster", "radius", "clusters", "clustered_area", "density_ratio")
 
 
 @query()
 def simulated_cells(spark, sf_dir):
-    return generate.ground_truth(generate.simulated_cells(generate.scenarios(spark, SCENARIOS), 2))
+    return generate.ground_truth(generate.simulated_cells(_scenarios(spark, sf_dir), 2))
 
 
 def _templates(spark, sf_dir):
@@ -313,12 +326,17 @@ def label_matrix(spark, sf_dir):
     return matrix(long, ["c0", "c1"])
 
 
-@query("SELECT CAST(row AS INTEGER) AS row, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS row FROM events) WHERE event_type IN ('click', 'view') GROUP BY row")
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(
+    f"SELECT CAST(row AS INTEGER) AS row, {', '.join(f"max(value) FILTER (event_type = '{t}') AS {t}" for t in TYPES)} "
+    "FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS row FROM events) GROUP BY row"
+)
 def rectangular_export(spark, sf_dir):
     from punctaria.sources.points import rectangular
 
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
-    return rectangular(e, "event_type", "value", ["click", "view"])
+    return rectangular(table(spark, sf_dir, "events"), "event_type", "value", TYPES)
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS \"FileID\", TRY_CAST(CASE WHEN event_id % 10 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS DOUBLE) AS \"Points\" FROM events WHERE event_id % 7 <> 0")

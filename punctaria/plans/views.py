@@ -32,6 +32,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("pid", "x", "y", label.alias("label"), truth.alias("truth"))
 
 
+def counts_by_type(spark, sf_dir):
+    """The numbers of events of each type, as many as there are types, in order."""
+    return sorted(float(r["count"]) for r in table(spark, sf_dir, "events").groupBy("event_type").count().collect())
+
+
 # The same in SQL, as the start of a WITH clause.
 POINTS = "points AS (SELECT event_id AS pid, value AS x, CAST(user_id AS DOUBLE) * 3.2e0 AS y, event_type FROM events)"
 PHASE = "phase AS (SELECT l_linenumber AS threshold, l_discount AS sigma, CASE WHEN l_returnflag = 'A' THEN 'incell' ELSE 'outcell' END AS type, l_quantity AS \"clusterSize\" FROM lineitem)"
