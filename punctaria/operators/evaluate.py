@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected_components
+from .storage import delete, written
+
 NOISE = -1
 
 
@@ -17,28 +22,74 @@ def overlap(labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return good.join(sizes, [*by, "label"]).join(refs, [*by, "truth"])
 
 
-def greedy_match(labels: DataFrame, min_overlap: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., label, truth): each cluster in turn takes, of the reference clusters still free of which it holds more than ``min_overlap``, the one that makes up most of it.
+#: Pairs of a group of clusters and reference clusters that hang together which one task may match in order.
+TASK_PAIRS = 100_000
+
 
-    Greedy in order of label, by definition; a run's overlaps, not its points, meet in one task.
+def _settled_in_rounds(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round of the matching in order of label: (matches, pairs left), both written.
+
+    A cluster whose first choice no earlier cluster that is still open could take is matched with it. The first open cluster of all is always one of those.
+    """
+    choice = pairs.groupBy(*keys, "label").agg(F.max(F.struct("n", (-F.col("truth")).alias("less"))).alias("best"))
+    choice = choice.select(*keys, "label", (-F.col("best.less")).cast("int").alias("truth"))
+    first = pairs.groupBy(*keys, "truth").agg(F.min("label").alias("label"))
+    match = written(choice.join(first, [*keys, "truth", "label"], "left_semi").select(*keys, "label", "truth"), "matches")
+    left = pairs.join(match.select(*keys, "label"), [*keys, "label"], "left_anti").join(match.select(*keys, "truth"), [*keys, "truth"], "left_anti")
+    return match, written(left, "open-pairs")
+
+
+def _in_order(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Matches of a few pairs (label, truth, n) in order of label."""
+    taken, out = set(), []
+    for label, rows in pdf.sort_values(["label", "n", "truth"], ascending=[True, False, True]).groupby("label", sort=True):
+        free = next((t for t in rows["truth"] if t not in taken), None)
+        if free is not None:
+            taken.add(free)
+            out.append((int(label), int(free)))
+    return out
+
+
+def matched_in_order(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., label, truth), written: in order of label each cluster takes, of the reference clusters still free among its ``pairs`` (by..., label, truth, n), the one of largest n, ties the smaller.
+
+    The result is that of going through the clusters one by one, found in rounds: all clusters settle together that no earlier open one can get in the way of. When a round settles less than half of what is open,
+    the pairs are split into groups that hang together; groups of up to ``TASK_PAIRS`` pairs are matched in a task each, larger ones go on in rounds, of which there is no fixed number.
     """
-    pairs = overlap(labels, by).filter(F.col("n") > min_overlap * F.col("n_truth"))
-    pairs = pairs if by else pairs.withColumn("__g", F.lit(0))
-    keys = list(by) or ["__g"]
-    schema = ", ".join([*(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys), "label int, truth int"])
+    keys = list(by)
+    open_pairs = written(pairs.select(*keys, "label", "truth", "n"), "open-pairs")
+    found, passed, before = [], [open_pairs], open_pairs.count()
+    while before:
+        match, left = _settled_in_rounds(open_pairs, keys)
+        found.append(match)
+        passed += [match, left]
+        open_pairs, n = left, left.count()
+        if n > before / 2:
+            node = lambda side: F.struct(*keys, F.lit(side).alias("side"), F.col(("label", "truth")[side]).alias("id"))
+            parts = connected_components(open_pairs.select(node(0).alias("a"), node(1).alias("b")))
+            named = open_pairs.withColumn("id", node(0)).join(parts, "id").drop("id")
+            size = written(named.groupBy("component").agg(F.count("*").alias("size")), "group-sizes")
+            named = written(named.join(size, "component"), "grouped-pairs")
+            schema = ", ".join([*(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys), "label int, truth int"])
+
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:
+                return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), *m) for m in _in_order(pdf)], columns=[*keys, "label", "truth"])
+
+            small = written(named.filter(F.col("size") <= TASK_PAIRS).groupBy("component").applyInPandas(run, schema), "matches")
+            large = written(named.filter(F.col("size") > TASK_PAIRS).select(*keys, "label", "truth", "n"), "open-pairs")
+            found.append(small)
+            passed += [parts, size, named, small, large]
+            open_pairs, n = large, large.count()
+        before = n
+    empty = pairs.select(*keys, F.col("label").cast("int").alias("label"), F.col("truth").cast("int").alias("truth")).limit(0)
+    out = written(reduce(DataFrame.unionByName, [m.select(*keys, F.col("label").cast("int").alias("label"), "truth") for m in found], empty), "matched")
+    delete(*passed)
+    return out
 
-    def run(pdf):
-        taken, out = set(), []
-        for label, rows in pdf.sort_values(["label", "truth"]).groupby("label", sort=True):
-            free = rows[~rows["truth"].isin(taken)]
-            if len(free):
-                truth = int(free.loc[(free["n"] / free["n_label"]).idxmax(), "truth"])
-                taken.add(truth)
-                out.append((*(pdf[k].iloc[0] for k in keys), int(label), truth))
-        return pd.DataFrame(out, columns=[*keys, "label", "truth"])
 
-    out = pairs.groupBy(*keys).applyInPandas(run, schema)
-    return out if by else out.drop("__g")
+def greedy_match(labels: DataFrame, min_overlap: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., label, truth): each cluster in turn takes, of the reference clusters still free of which it holds more than ``min_overlap``, the one that makes up most of it."""
+    return matched_in_order(overlap(labels, by).filter(F.col("n") > min_overlap * F.col("n_truth")), by)
 
 
 def cluster_evaluation(labels: DataFrame, min_overlap: float = 0.3) -> DataFrame:
@@ -67,21 +118,11 @@ def subcluster_histogram(counts: DataFrame, most: int = 10) -> DataFrame:
 
 
 def overlap_sweep(labels: DataFrame, ratios: list[float]) -> DataFrame:
-    """(ratio, true_positives_ratio, false_positives_ratio): greedy matching at each minimal overlap, all in one plan."""
+    """(ratio, true_positives_ratio, false_positives_ratio): greedy matching at each minimal overlap, all ratios in the same rounds."""
     spark = labels.sparkSession
     grid = spark.createDataFrame([(float(r),) for r in ratios], "ratio double")
-    pairs = overlap(labels).join(F.broadcast(grid), F.col("n") > F.col("ratio") * F.col("n_truth"))
-
-    def run(pdf):
-        taken, n = set(), 0
-        for _, rows in pdf.sort_values(["label", "truth"]).groupby("label", sort=True):
-            free = rows[~rows["truth"].isin(taken)]
-            if len(free):
-                taken.add(int(free.loc[(free["n"] / free["n_label"]).idxmax(), "truth"]))
-                n += 1
-        return pd.DataFrame({"ratio": [pdf["ratio"].iloc[0]], "tp": [n]})
-
-    found = pairs.groupBy("ratio").applyInPandas(run, "ratio double, tp long")
+    pairs = overlap(labels).join(F.broadcast(grid), F.col("n") > F.col("ratio") * F.col("n_truth"))  # the caller's list
+    found = matched_in_order(pairs, ("ratio",)).groupBy("ratio").agg(F.count("*").alias("tp"))
     n = labels.agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("k"), F.countDistinct(F.when(F.col("truth") >= 0, F.col("truth"))).alias("g"))
     out = grid.join(found, "ratio", "left").na.fill(0, ["tp"]).join(F.broadcast(n))
     return out.select("ratio", F.try_divide("tp", "g").alias("true_positives_ratio"), F.try_divide(F.col("k") - F.col("tp"), F.col("g")).alias("false_positives_ratio"))
