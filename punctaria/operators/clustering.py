@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import kd
 from .components import connected_components
 from .kd import valid
+from .ranks import ranked
 from .spatial import eps_pairs, knn
 from .storage import delete, written
 
@@ -239,15 +240,15 @@ def _fallen(base: np.ndarray, of: np.ndarray, to: np.ndarray, least: float) -> n
     return gone
 
 
-def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
+def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
     """(pid, columns, cell), written: what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is.
 
     Points of a cell with that many keep each other for good, so only points of emptier cells can fall, and their neighbours in such cells are few. They are dealt to blocks by a tree
-    of boxes; a block peels its own until nothing moves, taking those of other blocks as they stand; then blocks tell each other what fell. The number of exchanges follows how
+    of boxes, those of all values of ``by`` together (ids are not repeated there); a block peels its own until nothing moves, taking those of other blocks as they stand; then blocks tell each other what fell. The number of exchanges follows how
     many blocks in a row a peeling runs through, not the number of points.
     """
-    laid = _laid(points, eps, min_samples, columns, ())
-    near = _near_cells(laid, eps, columns, ())
+    laid = _laid(points, eps, min_samples, columns, by)
+    near = _near_cells(laid, eps, columns, by)
     loose = laid.filter("not dense").select("pid", *columns)
     block = kd.block_of(kd.build(loose, columns, PEEL_BLOCK), columns)
     home = written(loose.select("pid", block.alias("block")), "peel-blocks")
@@ -285,13 +286,19 @@ def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str,
     return out
 
 
-def dbscan_loop(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """(pid, label): clusters without border points, from which points are peeled until all that is left is core."""
-    core = peeled(points, eps, min_samples)
-    cell_labels = _cell_clusters(core, eps, ("x", "y"), ())
-    labels = core.join(cell_labels, "cell").select("pid", "label")
-    out = written(points.select("pid").join(labels, "pid", "left").select("pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label")), "dbscan-loop")
-    delete(core, cell_labels)
+def dbscan_loop(points: DataFrame, eps: float, min_samples: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., pid, label): clusters without border points, from which points are peeled until all that is left is core; points of different values of ``by`` apart."""
+    named = points.select(*by, "pid", "x", "y")
+    if by:  # ids that are not repeated, in the same order
+        named = written(ranked(named, *by, "pid", name="__id"), "numbered")
+        core = peeled(named.select(*by, F.col("__id").alias("pid"), "x", "y"), eps, min_samples, by=by)
+    else:
+        core = peeled(named, eps, min_samples)
+    cell_labels = _cell_clusters(core, eps, ("x", "y"), by)
+    labels = core.join(cell_labels, "cell").select(F.col("pid").alias("__id" if by else "pid"), "label")
+    out = named.join(labels, "__id" if by else "pid", "left").select(*by, "pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label"))
+    out = written(out, "dbscan-loop")
+    delete(core, cell_labels, named)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from punctaria.functions import scalar
-from punctaria.operators import clustering, evaluate, features, filters, generate, image, phase, spatial, stats
+from punctaria.operators import clustering, evaluate, features, filters, generate, image, phase, series, spatial, stats
 from punctaria.sources import points as source
 
 from .catalog import query
@@ -369,3 +369,72 @@ def simulation_truth(spark, sf_dir):
 def depleted_points(spark, sf_dir):
     p = points(spark, sf_dir).select("pid", "x", "y")
     return generate.depleted(p, p.filter("pid % 20 = 0"), 3.0).select("pid", "x", "y")
+
+
+# Series of experiments.
+
+SERIES = {"algos": ["dbscan:near", "dbscan:far", "DbscanLoop"], "params_algos": {"dbscan:near": {"eps": 3.0, "min_samples": 4}, "dbscan:far": {"eps": 5.0, "min_samples": 8}, "DbscanLoop": {"eps": 4.0, "min_samples": 4}}}
+
+
+def _experiments(spark, sf_dir):
+    """All points with their reference clusters, as an experiment for each event type and half of the ids."""
+    known = labelled(spark, sf_dir).select("pid", "truth")
+    return points(spark, sf_dir).join(known, "pid").select(F.col("event_type").alias("var_1"), (F.col("pid") % 2).alias("var_2"), "pid", "x", "y", "truth")
+
+
+@query(f"""
+WITH RECURSIVE {LABELLED},
+experiment AS (SELECT event_type AS var_1, pid % 2 AS var_2, pid, p.x, p.y, truth FROM points p JOIN labelled USING (pid)),
+setting AS (SELECT * FROM (VALUES ('dbscan:near', 3e0, 4), ('dbscan:far', 5e0, 8)) v(algo, eps, least)),
+cell AS (SELECT *, floor(x / 5e0) AS cx, floor(y / 5e0) AS cy FROM experiment),
+step AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
+close AS (
+  SELECT p.var_1, p.var_2, p.pid AS p, q.pid AS q, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d2
+  FROM (SELECT cell.*, cx + dx AS nx, cy + dy AS ny FROM cell, step) p JOIN cell q ON q.var_1 = p.var_1 AND q.var_2 = p.var_2 AND q.cx = p.nx AND q.cy = p.ny
+),
+near AS (SELECT algo, least, var_1, var_2, p, q FROM close JOIN setting ON d2 <= eps * eps),
+core AS (SELECT algo, p AS pid FROM near GROUP BY algo, least, p HAVING count(*) >= least),
+link AS (SELECT near.* FROM near JOIN core a ON a.algo = near.algo AND a.pid = p JOIN core b ON b.algo = near.algo AND b.pid = q),
+reach(algo, pid, seen) AS (SELECT algo, pid, pid FROM core UNION SELECT l.algo, l.q, r.seen FROM reach r JOIN link l ON l.algo = r.algo AND l.p = r.pid AND r.seen < l.q),
+rep AS (SELECT algo, pid, min(seen) AS rep FROM reach GROUP BY algo, pid),
+rim AS (SELECT near.algo, p AS pid, min(rep) AS rep FROM near JOIN rep ON rep.algo = near.algo AND rep.pid = q GROUP BY near.algo, p),
+found AS (
+  SELECT algo, var_1, var_2, pid, coalesce(rep.rep, rim.rep) AS label, CASE WHEN truth >= 0 THEN truth END AS truth
+  FROM experiment CROSS JOIN setting LEFT JOIN rep USING (algo, pid) LEFT JOIN rim USING (algo, pid)
+),
+n_label AS (SELECT algo, var_1, var_2, label, count(*) AS n_label FROM found WHERE label IS NOT NULL GROUP BY ALL),
+n_truth AS (SELECT algo, var_1, var_2, truth, count(*) AS n_truth FROM found WHERE truth IS NOT NULL GROUP BY ALL),
+able AS (
+  SELECT algo, var_1, var_2, label, truth, n FROM (SELECT algo, var_1, var_2, label, truth, count(*) AS n FROM found WHERE label IS NOT NULL AND truth IS NOT NULL GROUP BY ALL)
+  JOIN n_truth USING (algo, var_1, var_2, truth) WHERE n > 0.3e0 * n_truth
+),
+turn AS (SELECT algo, var_1, var_2, label, dense_rank() OVER (PARTITION BY algo, var_1, var_2 ORDER BY label) AS k FROM (SELECT DISTINCT algo, var_1, var_2, label FROM able)),
+match(algo, var_1, var_2, k, truth, taken) AS (
+  SELECT DISTINCT algo, var_1, var_2, CAST(0 AS BIGINT), CAST(NULL AS INTEGER), CAST([] AS INTEGER[]) FROM able
+  UNION ALL
+  SELECT algo, var_1, var_2, k, truth, CASE WHEN truth IS NULL THEN taken ELSE list_append(taken, truth) END FROM (
+    SELECT m.algo, m.var_1, m.var_2, t.k, any_value(m.taken) AS taken, first(a.truth ORDER BY a.n DESC, a.truth) FILTER (NOT list_contains(m.taken, a.truth)) AS truth
+    FROM match m JOIN turn t ON t.algo = m.algo AND t.var_1 = m.var_1 AND t.var_2 = m.var_2 AND t.k = m.k + 1
+    JOIN able a ON a.algo = t.algo AND a.var_1 = t.var_1 AND a.var_2 = t.var_2 AND a.label = t.label GROUP BY m.algo, m.var_1, m.var_2, t.k
+  )
+),
+hit AS (SELECT algo, var_1, var_2, count(truth) AS tp FROM match GROUP BY ALL),
+part AS (SELECT algo, var_1, var_2, count(DISTINCT (label, truth)) AS parts FROM found WHERE label IS NOT NULL AND truth IS NOT NULL GROUP BY ALL),
+total AS (
+  SELECT algo, var_1, var_2, count(DISTINCT label) AS clusters, count(DISTINCT truth) AS g, count(*) FILTER (label IS NOT NULL AND truth IS NOT NULL) AS points_in_both,
+    count(*) FILTER (label IS NOT NULL AND truth IS NULL) AS points_found_only, count(*) FILTER (label IS NULL AND truth IS NOT NULL) AS points_missed FROM found GROUP BY ALL
+)
+SELECT var_1, var_2, algo, clusters, g AS "N_clusters", coalesce(tp, 0) AS true_positives, clusters - coalesce(tp, 0) AS false_positives, g - coalesce(tp, 0) AS false_negatives,
+  round(coalesce(tp, 0) / g, 6) AS true_positives_ratio, round((clusters - coalesce(tp, 0)) / g, 6) AS false_positives_ratio, points_in_both, points_found_only, points_missed,
+  round(coalesce(parts, 0) / g, 6) AS mean_subclusters
+FROM total LEFT JOIN hit USING (algo, var_1, var_2) LEFT JOIN part USING (algo, var_1, var_2)
+""")
+def series_scores(spark, sf_dir):
+    settings = SERIES | {"algos": ["dbscan:near", "dbscan:far"]}
+    out = series.run_series(_experiments(spark, sf_dir), settings)
+    return out.withColumns({c: R(c, 6) for c in ("true_positives_ratio", "false_positives_ratio", "mean_subclusters")})
+
+
+@query()
+def series_without_borders(spark, sf_dir):
+    return series.run_series(_experiments(spark, sf_dir), SERIES | {"algos": ["DbscanLoop"]})
