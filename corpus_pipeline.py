@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept. All but the last return the columns
 of ``documents``; the last returns the packing plan of what is left. ``run`` writes each stage's result as Parquet in the shared checkpoint
 folder and reads it again for the next.
+
+Defined results of all stages: an empty table gives an empty result; extra columns go along up to the last stage; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -14,27 +16,30 @@ from punctaria.llm.common import discard, materialise, read
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. Null and empty texts have too few words and go; of repeated rows each is judged, with the same verdict."""
     return quality_rules.keep_good(docs)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: those that share 80 % of their five-word shingles."""
+    """One document of each group of near-duplicates: those that share 80 % of their five-word shingles. Of rows with
+    equal ids one stays; null and empty texts, and rows with a null id,
+    are linked with nothing and stay; ties go to the smallest id."""
     return near_dedup.keep_one(docs, 80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without long strings that occur earlier."""
+    """Documents without long strings that occur earlier, by id and place. Of repeated rows the first keeps its text; documents of which nothing but
+    white space is left go, null and empty texts among them."""
     return suffix_dedup.remove_repeats(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any benchmark item."""
+    """Documents without a window of any benchmark item. Null and empty texts have no windows and stay; an empty benchmark, or items without words, drop nothing."""
     return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing plan: bucket, batch and place of each document."""
+    """The packing plan: bucket, batch and place of each document; null and empty texts are in the first bucket at length 1; repeated rows are each packed."""
     return packing.query(docs)
 
 
