@@ -22,14 +22,14 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: those that share 80 % of their five-word shingles. Of rows with
-    equal ids one stays; null and empty texts, and rows with a null id,
-    are linked with nothing and stay; ties go to the smallest id."""
+    equal ids one stays; null and empty texts, and rows with a null id, are linked with nothing and stay; ties go to
+    the smallest id."""
     return near_dedup.keep_one(docs, 80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without long strings that occur earlier, by id and place. Of repeated rows the first keeps its text; documents of which nothing but
-    white space is left go, null and empty texts among them."""
+    """Documents without long strings that occur earlier, by id and place. Rows of equal id and text are one document; documents that lose all
+    but white space go, null and empty texts have no repeats and stay."""
     return suffix_dedup.remove_repeats(docs)
 
 
