@@ -243,17 +243,27 @@ def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return crossings % 2 == 1
 
 
+#: Levels of ``points_in_rings``: rings from 2 ** the first to 2 ** the last wide, others count as these.
+RING_LEVELS = (-40, 60)
+
+
 def points_in_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """(pid, roi) for rings (roi, ring array of structs x, y): a bounding-box grid join, then the even-odd rule over the ring's edges.
+    """(pid, roi) for rings (roi, ring array of structs x, y): a join on cells of several levels, then boxes, then the even-odd rule over the ring's edges.
 
-    The grid has the rings' mean size; a ring is listed in each cell its box meets.
+    A ring lies at the level whose cells are the next power of two at least as wide as it, so it is listed in four cells at most, however different the rings are. A point is looked up once at each
+    level that has rings; there are as many as ``RING_LEVELS`` spans at most.
     """
     boxed = rings.select("roi", "ring", *(f(F.col(f"ring.{c}")).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.array_min), ("hi", F.array_max))))
-    size = boxed.agg(F.avg(F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))).alias("s")).first()["s"] or 1.0
-    size = max(float(size), 1e-9)
-    cells = boxed.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo_x") / size), F.floor(F.col("hi_x") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("lo_y") / size), F.floor(F.col("hi_y") / size))))
-    p = points.select("pid", "x", "y").withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    met = p.join(cells, ["cx", "cy"]).filter(F.col("x").between(F.col("lo_x"), F.col("hi_x")) & F.col("y").between(F.col("lo_y"), F.col("hi_y")))
+    side = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
+    level = F.when(side > 0, F.ceil(F.log2(side))).otherwise(RING_LEVELS[0])
+    boxed = boxed.filter(side.isNotNull()).withColumn("level", F.greatest(F.lit(RING_LEVELS[0]), F.least(F.lit(RING_LEVELS[1]), level)).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    cells = boxed.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo_x") / size), F.floor(F.col("hi_x") / size))))
+    cells = cells.withColumn("cy", F.explode(F.sequence(F.floor(F.col("lo_y") / size), F.floor(F.col("hi_y") / size))))
+    levels = sorted(r["level"] for r in boxed.select("level").distinct().collect()) or [0]
+    p = points.select("pid", "x", "y").withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels))))
+    p = p.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    met = p.join(cells, ["level", "cx", "cy"]).filter(F.col("x").between(F.col("lo_x"), F.col("hi_x")) & F.col("y").between(F.col("lo_y"), F.col("hi_y")))
     n = F.size("ring")
     crosses = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + _crosses(F.col("ring")[i], F.col("ring")[(i + 1) % n]))
     return met.filter(crosses % 2 == 1).select("pid", "roi")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +92,68 @@ def negative_binomial(sizes: DataFrame, size: str = "clusterSize", most: float =
     return m.select(F.try_divide(F.col("e") * F.col("e"), F.col("v") - F.col("e")).alias("r"), (1 - F.try_divide("e", "v")).alias("p"))
 
 
+def _least_squares(share: np.ndarray, k: np.ndarray, pmf: Callable, start: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float]:
+    """Parameters (on a scale without bounds) of least squared error, by damped Gauss steps: damping falls when a step helps and grows when it does not."""
+    x, damp = start, 1e-3
+    error = share - pmf(k, x)
+    for _ in range(rounds):
+        step = 1e-6 * np.maximum(np.abs(x), 1e-3)
+        slope = np.stack([(pmf(k, x + d) - pmf(k, x - d)) / (2 * d[i]) for i, d in enumerate(np.diag(step))], 1)
+        normal, pull = slope.T @ slope, slope.T @ error
+        change = np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-12), pull)
+        new = share - pmf(k, x + change)
+        if np.isfinite(new).all() and new @ new <= error @ error:
+            done = error @ error - new @ new <= 1e-15 * (error @ error) and np.abs(change).max() < 1e-10
+            x, error, damp = x + change, new, max(damp / 10, 1e-12)
+            if done:
+                break
+        elif (damp := damp * 10) > 1e12:
+            break
+    return x, float(error @ error)
+
+
+def _poisson(k: np.ndarray, x: np.ndarray) -> np.ndarray:
+    mean = np.exp(x[0])
+    return np.exp(k * x[0] - mean - _log_factorial(k))
+
+
+def _negative_binomial(k: np.ndarray, x: np.ndarray) -> np.ndarray:
+    r, q = np.exp(np.clip(x[0], -50, 20)), 1 / (1 + np.exp(-x[1]))
+    rising = np.concatenate([[0.0], np.cumsum(np.log(r + np.arange(len(k) - 1)))])  # k runs from 0
+    return np.exp(rising - _log_factorial(k) + r * np.log1p(-q) + k * np.log(q))
+
+
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(k))))])
+
+
+def fitted_counts(sizes: DataFrame, size: str = "clusterSize", by: tuple[str, ...] = (), most: int = 100) -> DataFrame:
+    """(by..., n, mean, poisson_error, r, p, nb_error): Poisson and negative binomial distributions fitted to the shares of the counts 0 to ``most`` by least squares, for each group.
+
+    Only the histogram of a group, of ``most`` + 1 rows, reaches the task that fits it. ``p`` is the probability of the mean's growth, so the mean is r p / (1 - p). Other sizes and nulls are left out; sizes
+    are rounded down. Starts from the moments, the negative binomial from its limit where the variance is not above the mean.
+    """
+    value = F.floor(F.col(size)).cast("long")
+    counts = sizes.select(*by, value.alias("k")).filter((F.col("k") >= 0) & (F.col("k") <= most)).groupBy(*by, "k").agg(F.count("*").alias("n"))
+    counts = counts if by else counts.withColumn("__g", F.lit(0))
+    keys = list(by) or ["__g"]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(pdf["k"], pdf["n"], most + 1)
+        k, share = np.arange(most + 1), n / n.sum()
+        mean = max(float(k @ share), 1e-6)
+        spread = float(((k - mean) ** 2) @ share)
+        a, a_error = _least_squares(share, k, _poisson, np.array([np.log(mean)]))
+        r = mean * mean / (spread - mean) if spread > mean * 1.001 else 1000.0 * mean
+        b, b_error = _least_squares(share, k, _negative_binomial, np.array([np.log(r), np.log(mean / r)]))
+        row = (*(pdf[c].iloc[0] for c in keys), int(n.sum()), float(np.exp(a[0])), a_error, float(np.exp(b[0])), float(1 / (1 + np.exp(-b[1]))), b_error)
+        return pd.DataFrame([row], columns=[*keys, "n", "mean", "poisson_error", "r", "p", "nb_error"])
+
+    schema = ", ".join([*(f"{c} {counts.schema[c].dataType.simpleString()}" for c in keys), "n long, mean double, poisson_error double, r double, p double, nb_error double"])
+    out = counts.groupBy(*keys).applyInPandas(fit, schema)
+    return out if by else out.drop("__g")
+
+
 def kl_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
     """Sum of p log2(p / q) over bins (bin, share); null if p has a bin that q lacks."""
     j = p.select("bin", F.col("share").alias("p")).join(q.select("bin", F.col("share").alias("q")), "bin", "left").filter("p > 0")

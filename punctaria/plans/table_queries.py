@@ -143,6 +143,15 @@ def negative_binomial_moments(spark, sf_dir):
     return stats.negative_binomial(phase_like(spark, sf_dir)).select(R("r", 6).alias("r"), R("p", 6).alias("p"))
 
 
+@query()
+def fitted_count_distributions(spark, sf_dir):
+    """Of the numbers of lines that a part is ordered in."""
+    per_part = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("clusterSize"))
+    fits = stats.fitted_counts(per_part, by=("l_returnflag",))
+    return fits.select("l_returnflag", "n", *(R(c, 5).alias(c) for c in ("mean", "poisson_error", "r", "p", "nb_error")))
+
+
+
 HIST = "SELECT CAST(least(floor(\"clusterSize\" / 5e0), 9) AS INTEGER) AS bin, count(*) / sum(count(*)) OVER () AS share FROM phase WHERE \"clusterSize\" BETWEEN 0 AND 50 AND type = "
 
 

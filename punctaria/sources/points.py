@@ -79,6 +79,20 @@ def read_table(spark: SparkSession, path: str, delimiter: str = "\t", columns: l
     return raw.select(*((F.col(f"`{n}`").cast("double") * (scale if raw.columns.index(n) in scaled else 1.0)).alias(n) for n in names))
 
 
+def read_series_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """A headed table of results whose columns may be text: each column as a number if all of its values are, else as it stands."""
+    return spark.read.csv(path, sep=delimiter, header=True, inferSchema=True, enforceSchema=False)
+
+
+def read_number_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, v): the numbers of each line of text files that has any, in order; lines are numbered from 0 within a file, which is read whole."""
+    from punctaria.functions.scalar import numbers_in
+
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = texts.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    return lines.select("file", "line", numbers_in(F.col("value")).alias("v")).filter(F.size("v") > 0)
+
+
 def read_partitioned_points(spark: SparkSession, pattern: str) -> DataFrame:
     """One data set per file: x, y and the number in the file's name as ``tid``, which sorts naturally."""
     return read_text_points(spark, pattern).withColumn("tid", F.regexp_extract("file", r"(\d+)\.[A-Za-z]+$", 1).cast("int")).select("tid", "x", "y")

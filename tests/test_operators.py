@@ -233,3 +233,40 @@ def test_geometries_take_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert n > 600 and QUERIES["geometry_free"](spark, sf).filter("truth >= 0").count() == n
+
+
+def test_rings_of_very_different_sizes(spark):
+    rng = np.random.default_rng(8)
+    xy = rng.uniform(-100, 100, (300, 2))
+    boxes = [("all", -1e9, 1e9, -1e9, 1e9)] + [(f"r{i}", x, x + w, y, y + w * 3) for i, (x, y, w) in enumerate(zip(*rng.uniform(-100, 90, (2, 60)), 10 ** rng.uniform(-3, 2, 60), strict=True))] + [("point", 1.0, 1.0, 2.0, 2.0)]
+    rings = spark.createDataFrame([(k, [(a, c), (b, c), (b, d), (a, d), (a, c)]) for k, a, b, c, d in [(k, *map(float, v)) for k, *v in boxes]], "roi string, ring array<struct<x double, y double>>")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pid long, x double, y double")
+    got = {(r["pid"], r["roi"]) for r in spatial.points_in_rings(points, rings).collect()}
+    assert got == {(i, k) for i, (x, y) in enumerate(xy) for k, a, b, c, d in boxes if a < x < b and c < y < d}
+    assert {r["outer"] for r in spatial.rings_within(rings.filter("roi = 'r3'"), rings).collect()} >= {"all"}
+    assert spatial.points_in_rings(points, rings.limit(0)).count() == 0
+
+
+def test_fitted_count_distributions(spark):
+    rng = np.random.default_rng(9)
+    made = [("nb", int(k)) for k in rng.negative_binomial(3.0, 0.25, 20_000)] + [("poisson", int(k)) for k in rng.poisson(7.0, 20_000)] + [("one", 4)] * 5 + [("nb", None)] * 3
+    sizes = spark.createDataFrame(made, "kind string, clusterSize int")
+    got = {r["kind"]: r for r in stats.fitted_counts(sizes, by=("kind",)).collect()}
+    assert got["nb"]["r"] == pytest.approx(3.0, rel=0.1) and got["nb"]["p"] == pytest.approx(0.75, rel=0.05) and got["nb"]["nb_error"] < got["nb"]["poisson_error"] / 10
+    assert got["poisson"]["mean"] == pytest.approx(7.0, rel=0.03)
+    # No better mean nearby, by brute force.
+    share = np.bincount([k for c, k in made if c == "poisson"], minlength=101)[:101] / 20_000
+    error = [((share - stats._poisson(np.arange(101), np.array([np.log(m)]))) ** 2).sum() for m in np.linspace(6, 8, 401)]
+    assert got["poisson"]["poisson_error"] <= min(error) + 1e-9
+    assert got["one"]["n"] == 5 and stats.fitted_counts(sizes.limit(0)).count() == 0
+    whole = stats.fitted_counts(sizes).first()
+    assert whole["n"] == 40_005
+
+
+def test_text_columns_and_number_lists(spark, tmp_path):
+    (tmp_path / "series.csv").write_text("algo,var_1,ratio\ndbscan,1,0.5\nfinder,2,\n")
+    rows = src.read_series_table(spark, str(tmp_path / "series.csv")).collect()
+    assert [tuple(r) for r in rows] == [("dbscan", 1, 0.5), ("finder", 2, None)]
+    (tmp_path / "lists.txt").write_text("1, 2.5;3\nno numbers\n\n-4e1 x 5")
+    got = [(r["line"], r["v"]) for r in src.read_number_lists(spark, str(tmp_path / "lists.txt")).orderBy("line").collect()]
+    assert got == [(0, [1, 2.5, 3]), (3, [-40, 5])]
