@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clustering import _numbered
 from .components import connected_components
 
-#: A dense image is worked on in one task; larger ones raise.
-MAX_PIXELS = 4_000_000
+#: Side of a tile of a dense image; a task works on one tile at a time.
+TILE = 1024
 
 
 def histogram2d(points: DataFrame, bounds: tuple[float, float, float, float], nx: int, ny: int) -> DataFrame:
@@ -34,13 +35,11 @@ def clip_at_quantile(image: DataFrame, quantile: float, nonzero_only: bool = Tru
     if nonzero_only:
         cut = image.filter("v != 0").agg(F.percentile("v", F.lit(quantile)).alias("cut"))
     else:
-        # Zeros by their number: the quantile's place among the sorted occupied pixels.
-        zeros = n_pixels - image.count()
-        at = quantile * (n_pixels - 1) - zeros
-        ranked = image.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias("r"))  # pixels of one image
-        lo, hi = int(np.floor(at)), int(np.ceil(at))
-        value = lambda k: F.coalesce(F.max(F.when(F.col("r") == k, F.col("v"))), F.lit(0.0)) if k >= 0 else F.lit(0.0)
-        cut = ranked.agg((value(lo) + (value(hi) - value(lo)) * (at - lo)).alias("cut"))
+        # Zeros by their number: the quantile's place among the sorted occupied pixels, between zero and the first of them, or zero.
+        n = image.count()
+        at = quantile * (n_pixels - 1) - (n_pixels - n)
+        value = F.percentile("v", F.lit(min(1.0, at / max(1, n - 1)))) if at >= 0 else F.min("v") * max(0.0, at + 1)
+        cut = image.agg(F.coalesce(value, F.lit(0.0)).alias("cut"))
     return image.join(F.broadcast(cut)).select("ix", "iy", F.least("v", "cut").alias("v"))
 
 
@@ -58,39 +57,70 @@ def _kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
 
 
 def gaussian(image: DataFrame, nx: int, ny: int, sigma: float) -> DataFrame:
-    """Gaussian filter with mirrored borders: one separable pass for each axis over the dense image."""
-    if nx * ny > MAX_PIXELS:
-        raise ValueError(f"more than {MAX_PIXELS} pixels")
+    """Gaussian filter with mirrored borders over all nx x ny pixels of a sparse image.
+
+    The image is cut into tiles; occupied pixels also go to the tiles whose margin, as wide as the kernel reaches, they lie in. A tile is filtered with one separable pass for each axis, which gives the same
+    as for the whole image, and no task holds more than a tile and its margin.
+    """
     kernel = _kernel(sigma)
+    r = len(kernel) // 2
+    side = max(TILE, 2 * r)
+    tiles = [-(-n // side) for n in (nx, ny)]
+
+    def around(c: str, k: int):
+        """The tiles along an axis that a pixel, or its margin, touches."""
+        first, last = F.greatest(F.floor((F.col(c) - r) / side), F.lit(0)), F.least(F.floor((F.col(c) + r) / side), F.lit(tiles[k] - 1))
+        return F.explode(F.sequence(first.cast("int"), last.cast("int")))
+
+    inside = image.select(F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.col("v").cast("double").alias("v")).filter(F.col("ix").between(0, nx - 1) & F.col("iy").between(0, ny - 1))
+    held = inside.withColumn("tx", around("ix", 0)).withColumn("ty", around("iy", 1))
+    every = image.sparkSession.range(tiles[0] * tiles[1]).select(F.lit(None).cast("int").alias("ix"), F.lit(None).cast("int").alias("iy"), F.lit(None).cast("double").alias("v"), F.floor(F.col("id") / tiles[1]).cast("int").alias("tx"), (F.col("id") % tiles[1]).cast("int").alias("ty"))
 
     def run(pdf):
-        a = np.zeros((nx, ny))
-        a[pdf["ix"], pdf["iy"]] = pdf["v"]
-        r = len(kernel) // 2
-        for axis in (0, 1):
-            padded = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
-            a = sum(w * np.take(padded, np.arange(i, i + a.shape[axis]), axis=axis) for i, w in enumerate(kernel))
+        lo = [int(pdf["tx"].iloc[0]) * side, int(pdf["ty"].iloc[0]) * side]
+        hi = [min(lo[0] + side, nx), min(lo[1] + side, ny)]
+        first, last = [max(0, v - r) for v in lo], [min(n, v + r) for n, v in zip((nx, ny), hi, strict=True)]
+        px = pdf.dropna(subset=["v"])
+        a = np.zeros((last[0] - first[0], last[1] - first[1]))
+        a[px["ix"].to_numpy(int) - first[0], px["iy"].to_numpy(int) - first[1]] = px["v"]
+        for axis, n in ((0, nx), (1, ny)):
+            # Margins that lie outside the image mirror it.
+            margin = [(r - (lo[k] - first[k]), r - (last[k] - hi[k])) if k == axis else (0, 0) for k in (0, 1)]
+            padded = np.pad(a, margin, mode="symmetric")
+            a = sum(w * np.take(padded, np.arange(i, i + hi[axis] - lo[axis]), axis=axis) for i, w in enumerate(kernel))
         ix, iy = np.indices(a.shape)
-        return pd.DataFrame({"ix": ix.ravel().astype("int32"), "iy": iy.ravel().astype("int32"), "v": a.ravel()})
+        return pd.DataFrame({"ix": (ix.ravel() + lo[0]).astype("int32"), "iy": (iy.ravel() + lo[1]).astype("int32"), "v": a.ravel()})
 
-    return image.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, "ix int, iy int, v double")
+    return held.select("ix", "iy", "v", "tx", "ty").unionByName(every).groupBy("tx", "ty").applyInPandas(run, "ix int, iy int, v double")
 
 
 def autocorrelation(image: DataFrame, nx: int, ny: int) -> DataFrame:
-    """(dx, dy, v): circular autocorrelation of a dense image by its Fourier transform, 1 for the image's square of the mean; one task, as for ``gaussian``."""
-    if nx * ny > MAX_PIXELS:
-        raise ValueError(f"more than {MAX_PIXELS} pixels")
+    """(dx, dy, v): circular autocorrelation of all nx x ny pixels of a sparse image by its Fourier transform, 1 for the image's square of the mean.
 
-    def run(pdf):
-        a = np.zeros((nx, ny))
-        a[pdf["ix"], pdf["iy"]] = pdf["v"]
-        power = np.abs(np.fft.fft2(a)) ** 2
-        level = a.mean() ** 2 * a.size
-        g = np.fft.ifft2(power).real / (level if level else 1.0)
-        ix, iy = np.indices(a.shape)
-        return pd.DataFrame({"dx": ix.ravel().astype("int32"), "dy": iy.ravel().astype("int32"), "v": g.ravel()})
+    Rows are transformed first, then columns, which are squared and transformed back, then rows again; between these steps the values change place in a shuffle, so a task holds one row or column at a time.
+    """
+    total = image.agg(F.sum("v")).first()[0] or 0.0
+    level = total * total / (nx * ny) or 1.0
+
+    def rows(pdf):
+        a = np.zeros(ny)
+        a[pdf["iy"]] = pdf["v"]
+        f = np.fft.fft(a)
+        return pd.DataFrame({"ix": np.full(ny, pdf["ix"].iloc[0], "int32"), "k": np.arange(ny, dtype="int32"), "re": f.real, "im": f.imag})
+
+    def columns(pdf):
+        a = np.zeros(nx, complex)
+        a[pdf["ix"]] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        f = np.fft.ifft(np.abs(np.fft.fft(a)) ** 2)
+        return pd.DataFrame({"ix": np.arange(nx, dtype="int32"), "k": np.full(nx, pdf["k"].iloc[0], "int32"), "re": f.real, "im": f.imag})
+
+    def back(pdf):
+        a = np.zeros(ny, complex)
+        a[pdf["k"]] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        return pd.DataFrame({"dx": np.full(ny, pdf["ix"].iloc[0], "int32"), "dy": np.arange(ny, dtype="int32"), "v": np.fft.ifft(a).real / level})
 
-    return image.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, "dx int, dy int, v double")
+    part = "ix int, k int, re double, im double"
+    return image.groupBy("ix").applyInPandas(rows, part).groupBy("k").applyInPandas(columns, part).groupBy("ix").applyInPandas(back, "dx int, dy int, v double")
 
 
 def otsu_threshold(image: DataFrame, bins: int = 256) -> float:
@@ -118,8 +148,8 @@ def components(mask: DataFrame) -> DataFrame:
     edges = near.join(px.select("ix", "iy", F.col("k").alias("q")), ["ix", "iy"]).select(F.col("k").alias("a"), F.col("q").alias("b"))
     parts = connected_components(edges)
     rep = px.join(parts.withColumnRenamed("id", "k"), "k", "left").select("ix", "iy", F.coalesce("component", "k").alias("rep"))
-    numbers = rep.select("rep").distinct().withColumn("label", F.row_number().over(Window.orderBy("rep")).cast("int"))
-    return rep.join(numbers, "rep").select("ix", "iy", "label")
+    numbers = _numbered(rep.select(F.struct("ix", "iy").alias("pid"), "rep"))
+    return numbers.select("pid.ix", "pid.iy", (F.col("label") + 1).alias("label"))
 
 
 def largest_component(labels: DataFrame) -> DataFrame:
