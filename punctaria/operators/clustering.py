@@ -455,8 +455,8 @@ def staged(points: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFra
     """
     near = written(knn(points, neighbours), "stage-neighbours")
     called = classify(points, near)
-    called = called.join(points.select("pid", by), "pid") if by else called
-    formed = club(called, near, by=by, least=least)
+    called = called.join(points.select("pid", "x", "y", *([by] if by else [])), "pid")
+    formed = club(called, near, by=by, least=least, columns=("x", "y"))
     return points.select("pid").join(formed, "pid", "left").select("pid", F.coalesce("cluster", F.lit(NOISE)).alias("label"))
 
 
@@ -479,47 +479,97 @@ for _name, _algo, _dims in (("search_line", "dbscan", "oneD"), ("search_line_loo
     register_algorithm(_name, _searched(_algo, _dims))
 
 
-def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, least: int = 3, crowded: float = 0.95) -> DataFrame:
+#: Clustered points in one block of ``club``.
+CLUB_BLOCK = 50_000
+
+
+def _formed(pdf, least: int):
+    """One round of ``club`` in a block: items (r, pid, nn, jumps) in order, over the state (v, holds, others) of the points they touch. Rows of what changed: (r) of items done, (v, holds) of points."""
+    import pandas as pd
+
+    state = pdf[pdf["r"].isna()]
+    holds = {int(v): int(h) for v, h in zip(state["v"], state["holds"], strict=True) if not pd.isna(h)}  # who is not in it is not clustered any more
+    before = dict(holds)
+    others = {int(v): int(r) for v, r in zip(state["v"], state["others"], strict=True) if not pd.isna(r)}
+    done, waits = [], set()
+    items = pdf[pdf["r"].notna()].sort_values("r")
+    for r, pid, nn, jumps in zip(items["r"].astype(int), items["pid"].astype(int), items["nn"], items["jumps"], strict=True):
+        touched = [pid, *(f["nn_pid"] for f in nn)]
+        if any(v in waits or others.get(v, r) < r for v in touched):
+            waits.update(touched)
+            continue
+        done.append(r)
+        friends = list(itertools.takewhile(lambda f: f["nn_pid"] in holds, nn))
+        if len(friends) < least:
+            holds.pop(pid, None)
+            continue
+        if jumps:
+            steps = np.diff([f["dist"] for f in friends])
+            off = np.abs(steps - np.median(steps))
+            spread = np.median(off)
+            out = np.flatnonzero(off > 5 * spread * spread) if spread else np.empty(0, int)
+            if len(out) > least:
+                friends = friends[: out[0] + 1]
+        group = [pid, *(f["nn_pid"] for f in friends)]
+        best = min(holds[p] for p in group)
+        holds.update((p, best) for p in group)
+    changed = [v for v in before if holds.get(v) != before[v]]
+    rows = pd.DataFrame({"r": [*done, *[None] * len(changed)], "v": [*[None] * len(done), *changed], "holds": [*[None] * len(done), *(holds.get(v) for v in changed)]}, dtype="object")
+    return rows.astype("Int64")
+
+
+def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, least: int = 3, crowded: float = 0.95, columns: tuple[str, ...] = ()) -> DataFrame:
     """(pid, cluster): clusters formed from points classified as clustered, best scores first.
 
     ``points`` has pid, score and label (1 clustered), ``neighbours`` pid, rank, nn_pid and, for crowded groups, dist. A clustered point's friends are its nearest neighbours up to the first one that is not
     clustered. In order of score, then pid, a point with fewer than ``least`` friends stops being clustered, also for those after it; any other gives itself and its friends the best
     rank that one of them holds, each clustered point holding its own at first. Where more than ``crowded`` of a group's points are clustered, friends end at the first jump in distance that stands out, if more than ``least`` do.
-    Clusters are numbered by their smallest pid. Sequential by definition: one task for each group of ``by``.
-    """
-    grouped = points if by else points.withColumn("__g", F.lit(0))
-    key = by or "__g"
-    columns = [c for c in ("rank", "nn_pid", "dist") if c in neighbours.columns]
-    lists = neighbours.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("nn"))
-
-    def run(pdf):
-        import numpy as np
+    Clusters are numbered by their smallest pid, within each group of ``by``.
 
-        queue = pdf[pdf["label"] == 1].sort_values(["score", "pid"], ascending=[False, True])
-        holds = {p: r for r, p in enumerate(queue["pid"])}  # a point's rank; who is not in it is not clustered
-        jumps = len(queue) > crowded * len(pdf)
-        for pid, nn in zip(queue["pid"], queue["nn"], strict=True):
-            friends = list(itertools.takewhile(lambda r: r["nn_pid"] in holds, nn if nn is not None else []))
-            if len(friends) < least:
-                holds.pop(pid, None)
-                continue
-            if jumps and "dist" in columns:
-                steps = np.diff([r["dist"] for r in friends])
-                off = np.abs(steps - np.median(steps))
-                spread = np.median(off)
-                out = np.flatnonzero(off > 5 * spread * spread) if spread else np.empty(0, int)
-                if len(out) > least:
-                    friends = friends[: out[0] + 1]
-            group = [pid, *(r["nn_pid"] for r in friends)]
-            best = min(holds[p] for p in group if p in holds)
-            holds.update((p, best) for p in group)
-        first: dict[int, int] = {}
-        for p, r in holds.items():
-            first[r] = min(p, first.get(r, p))
-        number = {r: k for k, r in enumerate(sorted(first, key=first.get))}
-        return pdf[["pid"]].assign(cluster=[number[holds[p]] if p in holds else NOISE for p in pdf["pid"]]).astype({"cluster": "int32"})
-
-    return grouped.join(lists, "pid", "left").groupBy(key).applyInPandas(run, "pid long, cluster int")
+    The result is that of going point by point, found in blocks: a point's turn can come when no earlier one that is still open touches it or its neighbours. With coordinates (``columns``), blocks are those of a tree
+    of boxes; each goes on as far as it can without the others, which then learn what changed, until all turns are taken. Without, points that hang together through neighbours are a block.
+    """
+    spark, group = points.sparkSession, [by] if by else []
+    kind = points.schema["pid"].dataType.simpleString()
+    dist = F.col("dist") if "dist" in neighbours.columns else F.lit(None).cast("double")
+    share = points.groupBy(*group).agg((F.count_if(F.col("label") == 1) > crowded * F.count("*")).alias("jumps"))
+    queue = written(ranked(points.filter("label = 1").select("pid", "score", *group, *columns), F.desc("score"), "pid", name="r"), "club-queue")
+    flagged = queue.join(share, by) if by else queue.crossJoin(F.broadcast(share))  # one row
+    flagged = flagged.select("pid", "r", *group, (F.col("jumps") & F.lit("dist" in neighbours.columns)).alias("jumps"))
+    theirs = queue.select(F.col("pid").alias("nn_pid"), F.lit(True).alias("known"), *(F.col(g).alias("their_group") for g in group))
+    near = neighbours.select("pid", "rank", "nn_pid", dist.alias("dist")).join(queue.select("pid", *(F.col(g).alias("own_group") for g in group)), "pid").join(theirs, "nn_pid", "left")
+    ok = F.coalesce("known", F.lit(False)) & (F.col("own_group").eqNullSafe(F.col("their_group")) if by else F.lit(True))
+    lists = near.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("rank", "nn_pid", "dist", ok.alias("ok")))).alias("nn"))
+    first = F.array_position(F.transform("nn", lambda f: f["ok"]), F.lit(False)).cast("int")
+    friends = F.transform(F.when(first > 0, F.slice("nn", 1, first - 1)).otherwise(F.col("nn")), lambda f: F.struct(f["nn_pid"].cast("long").alias("nn_pid"), f["dist"].alias("dist")))
+    none = F.array().cast("array<struct<nn_pid: bigint, dist: double>>")
+    items = written(flagged.join(lists.select("pid", friends.alias("nn")), "pid", "left").select("pid", "r", "jumps", F.coalesce("nn", none).alias("nn")), "club-items")
+    if columns:
+        block = queue.select("pid", kd.block_of(kd.build(queue, columns, CLUB_BLOCK), columns).cast("long").alias("block"))
+        parts = None
+    else:
+        parts = connected_components(items.select(F.col("pid").alias("a"), F.explode("nn.nn_pid").alias("b")))
+        block = queue.select("pid").join(parts.withColumnRenamed("id", "pid"), "pid", "left").select("pid", F.coalesce("component", "pid").cast("long").alias("block"))
+    placed = written(items.join(block, "pid"), "club-open")
+    state = written(queue.select(F.col("pid").cast("long").alias("v"), F.col("r").cast("long").alias("holds")), "club-state")
+    while placed.take(1):
+        touched = placed.select("block", "r", F.explode(F.concat(F.array(F.col("pid").cast("long")), F.col("nn.nn_pid"))).alias("v")).groupBy("v", "block").agg(F.min("r").alias("r"))
+        # A point is touched by few blocks; to each goes the earliest turn of the others.
+        around = touched.groupBy("v").agg(F.collect_list(F.struct("block", "r")).alias("all"))
+        apart = around.select("v", F.explode("all").alias("own"), "all").select("v", "own.block", F.array_min(F.transform(F.filter("all", lambda o: o["block"] != F.col("own.block")), lambda o: o["r"])).alias("others"))
+        rows = placed.select("block", F.col("r").cast("long").alias("r"), F.col("pid").cast("long").alias("pid"), "nn", "jumps")
+        told = apart.join(state, "v").select("block", "v", "holds", F.col("others").cast("long").alias("others"))
+        result = written(rows.unionByName(told, allowMissingColumns=True).groupBy("block").applyInPandas(lambda pdf: _formed(pdf, least), "r long, v long, holds long"), "club-round")
+        old = placed, state
+        placed = written(placed.join(result.filter("r is not null").select("r"), "r", "left_anti"), "club-open")
+        news = result.filter("v is not null").select("v", F.col("holds").alias("now"), F.lit(True).alias("new"))
+        state = written(state.join(news, "v", "left").select("v", F.when(F.col("new"), F.col("now")).otherwise(F.col("holds")).alias("holds")), "club-state")
+        delete(*old, result)
+    held = queue.join(state.withColumnRenamed("v", "pid"), "pid").filter("holds is not null").select(*group, "pid", "holds")
+    rep = held.join(held.groupBy("holds").agg(F.min("pid").alias("rep")), "holds").select(*group, "pid", "rep")
+    numbers = written(_numbered(rep, tuple(group)).select("pid", "label"), "club")
+    delete(queue, items, placed, state, *([parts] if parts is not None else []))
+    return points.select("pid").join(numbers, "pid", "left").select(F.col("pid").cast(kind).alias("pid"), F.coalesce("label", F.lit(NOISE)).cast("int").alias("cluster"))
 
 
 def shaped(assignment: DataFrame, neighbours: DataFrame, eroded: bool = True, least: int = 3) -> DataFrame:

@@ -101,6 +101,20 @@ def test_club_takes_consecutive_neighbours(spark, seed):
     assert results[1] != results[8]
 
 
+@pytest.mark.parametrize("block", [clustering.CLUB_BLOCK, 12])
+def test_club_in_blocks_of_space(spark, monkeypatch, block):
+    monkeypatch.setattr(clustering, "CLUB_BLOCK", block)
+    rng = np.random.default_rng(7)
+    xy = np.concatenate([rng.normal(c, 0.8, (30, 2)) for c in (0, 3, 6)] + [rng.uniform(-3, 9, (30, 2))])
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    near = {p: [int(q) for q in np.lexsort((np.arange(len(xy)), d2[p])) if q != p][:6] for p in range(len(xy))}
+    rows = [(p, float(round(x, 1)), int(rng.uniform() < 0.85)) for p, (x, _) in enumerate(xy)]  # turns sweep across space, with ties
+    points = spark.createDataFrame([(*r, float(x), float(y)) for r, (x, y) in zip(rows, xy, strict=True)], "pid long, score double, label int, x double, y double")
+    links = spark.createDataFrame([(p, r + 1, q, float(d2[p, q] ** 0.5)) for p, qs in near.items() for r, q in enumerate(qs)], "pid long, rank int, nn_pid long, dist double")
+    got = {r["pid"]: r["cluster"] for r in clustering.club(points, links, least=2, columns=("x", "y")).collect()}
+    assert got == plain_club(rows, near, 2) and len(set(got.values())) > 2
+
+
 def test_outlines_fall_apart_and_are_cleaned(spark):
     rng = np.random.default_rng(2)
     a, b, alone = rng.uniform(0, 1, (12, 2)), rng.uniform(0, 1, (9, 2)) + [30, 0], np.array([[60.0, 0.0]])
