@@ -240,24 +240,12 @@ def _fallen(base: np.ndarray, of: np.ndarray, to: np.ndarray, least: float) -> n
     return gone
 
 
-def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
-    """(pid, columns, cell), written: what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is.
+def _standing(nodes: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """(block, pid, base), written: what is left of ``nodes``, written as ``links`` (block, pid, other) is, when those with fewer than ``least`` neighbours, ``base`` ones and linked ones, fall one after the other.
 
-    Points of a cell with that many keep each other for good, so only points of emptier cells can fall, and their neighbours in such cells are few. They are dealt to blocks by a tree
-    of boxes, those of all values of ``by`` together (ids are not repeated there); a block peels its own until nothing moves, taking those of other blocks as they stand; then blocks tell each other what fell. The number of exchanges follows how
-    many blocks in a row a peeling runs through, not the number of points.
+    A block lets its own fall until nothing moves, taking those of other blocks as they stand; then blocks tell each other what fell.
     """
-    laid = _laid(points, eps, min_samples, columns, by)
-    near = _near_cells(laid, eps, columns, by)
-    loose = laid.filter("not dense").select("pid", *columns)
-    block = kd.block_of(kd.build(loose, columns, PEEL_BLOCK), columns)
-    home = written(loose.select("pid", block.alias("block")), "peel-blocks")
-    base = near.filter("dense").groupBy("pid").agg(F.sum("n").alias("base"))
-    nodes = home.join(base, "pid", "left").select("block", "pid", (F.coalesce("base", F.lit(0)) + 1).alias("base"))
-    nodes = written(nodes, "peel-points")
-    links = near.filter("not dense").select("pid", F.explode("members").alias("other")).filter("other != pid").join(home, "pid")
-    links = written(links.select("block", "pid", "other"), "peel-links")
-    kind = points.schema["pid"].dataType.simpleString()
+    kind = nodes.schema["pid"].dataType.simpleString()
 
     def fall(table: pa.Table) -> pa.Table:
         is_node = table["base"].is_valid()
@@ -267,7 +255,7 @@ def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str,
         place = lambda v: by[np.minimum(np.searchsorted(own[by], v), len(own) - 1)]
         to = place(others)
         to[own[to] != others] = -1
-        gone = _fallen(nodes["base"].to_numpy(), place(links["pid"].to_numpy()), to, min_samples)
+        gone = _fallen(nodes["base"].to_numpy(), place(links["pid"].to_numpy()), to, least)
         return nodes.select(["pid"]).filter(pa.array(gone))
 
     while True:
@@ -280,9 +268,31 @@ def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str,
         links = links.join(fallen, "pid", "left_anti").join(fallen.withColumnRenamed("pid", "other"), "other", "left_anti")
         links = written(links.select("block", "pid", "other"), "peel-links")
         delete(*before, fallen)
-    out = laid.filter("dense").unionByName(laid.filter("not dense").join(nodes, "pid", "left_semi")).select("pid", *columns, "cell")
+    delete(links, fallen)
+    return nodes
+
+
+def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, columns, cell), written: what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is.
+
+    Points of a cell with that many keep each other for good, so only points of emptier cells can fall, and their neighbours in such cells are few. They are dealt to blocks by a tree
+    of boxes, those of all values of ``by`` together (ids are not repeated there); a block peels its own until nothing moves, taking those of other blocks as they stand; then blocks tell each other what fell. The number of exchanges follows how
+    many blocks in a row a peeling runs through, not the number of points.
+    """
+    laid = _laid(points, eps, min_samples, columns, by)
+    near = _near_cells(laid, eps, columns, by)
+    loose = laid.filter("not dense").select("pid", *columns)
+    block = kd.block_of(kd.build(loose, columns, PEEL_BLOCK), columns)
+    home = written(loose.select("pid", block.alias("block")), "peel-blocks")
+    base = near.filter("dense").groupBy("pid").agg(F.sum("n").alias("base"))
+    nodes = home.join(base, "pid", "left").select("block", "pid", (F.coalesce("base", F.lit(0)) + 1).alias("base"))
+    nodes = written(nodes, "peel-points")
+    links = near.filter("not dense").select("pid", F.explode("members").alias("other")).filter("other != pid").join(home, "pid")
+    links = written(links.select("block", "pid", "other"), "peel-links")
+    left = _standing(nodes, links, min_samples)
+    out = laid.filter("dense").unionByName(laid.filter("not dense").join(left, "pid", "left_semi")).select("pid", *columns, "cell")
     out = written(out, "peeled")
-    delete(laid, near, home, nodes, links, fallen)
+    delete(laid, near, home, left)
     return out
 
 
@@ -315,6 +325,24 @@ def core_by_kth_neighbour(points: DataFrame, eps: float, min_samples: int) -> Da
     return points.select("pid").join(near.select("pid", "dist"), "pid", "left").select("pid", F.coalesce(F.col("dist") < eps, F.lit(False)).alias("is_core"))
 
 
+def core_of_cores(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """(pid, is_core, closed): core points as ``core_by_kth_neighbour`` has them, and whether all that is reached from one over the ``min_samples`` - 1 nearest neighbours of core points is core too.
+
+    What leads to a point that is not core falls, block by block as in ``peeled``, so long chains take few exchanges. ``min_samples`` is 2 at least.
+    """
+    near = knn(points, min_samples - 1)
+    core = near.filter((F.col("rank") == min_samples - 1) & (F.col("dist") < eps)).select("pid")
+    block = kd.block_of(kd.build(points.filter(valid(("x", "y"))), ("x", "y"), PEEL_BLOCK), ("x", "y"))
+    nodes = written(points.filter(valid(("x", "y"))).join(core, "pid", "left_semi").select(block.alias("block"), "pid", F.lit(0).cast("long").alias("base")), "closure-points")
+    links = near.join(nodes.select("pid", "block"), "pid").join(nodes.select(F.col("pid").alias("nn_pid")), "nn_pid", "left_semi")
+    closed = _standing(nodes, written(links.select("block", "pid", F.col("nn_pid").alias("other")), "closure-links"), min_samples - 1)
+    flag = lambda df, name: df.select("pid", F.lit(True).alias(name))
+    out = points.select("pid").join(flag(core, "is_core"), "pid", "left").join(flag(closed, "closed"), "pid", "left")
+    out = written(out.select("pid", F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("closed", F.lit(False)).alias("closed")), "closure")
+    delete(near, closed)
+    return out
+
+
 def tile_of(points: DataFrame, per_tile: int) -> DataFrame:
     """Points with their tile: about ``per_tile`` points to a tile if spread evenly, at least one tile; the last ones are closed."""
     row = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()

@@ -175,6 +175,17 @@ def dbscan_tiled(spark, sf_dir):
     return clustering.tiled_dbscan(points(spark, sf_dir), 2000, EPS, 10)
 
 
+@query(f"""
+WITH RECURSIVE {PAIRS},
+nn AS (SELECT p, q, d2, row_number() OVER (PARTITION BY p ORDER BY d2, q) AS rank FROM pairs WHERE p <> q),
+core AS (SELECT p AS pid FROM nn WHERE rank = 5 AND d2 < 16e0),
+bad(pid) AS (SELECT pid FROM points ANTI JOIN core USING (pid) UNION SELECT nn.p FROM bad JOIN nn ON nn.q = bad.pid AND rank <= 5 SEMI JOIN core ON core.pid = nn.p)
+SELECT pid, pid IN (SELECT pid FROM core) AS is_core, pid NOT IN (SELECT pid FROM bad) AS closed FROM points
+""")
+def core_of_cores(spark, sf_dir):
+    return clustering.core_of_cores(points(spark, sf_dir), EPS, 6)
+
+
 @query()
 def sampled_tile_sizes(spark, sf_dir):
     tiles = clustering.tiled_dbscan(points(spark, sf_dir), 500, EPS, 10)

@@ -78,3 +78,26 @@ def test_a_long_line_peels_from_its_ends(spark):
     assert clustering.peeled(table(spark, x), 1.0, 3).count() == 0
     ring = np.concatenate([x, [[-0.5, 0.5], [-0.5, -0.5]]])  # something that holds at one end holds the other points near it
     assert {r["label"] for r in clustering.dbscan_loop(table(spark, ring), 1.0, 3).select("label").distinct().collect()} == {-1, 0}
+
+
+@pytest.mark.parametrize("block", [clustering.PEEL_BLOCK, 25])
+def test_core_of_cores_against_following_neighbours(spark, monkeypatch, block):
+    monkeypatch.setattr(clustering, "PEEL_BLOCK", block)
+    rng = np.random.default_rng(6)
+    x = np.round(np.concatenate([rng.normal(c, 1, (40, 2)) for c in (0, 9)] + [rng.uniform(-4, 14, (40, 2))]) * 8) / 8
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    near = [[q for q in np.lexsort((np.arange(len(x)), d2[p])) if q != p][:3] for p in range(len(x))]
+    core = {p for p in range(len(x)) if d2[p, near[p][-1]] < 1.5**2}
+    closed = set()
+    for p in core:
+        seen, todo = set(), [p]
+        while todo:
+            q = todo.pop()
+            if q not in seen:
+                seen.add(q)
+                todo += near[q] if q in core else []
+        if seen <= core:
+            closed.add(p)
+    got = clustering.core_of_cores(table(spark, x), 1.5, 4).collect()
+    assert {r["pid"] for r in got if r["is_core"]} == core and {r["pid"] for r in got if r["closed"]} == closed
+    assert len(got) == len(x) and 0 < len(closed) < len(core)
