@@ -32,7 +32,8 @@ from .common import discard, materialise, small_batches, tidy
 WINDOW, MASK_BITS, MIN_BYTES, MAX_BYTES = 32, 10, 256, 1 << 16
 #: Bits of the filter of shared keys, 8 MB: the most that the driver and a task hold of it at any size of the corpus.
 FILTER_BITS = 26
-MEMO = 600_000
+#: Words that a worker remembers: half of them since it last began anew, and the half before.
+MEMO = 1_200_000
 #: Longer words, in bytes, are not remembered.
 LONG_WORD = 64
 _BLOCK = 1 << 20
@@ -112,6 +113,7 @@ class Encoder:
             raise ValueError("the vocabulary keeps white space, so chunks cannot be joined at it")
         self.mark = self.ids_of(_MARK)
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens = self.tokenizer.get_vocab(True)
         names = [b""] * size
@@ -152,9 +154,10 @@ class Encoder:
         fresh = own.difference(self.memo)
         if not fresh:
             return [self.memo[w] for w in words]
-        learned = self._fresh(fresh)
-        if len(self.memo) + len(learned) > MEMO:
-            self.memo = {w: self.memo[w] for w in own.difference(fresh)}
+        learned = {w: self.older[w] for w in self.older.keys() & fresh}
+        learned |= self._fresh(fresh.difference(learned))
+        if len(self.memo) + len(learned) > MEMO // 2:
+            self.older, self.memo = self.memo, {w: self.memo[w] for w in own.difference(fresh)}
         memo = self.memo
         memo.update(learned)
         out = [memo[w] for w in words]
