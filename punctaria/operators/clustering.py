@@ -10,7 +10,7 @@ import math
 import time
 from collections.abc import Callable
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kd
+from . import blocks, kd
 from .components import connected_components
 from .kd import valid
 from .ranks import ranked
@@ -192,12 +192,33 @@ def dbscan(points: DataFrame, eps: float, min_samples: float, weights: DataFrame
     """(by..., pid, label, is_core): a point is core with ``min_samples`` points, or that much weight, within eps, itself included; a border point
     takes the smallest label of a core point near it. Points of different values of ``by`` (not null) are clustered apart, all in one plan.
 
-    Without weights, points are laid into cells so small that any two of a cell are neighbours. All points of a cell with ``min_samples`` points or more are core, and the core points of a cell
+    Without weights, points are clustered in blocks of space, a task each, and only what leads from block to block is joined. Where points are too crowded for that, and more than a task
+    should hold lie within a few eps, they are laid into cells so small that any two of a cell are neighbours. All points of a cell with ``min_samples`` points or more are core, and the core points of a cell
     are one cluster, so pairs are only made of points in emptier cells, and links only between cells. Crowded cells are told apart by boxes that get finer only where that matters. Points
-    with a null or NaN coordinate are noise.
+    with a null, NaN or infinite coordinate are noise.
     """
     if weights is not None:
         return dbscan_from_pairs(points, eps_pairs(points, eps, columns=columns), min_samples, weights)
+    if eps <= 0:
+        raise ValueError("eps must be positive")
+    placed = blocks.dealt(points.filter(_finite(columns)), eps, columns, by)
+    if placed is None:
+        return _dbscan_by_cells(points, eps, min_samples, columns, by)
+    found = blocks.clustered(placed, eps, min_samples, columns, by)
+    lost = points.filter(~_finite(columns)).select(*by, "pid", F.lit(NOISE).alias("label"), F.lit(False).alias("is_core"))
+    out = found.unionByName(lost)
+    out._punctaria_path = found._punctaria_path
+    delete(placed)
+    return out
+
+
+def _finite(columns: tuple[str, ...]):
+    return reduce(and_, (valid((c,)) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in columns))
+
+
+def _dbscan_by_cells(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """``dbscan`` where points are crowded: (by..., pid, label, is_core)."""
+    points = points.filter(_finite(columns)).select(*by, "pid", *columns).unionByName(points.filter(~_finite(columns)).select(*by, "pid", *(F.lit(None).cast("double").alias(c) for c in columns)))
     laid = _laid(points, eps, min_samples, columns, by)
     sparse = _near_cells(laid, eps, columns, by)
     more = sparse.groupBy("owner", "pid").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select(F.col("owner").alias("cell"), "pid")
@@ -273,6 +294,18 @@ def _standing(nodes: DataFrame, links: DataFrame, least: int) -> DataFrame:
 
 
 def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., pid, columns), written: what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is; in blocks, or by cells where points are crowded."""
+    placed = blocks.dealt(points.filter(_finite(columns)), eps, columns, by, PEEL_BLOCK)
+    if placed is None:
+        return _peeled_by_cells(points, eps, min_samples, columns, by)
+    left = blocks.stood(placed, eps, min_samples, columns, by)
+    out = left.filter("__home = __block").select(*by, "pid", *columns)
+    out._punctaria_path = left._punctaria_path
+    delete(placed)
+    return out
+
+
+def _peeled_by_cells(points: DataFrame, eps: float, min_samples: int, columns: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
     """(pid, columns, cell), written: what is left when points with fewer than ``min_samples`` neighbours, themselves included, are dropped until none is.
 
     Points of a cell with that many keep each other for good, so only points of emptier cells can fall, and their neighbours in such cells are few. They are dealt to blocks by a tree
@@ -299,11 +332,20 @@ def peeled(points: DataFrame, eps: float, min_samples: int, columns: tuple[str,
 def dbscan_loop(points: DataFrame, eps: float, min_samples: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., pid, label): clusters without border points, from which points are peeled until all that is left is core; points of different values of ``by`` apart."""
     named = points.select(*by, "pid", "x", "y")
+    placed = blocks.dealt(named.filter(_finite(("x", "y"))), eps, ("x", "y"), by)
+    if placed is not None:
+        left = blocks.stood(placed, eps, min_samples, ("x", "y"), by)
+        found = blocks.clustered(left, eps, min_samples, ("x", "y"), by, all_core=True)
+        out = named.select(*by, "pid").join(found.select(*by, "pid", "label"), [*by, "pid"], "left")
+        out = written(out.select(*by, "pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label")), "dbscan-loop")
+        delete(placed, left, found)
+        return out
+    named = named.filter(_finite(("x", "y"))).unionByName(named.filter(~_finite(("x", "y"))).select(*by, "pid", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")))
     if by:  # ids that are not repeated, in the same order
         named = written(ranked(named, *by, "pid", name="__id"), "numbered")
-        core = peeled(named.select(*by, F.col("__id").alias("pid"), "x", "y"), eps, min_samples, by=by)
+        core = _peeled_by_cells(named.select(*by, F.col("__id").alias("pid"), "x", "y"), eps, min_samples, by=by)
     else:
-        core = peeled(named, eps, min_samples)
+        core = _peeled_by_cells(named, eps, min_samples)
     cell_labels = _cell_clusters(core, eps, ("x", "y"), by)
     labels = core.join(cell_labels, "cell").select(F.col("pid").alias("__id" if by else "pid"), "label")
     out = named.join(labels, "__id" if by else "pid", "left").select(*by, "pid", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label"))

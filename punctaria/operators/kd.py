@@ -79,13 +79,46 @@ class Tree:
 def build(points: DataFrame, columns: tuple[str, ...], per_block: int, n: int | None = None) -> Tree:
     """A tree over ``points`` (pid, columns without null) with about ``per_block`` of them to a block, ``MOST_BLOCKS`` blocks at most."""
     n = points.count() if n is None else n
-    depth = min(max(0, math.ceil(math.log2(max(1, n) / per_block))), int(math.log2(MOST_BLOCKS)))
-    if depth == 0:
-        return Tree(np.zeros((0, len(columns))), 0)
+    depth = _depth(n, per_block)
+    return Tree(_sample(points, columns, n) if depth else np.zeros((0, len(columns))), depth)
+
+
+def _depth(n: int, per_block: int) -> int:
+    return min(max(0, math.ceil(math.log2(max(1, n) / per_block))), int(math.log2(MOST_BLOCKS)))
+
+
+def _sample(points: DataFrame, columns: tuple[str, ...], n: int) -> np.ndarray:
     share = SAMPLE / max(n, 1)
     rows = points.filter(F.pmod(F.xxhash64("pid"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else points
-    sample = rows.select(*(F.col(c).cast("double") for c in columns)).limit(2 * SAMPLE).toPandas().to_numpy(float)
-    return Tree(sample, depth)
+    return rows.select(*(F.col(c).cast("double") for c in columns)).limit(2 * SAMPLE).toPandas().to_numpy(float)
+
+
+def split(points: DataFrame, columns: tuple[str, ...], per_block: int, narrowest: float) -> Tree:
+    """A tree as ``build`` makes it, but for cuts that would leave less than ``narrowest`` on a side; it is bounded by the parts of space that its blocks cover."""
+    n, d = points.count(), len(columns)
+    depth = _depth(n, per_block)
+    tree = Tree(np.zeros((0, d)), 0)
+    tree.depth, tree.axis, tree.at = depth, np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, -np.inf)
+    lo, hi, parts = np.full((1, d), -np.inf), np.full((1, d), np.inf), [_sample(points, columns, n) if depth else np.zeros((0, d))]
+    for level in range(depth):
+        first, below, all_lo, all_hi = (1 << level) - 1, [], np.repeat(lo, 2, 0), np.repeat(hi, 2, 0)
+        for i, part in enumerate(parts):
+            axis, at = 0, -np.inf
+            if len(part):
+                least, most = np.maximum(lo[i], part.min(0)), np.minimum(hi[i], part.max(0))
+                axis = int(np.argmax(most - least))
+                if most[axis] - least[axis] >= 2 * narrowest:
+                    at = float(np.clip(np.median(part[:, axis]), least[axis] + narrowest, most[axis] - narrowest))
+            tree.axis[first + i], tree.at[first + i] = axis, at
+            right = part[:, axis] >= at
+            below += [part[~right], part[right]]
+            if at > -np.inf:
+                all_hi[2 * i, axis] = all_lo[2 * i + 1, axis] = at
+            else:  # all go right
+                all_lo[2 * i], all_hi[2 * i] = np.inf, -np.inf
+        lo, hi, parts = all_lo, all_hi, below
+    tree.bound(lo, hi)
+    return tree
 
 
 def block_of(tree: Tree, columns: tuple[str, ...]) -> Column:
