@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .stats import diameters
+from .storage import delete
 
 
 def uniform(*keys) -> Column:
@@ -56,34 +57,70 @@ def _numbered(placed: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(before), "truth").select((F.col("before") + F.col("at")).alias("pid"), "x", "y", "truth")
 
 
-def _apart(p, q, d: float) -> bool:
-    """No point of p within d of a point of q; boxes that far apart settle it, and points meet a block at a time."""
+def _apart(p, q, d: float) -> bool | None:
+    """Whether no point of a template is within d of one of another, by the corners (n, 2) of both outlines: corners are points, and no point lies outside. None if that leaves it open."""
     import numpy as np
 
     gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
     if (gap**2).sum() > d * d:
         return True
-    step = max(1, 2_000_000 // len(q))
-    return all(((p[k : k + step, None] - q[None]) ** 2).sum(2).min() > d * d for k in range(0, len(p), step))
+    if any(((c - q) ** 2).sum(1).min() <= d * d for c in p):
+        return False
+    # Outlines that are apart come nearest at a corner of one of them.
+    def least(corners, ring):
+        along = np.roll(ring, -1, 0) - ring
+        t = np.clip(((corners[:, None] - ring[None]) * along[None]).sum(2) / np.maximum((along**2).sum(1), 1e-300), 0, 1)
+        return ((corners[:, None] - ring[None] - t[..., None] * along[None]) ** 2).sum(2).min()
+
+    # Of two convex outlines the sides of one tell them apart, unless they meet.
+    def parted(a, b):
+        side = np.roll(a, -1, 0) - a
+        normal = np.stack([side[:, 1], -side[:, 0]], 1)
+        return ((normal @ b.T).min(1) > (normal * a).sum(1)).any()
+
+    if len(p) > 2 and len(q) > 2 and (parted(p, q) or parted(q, p)) and min(least(p, q), least(q, p)) > d * d * (1 + 1e-9):
+        return True
+    return None
+
+
+def _points_apart(templates: DataFrame, one: tuple, other: tuple, d: float) -> bool:
+    """Whether no point of a template (tid, x, y of its place) is within d of one of another, by the nearest neighbours of all that can be."""
+    from .spatial import knn
+
+    def moved(placed, odd: int):
+        tid, x, y = placed
+        return templates.filter(F.col("tid") == tid).select((F.col("pid") * 2 + odd).alias("pid"), (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"))
+
+    left, right = moved(one, 0), moved(other, 1)
+    box = right.agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    for c in ("x", "y"):
+        left = left.filter(F.col(c).between(box[f"lo_{c}"] - d * 1.001, box[f"hi_{c}"] + d * 1.001))
+    near = knn(left, 1, targets=right)
+    least = near.agg(F.min("dist")).first()[0]
+    delete(near)
+    return least is None or least > d
 
 
 def geometry_free(templates: DataFrame, noise_ratio: float = 0.0, seed: int = 0) -> DataFrame:
     """Every template once, at random places in a box of side 3 D sqrt(n), no two nearer than D, with noise.
 
-    Placement is sequential and has one row for each template, so the driver does it.
+    Placement is sequential and has one row for each template, so the driver does it, with the corners of the templates' outlines. Where these leave open whether two are apart, Spark looks at their points.
     """
     import numpy as np
 
+    from .spatial import convex_hulls
+
     spark = templates.sparkSession
     d = typical_diameter(templates)
-    outlines = {r["tid"]: np.array([(p["x"], p["y"]) for p in r["pts"]]) for r in templates.groupBy("tid").agg(F.collect_list(F.struct("x", "y")).alias("pts")).orderBy("tid").collect()}
+    outlines = {r["tid"]: np.array([(p["x"], p["y"]) for p in r["ring"]]) for r in convex_hulls(templates, "tid").collect()}
     rng, side, placed = np.random.default_rng(seed), math.sqrt(len(outlines)) * d * 3, []
     centres = []
     for k, (tid, pts) in enumerate(sorted(outlines.items())):
         while True:
             at = rng.uniform(0, side, 2)
             mine = pts + at
-            if all(_apart(mine, other, d) for other in placed):
+            told = [_apart(mine, other, d) for other in placed]
+            if False not in told and all(t or _points_apart(templates, (tid, *map(float, at)), centres[i][:1] + centres[i][2:], d) for i, t in enumerate(told)):
                 break
         placed.append(mine)
         centres.append((int(tid), k, float(at[0]), float(at[1])))
