@@ -354,9 +354,11 @@ def dbscan_loop(points: DataFrame, eps: float, min_samples: int, by: tuple[str,
     return out
 
 
-def cluster_of(points: DataFrame, eps: float, min_samples: int, pid: int) -> DataFrame:
-    """(pid) of the cluster that holds a point, none if it is noise."""
+def cluster_of(points: DataFrame, eps: float, min_samples: int, pid: int | None = None) -> DataFrame:
+    """(pid) of the cluster that holds a point, none if it is noise; without one, of the cluster of the smallest core point."""
     labels = dbscan(points, eps, min_samples)
+    if pid is None:
+        pid = labels.filter("is_core").agg(F.min("pid")).first()[0]
     own = labels.filter((F.col("pid") == pid) & (F.col("label") >= 0)).select("label")
     return labels.join(F.broadcast(own), "label", "left_semi").select("pid")
 

@@ -207,9 +207,7 @@ def cluster_club(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {REACH}, own AS (SELECT label FROM dbscan WHERE label >= 0 AND pid = (SELECT min(pid) FROM core)) SELECT pid FROM dbscan WHERE label = (SELECT label FROM own)")
 def cluster_of_one_point(spark, sf_dir):
-    p = points(spark, sf_dir)
-    first = clustering.core_points(spatial.eps_pairs(p, EPS), MIN_SAMPLES).agg(F.min("pid")).first()[0]
-    return clustering.cluster_of(p, EPS, MIN_SAMPLES, -1 if first is None else first)
+    return clustering.cluster_of(points(spark, sf_dir), EPS, MIN_SAMPLES)  # that of the smallest core point
 
 
 @query(f"WITH RECURSIVE {REACH}, s AS (SELECT label, count(*) AS n FROM dbscan GROUP BY label) SELECT pid, CASE WHEN n > 40 THEN label ELSE -1 END AS label FROM dbscan JOIN s USING (label)")
