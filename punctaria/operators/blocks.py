@@ -20,12 +20,15 @@ BLOCK, WIDTH, MOST = 40_000, 8, 600_000
 _AT_ONCE = 1 << 21
 
 
-def dealt(points: DataFrame, eps: float, columns: tuple[str, ...], by: tuple[str, ...], per_block: int | None = None) -> DataFrame | None:
-    """(by..., pid, columns, __block, __home, __sent), written: each point in its own block (``__home``) and in those that come within twice eps of it; ``__sent`` if there are any. None if points are too crowded."""
+def dealt(points: DataFrame, eps: float, columns: tuple[str, ...], by: tuple[str, ...], per_block: int | None = None, whole: bool = False) -> DataFrame | None:
+    """(by..., pid, columns, __block, __home, __sent), written: each point in its own block (``__home``) and in those that come within twice eps of it; ``__sent`` if there are any. None if points are too crowded.
+
+    With ``whole`` also __whole: whether the block holds all that lies within eps of the row.
+    """
     tree = kd.split(points, columns, BLOCK if per_block is None else per_block, WIDTH * eps)
     kinds = {f.name: f.dataType for f in points.schema.fields}
     head = [*by, "pid"]
-    ddl = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in head), *(f"`{c}` double" for c in columns), "__block int, __home int, __sent boolean"])
+    ddl = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in head), *(f"`{c}` double" for c in columns), "__block int, __home int, __sent boolean", *(["__whole boolean"] if whole else [])])
 
     def deal(batches):
         for batch in batches:
@@ -39,7 +42,13 @@ def dealt(points: DataFrame, eps: float, columns: tuple[str, ...], by: tuple[str
             rows = np.concatenate([np.arange(len(x)), row])
             taken = batch.take(pa.array(rows))
             more = [pa.array(np.concatenate([home, at]).astype(np.int32)), pa.array(home[rows].astype(np.int32)), pa.array(sent[rows])]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *more], [*head, *columns, "__block", "__home", "__sent"])
+            names = [*head, *columns, "__block", "__home", "__sent"]
+            if whole:
+                close, block = tree.touching(x, np.full(len(x), eps * eps * (1 - 1e-9)))
+                held = np.isin(row * tree.blocks + at, close * tree.blocks + block)
+                more.append(pa.array(np.concatenate([np.ones(len(x), bool), held])))
+                names.append("__whole")
+            yield pa.RecordBatch.from_arrays([*taken.columns, *more], names)
 
     plain = points.select(*head, *(F.col(c).cast("double").alias(c) for c in columns))
     out = written(plain.mapInArrow(deal, ddl), "blocks")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import grids
 from .clustering import NOISE, _numbered
 from .components import connected_components
 from .spatial import eps_pairs, knn
@@ -33,12 +34,53 @@ def grid(spark: SparkSession, sigmas: list[float], thresholds: list[int]) -> Dat
     return spark.createDataFrame(rows, "idx int, sigma double, threshold int")
 
 
-#: A block of the local part of ``phase_assignment`` is this many times the largest sigma wide.
+#: A block of the local part of ``_assignment_by_pairs`` is this many times the largest sigma wide.
 BLOCK_SIGMAS = 8
 
 
+class Clusterings:
+    """Labels of all cells of a grid, a row a point (see ``grids.labels``); what is counted from them is counted once."""
+
+    def __init__(self, wide: DataFrame, cells: list[tuple[int, float, int]], noise_free: bool) -> None:
+        self.wide, self.cells, self.noise_free, self._sizes = wide, cells, noise_free, None
+
+    def idx(self, place: Column) -> Column:
+        return F.get(F.array(*(F.lit(i) for i, _, _ in self.cells)), place)
+
+    def assignment(self) -> DataFrame:
+        rows = self.wide.select("pid", F.posexplode("labels").alias("place", "label"))
+        out = rows.select(self.idx(F.col("place")).alias("idx"), "pid", "label")
+        out._clusterings = self
+        return out
+
+    def sizes(self) -> DataFrame:
+        if self._sizes is None:
+            self._sizes = grids.sizes(self.wide, len(self.cells))
+        return self._sizes
+
+    def clusters(self) -> DataFrame:
+        """(idx, label, n)."""
+        return self.sizes().groupBy("idx", "label").agg(F.sum("n").alias("n")).select(self.idx(F.col("idx")).alias("idx"), "label", "n")
+
+    def overlaps(self) -> DataFrame:
+        met = grids.overlaps(self.wide, self.sizes(), self.cells, self.noise_free)
+        return met.withColumns({c: self.idx(F.col(c)) for c in ("i", "j")})
+
+    def alike(self, share: float) -> DataFrame:
+        """(i, a, js): other clusterings with a similar cluster."""
+        found = grids.alike(self.wide, self.sizes(), self.cells, self.noise_free, share)
+        return found.select(self.idx(F.col("i")).alias("i"), "a", F.transform("js", self.idx).alias("js"))
+
+
 def phase_assignment(points: DataFrame, cells: list[tuple[int, float, int]], noise_free: bool = False) -> DataFrame:
-    """(idx, pid, label) of all cells (idx, sigma, threshold) of a grid.
+    """(idx, pid, label) of all cells (idx, sigma, threshold) of a grid: in blocks of space, or over pairs where points are crowded."""
+    cells = [(int(i), float(s), int(t)) for i, s, t in cells]
+    wide = grids.labels(points, cells, noise_free)
+    return _assignment_by_pairs(points, cells, noise_free) if wide is None else Clusterings(wide, cells, noise_free).assignment()
+
+
+def _assignment_by_pairs(points: DataFrame, cells: list[tuple[int, float, int]], noise_free: bool = False) -> DataFrame:
+    """``phase_assignment`` where points are crowded.
 
     Pairs are found once, at the largest sigma, and kept with the first sigma that holds them. A point has one level for each sigma: the number of thresholds that it is core at, which are
     always the smallest ones; counting neighbours gives it, and for the noise-free variant repeating that over neighbours of at least the same level, all cells in the same rounds. The
@@ -172,26 +214,36 @@ def _cells(spark: SparkSession, cells: list[tuple[int, float, int]]) -> DataFram
     return F.broadcast(spark.createDataFrame([(int(i), float(s), int(t)) for i, s, t in cells], "idx int, sigma double, threshold int"))
 
 
+def _clusters(assignment: DataFrame) -> DataFrame:
+    """(idx, label, n): clusters and their sizes."""
+    whole = getattr(assignment, "_clusterings", None)
+    return assignment.filter("label >= 0").groupBy("idx", "label").agg(F.count("*").alias("n")) if whole is None else whole.clusters()
+
+
 def phase_space(cells: DataFrame, assignment: DataFrame) -> DataFrame:
     """(idx, sigma, threshold, no_clusters, no_points_clustered)."""
-    counts = assignment.filter("label >= 0").groupBy("idx").agg(F.countDistinct("label").alias("no_clusters"), F.count("*").alias("no_points_clustered"))
+    counts = _clusters(assignment).groupBy("idx").agg(F.count("*").alias("no_clusters"), F.sum("n").alias("no_points_clustered"))
     return cells.join(counts, "idx", "left").na.fill(0, ["no_clusters", "no_points_clustered"])
 
 
 def cluster_info(cells: DataFrame, assignment: DataFrame, kind: str) -> DataFrame:
     """(index, labels, clusterSize, threshold, sigma, type)."""
-    sizes = assignment.filter("label >= 0").groupBy("idx", "label").agg(F.count("*").alias("clusterSize"))
+    sizes = _clusters(assignment).withColumnRenamed("n", "clusterSize")
     return sizes.join(cells, "idx").select(F.col("idx").alias("index"), F.col("label").alias("labels"), "clusterSize", "threshold", "sigma", F.lit(kind).alias("type"))
 
 
 def overlaps(assignment: DataFrame) -> DataFrame:
     """(i, a, j, b, n, na, nb): clusters of different clusterings with common points.
 
-    A point's labels meet as one array; batches of points count all pairs of clusterings together, so only counts are shuffled.
+    A point's labels meet as one array; blocks or batches of points count all pairs of clusterings together, so only counts are shuffled.
     """
     import numpy as np
     import pyarrow as pa
 
+    whole = getattr(assignment, "_clusterings", None)
+    if whole is not None:
+        return _both_ways(whole.overlaps())
+
     named = assignment.filter("label >= 0")
     sizes = written(named.groupBy("idx", "label").agg(F.count("*").alias("n")), "cluster-sizes")
     lists = named.groupBy("pid").agg(F.collect_list(F.struct("idx", "label")).alias("l")).select("l")
@@ -221,7 +273,10 @@ def overlaps(assignment: DataFrame) -> DataFrame:
     met = lists.mapInArrow(run, "i int, a int, j int, b int, n long").groupBy("i", "a", "j", "b").agg(F.sum("n").alias("n"))
     na = sizes.select(F.col("idx").alias("i"), F.col("label").alias("a"), F.col("n").alias("na"))
     nb = sizes.select(F.col("idx").alias("j"), F.col("label").alias("b"), F.col("n").alias("nb"))
-    met = met.join(na, ["i", "a"]).join(nb, ["j", "b"]).select("i", "a", "j", "b", "n", "na", "nb")
+    return _both_ways(met.join(na, ["i", "a"]).join(nb, ["j", "b"]).select("i", "a", "j", "b", "n", "na", "nb"))
+
+
+def _both_ways(met: DataFrame) -> DataFrame:
     return met.unionAll(met.select(F.col("j").alias("i"), F.col("b").alias("a"), F.col("i").alias("j"), F.col("a").alias("b"), "n", F.col("nb").alias("na"), F.col("na").alias("nb")))
 
 
@@ -230,11 +285,19 @@ def half_of_both(share: float = 0.5) -> Column:
     return (F.col("n") > share * F.col("na")) & (F.col("n") > share * F.col("nb"))
 
 
-def _scores(assignment: DataFrame, similar: DataFrame) -> DataFrame:
-    """(idx, label, similarityScore) from similar clusters (i, a, j)."""
-    per = similar.groupBy(F.col("i").alias("idx"), F.col("a").alias("label")).agg(F.countDistinct("j").alias("similarityScore"))
-    every = assignment.filter("label >= 0").select("idx", "label").distinct()
-    return every.join(per, ["idx", "label"], "left").na.fill(0, ["similarityScore"])
+def _alike(assignment: DataFrame, predicate: Column | float) -> DataFrame:
+    """(i, a, js): clusters with the other clusterings that have a similar cluster, by a share of both or a predicate of ``overlaps``; those without any are left out."""
+    whole = getattr(assignment, "_clusterings", None)
+    if whole is not None and not isinstance(predicate, Column):
+        return whole.alike(float(predicate))
+    similar = overlaps(assignment).filter(predicate if isinstance(predicate, Column) else half_of_both(predicate))
+    return similar.groupBy("i", "a").agg(F.collect_set("j").alias("js"))
+
+
+def _scores(assignment: DataFrame, alike: DataFrame) -> DataFrame:
+    """(idx, label, similarityScore) from similar clusters (i, a, js)."""
+    per = alike.select(F.col("i").alias("idx"), F.col("a").alias("label"), F.size("js").cast("long").alias("similarityScore"))
+    return _clusters(assignment).select("idx", "label").join(per, ["idx", "label"], "left").na.fill(0, ["similarityScore"])
 
 
 def similarity(assignment: DataFrame, predicate: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -242,14 +305,17 @@ def similarity(assignment: DataFrame, predicate: Column | None = None) -> tuple[
 
     A cluster scores one for each other clustering that has a similar cluster; a clustering the sum of its clusters'.
     """
-    scores = _scores(assignment, overlaps(assignment).filter(half_of_both() if predicate is None else predicate))
+    scores = _scores(assignment, _alike(assignment, 0.5 if predicate is None else predicate))
     return scores, scores.groupBy("idx").agg(F.sum("similarityScore").alias("similarityScore"))
 
 
+def _matrix(alike: DataFrame) -> DataFrame:
+    return alike.select("i", F.explode("js").alias("j")).groupBy("i", "j").agg(F.count("*").alias("score"))
+
+
 def similarity_matrix(assignment: DataFrame, predicate: Column | None = None) -> DataFrame:
     """(i, j, score): number of clusters of i that have a similar one in j."""
-    good = overlaps(assignment).filter(half_of_both() if predicate is None else predicate)
-    return good.groupBy("i", "j").agg(F.countDistinct("a").alias("score"))
+    return _matrix(_alike(assignment, 0.5 if predicate is None else predicate))
 
 
 def line_of_optima(df: DataFrame, x: str, y: str, idx: str = "idx", bins: int = 0) -> DataFrame:
@@ -300,7 +366,7 @@ class ParameterSearch:
         self.algo, self.n, self.minmax_threshold, self.one_two_d = algo, points_per_dimension, minmax_threshold, one_two_d
         self.log_sigmas, self.log_thresholds, self.neighbour, self.quantiles = log_sigmas, log_thresholds, neighbour, quantiles
         self.sigma_boundaries = None if adaptive_sigma_boundaries else sigma_boundaries
-        self.predicate = half_of_both(threshold) if isinstance(similarity_score_computation, str) else similarity_score_computation
+        self.predicate = threshold if isinstance(similarity_score_computation, str) else similarity_score_computation
 
     def settings(self, points: DataFrame) -> list[tuple[int, float, int]]:
         """(idx, sigma, threshold), sigma-major."""
@@ -322,7 +388,7 @@ class ParameterSearch:
         if skip_similarity:
             self.cluster_info = info
             return self
-        self.similar = written(overlaps(self.assignment).filter(self.predicate).select("i", "a", "j"), "similar-clusters")
+        self.similar = written(_alike(self.assignment, self.predicate), "similar-clusters")
         scores = _scores(self.assignment, self.similar)
         total = scores.groupBy("idx").agg(F.sum("similarityScore").alias("similarityScore"))
         self.cluster_info = info.join(scores.select(F.col("idx").alias("index"), F.col("label").alias("labels"), "similarityScore"), ["index", "labels"])
@@ -343,7 +409,7 @@ class ParameterSearch:
 
     def similarity_matrix(self) -> DataFrame:
         """(i, j, score): number of clusters of i that have a similar one in j."""
-        return self.similar.groupBy("i", "j").agg(F.countDistinct("a").alias("score"))
+        return _matrix(self.similar)
 
     def score_distribution(self, idx: int) -> DataFrame:
         """(pid, label, similarityScore) of the points of one clustering: how often a point's cluster is found elsewhere; 0 for noise."""
