@@ -87,11 +87,8 @@ l AS (SELECT pid, least(0, min(least(dx, dy))) AS lo, greatest(0, max(greatest(d
 SELECT pid, rank, round(coalesce(dx / nullif(hi - lo, 0), 0), 6) AS fx, round(coalesce(dy / nullif(hi - lo, 0), 0), 6) AS fy FROM r JOIN l USING (pid)
 """)
 def neighbour_coordinates(spark, sf_dir):
-    from pyspark.sql import Window
-
     p = points(spark, sf_dir).select("pid", "x", "y")
-    rank = F.row_number().over(Window.partitionBy("p").orderBy("d2", "q"))
-    near = spatial.range_pairs(p, p, 4.0).filter("p != q").select(F.col("p").alias("pid"), rank.alias("rank"), F.col("q").alias("nn_pid")).filter("rank <= 3")
+    near = spatial.knn_within(p, 3, 4.0).select("pid", "rank", "nn_pid")
     f = features.relative_coordinates(p, near)
     pair = F.transform(F.sequence(F.lit(0), F.floor(F.size("f") / 2).cast("int") - 1), lambda i: F.struct(R(F.get("f", 2 * i), 6).alias("fx"), R(F.get("f", 2 * i + 1), 6).alias("fy")))
     return f.select("pid", F.posexplode(pair).alias("rank", "c")).select("pid", (F.col("rank") + 1).cast("long").alias("rank"), "c.fx", "c.fy")
