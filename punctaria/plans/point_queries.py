@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from punctaria.functions import scalar
@@ -200,9 +199,7 @@ def optics_tiles(spark, sf_dir):
 @query()
 def cluster_club(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("score", 1 / (1 + F.col("x"))).withColumn("label", (F.col("x") < 30).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("p").orderBy("d2", "q"))
-    near = spatial.eps_pairs(p, EPS).filter("p != q").select(F.col("p").alias("pid"), rank.alias("rank"), F.col("q").alias("nn_pid"), F.sqrt("d2").alias("dist")).filter("rank <= 20")
-    return clustering.club(p.select("pid", "score", "label", "x", "y"), near, columns=("x", "y"))
+    return clustering.club(p.select("pid", "score", "label", "x", "y"), spatial.knn_within(p, 20, EPS), columns=("x", "y"))
 
 
 @query(f"WITH RECURSIVE {REACH}, own AS (SELECT label FROM dbscan WHERE label >= 0 AND pid = (SELECT min(pid) FROM core)) SELECT pid FROM dbscan WHERE label = (SELECT label FROM own)")
