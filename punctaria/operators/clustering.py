@@ -22,7 +22,7 @@ from . import blocks, kd
 from .components import connected_components
 from .kd import valid
 from .ranks import ranked
-from .spatial import eps_pairs, knn
+from .spatial import eps_pairs, knn, knn_within
 from .storage import delete, written
 
 NOISE = -1
@@ -365,7 +365,7 @@ def cluster_of(points: DataFrame, eps: float, min_samples: int, pid: int | None
 
 def core_by_kth_neighbour(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(pid, is_core): the neighbour of rank ``min_samples`` - 1 is nearer than eps, strictly."""
-    near = knn(points, min_samples - 1).filter(F.col("rank") == min_samples - 1)
+    near = knn_within(points, min_samples - 1, eps).filter(F.col("rank") == min_samples - 1)
     return points.select("pid").join(near.select("pid", "dist"), "pid", "left").select("pid", F.coalesce(F.col("dist") < eps, F.lit(False)).alias("is_core"))
 
 
@@ -374,7 +374,7 @@ def core_of_cores(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
 
     What leads to a point that is not core falls, block by block as in ``peeled``, so long chains take few exchanges. ``min_samples`` is 2 at least.
     """
-    near = knn(points, min_samples - 1)
+    near = knn_within(points, min_samples - 1, eps)  # all those of core points lie within eps
     core = near.filter((F.col("rank") == min_samples - 1) & (F.col("dist") < eps)).select("pid")
     block = kd.block_of(kd.build(points.filter(valid(("x", "y"))), ("x", "y"), PEEL_BLOCK), ("x", "y"))
     nodes = written(points.filter(valid(("x", "y"))).join(core, "pid", "left_semi").select(block.alias("block"), "pid", F.lit(0).cast("long").alias("base")), "closure-points")
