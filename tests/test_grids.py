@@ -34,3 +34,12 @@ def test_no_pairs_are_joined(spark, monkeypatch):
     monkeypatch.setattr(phase, "eps_pairs", None)
     points = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "pid long, x double, y double")
     assert phase.phase_assignment(points, [(0, 1.5, 3)], True).filter("label >= 0").count() == 60
+
+
+def test_search_makes_no_row_a_setting(spark, monkeypatch):
+    monkeypatch.setattr(phase, "eps_pairs", None)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in (0, 10, 20)])
+    points = spark.createDataFrame(pd.DataFrame({"pid": np.arange(120), "x": x[:, 0], "y": x[:, 1]}))
+    search = phase.ParameterSearch(points_per_dimension=2, adaptive_sigma_boundaries=False, sigma_boundaries=(1.5, 2.0)).fit(points)
+    assert [tuple(r) for r in search.phasespace.select("idx", "no_clusters", "similarityScore").orderBy("idx").collect()] == [(i, 3, 9) for i in range(4)]
