@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import statistics
 import time
 from collections.abc import Callable
 from functools import reduce
@@ -22,7 +23,7 @@ from . import blocks, kd
 from .components import connected_components
 from .kd import valid
 from .ranks import ranked
-from .spatial import eps_pairs, knn, knn_within
+from .spatial import eps_pairs, knn, knn_within, neighbour_rows
 from .storage import delete, written
 
 NOISE = -1
@@ -525,10 +526,11 @@ def staged(points: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFra
     ``classify`` gets the points and their neighbours (pid, rank, nn_pid, dist) and returns (pid, score, label), label 1 for clustered. A classifier that finds
     nothing leaves noise.
     """
-    near = written(knn(points, neighbours), "stage-neighbours")
-    called = classify(points, near)
-    called = called.join(points.select("pid", "x", "y", *([by] if by else [])), "pid")
+    near = knn(points, neighbours, lists=True)
+    called = classify(points, neighbour_rows(near))
+    called = written(called.join(points.select("pid", "x", "y", *([by] if by else [])), "pid"), "stage-called")
     formed = club(called, near, by=by, least=least, columns=("x", "y"))
+    delete(near)
     return points.select("pid").join(formed, "pid", "left").select("pid", F.coalesce("cluster", F.lit(NOISE)).alias("label"))
 
 
@@ -551,87 +553,108 @@ for _name, _algo, _dims in (("search_line", "dbscan", "oneD"), ("search_line_loo
     register_algorithm(_name, _searched(_algo, _dims))
 
 
-#: Clustered points in one block of ``club``.
+#: Turns of ``club`` that one block takes if no more are left; till then a block has about a quarter of it.
 CLUB_BLOCK = 50_000
 
 
-def _formed(pdf, least: int):
-    """One round of ``club`` in a block: items (r, pid, nn, jumps) in order, over the state (v, holds, others) of the points they touch. Rows of what changed: (r) of items done, (v, holds) of points."""
-    import pandas as pd
+def _until_jump(dist: list[float], least: int) -> int:
+    """How many friends there are up to the first jump in their distances that stands out, if more than ``least`` do."""
+    steps = [b - a for a, b in itertools.pairwise(dist)]
+    if not steps:
+        return len(dist)
+    mid = statistics.median(steps)
+    off = [abs(s - mid) for s in steps]
+    spread = statistics.median(off)
+    out = [i for i, o in enumerate(off) if o > 5 * spread * spread] if spread else []
+    return out[0] + 1 if len(out) > least else len(dist)
+
 
-    state = pdf[pdf["r"].isna()]
-    holds = {int(v): int(h) for v, h in zip(state["v"], state["holds"], strict=True) if not pd.isna(h)}  # who is not in it is not clustered any more
+def _formed(table: pa.Table, least: int) -> pa.Table:
+    """One round of ``club`` in a block: items (r, pid, nn, jumps) in order, over the state (v, holds, others) of the points they touch. Rows of what changed: (r) of items done, (v, holds) of points."""
+    column = lambda t, c: t[c].to_numpy().tolist()
+    is_item = table["r"].is_valid()
+    items, state = table.filter(is_item).sort_by("r"), table.filter(pc.invert(is_item))
+    held, shared = state.filter(state["holds"].is_valid()), state.filter(state["others"].is_valid())
+    holds = dict(zip(column(held, "v"), column(held, "holds"), strict=True))  # who is not in it is not clustered any more
     before = dict(holds)
-    others = {int(v): int(r) for v, r in zip(state["v"], state["others"], strict=True) if not pd.isna(r)}
-    done, waits = [], set()
-    items = pdf[pdf["r"].notna()].sort_values("r")
-    for r, pid, nn, jumps in zip(items["r"].astype(int), items["pid"].astype(int), items["nn"], items["jumps"], strict=True):
-        touched = [pid, *(f["nn_pid"] for f in nn)]
+    others = dict(zip(column(shared, "v"), column(shared, "others"), strict=True))
+    ends = np.cumsum(pc.list_value_length(items["nn"]).to_numpy()).tolist()
+    flat = pc.list_flatten(items["nn"])
+    nn, dist = (pc.struct_field(flat, f).to_numpy().tolist() for f in ("nn_pid", "dist"))
+    done, waits, start = [], set(), 0
+    for r, pid, jumps, end in zip(column(items, "r"), column(items, "pid"), items["jumps"].to_pylist(), ends, strict=True):
+        near, first, start = nn[start:end], start, end
+        touched = [pid, *near]
         if any(v in waits or others.get(v, r) < r for v in touched):
             waits.update(touched)
             continue
         done.append(r)
-        friends = list(itertools.takewhile(lambda f: f["nn_pid"] in holds, nn))
+        friends = list(itertools.takewhile(holds.__contains__, near))
         if len(friends) < least:
             holds.pop(pid, None)
             continue
         if jumps:
-            steps = np.diff([f["dist"] for f in friends])
-            off = np.abs(steps - np.median(steps))
-            spread = np.median(off)
-            out = np.flatnonzero(off > 5 * spread * spread) if spread else np.empty(0, int)
-            if len(out) > least:
-                friends = friends[: out[0] + 1]
-        group = [pid, *(f["nn_pid"] for f in friends)]
+            friends = friends[: _until_jump(dist[first : first + len(friends)], least)]
+        group = [pid, *friends]
         best = min(holds[p] for p in group)
         holds.update((p, best) for p in group)
     changed = [v for v in before if holds.get(v) != before[v]]
-    rows = pd.DataFrame({"r": [*done, *[None] * len(changed)], "v": [*[None] * len(done), *changed], "holds": [*[None] * len(done), *(holds.get(v) for v in changed)]}, dtype="object")
-    return rows.astype("Int64")
+    rows = [[*done, *[None] * len(changed)], [*[None] * len(done), *changed], [*[None] * len(done), *(holds.get(v) for v in changed)]]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in rows], ["r", "v", "holds"])
 
 
 def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, least: int = 3, crowded: float = 0.95, columns: tuple[str, ...] = ()) -> DataFrame:
     """(pid, cluster): clusters formed from points classified as clustered, best scores first.
 
-    ``points`` has pid, score and label (1 clustered), ``neighbours`` pid, rank, nn_pid and, for crowded groups, dist. A clustered point's friends are its nearest neighbours up to the first one that is not
+    ``points`` has pid, score and label (1 clustered), ``neighbours`` pid, rank, nn_pid and, for crowded groups, dist, or pid and nn as ``knn`` has them with ``lists``. A clustered point's friends are its nearest neighbours up to the first one that is not
     clustered. In order of score, then pid, a point with fewer than ``least`` friends stops being clustered, also for those after it; any other gives itself and its friends the best
     rank that one of them holds, each clustered point holding its own at first. Where more than ``crowded`` of a group's points are clustered, friends end at the first jump in distance that stands out, if more than ``least`` do.
     Clusters are numbered by their smallest pid, within each group of ``by``.
 
     The result is that of going point by point, found in blocks: a point's turn can come when no earlier one that is still open touches it or its neighbours. With coordinates (``columns``), blocks are those of a tree
-    of boxes; each goes on as far as it can without the others, which then learn what changed, until all turns are taken. Without, points that hang together through neighbours are a block.
+    of boxes; each goes on as far as it can without the others, which then learn what changed, until so few turns are left that one block takes them all. Without, points that hang together through neighbours are
+    a block.
     """
     spark, group = points.sparkSession, [by] if by else []
     kind = points.schema["pid"].dataType.simpleString()
-    dist = F.col("dist") if "dist" in neighbours.columns else F.lit(None).cast("double")
+    listed = "nn" in neighbours.columns
+    has_dist = listed or "dist" in neighbours.columns
+    dist = F.col("dist") if has_dist else F.lit(None).cast("double")
     share = points.groupBy(*group).agg((F.count_if(F.col("label") == 1) > crowded * F.count("*")).alias("jumps"))
     queue = written(ranked(points.filter("label = 1").select("pid", "score", *group, *columns), F.desc("score"), "pid", name="r"), "club-queue")
     flagged = queue.join(share, by) if by else queue.crossJoin(F.broadcast(share))  # one row
-    flagged = flagged.select("pid", "r", *group, (F.col("jumps") & F.lit("dist" in neighbours.columns)).alias("jumps"))
+    flagged = flagged.select("pid", "r", *columns, (F.col("jumps") & F.lit(has_dist)).alias("jumps"))
     theirs = queue.select(F.col("pid").alias("nn_pid"), F.lit(True).alias("known"), *(F.col(g).alias("their_group") for g in group))
-    near = neighbours.select("pid", "rank", "nn_pid", dist.alias("dist")).join(queue.select("pid", *(F.col(g).alias("own_group") for g in group)), "pid").join(theirs, "nn_pid", "left")
+    near = neighbours.select("pid", "nn") if listed else neighbours.select("pid", "rank", "nn_pid", dist.alias("dist"))
+    near = near.join(queue.select("pid", *(F.col(g).alias("own_group") for g in group)), "pid")
+    if listed:
+        near = near.select("pid", F.explode("nn").alias("n"), *(["own_group"] if by else [])).select("*", "n.*").drop("n")
+    near = near.join(theirs, "nn_pid", "left")
     ok = F.coalesce("known", F.lit(False)) & (F.col("own_group").eqNullSafe(F.col("their_group")) if by else F.lit(True))
-    lists = near.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("rank", "nn_pid", "dist", ok.alias("ok")))).alias("nn"))
-    first = F.array_position(F.transform("nn", lambda f: f["ok"]), F.lit(False)).cast("int")
-    friends = F.transform(F.when(first > 0, F.slice("nn", 1, first - 1)).otherwise(F.col("nn")), lambda f: F.struct(f["nn_pid"].cast("long").alias("nn_pid"), f["dist"].alias("dist")))
-    none = F.array().cast("array<struct<nn_pid: bigint, dist: double>>")
-    items = written(flagged.join(lists.select("pid", friends.alias("nn")), "pid", "left").select("pid", "r", "jumps", F.coalesce("nn", none).alias("nn")), "club-items")
-    if columns:
-        block = queue.select("pid", kd.block_of(kd.build(queue, columns, CLUB_BLOCK), columns).cast("long").alias("block"))
-        parts = None
-    else:
+    friend = F.struct("rank", F.col("nn_pid").cast("long").alias("nn_pid"), "dist")
+    lists = near.groupBy("pid").agg(F.min(F.when(~ok, F.col("rank"))).alias("end"), F.sort_array(F.collect_list(F.when(ok, friend))).alias("nn"))
+    friends = F.when(F.col("end").isNull(), F.col("nn")).otherwise(F.filter("nn", lambda f: f["rank"] < F.col("end")))
+    none = F.array().cast(lists.schema["nn"].dataType)
+    tree = kd.build(queue, columns, CLUB_BLOCK // 4 or 1) if columns else None
+    block = [kd.block_of(tree, columns).cast("long").alias("block")] if columns else []
+    flagged = flagged.select(F.col("pid").cast("long").alias("pid"), F.col("r").cast("long").alias("r"), "jumps", *block)
+    items = written(flagged.join(lists.select(F.col("pid").cast("long").alias("pid"), friends.alias("nn")), "pid", "left").withColumn("nn", F.coalesce("nn", none)), "club-items")
+    placed, parts = items, None
+    if not columns:
         parts = connected_components(items.select(F.col("pid").alias("a"), F.explode("nn.nn_pid").alias("b")))
-        block = queue.select("pid").join(parts.withColumnRenamed("id", "pid"), "pid", "left").select("pid", F.coalesce("component", "pid").cast("long").alias("block"))
-    placed = written(items.join(block, "pid"), "club-open")
+        placed = written(items.join(parts.withColumnRenamed("id", "pid"), "pid", "left").withColumn("block", F.coalesce("component", "pid")).drop("component"), "club-open")
     state = written(queue.select(F.col("pid").cast("long").alias("v"), F.col("r").cast("long").alias("holds")), "club-state")
-    while placed.take(1):
-        touched = placed.select("block", "r", F.explode(F.concat(F.array(F.col("pid").cast("long")), F.col("nn.nn_pid"))).alias("v")).groupBy("v", "block").agg(F.min("r").alias("r"))
+    while left := placed.count():
+        rows = placed if left > CLUB_BLOCK else placed.withColumn("block", F.lit(0).cast("long"))
+        touched = rows.select("block", "r", F.explode(F.concat(F.array("pid"), F.col("nn.nn_pid"))).alias("v")).groupBy("v", "block").agg(F.min("r").alias("r"))
         # A point is touched by few blocks; to each goes the earliest turn of the others.
         around = touched.groupBy("v").agg(F.collect_list(F.struct("block", "r")).alias("all"))
         apart = around.select("v", F.explode("all").alias("own"), "all").select("v", "own.block", F.array_min(F.transform(F.filter("all", lambda o: o["block"] != F.col("own.block")), lambda o: o["r"])).alias("others"))
-        rows = placed.select("block", F.col("r").cast("long").alias("r"), F.col("pid").cast("long").alias("pid"), "nn", "jumps")
-        told = apart.join(state, "v").select("block", "v", "holds", F.col("others").cast("long").alias("others"))
-        result = written(rows.unionByName(told, allowMissingColumns=True).groupBy("block").applyInPandas(lambda pdf: _formed(pdf, least), "r long, v long, holds long"), "club-round")
+        told = apart.join(state, "v").select("block", "v", "holds", "others")
+        both = rows.unionByName(told, allowMissingColumns=True)
+        if columns:
+            both = both.repartition(tree.blocks, "block")  # so many tasks, however few bytes they get
+        result = written(both.groupBy("block").applyInArrow(lambda t: _formed(t, least), "r long, v long, holds long"), "club-round")
         old = placed, state
         placed = written(placed.join(result.filter("r is not null").select("r"), "r", "left_anti"), "club-open")
         news = result.filter("v is not null").select("v", F.col("holds").alias("now"), F.lit(True).alias("new"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SAMPLE, MOST_BLOCKS = 50_000, 1 << 16
 #: Distances that are measured at once.
 _AT_ONCE = 1 << 22
+#: Targets of a leaf of the tree within a task, at least; distances to leaves that are measured at once, and queries that are answered at once.
+LEAF, _LEAVES_AT_ONCE, _QUERIES_AT_ONCE = 24, 1 << 19, 1 << 14
 
 
 def valid(columns: tuple[str, ...]) -> Column:
@@ -164,45 +166,68 @@ def _plain(targets, order, queries, own, k, r2):
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _leaves(targets: np.ndarray, depth: int) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """A bounded tree that cuts targets into halves of the same size; the targets in order of its leaves, and where those begin and end."""
+    n, d = targets.shape
+    tree = Tree(np.zeros((0, d)), 0)
+    tree.depth, tree.axis, tree.at = depth, np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
+    by, edges = np.arange(n), np.array([0, n])
+    for level in range(depth):
+        x = targets[by]
+        axis = np.argmax(np.maximum.reduceat(x, edges[:-1]) - np.minimum.reduceat(x, edges[:-1]), 1)
+        node = np.repeat(np.arange(1 << level), np.diff(edges))
+        by = by[np.lexsort((x[np.arange(n), axis[node]], node))]
+        middle = (edges[:-1] + edges[1:]) // 2
+        first = (1 << level) - 1
+        tree.axis[first : first + len(axis)], tree.at[first : first + len(axis)] = axis, targets[by[middle], axis]
+        edges = np.sort(np.r_[edges, middle])
+    x = targets[by]
+    tree.bound(np.minimum.reduceat(x, edges[:-1]), np.maximum.reduceat(x, edges[:-1]))
+    return tree, by, edges
+
+
 def nearest(targets: np.ndarray, order: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, target, squared distance), sorted by query and rank, of the k nearest targets of each query within its squared radius, but for the one whose ``order`` is the query's ``own``.
 
-    Ties go to the smaller order. Many targets are dealt to a tree of their own, so the cost stays in proportion.
+    Ties go to the smaller order. Many targets are dealt to small leaves of a tree of their own; a query is measured against its own leaf, then against those that the ball of its k nearest there touches, so
+    the cost stays in proportion.
     """
-    if len(targets) <= 2048 or not len(queries):
+    leaf = max(LEAF, 2 * (k + 1))
+    if len(targets) < 4 * leaf or not len(queries):
         return _plain(targets, order, queries, own, k, r2)
-    depth = math.ceil(math.log2(len(targets) / max(512, 4 * k)))
-    tree = Tree(targets[:: max(1, len(targets) // SAMPLE)], max(depth, 0))
-    at = tree.block(targets)
-    by = np.argsort(at, kind="stable")
-    edges = np.searchsorted(at[by], np.arange(tree.blocks + 1))
-    lo, hi = np.full((tree.blocks, targets.shape[1]), np.inf), np.full((tree.blocks, targets.shape[1]), -np.inf)
-    full = np.flatnonzero(edges[1:] > edges[:-1])
-    lo[full] = np.minimum.reduceat(targets[by], edges[full])
-    hi[full] = np.maximum.reduceat(targets[by], edges[full])
-    tree.bound(lo, hi)
-
-    def answers(rows: np.ndarray, blocks: np.ndarray, limits: np.ndarray):
-        s = np.argsort(blocks, kind="stable")
-        rows, blocks = rows[s], blocks[s]
-        ends = np.flatnonzero(np.r_[blocks[1:] != blocks[:-1], True]) + 1 if len(rows) else []
-        start = 0
-        for end in ends:
-            some, members = rows[start:end], by[edges[blocks[start]] : edges[blocks[start] + 1]]
-            q, t, d2 = _plain(targets[members], order[members], queries[some], own[some], k, limits[some])
-            yield some[q], members[t], d2
-            start = end
-
-    home = tree.block(queries)
-    found = list(answers(np.arange(len(queries)), home, r2))
-    limit = r2.copy()
-    for q, _, d2 in found:
-        last = np.flatnonzero(np.r_[q[1:] != q[:-1], True]) if len(q) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[-1, last])
-        done = last[n >= k]
-        limit[q[done]] = np.minimum(limit[q[done]], d2[done])
-    row, block = tree.touching(queries, limit)
-    other = block != home[row]
-    found += answers(row[other], block[other], limit)
-    q, t, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
-    return _first(q, t, d2, order, k)
+    tree, by, edges = _leaves(targets, int(math.log2(len(targets) / leaf)))
+    x, ids = np.ascontiguousarray(targets[by].T), order[by]
+    width = int(np.diff(edges).max())
+    step = max(1, _LEAVES_AT_ONCE // width)
+
+    def measured(rows: np.ndarray, leaves: np.ndarray):
+        """Squared distances of queries to the targets of a leaf each, infinite where there is none, and the places of those; some at a time."""
+        for at in range(0, len(rows), step):
+            q, start = rows[at : at + step], edges[leaves[at : at + step]]
+            place = start[:, None] + np.arange(width)
+            none = place >= edges[leaves[at : at + step] + 1][:, None]
+            np.minimum(place, len(ids) - 1, out=place)
+            d2 = np.zeros(place.shape)
+            for c in range(len(x)):
+                gap = queries[q, c, None] - x[c][place]
+                d2 += gap * gap
+            d2[none | (ids[place] == own[q, None])] = np.inf
+            yield q, place, d2
+
+    found, home, limit = [], tree.block(queries), np.empty(len(queries))
+    by_leaf = np.argsort(home, kind="stable")
+    for at in range(0, len(by_leaf), _QUERIES_AT_ONCE):
+        some, parts = by_leaf[at : at + _QUERIES_AT_ONCE], []
+        for rows, place, d2 in measured(some, home[some]):
+            limit[rows] = np.fmin(r2[rows], np.partition(d2, k - 1, 1)[:, k - 1])
+            i, j = np.nonzero((d2 <= limit[rows, None]) & np.isfinite(d2))
+            parts.append((rows[i], by[place[i, j]], d2[i, j]))
+        row, leaves = tree.touching(queries[some], limit[some])
+        other = leaves != home[some[row]]
+        for rows, place, d2 in measured(some[row[other]], leaves[other]):
+            i, j = np.nonzero((d2 <= limit[rows, None]) & np.isfinite(d2))
+            parts.append((rows[i], by[place[i, j]], d2[i, j]))
+        found.append(_first(*(np.concatenate(v) for v in zip(*parts, strict=True)), order, k))
+    q, t, d2 = (np.concatenate(v) for v in zip(*found, strict=True))
+    s = np.argsort(q, kind="stable")
+    return q[s], t[s], d2[s]

@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def delete(*tables: DataFrame) -> None:
     """Delete what ``written`` wrote; only once nothing reads it any more."""
     for df in tables:
-        path = getattr(df, "_punctaria_path", None)
-        if path is not None:
+        paths = getattr(df, "_punctaria_path", None) or ()
+        for path in (paths,) if isinstance(paths, str) else paths:
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
