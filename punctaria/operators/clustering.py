@@ -5,9 +5,7 @@ Labels are 0, 1, ... in order of the smallest point id of a cluster, and -1 for
 
 from __future__ import annotations
 
-import itertools
 import math
-import statistics
 import time
 from collections.abc import Callable
 from functools import reduce
@@ -19,12 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import blocks, kd
+from . import blocks, kd, turns
 from .components import connected_components
 from .kd import valid
 from .ranks import ranked
-from .spatial import eps_pairs, knn, knn_within, neighbour_rows
+from .spatial import eps_pairs, knn, knn_within, nearest_within, neighbour_rows
 from .storage import delete, written
+from .turns import until_jump as _until_jump  # noqa: F401
 
 NOISE = -1
 
@@ -553,56 +552,10 @@ for _name, _algo, _dims in (("search_line", "dbscan", "oneD"), ("search_line_loo
     register_algorithm(_name, _searched(_algo, _dims))
 
 
-#: Turns of ``club`` that one block takes if no more are left; till then a block has about a quarter of it.
+#: Turns of ``club`` that one task takes; a block has about a quarter of it.
 CLUB_BLOCK = 50_000
 
 
-def _until_jump(dist: list[float], least: int) -> int:
-    """How many friends there are up to the first jump in their distances that stands out, if more than ``least`` do."""
-    steps = [b - a for a, b in itertools.pairwise(dist)]
-    if not steps:
-        return len(dist)
-    mid = statistics.median(steps)
-    off = [abs(s - mid) for s in steps]
-    spread = statistics.median(off)
-    out = [i for i, o in enumerate(off) if o > 5 * spread * spread] if spread else []
-    return out[0] + 1 if len(out) > least else len(dist)
-
-
-def _formed(table: pa.Table, least: int) -> pa.Table:
-    """One round of ``club`` in a block: items (r, pid, nn, jumps) in order, over the state (v, holds, others) of the points they touch. Rows of what changed: (r) of items done, (v, holds) of points."""
-    column = lambda t, c: t[c].to_numpy().tolist()
-    is_item = table["r"].is_valid()
-    items, state = table.filter(is_item).sort_by("r"), table.filter(pc.invert(is_item))
-    held, shared = state.filter(state["holds"].is_valid()), state.filter(state["others"].is_valid())
-    holds = dict(zip(column(held, "v"), column(held, "holds"), strict=True))  # who is not in it is not clustered any more
-    before = dict(holds)
-    others = dict(zip(column(shared, "v"), column(shared, "others"), strict=True))
-    ends = np.cumsum(pc.list_value_length(items["nn"]).to_numpy()).tolist()
-    flat = pc.list_flatten(items["nn"])
-    nn, dist = (pc.struct_field(flat, f).to_numpy().tolist() for f in ("nn_pid", "dist"))
-    done, waits, start = [], set(), 0
-    for r, pid, jumps, end in zip(column(items, "r"), column(items, "pid"), items["jumps"].to_pylist(), ends, strict=True):
-        near, first, start = nn[start:end], start, end
-        touched = [pid, *near]
-        if any(v in waits or others.get(v, r) < r for v in touched):
-            waits.update(touched)
-            continue
-        done.append(r)
-        friends = list(itertools.takewhile(holds.__contains__, near))
-        if len(friends) < least:
-            holds.pop(pid, None)
-            continue
-        if jumps:
-            friends = friends[: _until_jump(dist[first : first + len(friends)], least)]
-        group = [pid, *friends]
-        best = min(holds[p] for p in group)
-        holds.update((p, best) for p in group)
-    changed = [v for v in before if holds.get(v) != before[v]]
-    rows = [[*done, *[None] * len(changed)], [*[None] * len(done), *changed], [*[None] * len(done), *(holds.get(v) for v in changed)]]
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in rows], ["r", "v", "holds"])
-
-
 def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, least: int = 3, crowded: float = 0.95, columns: tuple[str, ...] = ()) -> DataFrame:
     """(pid, cluster): clusters formed from points classified as clustered, best scores first.
 
@@ -611,62 +564,165 @@ def club(points: DataFrame, neighbours: DataFrame, by: str | None = None, least:
     rank that one of them holds, each clustered point holding its own at first. Where more than ``crowded`` of a group's points are clustered, friends end at the first jump in distance that stands out, if more than ``least`` do.
     Clusters are numbered by their smallest pid, within each group of ``by``.
 
-    The result is that of going point by point, found in blocks: a point's turn can come when no earlier one that is still open touches it or its neighbours. With coordinates (``columns``), blocks are those of a tree
-    of boxes; each goes on as far as it can without the others, which then learn what changed, until so few turns are left that one block takes them all. Without, points that hang together through neighbours are
-    a block.
+    The result is that of going point by point, found in blocks (``turns``). With coordinates (``columns``), blocks are those of a tree of boxes; without, points that hang together through neighbours are in one block.
     """
-    spark, group = points.sparkSession, [by] if by else []
-    kind = points.schema["pid"].dataType.simpleString()
+    group = [by] if by else []
     listed = "nn" in neighbours.columns
     has_dist = listed or "dist" in neighbours.columns
     dist = F.col("dist") if has_dist else F.lit(None).cast("double")
     share = points.groupBy(*group).agg((F.count_if(F.col("label") == 1) > crowded * F.count("*")).alias("jumps"))
     queue = written(ranked(points.filter("label = 1").select("pid", "score", *group, *columns), F.desc("score"), "pid", name="r"), "club-queue")
+    n = queue.count()
+    tree = kd.build(queue, columns, CLUB_BLOCK // 4 or 1, n) if columns and n > CLUB_BLOCK else None
+    block = kd.block_of(tree, columns) if tree is not None else F.lit(0)
     flagged = queue.join(share, by) if by else queue.crossJoin(F.broadcast(share))  # one row
-    flagged = flagged.select("pid", "r", *columns, (F.col("jumps") & F.lit(has_dist)).alias("jumps"))
-    theirs = queue.select(F.col("pid").alias("nn_pid"), F.lit(True).alias("known"), *(F.col(g).alias("their_group") for g in group))
+    flagged = flagged.select("pid", "r", block.cast("int").alias("block"), (F.col("jumps") & F.lit(has_dist)).alias("jumps"))
+    theirs = queue.select(F.col("pid").alias("nn_pid"), "r", block.cast("int").alias("block"), *(F.col(g).alias("their_group") for g in group))
     near = neighbours.select("pid", "nn") if listed else neighbours.select("pid", "rank", "nn_pid", dist.alias("dist"))
     near = near.join(queue.select("pid", *(F.col(g).alias("own_group") for g in group)), "pid")
     if listed:
         near = near.select("pid", F.explode("nn").alias("n"), *(["own_group"] if by else [])).select("*", "n.*").drop("n")
     near = near.join(theirs, "nn_pid", "left")
-    ok = F.coalesce("known", F.lit(False)) & (F.col("own_group").eqNullSafe(F.col("their_group")) if by else F.lit(True))
-    friend = F.struct("rank", F.col("nn_pid").cast("long").alias("nn_pid"), "dist")
+    ok = F.col("r").isNotNull() & (F.col("own_group").eqNullSafe(F.col("their_group")) if by else F.lit(True))
+    friend = F.struct("rank", F.col("r").cast("long").alias("r"), "block", "dist")
     lists = near.groupBy("pid").agg(F.min(F.when(~ok, F.col("rank"))).alias("end"), F.sort_array(F.collect_list(F.when(ok, friend))).alias("nn"))
     friends = F.when(F.col("end").isNull(), F.col("nn")).otherwise(F.filter("nn", lambda f: f["rank"] < F.col("end")))
     none = F.array().cast(lists.schema["nn"].dataType)
-    tree = kd.build(queue, columns, CLUB_BLOCK // 4 or 1) if columns else None
-    block = [kd.block_of(tree, columns).cast("long").alias("block")] if columns else []
-    flagged = flagged.select(F.col("pid").cast("long").alias("pid"), F.col("r").cast("long").alias("r"), "jumps", *block)
-    items = written(flagged.join(lists.select(F.col("pid").cast("long").alias("pid"), friends.alias("nn")), "pid", "left").withColumn("nn", F.coalesce("nn", none)), "club-items")
-    placed, parts = items, None
-    if not columns:
-        parts = connected_components(items.select(F.col("pid").alias("a"), F.explode("nn.nn_pid").alias("b")))
-        placed = written(items.join(parts.withColumnRenamed("id", "pid"), "pid", "left").withColumn("block", F.coalesce("component", "pid")).drop("component"), "club-open")
-    state = written(queue.select(F.col("pid").cast("long").alias("v"), F.col("r").cast("long").alias("holds")), "club-state")
-    while left := placed.count():
-        rows = placed if left > CLUB_BLOCK else placed.withColumn("block", F.lit(0).cast("long"))
-        touched = rows.select("block", "r", F.explode(F.concat(F.array("pid"), F.col("nn.nn_pid"))).alias("v")).groupBy("v", "block").agg(F.min("r").alias("r"))
-        # A point is touched by few blocks; to each goes the earliest turn of the others.
-        around = touched.groupBy("v").agg(F.collect_list(F.struct("block", "r")).alias("all"))
-        apart = around.select("v", F.explode("all").alias("own"), "all").select("v", "own.block", F.array_min(F.transform(F.filter("all", lambda o: o["block"] != F.col("own.block")), lambda o: o["r"])).alias("others"))
-        told = apart.join(state, "v").select("block", "v", "holds", "others")
-        both = rows.unionByName(told, allowMissingColumns=True)
-        if columns:
-            both = both.repartition(tree.blocks, "block")  # so many tasks, however few bytes they get
-        result = written(both.groupBy("block").applyInArrow(lambda t: _formed(t, least), "r long, v long, holds long"), "club-round")
-        old = placed, state
-        placed = written(placed.join(result.filter("r is not null").select("r"), "r", "left_anti"), "club-open")
-        news = result.filter("v is not null").select("v", F.col("holds").alias("now"), F.lit(True).alias("new"))
-        state = written(state.join(news, "v", "left").select("v", F.when(F.col("new"), F.col("now")).otherwise(F.col("holds")).alias("holds")), "club-state")
-        delete(*old, result)
-    held = queue.join(state.withColumnRenamed("v", "pid"), "pid").filter("holds is not null").select(*group, "pid", "holds")
-    rep = held.join(held.groupBy("holds").agg(F.min("pid").alias("rep")), "holds").select(*group, "pid", "rep")
-    numbers = written(_numbered(rep, tuple(group)).select("pid", "label"), "club")
-    delete(queue, items, placed, state, *([parts] if parts is not None else []))
+    items = flagged.join(lists.select("pid", friends.alias("nn")), "pid", "left").select(F.col("pid").cast("long").alias("pid"), F.col("r").cast("long").alias("r"), "block", "jumps", F.coalesce("nn", none).alias("nn"))
+    used = [queue]
+    if not columns and n > CLUB_BLOCK:
+        items = written(items, "club-items")
+        parts = connected_components(items.select(F.col("r").alias("a"), F.explode("nn.r").alias("b")))
+        some = F.pmod(F.xxhash64(F.coalesce("component", "r")), F.lit(min(kd.MOST_BLOCKS, -(-4 * n // CLUB_BLOCK)))).cast("int")
+        items = items.drop("block").join(parts.withColumnRenamed("id", "r"), "r", "left").withColumn("block", some).drop("component")
+        used += [items, parts]
+
+    def pack(table: pa.Table) -> pa.Table:
+        nn = table["nn"].combine_chunks()
+        item = np.repeat(np.arange(len(table)), nn.value_lengths().to_numpy())
+        flat = nn.flatten()
+        of = [flat.field(f).to_numpy(zero_copy_only=False) for f in ("r", "block", "dist")]
+        if columns == ():
+            of[1] = np.full(len(item), table["block"][0].as_py())
+        return turns.packed(table["block"][0].as_py(), table["r"].to_numpy(), table["pid"].to_numpy(), table["jumps"].to_numpy(), item, *of)
+
+    if tree is not None:
+        items = items.repartition(min(tree.blocks, max(24, tree.blocks // 4)), "block")  # so many tasks, however few bytes they get
+    held = _settled(written(items.groupBy("block").applyInArrow(pack, turns.PACKED), "club-blocks"), least, CLUB_BLOCK)
+    out = _clubs(points, held.join(queue.select(F.col("pid").cast("long").alias("pid"), *group), "pid") if by else held, tuple(group))
+    delete(held, *used)
+    return out
+
+
+def _settled(packs: DataFrame, least: int, most: int) -> DataFrame:
+    """(pid, holds), written, of the points that stay clustered, from written rows ``turns.PACKED``, which are deleted: the turn of whom each got its rank from. Blocks are taken together up to ``most`` points a task."""
+    spark = packs.sparkSession
+
+    def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+        return df.repartition(min(n, max(24, n // 4)), key).groupBy(key)  # so many tasks, however few bytes they get
+
+    n = packs.select("block").count()
+    if n == 0:
+        return written(spark.createDataFrame([], "pid long, holds long"), "club-round")
+    lists = packs.select("block", "r", "ends", "nn", "far")
+    wanted = written(packs.select("block", F.explode("far").alias("r")), "club-wanted")
+    told, asked = None, lists
+    while not wanted.isEmpty():
+        fallen = dealt(asked, "block", n).applyInArrow(lambda t: turns.fallen_of(t, least), "r long")
+        news = fallen.distinct().join(wanted, "r").select("block", F.col("r").alias("told"))
+        if told is not None:
+            news = news.join(told, ["block", "told"], "left_anti").unionByName(told.withColumn("old", F.lit(True)), allowMissingColumns=True)
+        old, told_now = told, written(news if told is not None else news.withColumn("old", F.lit(None).cast("boolean")), "club-told")
+        fresh = told_now.filter("old is null").select("block").distinct()
+        told = told_now.select("block", "told")
+        told._punctaria_path = told_now._punctaria_path
+        if old is not None:
+            delete(old)
+        if fresh.isEmpty():
+            break
+        asked = lists.unionByName(told, allowMissingColumns=True).join(fresh, "block", "left_semi")
+    whole = packs if told is None else packs.unionByName(told, allowMissingColumns=True)
+    groups = written(dealt(whole, "block", n).applyInArrow(lambda t: turns.grouped(t, least), turns.GROUPS), "club-groups")
+    delete(packs, wanted, *([told] if told is not None else []))
+
+    sizes = {r["block"]: r["n"] for r in groups.filter("n is not null").select("block", "n").collect()}  # a row a block
+    tasks = turns.tasks(sizes, most, False)
+    said, odd = None, False
+
+    def swept(tasks, known, function, schema):
+        of = F.broadcast(spark.createDataFrame(tasks, "block int, task int"))
+        rows = groups if known is None else groups.unionByName(known, allowMissingColumns=True)
+        return dealt(rows.join(of, "block"), "task", tasks[-1][1] + 1).applyInArrow(function, schema)
+
+    def best(of_said: DataFrame) -> DataFrame:
+        return of_said.join(of_said.groupBy("g").agg(F.min("val").alias("best")), "g")
+
+    apart = tasks[-1][1] > 0 and not groups.filter("g is not null").isEmpty()
+    while apart:
+        known = None if said is None else best(said).select("block", "g", F.col("best").alias("val"))
+        result = swept(tasks, known, turns.said, "block int, g long, val long")
+        if said is not None:
+            rest = said.join(F.broadcast(spark.createDataFrame(tasks, "block int, task int")), "block", "left_anti")
+            result = result.unionByName(rest)
+        old, said = said, written(result, "club-round")
+        if old is not None:
+            delete(old)
+        again = {r["block"]: sizes[r["block"]] for r in best(said).filter("best < val").select("block").distinct().collect()}  # a row a block at most
+        if not again:
+            break
+        odd = not odd
+        tasks = turns.tasks(again, most, odd)
+    known = None if said is None else best(said).select("block", "g", F.col("best").alias("val"))
+    out = written(swept(turns.tasks(sizes, most, False), known, turns.held, "pid long, holds long"), "club-round")
+    delete(groups, *([said] if said is not None else []))
+    return out
+
+
+def _clubs(points: DataFrame, held: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, cluster) from (group..., pid, holds) of points that are clustered in the end."""
+    reps = held.groupBy(*group, "holds").agg(F.min("pid").alias("rep"))
+    labels = _numbered(reps.select(*group, F.col("holds").alias("pid"), "rep"), group).select(F.col("pid").alias("holds"), "label")  # a rank is of one group
+    numbers = written(held.join(labels, "holds").select("pid", "label"), "club")
+    kind = points.schema["pid"].dataType.simpleString()
     return points.select("pid").join(numbers, "pid", "left").select(F.col("pid").cast(kind).alias("pid"), F.coalesce("label", F.lit(NOISE)).cast("int").alias("cluster"))
 
 
+def club_within(points: DataFrame, k: int, eps: float, least: int = 3, crowded: float = 0.95, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """``club`` of points with coordinates and the k nearest others within eps of each.
+
+    A block of space finds the neighbours of its own clustered points and keeps them for their turns, so that no neighbour is ever a row. Where points are too crowded for blocks, ``knn_within`` and ``club`` do it.
+    """
+    placed_ok = kd.valid(columns) & reduce(and_, (F.abs(F.col(c).cast("double")) < float("inf") for c in columns))
+    called = F.coalesce(F.col("label") == 1, F.lit(False))
+    jumps = points.agg(F.count_if(F.col("label") == 1) > crowded * F.count("*")).first()[0]
+    queue = ranked(points.filter(called).select("pid", "score", *columns), F.desc("score"), "pid", name="r")
+    both = queue.select("pid", *columns, F.col("r").cast("long").alias("r")).unionByName(points.filter(~called).select("pid", *columns, F.lit(None).cast("long").alias("r")))
+    placed = blocks.dealt(both.filter(placed_ok), eps / 2, columns, ("r",))
+    if placed is None:
+        return club(points, knn_within(points, k, eps, columns), least=least, crowded=crowded, columns=columns)
+
+    def pack(table: pa.Table) -> pa.Table:
+        home, block = table["__home"].to_numpy(), table["__block"][0].as_py()
+        r = table["r"].to_numpy(zero_copy_only=False)
+        clustered = ~np.isnan(r.astype(float))
+        q = np.flatnonzero((home == block) & clustered)
+        i, nn, d2 = nearest_within(table, q, k, eps, columns)
+        # Friends end before the first that is not clustered.
+        size = np.bincount(i, minlength=len(q))
+        end = np.cumsum(np.r_[0, ~clustered[nn]])
+        keep = end[1:] == end[(np.cumsum(size) - size)[i]]
+        i, nn, d2 = i[keep], nn[keep], d2[keep]
+        return turns.packed(block, r[q].astype(np.int64), table["pid"].to_numpy()[q], np.full(len(q), jumps), i, r[nn].astype(np.int64), home[nn], np.sqrt(d2))
+
+    held = _settled(written(placed.groupBy("__block").applyInArrow(pack, turns.PACKED), "club-blocks"), least, CLUB_BLOCK)
+    delete(placed)
+    if least < 1:  # then those without a place are clusters of their own
+        held = held.unionByName(queue.filter(~placed_ok).select(F.col("pid").cast("long").alias("pid"), F.col("r").cast("long").alias("holds")))
+    out = _clubs(points, held)
+    delete(held)
+    return out
+
+
 def shaped(assignment: DataFrame, neighbours: DataFrame, eroded: bool = True, least: int = 3) -> DataFrame:
     """(pid, label, piece): points of clusters (pid, label, x, y) by the piece of their cluster's outline that holds them; noise is left out.
 

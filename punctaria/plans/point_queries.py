@@ -199,7 +199,7 @@ def optics_tiles(spark, sf_dir):
 @query()
 def cluster_club(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("score", 1 / (1 + F.col("x"))).withColumn("label", (F.col("x") < 30).cast("int"))
-    return clustering.club(p.select("pid", "score", "label", "x", "y"), spatial.knn_within(p, 20, EPS), columns=("x", "y"))
+    return clustering.club_within(p.select("pid", "score", "label", "x", "y"), 20, EPS)
 
 
 @query(f"WITH RECURSIVE {REACH}, own AS (SELECT label FROM dbscan WHERE label >= 0 AND pid = (SELECT min(pid) FROM core)) SELECT pid FROM dbscan WHERE label = (SELECT label FROM own)")
